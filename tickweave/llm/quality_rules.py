@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tickweave.llm.base import text_of, words_of
 
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_pipes")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_pipes", "n_stutters")
 #: Rule -> failure, over the measurements. Bit k of the ledger belongs to the k-th rule; append only.
 RULES: dict[str, Column | Callable[[], Column]] = {
     "too_few_words": lambda: F.col("n_words") < 20,
@@ -27,8 +27,9 @@ RULES: dict[str, Column | Callable[[], Column]] = {
     "symbol_share": lambda: 5 * F.col("n_symbols") > F.col("n_words"),
     "bang_share": lambda: 3 * F.col("n_bangs") > F.col("n_words"),
     "pipe_share": lambda: 5 * F.col("n_pipes") > F.col("n_words"),
-    "duplicate_lines": lambda: (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+    "duplicate_lines": lambda: (F.col("n_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_lines")),
     "word_length": lambda: ~F.col("word_chars").between(2 * F.col("n_words"), 25 * F.col("n_words")),
+    "stutter_share": lambda: 10 * F.col("n_stutters") > 3 * F.col("n_words"),
 }
 BASE = ("too_few_words", "repeated_windows")
 #: Version -> rules it enforces.
@@ -81,6 +82,7 @@ def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, Callable[[],
         "n_repeat_words": _repeat_words(words),
         "n_bangs": F.regexp_count(own, F.lit("!")).cast("long"),
         "n_pipes": F.regexp_count(own, F.lit(r"\|")).cast("long"),
+        "n_stutters": F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w)).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_words": F.size(words).cast("long"),
     }).drop("_words", "_lines")
