@@ -33,3 +33,30 @@ def op7(rows):
     for doc_id, text in rows:
         by[text or ""].append(doc_id)
     return {d: (max(ids), len(ids), d == max(ids), sha(t)) for t, ids in by.items() for d in ids}
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    total = 0
+    for i, c in enumerate(reversed(re.sub("[^0-9]", "", s))):
+        total += int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10))
+    return total % 10 == 0
+
+
+def op8(text):
+    n = lambda s: len(re.sub("[^0-9]", "", s))
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 14 <= n(s) <= 19 and luhn(s), "phone": lambda s: 10 <= n(s) <= 15}
+    spans = sorted((m.start(), k, m.end()) for k, (kind, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text or "") if ok[kind](m[0]))
+    return [f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in spans]
+
+
+def op10(text, encoding):
+    ids = encoding.encode_ordinary(text or "")
+    return len(ids), sha(",".join(map(str, ids))), sha(text or "")
