@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tickweave.llm import bpe, chat_format, exact_dedup, pii, quality_rules, token_counts
+from tickweave.llm import bpe, chat_format, exact_dedup, pii, quality_rules, token_counts, toxicity
 from tickweave.llm.base import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -30,6 +30,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(counts)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decide(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
