@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tickweave.llm import bpe, chat_format, exact_dedup, pii, quality_rules, token_counts, toxicity
+from tickweave.llm import bpe, chat_format, exact_dedup, near_dedup, pii, quality_rules, token_counts, toxicity
 from tickweave.llm.base import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -47,6 +47,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
