@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tickweave.llm import bpe, chat_format, exact_dedup, near_dedup, pii, quality_rules, token_counts, toxicity
+from tickweave.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, pii, quality_rules, token_counts, toxicity
 from tickweave.llm.base import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -25,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_domains(table(spark, sf_dir, "labels")))
+    return mixed.drop("text_key")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return token_counts.histogram(counts)
