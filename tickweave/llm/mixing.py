@@ -27,19 +27,26 @@ from tickweave.llm.base import small_side, staged, text_of, words_of
 MAX_LABELLED = 20_000
 MAX_DOMAINS = 64
 SLOTS = 1 << 15
-MIN_Z = 5.0
+MIN_Z, MIN_ODDS = 5.0, 2.5
 #: Features of the model, those of clearest evidence.
 MAX_FEATURES = 1024
 STEPS, TOLERANCE = 40, 1e-3
 
 
 def slots(words: Column) -> Column:
-    """Hashed features of a text: distinct slots of its words, and of their shapes (last character, all capitals, said before)."""
+    """Hashed features of a text: distinct slots of its words, and the tenths of its words that are all
+    capitals, end in a sign, or repeat the word before."""
     place = lambda x: F.pmod(x, F.lit(SLOTS)).cast("int")
-    shape = lambda ws, w, i: F.xxhash64(F.right(w, F.lit(1)), (F.upper(w) == w) & (F.length(w) > 3), F.coalesce(F.get(ws, i - 1) == w, F.lit(False)))
-    named = lambda ws: F.transform(ws, lambda w: place(F.xxhash64(F.lower(w))))
-    shaped = lambda ws: F.array_distinct(F.transform(ws, lambda w, i: place(shape(ws, w, i))))
-    return _once(words, lambda ws: F.array_distinct(F.concat(named(ws), shaped(ws))))
+    share = lambda ws, name, test: place(F.xxhash64(F.lit(name), F.floor(10 * F.size(F.filter(ws, test)) / F.greatest(F.size(ws), F.lit(1)))))
+
+    def found(ws: Column) -> Column:
+        shapes = F.array(
+            share(ws, "capitals", lambda w: (F.upper(w) == w) & (F.lower(w) != w)),
+            share(ws, "signs", lambda w: ~F.right(w, F.lit(1)).rlike(r"[\p{L}\p{N}.,]")),
+            share(ws, "repeats", lambda w, i: F.coalesce(F.get(ws, i - 1) == w, F.lit(False))))
+        return F.array_distinct(F.concat(F.transform(ws, lambda w: place(F.xxhash64(F.lower(w)))), shapes))
+
+    return _once(words, found)
 
 
 def _once(value: Column, then) -> Column:
@@ -66,7 +73,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL
     p, q = (F.col("n") + 0.5) / (inside + 1), (F.col("all") - F.col("n") + 0.5) / (outside + 1)
     both = (F.col("all") + 0.5) / (total + 1)
     z = (p - q) / F.sqrt(both * (1 - F.least(both, F.lit(0.999))) * (1 / (inside + 1) + 1 / (outside + 1)))
-    clear = counts.join(whole, "slot").select("domain", "slot", F.log(p / q).alias("odds"), z.alias("z")).filter((F.col("z") > MIN_Z) & (F.col("odds") > 1))
+    clear = counts.join(whole, "slot").select("domain", "slot", F.log(p / q).alias("odds"), z.alias("z")).filter((F.col("z") > MIN_Z) & (F.col("odds") > MIN_ODDS))
     odds: dict[str, dict[int, float]] = {d: {} for d in domains}
     for r in clear.orderBy(F.desc("z"), "domain", "slot").limit(MAX_FEATURES).collect():
         odds[r["domain"]][r["slot"]] = r["odds"]
