@@ -54,6 +54,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with their place as columns at_file, at_row. A frame that isn't read straight from Parquet is written to the shared folder first."""
     if "_metadata" not in docs.columns:

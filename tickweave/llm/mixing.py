@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import small_side, staged, text_of, words_of
+from tickweave.llm.base import once, small_side, staged, text_of, words_of
 
 MAX_LABELLED = 20_000
 MAX_DOMAINS = 64
@@ -46,19 +46,15 @@ def slots(words: Column) -> Column:
             share(ws, "repeats", lambda w, i: F.coalesce(F.get(ws, i - 1) == w, F.lit(False))))
         return F.array_distinct(F.concat(F.transform(ws, lambda w: place(F.xxhash64(F.lower(w)))), shapes))
 
-    return _once(words, found)
-
-
-def _once(value: Column, then) -> Column:
-    """then(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return once(words, found)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> dict:
     """labels: doc_id, domain. A model of bounded size: domains, log priors, and per domain sparse log-odds by slot."""
     known = labels.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    own = docs.select("doc_id", slots(words_of(text_of())).alias("slots")).join(F.broadcast(known), "doc_id")
+    own = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    own = staged(own.select("domain", slots(words_of(F.col("text"))).alias("slots")), "labelled")
     sizes = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
@@ -105,7 +101,7 @@ def posteriors(found: Column, model: dict) -> Column:
     def soft(x: Column) -> Column:
         return F.transform(x, lambda v: F.exp(v - F.array_max(x)))
 
-    return _once(constants, lambda m: _once(places(m), lambda h: _once(logits(h, m), lambda x: _once(soft(x), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))))))
+    return once(constants, lambda m: once(places(m), lambda h: once(logits(h, m), lambda x: once(soft(x), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))))))
 
 
 def _adder(weights: Column):

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import small_side, staged, text_of, words_of
+from tickweave.llm.base import located, once, small_side, staged, text_of, words_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 5
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 MIN_IDF = 0.9
 #: Rows of the table of random draws; a shingle's draws are those of its slot there.
 DRAWS = 1 << 14
@@ -40,9 +40,12 @@ DRAWS = 1 << 14
 
 def shingles(words: Column) -> Column:
     """64-bit hashes of the windows of WORDS words; of all words where there are fewer."""
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)]))
-    return F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    def found(ws: Column) -> Column:
+        n = F.size(ws)
+        many = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WORDS)]))
+        return F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
+
+    return once(words, found)
 
 
 @lru_cache(1)
@@ -187,17 +190,21 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for every row of docs: key, class_id (the least key of the class), n_links (verified links of its text
     to other texts, of those tried), copies (rows with the same words)."""
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("row_key"), words_of(text_of()).alias("words"))
+    own = located(docs).select(F.col(key).cast("long").alias("row_key"), words_of(text_of()).alias("words"), "at_file", "at_row")
     # A set of words is known by 128 bits of its digest.
     name = F.unhex(F.substring(F.sha2(F.array_join("words", " ").cast("binary"), 256), 1, 32))
-    rows = staged(own.select("row_key", name.alias("key"), shingles(F.col("words")).alias("shingles")), "shingles")
-    members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    hashed = staged(rows.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
-    idf = spark.sparkContext.broadcast(idf_table(hashed, hashed.count()))
+    rows = staged(own.select("row_key", "at_file", "at_row", name.alias("key")), "rows")
+    members = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("at_file", "at_row")).alias("first")), "members")
+    # Shingles are never stored for all texts: each pass makes them again, without the texts that are copies.
+    copies = rows.join(members.filter("copies > 1"), "key").filter(F.struct("at_file", "at_row") != F.col("first")).select("at_file", "at_row")
+    hashed = own.join(small_side(copies), ["at_file", "at_row"], "left_anti").select(name.alias("key"), shingles(F.col("words")).alias("shingles"))
+    idf = spark.sparkContext.broadcast(idf_table(hashed, members.count()))
 
     banded = staged(bands(hashed, idf), "bands")
     heads = banded.groupBy("band").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
     shared = staged(banded.join(heads, "band"), "buckets")
+    # Only texts that share a band with another are read for verification, once.
+    hashed = staged(hashed.join(small_side(shared.select("key").distinct()), "key", "left_semi"), "sets")
     pairs = shared.filter("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     edges = staged(verified(pairs, hashed, idf), "verified")
     labels = components(edges)

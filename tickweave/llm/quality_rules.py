@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import text_of, words_of
+from tickweave.llm.base import once, text_of, words_of
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_pipes", "n_stutters")
@@ -41,11 +41,6 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << k for k, name in enumerate(RULES) if name in rules)
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _repeat_words(words: Column) -> Column:
     """Words in windows of WINDOW words that the text holds twice or more.
 
@@ -64,8 +59,8 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     ranked = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    count = lambda h: _let(ranked(h), lambda r: _let(flagged(r), covered))
-    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(count(h)))
+    count = lambda h: once(ranked(h), lambda r: once(flagged(r), covered))
+    return once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(count(h)))
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, Callable[[], Column]] = RULES) -> DataFrame:
