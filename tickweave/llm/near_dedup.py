@@ -3,7 +3,9 @@
 A document is the weighted set of its five-word shingles: a shingle's weight is its count times its inverse
 document frequency. Improved consistent weighted sampling draws K samples of that set, so that two documents
 agree in a sample with probability equal to their weighted Jaccard similarity. Samples are banded; documents
-that share a band are candidates, and candidates are verified by their exact weighted Jaccard similarity.
+that share a band are candidates. Candidates are verified by their exact weighted Jaccard similarity, in which a
+shingle weighs its count: were it to weigh its document frequency too, whether two texts are alike would
+hang on the rest of the corpus, and pairs at the threshold would fall on either side of it.
 
 Equal word sequences are collapsed first. In each band's bucket every member is verified against the least
 id there, one edge a member; buckets that hold more than one connected class after that are searched again
@@ -33,7 +35,7 @@ from tickweave.llm.base import located, once, small_side, staged, text_of, words
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 5
 SLOTS = 1 << 18
-MIN_IDF = 0.9
+MIN_IDF = 0.8
 #: Rows of the table of random draws; a shingle's draws are those of its slot there.
 DRAWS = 1 << 14
 
@@ -82,9 +84,11 @@ def idf_table(hashed: DataFrame, n_docs: int) -> np.ndarray:
     return (1 - (1 - MIN_IDF) * np.log(seen) / max(np.log(max(n_docs, 2)), 1e-9)).clip(MIN_IDF, 1).astype(np.float32)
 
 
-def weighted(own: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, ascending, and their weights."""
+def weighted(own: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, and their weights: counts, times inverse document frequencies if given."""
     ids, counts = np.unique(own, return_counts=True)
+    if idf is None:
+        return ids, counts.astype(np.float64)
     return ids, counts * idf[ids & (SLOTS - 1)].astype(np.float64)
 
 
@@ -137,7 +141,7 @@ def bands(hashed: DataFrame, idf) -> DataFrame:
     return hashed.filter(F.size("shingles") > 0).select("key", "shingles").mapInArrow(run, "key binary, band long")
 
 
-def verified(pairs: DataFrame, hashed: DataFrame, idf) -> DataFrame:
+def verified(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity is at least THRESHOLD, with it.
 
     The side with few distinct ids (b, a bucket's least) may be asked for very often, so pairs are first
@@ -149,9 +153,9 @@ def verified(pairs: DataFrame, hashed: DataFrame, idf) -> DataFrame:
             keep, sims = [], []
             for i, (b, x, y) in enumerate(zip(batch.column("b").to_pylist(), _lists(batch.column("sa")), _lists(batch.column("sb")), strict=True)):
                 if b != last:
-                    last, held = b, weighted(y, idf.value)
-                s = similarity(weighted(x, idf.value), held)
-                if s >= THRESHOLD:
+                    last, held = b, weighted(y)
+                s = similarity(weighted(x), held)
+                if s >= THRESHOLD - 1e-12:
                     keep.append(i)
                     sims.append(s)
             part = batch.take(pa.array(keep, pa.int64()))
@@ -206,7 +210,7 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     # Only texts that share a band with another are read for verification, once.
     hashed = staged(hashed.join(small_side(shared.select("key").distinct()), "key", "left_semi"), "sets")
     pairs = shared.filter("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    edges = staged(verified(pairs, hashed, idf), "verified")
+    edges = staged(verified(pairs, hashed), "verified")
     labels = components(edges)
 
     # Buckets of several classes: their members of different classes, less the pairs already tried.
@@ -216,7 +220,7 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     left = several.select("band", F.col("key").alias("a"), F.col("label").alias("la"))
     right = several.filter("key != head").select("band", F.col("key").alias("b"), F.col("label").alias("lb"))
     cross = left.join(right, "band").filter("a > b and la != lb").select("a", "b").distinct()
-    more = staged(verified(cross, hashed, idf), "verified")
+    more = staged(verified(cross, hashed), "verified")
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges)
