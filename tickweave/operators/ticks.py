@@ -117,7 +117,7 @@ def amount_rank(bars: DataFrame, eligible: str | None = None, by=("Date", "TimeS
 
 def day_amount_rank(t: DataFrame, keys=KEYS, amount: Column | None = None) -> DataFrame:
     """Full-day turnover per entity and its descending rank, ties at the least."""
-    total = F.sum(amount if amount is not None else F.col("FillPrice") * F.col("FillLots"))
+    total = amount if amount is not None else F.sum(F.col("FillPrice") * F.col("FillLots"))
     return t.groupBy(*keys).agg(total.alias("amount")).withColumn("day_amount_rank", F.rank().over(Window.partitionBy(keys[0]).orderBy(F.desc("amount"))))
 
 
