@@ -1,16 +1,17 @@
 """Near-duplicate detection by consistent weighted sampling.
 
-A document is the weighted set of its five-word shingles: a shingle's weight is its count times its inverse
-document frequency. Improved consistent weighted sampling draws K samples of that set, so that two documents
-agree in a sample with probability equal to their weighted Jaccard similarity. Samples are banded; documents
+A document is the weighted set of its five-word shingles: a shingle's weight is 1 + ln(its count), times its
+inverse document frequency. (Plain counts would call texts alike that share nothing but one line, repeated.)
+Improved consistent weighted sampling draws K samples of that set, so that two documents agree in a sample with probability equal to their weighted Jaccard similarity. Samples are banded; documents
 that share a band are candidates. Candidates are verified by their exact weighted Jaccard similarity, in which a
-shingle weighs its count: were it to weigh its document frequency too, whether two texts are alike would
-hang on the rest of the corpus, and pairs at the threshold would fall on either side of it.
+shingle weighs 1 + ln(its count) alone: were it to weigh its document frequency too, whether two texts are
+alike would hang on the rest of the corpus, and pairs at the threshold would fall on either side of it.
 
-Equal word sequences are collapsed first. In each band's bucket every member is verified against the least
-id there, one edge a member; buckets that hold more than one connected class after that are searched again
-among members of different classes only, so a bucket of n alike costs n edges, and no link between classes
-is lost. Frequencies are counted over all documents in hashed slots of fixed number.
+Equal word sequences are collapsed first. In each band's bucket every member is verified against one hub,
+one edge a member. Buckets that hold more than one connected class after that try HUBS further hubs, each the
+member most like the one before; what is of different classes even then is tried pair by pair, where an
+exact bound allows a link. So a bucket of n alike costs a multiple of n, and no link between classes is lost.
+Frequencies are counted over all documents in hashed slots of fixed number.
 
 Inverse document frequency runs from 1 (a shingle of one document) to MIN_IDF (a shingle of all): a plain
 logarithm would weigh the few words in which members of a large group differ so much more than the words
@@ -34,6 +35,8 @@ from tickweave.llm.base import located, once, small_side, staged, text_of, words
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 5
+#: Further hubs that a bucket of several classes tries before all its remaining pairs are.
+HUBS = 3
 SLOTS = 1 << 18
 MIN_IDF = 0.8
 #: Rows of the table of random draws; a shingle's draws are those of its slot there.
@@ -85,11 +88,10 @@ def idf_table(hashed: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def weighted(own: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, ascending, and their weights: counts, times inverse document frequencies if given."""
+    """Distinct shingles, ascending, and their weights: 1 + ln(count), times inverse document frequencies if given."""
     ids, counts = np.unique(own, return_counts=True)
-    if idf is None:
-        return ids, counts.astype(np.float64)
-    return ids, counts * idf[ids & (SLOTS - 1)].astype(np.float64)
+    weights = 1 + np.log(counts)
+    return ids, weights if idf is None else weights * idf[ids & (SLOTS - 1)]
 
 
 def samples(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -142,30 +144,38 @@ def bands(hashed: DataFrame, idf) -> DataFrame:
 
 
 def verified(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least THRESHOLD, with it.
+    """The pairs (a, b) with their similarity.
 
-    The side with few distinct ids (b, a bucket's least) may be asked for very often, so pairs are first
+    The side with few distinct ids (b, a bucket's hub) may be asked for very often, so pairs are first
     joined to a's shingles, and then to b's, whose hot ids adaptive execution splits.
     """
+
     def run(batches):
         for batch in batches:
             last, held = None, None
-            keep, sims = [], []
-            for i, (b, x, y) in enumerate(zip(batch.column("b").to_pylist(), _lists(batch.column("sa")), _lists(batch.column("sb")), strict=True)):
+            sims = []
+            for b, x, y in zip(batch.column("b").to_pylist(), _lists(batch.column("sa")), _lists(batch.column("sb")), strict=True):
                 if b != last:
                     last, held = b, weighted(y)
-                s = similarity(weighted(x), held)
-                if s >= THRESHOLD - 1e-12:
-                    keep.append(i)
-                    sims.append(s)
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+                sims.append(similarity(weighted(x), held))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
     texts = hashed.select("key", "shingles")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def shareable(sets: DataFrame) -> DataFrame:
+    """key, size (a set's weight) and share, the weight of the shingles that another of these sets has too.
+
+    Two sets can't overlap by more than the lesser share, and their similarity is overlap / (sizes - overlap):
+    an exact bound, which spares texts whose changes are their own the comparison with a whole group.
+    """
+    held = sets.select("key", F.explode("shingles").alias("shingle")).groupBy("key", "shingle").agg((1 + F.log(F.count(F.lit(1)))).alias("weight"))
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).withColumn("common", (F.col("n") > 1).cast("double"))
+    return held.join(common, "shingle").groupBy("key").agg(F.sum("weight").alias("size"), F.sum(F.col("weight") * F.col("common")).alias("share"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """key, label: the least key linked to it, for keys with edges (a > b); alternating star operations.
 
@@ -205,25 +215,46 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     idf = spark.sparkContext.broadcast(idf_table(hashed, members.count()))
 
     banded = staged(bands(hashed, idf), "bands")
-    heads = banded.groupBy("band").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
+    # The first hub of a bucket is drawn by a hash, so the bands of a large group have many different hubs.
+    heads = banded.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
     shared = staged(banded.join(heads, "band"), "buckets")
     # Only texts that share a band with another are read for verification, once.
     hashed = staged(hashed.join(small_side(shared.select("key").distinct()), "key", "left_semi"), "sets")
-    pairs = shared.filter("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    edges = staged(verified(pairs, hashed), "verified")
-    labels = components(edges)
 
-    # Buckets of several classes: their members of different classes, less the pairs already tried.
-    named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    several = staged(named.join(mixed, "band", "left_semi").select("band", "key", "head", "label"), "several")
-    left = several.select("band", F.col("key").alias("a"), F.col("label").alias("la"))
-    right = several.filter("key != head").select("band", F.col("key").alias("b"), F.col("label").alias("lb"))
-    cross = left.join(right, "band").filter("a > b and la != lb").select("a", "b").distinct()
-    more = staged(verified(cross, hashed), "verified")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        labels = components(edges)
+    tried = staged(verified(shared.filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), hashed), "verified")
+    linked = lambda pairs: pairs.filter(F.col("similarity") >= THRESHOLD - 1e-12).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    latest, edges = tried, linked(tried)
+    labels = components(edges)
+    for turn in range(HUBS + 1):
+        # Buckets of several classes still hold pairs that nobody tried.
+        named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+        shared = staged(named.join(mixed, "band", "left_semi"), "several")
+        if turn < HUBS:
+            # The next hub is the member most like the last one: it lies nearer to the middle of a group.
+            near_hub = shared.join(latest.select(F.col("a").alias("key"), F.col("b").alias("hub"), "similarity"), ["key", "hub"])
+            hubs = near_hub.groupBy("band").agg(F.max_by(F.struct(F.col("key").alias("hub"), F.col("label").alias("hub_label")), F.struct("similarity", F.xxhash64("key", "band"))).alias("h")).select("band", "h.*")
+            shared = staged(shared.drop("hub").join(hubs, "band"), "buckets")
+            pairs = shared.filter("key != hub and label != hub_label").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+            shared = shared.drop("hub_label", "label")
+        else:
+            # What is left: pairs of members of different classes, each once, that could reach the threshold.
+            own = shared.join(shareable(hashed.join(shared.select("key").distinct(), "key", "left_semi")), "key")
+            left = own.select("band", F.col("key").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("share").alias("sa"))
+            right = own.select("band", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("share").alias("sb"))
+            possible = F.least("sa", "sb") >= (F.col("na") + F.col("nb")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9
+            met = (left["band"] == right["band"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & possible
+            pairs = left.join(right, met).select("a", "b").distinct()
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        latest = staged(verified(pairs, hashed), "verified")
+        if latest.isEmpty():
+            if turn < HUBS:
+                continue
+            break
+        tried, more = tried.unionByName(latest), linked(latest)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            labels = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     sets = members.join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
     found = staged(rows.select("row_key", "key").join(sets, "key"), "classes")
