@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import text_of
+from tickweave.llm.base import staged, text_of
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 512
@@ -46,7 +46,8 @@ def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
 def histogram(counts: DataFrame) -> DataFrame:
     """n_tokens, n_docs, and over the suffix of documents this long or longer docs_from, tokens_from; total_at_limit: all
     tokens if documents were cut at n_tokens; docs_total."""
-    rows = counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written once: blocks and rows both read it, and encoding is what costs.
+    rows = staged(counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     rows = rows.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
