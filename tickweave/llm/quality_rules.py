@@ -42,6 +42,10 @@ def mask(rules: tuple[str, ...]) -> int:
 
 
 def _repeat_words(words: Column) -> Column:
+    return once(words, _covered)
+
+
+def _covered(words: Column) -> Column:
     """Words in windows of WINDOW words that the text holds twice or more.
 
     Windows are compared by 64-bit hash. Most texts have no equal pair and stop there; others sort
@@ -77,7 +81,7 @@ def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, Callable[[],
         "n_repeat_words": _repeat_words(words),
         "n_bangs": F.regexp_count(own, F.lit("!")).cast("long"),
         "n_pipes": F.regexp_count(own, F.lit(r"\|")).cast("long"),
-        "n_stutters": F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w)).cast("long"),
+        "n_stutters": once(words, lambda ws: F.size(F.filter(ws, lambda w, i: F.get(ws, i - 1) == w)).cast("long")),
         "n_lines": F.size(lines).cast("long"),
         "n_words": F.size(words).cast("long"),
     }).drop("_words", "_lines")
@@ -111,4 +115,6 @@ def ablations(found: DataFrame, version: str = "v2") -> DataFrame:
 
 def keep_good(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The rows of docs that the policy keeps, with their own columns."""
-    return apply_policy(ledger(docs.select(F.struct("*").alias("row"), F.col("text"))), version).filter("kept").select("row.*")
+    found = apply_policy(ledger(docs.select(F.struct("*").alias("row"), F.col("text"))), version)
+    # A deterministic filter would be pushed below the ledger, which would then be worked out twice.
+    return found.filter(F.when(F.rand(0) >= 0, F.col("kept"))).select("row.*")
