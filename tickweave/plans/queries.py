@@ -313,6 +313,86 @@ def h_tree_leaves(spark, sf_dir):
     return own.select("Date", "ChannelSeq", "leaf")
 
 
+@query(f"""WITH {T_SQL}, w AS (SELECT *, sum("BidPrice1" / 10) OVER (PARTITION BY "Date" ORDER BY "TransTime", "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pos FROM t) SELECT "ChannelSeq", round(pos, 4) AS pos FROM w WHERE round(pos, 6) <= 100""")
+def i_session_cap(spark, sf_dir):
+    own = books.cap_session(tick_frame(spark, sf_dir), 1e12)
+    return own.filter(F.round("BookPosition", 6) <= 100).select("ChannelSeq", F.round("BookPosition", 4).alias("pos"))
+
+
+@query(f"""WITH {T_SQL}, d AS (SELECT "Date", "QuoteCode", avg("FillPrice") AS m FROM t GROUP BY 1, 2), a AS (SELECT "Date", avg(m) AS mean FROM d GROUP BY 1)
+ SELECT "Date", round(mean, 6) AS mean, round(avg(mean) OVER (ORDER BY "Date" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS moving FROM a""")
+def j_mean_of_means(spark, sf_dir):
+    own = stats.mean_of_means(tick_frame(spark, sf_dir), "FillPrice", 5)
+    return own.select("Date", F.round("mean", 6).alias("mean"), F.round("moving", 6).alias("moving"))
+
+
+@query("""SELECT strftime(l_shipdate, '%Y%m') AS month, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(avg(l_discount), 6) AS label_mean FROM lineitem GROUP BY 1""")
+def j_level_drift(spark, sf_dir):
+    own = stats.level_drift(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", "l_discount", F.date_format("l_shipdate", "yyyyMM"))
+    return own.select("month", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"), F.round("label_mean", 6).alias("label_mean"))
+
+
+@query(f"""WITH {T_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "Date", "QuoteCode" ORDER BY "TransTime", "ChannelSeq") AS k FROM t) SELECT "Date", "QuoteCode", "ChannelSeq" FROM n WHERE k = 1""")
+def j_first_signals(spark, sf_dir):
+    return stats.first_signals(tick_frame(spark, sf_dir)).select("Date", "QuoteCode", "ChannelSeq")
+
+
+@query(f"""WITH {T_SQL}, a AS (SELECT DISTINCT "Date", "QuoteCode" FROM t WHERE event_type = 'click'), b AS (SELECT DISTINCT "Date", "QuoteCode" FROM t WHERE event_type = 'view')
+ SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, count(*) AS common FROM a JOIN b ON a."Date" = b."Date" AND a."QuoteCode" = b."QuoteCode" """)
+def j_overlap(spark, sf_dir):
+    t = tick_frame(spark, sf_dir)
+    return stats.overlap(t.filter("event_type = 'click'"), t.filter("event_type = 'view'"), ["Date", "QuoteCode"]).select("n_a", "n_b", "common")
+
+
+@query(f"""WITH {T_SQL}, e AS (SELECT "Date", count(*) AS n FROM t WHERE event_type = 'click' GROUP BY 1), p AS (SELECT "Date", count(*) AS pool FROM t GROUP BY 1), r AS (SELECT n, n * 1.0 / pool AS rate FROM e JOIN p ON e."Date" = p."Date")
+ SELECT round(quantile_cont(CAST(rate AS DOUBLE), 0.5), 6) AS rate_median, round(avg(n), 6) AS per_day, round(stddev_samp(n) / avg(n), 6) AS cv FROM r""")
+def j_selection_rate(spark, sf_dir):
+    t = tick_frame(spark, sf_dir)
+    own = stats.selection_rate(t.filter("event_type = 'click'"), t)
+    return own.select(*[F.round(c, 6).alias(c) for c in ("rate_median", "per_day", "cv")])
+
+
+@query(f"""WITH {T_SQL}, c AS (SELECT "Date", avg("FillPrice") AS v FROM t WHERE event_type = 'click' GROUP BY 1), e AS (SELECT "Date", avg("FillPrice") AS v FROM t WHERE event_type = 'error' GROUP BY 1), d AS (SELECT c.v - e.v AS x FROM c JOIN e ON c."Date" = e."Date")
+ SELECT round(avg(x), 6) AS mean, round(avg(x) / stddev_samp(x) * sqrt(count(*)), 4) AS t, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_days FROM d""")
+def j_delta_report(spark, sf_dir):
+    sums = stats.daily_sums(tick_frame(spark, sf_dir), {k: F.col("event_type") == k for k in ("click", "error")}, ["FillPrice"])
+    own = stats.delta_report(stats.daily_delta(sums, "FillPrice", "click", "error"), F.substring("Date", 1, 6))
+    return own.select(F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"), F.round("positive_days", 6).alias("positive_days"))
+
+
+@query(f"""WITH {T_SQL}, o AS (SELECT "Date", avg(("FillPrice" - 20) / 20) AS top FROM t WHERE event_type = 'view' GROUP BY 1)
+ SELECT "Date", round(top, 6) AS top, CASE WHEN top < 0.0025 THEN 'abnormal' ELSE 'normal' END AS state FROM o""")
+def d_market_state(spark, sf_dir):
+    opens = tick_frame(spark, sf_dir).filter("event_type = 'view'").withColumn("Open", F.col("FillPrice"))
+    return ticks.market_state(opens).select("Date", F.round("topOpen", 6).alias("top"), "state")
+
+
+@query(f"""WITH {T_SQL}, a AS (SELECT "Date", "QuoteCode", count(*) AS n FROM t GROUP BY 1, 2), c AS (SELECT "Date", lead("Date") OVER (ORDER BY "Date") AS nxt FROM (SELECT DISTINCT "Date" FROM t) x)
+ SELECT c.nxt AS "Date", a."QuoteCode", a.n FROM a JOIN c ON a."Date" = c."Date" WHERE c.nxt IS NOT NULL""")
+def d_rekey_to_next_session(spark, sf_dir):
+    t = tick_frame(spark, sf_dir)
+    return ticks.rekey_to_next_session(t.groupBy("Date", "QuoteCode").agg(F.count(F.lit(1)).alias("n")), t)
+
+
+@query(f"""WITH {T_SQL} SELECT "ChannelSeq", max(CASE WHEN "TrialMatch" = 0 AND "FillPrice" > 20.0 * 1.08 THEN 1 ELSE 0 END) OVER (PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS stopped FROM t""")
+def d_stop_hits(spark, sf_dir):
+    return ticks.stop_hits(tick_frame(spark, sf_dir)).select("ChannelSeq", F.col("stoppedOutToday").alias("stopped"))
+
+
+@query("""SELECT n_regionkey, count(*) AS n, CAST(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def c_join_prefixed(spark, sf_dir):
+    c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    own = asof.join_prefixed(c.withColumn("n_name", F.lit("x")), n, ["c_nationkey"], {"n_nationkey": "c_nationkey"}, how="inner")
+    return own.groupBy("n_regionkey").agg(F.count("n_name_pm").alias("n"), F.sum((F.col("c_acctbal") > 0).cast("long")).alias("positive"))
+
+
+@query("""SELECT bin, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM (SELECT p_retailprice, CAST((CASE WHEN p_retailprice > q[2] THEN 1 ELSE 0 END) + (CASE WHEN p_retailprice > q[3] THEN 1 ELSE 0 END) + (CASE WHEN p_retailprice > q[4] THEN 1 ELSE 0 END) AS INTEGER) AS bin
+ FROM part, (SELECT quantile_cont(p_retailprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM part) e) b GROUP BY 1""")
+def h_qcut(spark, sf_dir):
+    own = stats.bin_means(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_retailprice", 4, ["p_retailprice"])
+    return own.select("bin", "n", F.round("p_retailprice", 4).alias("price"))
+
+
 FLAGSHIP_SQL = f"""WITH {LOW_SQL}, c AS (SELECT * FROM q WHERE abs(spread_move) > 0.001 AND abs(bid_move) > 0.001 AND at_low < 0),
  v AS (SELECT * FROM t WHERE event_type = 'view'), j AS (SELECT c.*, v."FillPrice" AS seen FROM c ASOF LEFT JOIN v ON c."QuoteCode" = v."QuoteCode" AND c."TransTime" > v."TransTime"),
  n AS (SELECT *, "FillPrice" - avg("FillPrice") OVER (PARTITION BY "Date") AS label FROM j WHERE seen IS NOT NULL),
