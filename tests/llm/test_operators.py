@@ -1,5 +1,6 @@
 """Corpus operators on small frames: nulls, empty texts, ties, repeats, empty tables, clashing columns."""
 
+import hashlib
 import random
 import zlib
 
@@ -109,6 +110,20 @@ def test_near_dedup_large_group_keeps_every_link(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_near_dedup_keeps_buckets_whose_hub_pairs_were_tried_elsewhere(spark, monkeypatch):
+    """Two bands hold the same four texts, with first hubs A and B, most like each other; only C and D are linked."""
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    a, c = word("a", 200), word("c", 200)
+    texts = [" ".join(t) for t in (a, a[:140] + word("b", 60), c, c[:195] + word("d", 5))]
+    keys = [hashlib.sha256(t.encode()).digest()[:16] for t in texts]
+    own = spark.createDataFrame([(bytearray(k), i, b) for i, k in enumerate(keys) for b in range(100)], "key binary, i int, band long")
+    first = {r.band: r.i for r in own.groupBy("band").agg(near_dedup.F.min_by("i", near_dedup.F.xxhash64("key", "band")).alias("i")).collect()}
+    chosen = [min(b for b, i in first.items() if i == hub) for hub in (0, 1)]
+    monkeypatch.setattr(near_dedup, "bands", lambda hashed, idf: own.filter(own.band.isin(chosen)).select("key", "band"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_sampling_agrees_with_weighted_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**62), 2**62, 300)

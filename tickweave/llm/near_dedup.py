@@ -217,13 +217,13 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     banded = staged(bands(hashed, idf), "bands")
     # The first hub of a bucket is drawn by a hash, so the bands of a large group have many different hubs.
     heads = banded.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
-    shared = staged(banded.join(heads, "band"), "buckets")
+    shared = staged(banded.join(heads, "band").withColumn("past", F.array("hub")), "buckets")
     # Only texts that share a band with another are read for verification, once.
     hashed = staged(hashed.join(small_side(shared.select("key").distinct()), "key", "left_semi"), "sets")
 
     tried = staged(verified(shared.filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), hashed), "verified")
     linked = lambda pairs: pairs.filter(F.col("similarity") >= THRESHOLD - 1e-12).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    latest, edges = tried, linked(tried)
+    edges = linked(tried)
     labels = components(edges)
     for turn in range(HUBS + 1):
         # Buckets of several classes still hold pairs that nobody tried.
@@ -231,10 +231,15 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
         shared = staged(named.join(mixed, "band", "left_semi"), "several")
         if turn < HUBS:
-            # The next hub is the member most like the last one: it lies nearer to the middle of a group.
-            near_hub = shared.join(latest.select(F.col("a").alias("key"), F.col("b").alias("hub"), "similarity"), ["key", "hub"])
-            hubs = near_hub.groupBy("band").agg(F.max_by(F.struct(F.col("key").alias("hub"), F.col("label").alias("hub_label")), F.struct("similarity", F.xxhash64("key", "band"))).alias("h")).select("band", "h.*")
-            shared = staged(shared.drop("hub").join(hubs, "band"), "buckets")
+            # The next hub is the member most like the last one: it lies nearer to the middle of a group. Similarities
+            # are those of all turns; a bucket without any takes another member, and none leaves before its pairs are tried.
+            known = tried.select(F.col("a").alias("key"), F.col("b").alias("hub"), "similarity")
+            known = known.unionByName(tried.select(F.col("b").alias("key"), F.col("a").alias("hub"), "similarity")).groupBy("key", "hub").agg(F.max("similarity").alias("similarity"))
+            near_hub = shared.withColumn("new", ~F.array_contains("past", F.col("key"))).join(known, ["key", "hub"], "left")
+            rank = F.struct("new", F.coalesce("similarity", F.lit(-1.0)), F.xxhash64("key", "band"))
+            hubs = near_hub.groupBy("band").agg(F.max_by(F.struct(F.col("key").alias("hub"), F.col("label").alias("hub_label")), rank).alias("h")).select("band", "h.*")
+            shared = shared.drop("hub").join(hubs, "band").withColumn("past", F.array_union("past", F.array("hub")))
+            shared = staged(shared, "buckets")
             pairs = shared.filter("key != hub and label != hub_label").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
             shared = shared.drop("hub_label", "label")
         else:
