@@ -232,6 +232,15 @@ def test_pii_terms_that_reveal(spark):
     assert "zorblax" not in clean[0] and "<phone>" in clean[0] and clean[0].endswith("more0")
 
 
+def test_pii_terms_of_a_frequent_entity_and_of_copies(spark):
+    rows = [(i, f"zorblax called +1 (319) 555-5132 own{i}") for i in range(20)] + [(100 + i, f"someone called own{100 + i}") for i in range(40)]
+    rows += [(200 + i, "quuxly wrote to a.b@c.example") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digests(pii.detect(docs)).collect()}
+    assert all("term:0:7" in got[i] and got[i].count("term") == 1 for i in range(20))
+    assert all("term" not in got[i] for i in got if i >= 100)
+
+
 def test_byte_bpe(docs, none, texts):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BPE), special_tokens={})
     out = bpe.decode(bpe.encode(docs, BPE), BPE)

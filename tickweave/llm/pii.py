@@ -1,10 +1,10 @@
 """Personal data: base spans by pattern, and terms that reveal them by information-theoretic disclosure.
 
 Base entities (email, ip, card, phone) are found by pattern. The corpus then tells which words reveal an
-entity: for a word near an entity, ``share`` is the part of all the word's occurrences in the corpus that lie
-next to that entity, and ``bits`` the pointwise mutual information of word and entity. Words over both
-disclosure thresholds, with enough occurrences to be evidence, become ``term`` spans where they stand next to
-the entity; `sanitise` generalises entities to their kind and removes the terms.
+entity: over its distinct texts, ``share`` is the part of a word's texts that hold the entity, and ``g`` the
+log-likelihood ratio of word and entity, which entities of any frequency can reach. Words over both disclosure
+thresholds, in enough texts with the entity to be evidence, become ``term`` spans wherever they stand in a
+text with the entity; `sanitise` generalises entities to their kind and removes the terms.
 
 Defined results: a null text counts as empty; spans are code points, end exclusive, sorted by start, then
 kind; repeated rows give equal rows; an empty table gives no rows; further columns are ignored.
@@ -15,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import small_side, staged, text_of
+from tickweave.llm.base import once, small_side, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WORD = r"[\p{L}\p{N}]+"
-#: Characters on either side of an entity that are searched for revealing terms, and terms taken on a side.
-REACH, TERMS = 80, 4
-MIN_COUNT, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
+#: A G of 24 has a chance of one in a million without association; as many pairs are tested.
+MIN_COUNT, MIN_SHARE, MIN_G = 3, 0.5, 24.0
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 #: Possessive quantifiers and look-behinds give the leftmost matches of the plain patterns without their
@@ -74,42 +73,60 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, dotted, card, phone))
 
 
-def _near(text: Column, span: Column, base: Column) -> Column:
-    """Words next to a span, with places in the text; words that the reach cuts or that lie in base spans are left out."""
-    left = F.greatest(span["start"] - REACH, F.lit(0))
-    before, after = F.substring(text, left + 1, span["start"] - left), F.substring(text, span["end"] + 1, F.lit(REACH))
-    everything = lambda s: matches(s, WORD, 4, lambda m: F.lit(True))
-    whole_left = F.filter(everything(before), lambda w: (w["start"] > 0) | (left == 0))
-    whole_right = F.filter(everything(after), lambda w: w["end"] < REACH)
-    moved = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), w["kind"].alias("kind"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value")))
-    lefts = F.slice(F.reverse(moved(whole_left, left)), 1, TERMS)
-    rights = F.slice(moved(whole_right, span["end"]), 1, TERMS)
-    return F.filter(F.concat(lefts, rights), lambda w: (F.length(w["value"]) > 2) & ~F.exists(base, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+def blanked(text: Column, base: Column) -> Column:
+    """The text with blanks for its base spans; places stay as they are."""
+
+    def put(acc: Column, s: Column) -> Column:
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, blanks).alias("out"))
+
+    whole = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) == 0, text).otherwise(whole)
+
+
+def _words(plain: str) -> Column:
+    """Each distinct word of a text, a row."""
+    return F.explode(F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), F.lower))).alias("term")
+
+
+def association(together: Column, n_term: Column, n_entity: Column, n: Column) -> Column:
+    """Log-likelihood ratio (G) of a word and an entity over n texts, against independence."""
+    cells = [(together, n_term, n_entity), (n_term - together, n_term, n - n_entity), (n_entity - together, n - n_term, n_entity), (n - n_term - n_entity + together, n - n_term, n - n_entity)]
+    return sum((F.when(seen > 0, 2 * seen * F.log(seen * n / (row * column))).otherwise(0.0) for seen, row, column in cells), F.lit(0.0))
+
+
+def telling_terms(own: DataFrame, found: DataFrame, min_count: int, min_share: float, min_g: float) -> DataFrame:
+    """The words (term) that reveal an entity, with the entity. All counts are of distinct texts."""
+    copies = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+    n_texts = copies.count()
+    held = found.select("text_key", F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["kind"], b["value"])))).alias("entity")).distinct()
+    by_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= min_count)
+    held = staged(held.join(small_side(by_entity), "entity"), "held")
+    near = own.join(small_side(held.select("text_key").distinct()), "text_key", "left_semi").select("text_key", _words("plain")).distinct()
+    pairs = near.join(held, "text_key").groupBy("term", "entity", "n_entity").agg(F.count(F.lit(1)).alias("together"))
+    pairs = staged(pairs.filter(F.col("together") >= min_count), "pairs")
+    # Rows of a text that has copies count as parts of one.
+    rows = own.join(small_side(copies.filter("copies > 1")), "text_key", "left").select(F.coalesce(1.0 / F.col("copies"), F.lit(1.0)).alias("part"), _words("plain"))
+    counts = rows.join(small_side(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.round(F.sum("part")).alias("n_term"))
+    pairs = pairs.join(counts, "term")
+    g = association(F.col("together"), F.col("n_term"), F.col("n_entity"), F.lit(float(n_texts)))
+    return staged(pairs.filter((F.col("together") / F.col("n_term") >= min_share) & (g >= min_g)).select("term", "entity"), "telling")
 
 
-def detect(docs: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+def detect(docs: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, min_g: float = MIN_G) -> DataFrame:
     """doc_id, text_key, base, spans (base and term spans) for every row of docs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     own = own.withColumn("text_key", F.xxhash64("text", F.length("text")))
-    found = own.withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda b: F.struct(F.xxhash64(b["kind"], b["value"]).alias("entity"), _near(F.col("text"), b, F.col("base")).alias("words")))
-    found = staged(found.select("doc_id", "text_key", "base", near.alias("near")), "entities")
-
-    places = found.select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.entity", F.explode("n.words").alias("w"))
-    places = places.withColumn("term", F.col("w.value"))
-    pairs = staged(places.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")), "pairs")
-    by_entity = pairs.groupBy("entity").agg(F.sum("together").alias("n_entity"))
-    # How often each candidate occurs in the whole corpus.
-    candidates = pairs.filter(F.col("together") >= min_count).select("term").distinct()
-    terms = own.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).filter("term != ''")
-    counts = terms.join(small_side(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    places_in_all = pairs.agg(F.sum("together")).first()[0] or 1
-    pairs = pairs.filter(F.col("together") >= min_count).join(counts, "term").join(by_entity, "entity")
-    share = F.col("together") / F.col("n_term")
-    bits = F.log2(share / (F.col("n_entity") / F.lit(float(places_in_all))))
-    telling = pairs.filter((share >= min_share) & (bits >= min_bits)).select("term", "entity")
-    added = places.join(small_side(telling), ["term", "entity"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("w").alias("added"))
-    added = added.withColumnsRenamed({"doc_id": "a_id", "text_key": "a_key"})
+    found = staged(own.select("doc_id", "text_key", base_spans(F.col("text")).alias("base")), "entities")
+    own = own.select("doc_id", "text_key", once(base_spans(F.col("text")), lambda base: blanked(F.col("text"), base)).alias("plain"))
+
+    telling = telling_terms(own, found, min_count, min_share, min_g)
+    here = found.select("text_key", F.explode(F.transform("base", lambda b: F.xxhash64(b["kind"], b["value"]))).alias("entity")).distinct()
+    marked = own.select("doc_id", "text_key", _words("plain")).join(small_side(telling), "term").join(here, ["text_key", "entity"], "left_semi")
+    marked = staged(marked.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms")).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"}), "marked")
+    added = own.join(marked, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")))
+    added = added.select(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"), matches(F.col("plain"), WORD, 4, lambda m: F.array_contains("terms", F.lower(m))).alias("added")).dropDuplicates(["a_id", "a_key"])
     out = found.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")), "left")
     return out.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce("added", _none()))).alias("spans"))
 
