@@ -241,6 +241,16 @@ def test_pii_terms_of_a_frequent_entity_and_of_copies(spark):
     assert all("term" not in got[i] for i in got if i >= 100)
 
 
+def test_pii_terms_are_marked_wherever_they_stand(spark):
+    far = " ".join(f"filler{k}" for k in range(30))
+    rows = [(i, f"zorblax qx {far} reach +1 (319) 555-5132 own{i}") for i in range(8)] + [(100 + i, f"{far} reach own{100 + i}") for i in range(400)]
+    rows += [(900, "here is ZORBLAX and again zorblax")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.clean_text for r in pii.sanitise(docs).collect()}
+    assert all(clean[i] == f"  {far} reach <phone> own{i}" for i in range(8))
+    assert clean[900] == "here is  and again " and clean[100] == rows[8][1]
+
+
 def test_byte_bpe(docs, none, texts):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BPE), special_tokens={})
     out = bpe.decode(bpe.encode(docs, BPE), BPE)

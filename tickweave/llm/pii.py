@@ -3,8 +3,8 @@
 Base entities (email, ip, card, phone) are found by pattern. The corpus then tells which words reveal an
 entity: over its distinct texts, ``share`` is the part of a word's texts that hold the entity, and ``g`` the
 log-likelihood ratio of word and entity, which entities of any frequency can reach. Words over both disclosure
-thresholds, in enough texts with the entity to be evidence, become ``term`` spans wherever they stand in a
-text with the entity; `sanitise` generalises entities to their kind and removes the terms.
+thresholds, in enough texts with the entity to be evidence, become ``term`` spans wherever they stand in the
+corpus; `sanitise` generalises entities to their kind and removes the terms.
 
 Defined results: a null text counts as empty; spans are code points, end exclusive, sorted by start, then
 kind; repeated rows give equal rows; an empty table gives no rows; further columns are ignored.
@@ -122,8 +122,8 @@ def detect(docs: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN_S
     own = own.select("doc_id", "text_key", once(base_spans(F.col("text")), lambda base: blanked(F.col("text"), base)).alias("plain"))
 
     telling = telling_terms(own, found, min_count, min_share, min_g)
-    here = found.select("text_key", F.explode(F.transform("base", lambda b: F.xxhash64(b["kind"], b["value"]))).alias("entity")).distinct()
-    marked = own.select("doc_id", "text_key", _words("plain")).join(small_side(telling), "term").join(here, ["text_key", "entity"], "left_semi")
+    # Every occurrence of a telling word, wherever in the corpus.
+    marked = own.select("doc_id", "text_key", _words("plain")).join(small_side(telling.select("term").distinct()), "term", "left_semi")
     marked = staged(marked.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms")).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"}), "marked")
     added = own.join(marked, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")))
     added = added.select(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"), matches(F.col("plain"), WORD, 4, lambda m: F.array_contains("terms", F.lower(m))).alias("added")).dropDuplicates(["a_id", "a_key"])
