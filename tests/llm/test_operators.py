@@ -98,6 +98,12 @@ def test_near_dedup(spark, none):
     assert sorted(r.doc_id or 0 for r in near_dedup.keep_one(docs).collect()) == [0, 1, 1, 4, 5, 6, 8, 9]
 
 
+def test_near_dedup_removes_rows_not_ids(spark):
+    rows = [(1, "a text that stands twice"), (2, "a text that stands twice"), (2, "a clean one of its own"), (None, "no id here"), (None, "no id here")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "no id here"), (1, rows[0][1]), (2, rows[2][1])]
+
+
 def test_near_dedup_large_group_keeps_every_link(spark):
     rng = random.Random(6)
     base = [f"v{rng.randint(0, 10**6)}" for _ in range(120)]

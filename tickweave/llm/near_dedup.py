@@ -200,11 +200,11 @@ def components(edges: DataFrame) -> DataFrame:
         current, size = after, tuple(stats)
 
 
-def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for every row of docs: key, class_id (the least key of the class), n_links (verified links of its text
-    to other texts, of those tried), copies (rows with the same words)."""
+def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for every row of docs (which may name its place): row_key, at_file, at_row, label (the class), n_links, copies."""
     spark = docs.sparkSession
-    own = located(docs).select(F.col(key).cast("long").alias("row_key"), words_of(text_of()).alias("words"), "at_file", "at_row")
+    docs = docs if "at_file" in docs.columns else located(docs)
+    own = docs.select(F.col(key).cast("long").alias("row_key"), words_of(text_of()).alias("words"), "at_file", "at_row")
     # A set of words is known by 128 bits of its digest.
     name = F.unhex(F.substring(F.sha2(F.array_join("words", " ").cast("binary"), 256), 1, 32))
     rows = staged(own.select("row_key", "at_file", "at_row", name.alias("key")), "rows")
@@ -262,13 +262,22 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             labels = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     sets = members.join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    found = staged(rows.select("row_key", "key").join(sets, "key"), "classes")
+    return staged(rows.join(sets, "key").select("row_key", "at_file", "at_row", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"), "classes")
+
+
+def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for every row of docs: key, class_id (the least key of the class), n_links (verified links of its text
+    to other texts, of those tried), copies (rows with the same words)."""
+    found = placed(docs, key)
     least = found.groupBy("label").agg(F.min("row_key").alias("class_id"))
-    return found.join(least, "label").select(F.col("row_key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
+    return found.join(least, "label").select(F.col("row_key").alias(key), "class_id", "n_links", "copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one of least doc_id (rows that share that id stay; so do rows without an id)."""
-    found = classes(docs).filter(F.col("doc_id").isNotNull())
-    gone = found.filter("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class: the one of least doc_id (rows without an id last; equal ids go by place in the files)."""
+    own = located(docs)
+    found = placed(own)
+    mine = F.struct(F.col("row_key").isNull(), "row_key", "at_file", "at_row")
+    first = found.groupBy("label").agg(F.min(mine).alias("first"))
+    gone = found.join(first, "label").filter(~mine.eqNullSafe(F.col("first"))).select("at_file", "at_row")
+    return own.join(small_side(gone), ["at_file", "at_row"], "left_anti").select(*docs.columns)
