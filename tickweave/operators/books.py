@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.functions.columns import micros
 from tickweave.operators.asof import add_aligned
 
 ORDER = ["TransTime", "ChannelSeq"]
@@ -27,10 +28,14 @@ def cap_first_always(signals: DataFrame, limit: float | Column = 200.0, **kw) ->
     return running_positions(signals, **kw).filter((F.col("accLots") <= 1) | (F.col("Position") <= limit))
 
 
-def cap_session(signals: DataFrame, limit: float, date="Date", order=ORDER, price="BidPrice1") -> DataFrame:
-    """Rows within a running total for the whole session."""
-    w = Window.partitionBy(date).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return signals.withColumn("BookPosition", F.sum(F.col(price) / 10).over(w)).filter(F.col("BookPosition") <= limit)
+def cap_session(signals: DataFrame, limit: float, date="Date", order=ORDER, price="BidPrice1", bucket_us: int = 300_000_000) -> DataFrame:
+    """Rows within a running total for the whole session, in the order of time. Totals run within stretches of time, and over the sums of the stretches before."""
+    own = signals.withColumn("_b", F.floor(micros(order[0]) / bucket_us))
+    sums = own.groupBy(date, "_b").agg(F.sum(F.col(price) / 10).alias("_s"))
+    before = sums.select(date, "_b", F.coalesce(F.sum("_s").over(Window.partitionBy(date).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    w = Window.partitionBy(date, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = own.join(before, [date, "_b"]).withColumn("BookPosition", F.col("_before") + F.sum(F.col(price) / 10).over(w))
+    return out.filter(F.round("BookPosition", 6) <= limit).select(*signals.columns, "BookPosition")
 
 
 def tiered_limit(deep: Column, high: float = 200.0, low: float = 100.0) -> Column:

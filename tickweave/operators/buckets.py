@@ -9,10 +9,16 @@ from tickweave.operators.ticks import session_index
 
 
 def qcut(df: DataFrame, value: str, k: int, by: list[str] | None = None, out: str = "bin") -> DataFrame:
-    """Equal-frequency bins by interpolated quantile edges, equal edges merged, the lowest edge in."""
+    """Equal-frequency bins by interpolated quantile edges, equal edges merged, the lowest edge in; null for null values. All rows stay."""
     by = by or []
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / k) for i in range(k + 1)]))).alias("_edges"))
-    joined = df.join(F.broadcast(edges), by) if by else df.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    edges = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / k) for i in range(k + 1)]))).alias("_edges"))
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        joined = df.join(F.broadcast(edges) if edges.limit(100_001).count() <= 100_000 else edges, same, "left").drop(*[f"_by_{c}" for c in by])
+    else:  # one row
+        joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").drop("_one")
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 
@@ -20,13 +26,14 @@ def qcut(df: DataFrame, value: str, k: int, by: list[str] | None = None, out: st
 def prior_quantiles(df: DataFrame, value: str, shares: list[float], n: int = 3, date="Date", bucket: str | None = None, valid_only: bool = False) -> DataFrame:
     """Per session (and bucket) the interpolated quantiles q0, q1, ... of value over the n sessions before it.
 
-    Each value is sent to the sessions that may look back at it, so a group holds n sessions of one bucket.
+    Equal values of a session and bucket are counted first; counts are sent to the sessions that may look back at them.
     valid_only: sessions without any value don't count as sessions.
     """
     calendar = session_index(df.filter(F.col(value).isNotNull()) if valid_only else df, date)
     own = df.filter(F.col(value).isNotNull()).select(date, value, *([bucket] if bucket else [])).join(calendar, date)
-    ahead = own.withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + n))).drop(date)
-    found = ahead.groupBy("session", *([bucket] if bucket else [])).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"))
+    counted = own.groupBy("session", value, *([bucket] if bucket else [])).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counted.withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + n)))
+    found = ahead.groupBy("session", *([bucket] if bucket else [])).agg(F.percentile(value, F.array(*map(F.lit, shares)), F.col("_n")).alias("_q"))
     return found.join(calendar, "session").select(date, *([bucket] if bucket else []), *[F.col("_q")[i].alias(f"q{i}") for i in range(len(shares))])
 
 
@@ -55,27 +62,55 @@ def threshold_sweep(df: DataFrame, score: str, outcome: str, shares: list[float]
     return hit.groupBy(F.col("c.share").alias("share")).agg(F.count(F.lit(1)).alias("trades"), F.avg(outcome).alias("mean"), F.sum(outcome).alias("total"))
 
 
-def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: int = 20, min_leaf: float = 0.05, bins: int = 32, date="Date") -> DataFrame:
-    """Leaf id of each row in a regression tree on two features, fitted per session on the sessions before it.
+def sweep_grid(df: DataFrame, sources: dict[str, tuple[str, str]], outcome: str, shares_a: list[float], shares_b: list[float], floors: dict[str, Column], period: Column, n: int = 3, date="Date", bucket: str | None = None) -> DataFrame:
+    """Every combination of source (name: two scores), bucketed or not, two quantiles and floor, per period: trades, mean and
+    sum of outcome over rows whose scores are both above their prior sessions' quantiles."""
+    out = None
+    for name, (a, b) in sources.items():
+        for bucketed in [False, True] if bucket else [False]:
+            key = [date, *([bucket] if bucketed else [])]
+            limits = [prior_quantiles(df, c, shares, n, date, bucket if bucketed else None).withColumnsRenamed({f"q{i}": f"_{side}{i}" for i in range(len(shares))}) for side, c, shares in (("a", a, shares_a), ("b", b, shares_b))]
+            own = df.join(limits[0], key, "left").join(limits[1], key, "left").withColumn("period", period).filter("period is not null")
+            listed = lambda side, shares: [F.struct(F.lit(q).alias("q"), F.col(f"_{side}{i}").alias("limit")) for i, q in enumerate(shares)]
+            passed = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in floors.items()]))
+            over = lambda side, c, shares: F.filter(F.array(*listed(side, shares)), lambda x: F.col(c) > x["limit"])
+            hit = own.select("period", outcome, F.explode(over("a", a, shares_a)).alias("_x"), over("b", b, shares_b).alias("_y"), passed.alias("_f"))
+            hit = hit.withColumn("_y", F.explode("_y")).withColumn("floor", F.explode("_f"))
+            sums = hit.groupBy("period", F.col("_x.q").alias("q_a"), F.col("_y.q").alias("q_b"), "floor").agg(F.count(F.lit(1)).alias("trades"), F.avg(outcome).alias("mean"), F.sum(outcome).alias("total"))
+            sums = sums.select(F.lit(name).alias("source"), F.lit(bucketed).alias("bucketed"), "*")
+            out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: int = 20, min_leaf: float = 0.05, least_rows: int = 200, bins: int = 32, date="Date") -> DataFrame:
+    """Leaf id of each row in a regression tree on two features, fitted per session on the sessions before it, and on nothing else.
 
-    Rows are binned on a fixed grid of quantiles; the tree is exact on the grid of sums, which is all that a
-    task receives: at most bins x bins cells a session.
+    Cuts are tried at the quantiles (bins of them) of each feature over the same prior sessions; the tree is exact on
+    the grid of sums between them, which is all that a task receives: at most bins x bins cells a session. A leaf has
+    at least max(least_rows, min_leaf of the rows). Rows of a session without any prior one get null.
     """
     import pandas as pd
 
-    a, b = x
-    cuts = df.agg(*[F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias(c) for c in x]).first()
-    place = lambda c: F.array_size(F.filter(F.array(*[F.lit(float(v)) for v in cuts[c]]), lambda e: e < F.col(c)))
-    own = df.withColumns({"_a": place(a), "_b": place(b)}).join(session_index(df, date), date)
-    cells = own.filter(F.col(y).isNotNull()).groupBy("session", "_a", "_b").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
-    ahead = cells.withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + sessions))).groupBy("session", "_a", "_b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    shares = [i / bins for i in range(1, bins)]
+    calendar = session_index(df, date)
+    edges = calendar
+    for side, c in zip("ab", x, strict=True):
+        found = prior_quantiles(df, c, shares, sessions, date).select(date, F.array(*[f"q{i}" for i in range(len(shares))]).alias(f"_e{side}"))
+        edges = edges.join(found, date)
+    edges = F.broadcast(edges.drop(date)) if calendar.limit(10_001).count() <= 10_000 else edges.drop(date)  # some 500 bytes a session
+    place = lambda side, c: F.size(F.filter(f"_e{side}", lambda e: e < F.col(c)))
+    placed = lambda rows: rows.join(edges, "session", "left").withColumns({f"_{side}": place(side, c) for side, c in zip("ab", x, strict=True)})
+    own = df.join(calendar, date)
+    ahead = own.filter(F.col(y).isNotNull()).select("session", *x, y).withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + sessions)))
+    ahead = placed(ahead).filter("_ea is not null").groupBy("session", "_a", "_b").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
+    own = placed(own).drop("_ea", "_eb")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         s, n = np.zeros((bins, bins)), np.zeros((bins, bins))
         s[group["_a"], group["_b"]], n[group["_a"], group["_b"]] = group["s"], group["n"]
-        least, rows = max(1.0, min_leaf * n.sum()), []
+        least, rows = max(float(least_rows), min_leaf * n.sum()), []
 
         def grow(box, level, leaf):
             (a0, a1), (b0, b1) = box

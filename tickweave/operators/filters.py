@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.functions.columns import clock, micros_of_day
+from tickweave.functions.columns import clock, is_finite, micros_of_day
 
 KEYS = ["Date", "QuoteCode"]
-#: Columns that hold what only later ticks know.
-FUTURE_COLUMNS = frozenset({"Close", "FutureHigh", "FutureLow", "txf_to_1330_return", "txf_to_1330_bp"})
+#: Names of columns that hold what only later ticks know: closes, futures, returns to the close, labels.
+FUTURE_NAMES = re.compile(r"(?i)^(close|future.*|nextday.*|.*_to_1330_.*|.*_closebp.*|.*(raw|hedge|idio|edge)_?bp|.*_netm?|(hedge_)?z|label.*)$")
 
 
 def by_entity(keys=KEYS, order="ChannelSeq"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def normalize_ticks(ticks: DataFrame, keys=KEYS) -> DataFrame:
-    """Trial matches lose their lots (FillLots_origin keeps them); marketOpen once a tick is no trial match."""
+def normalize_ticks(ticks: DataFrame, keys=KEYS, reference: DataFrame | None = None) -> DataFrame:
+    """Trial matches lose their lots (FillLots_origin keeps them); marketOpen once a tick is no trial match.
+    reference: one row per keys with RefPrice and OTC, attached to the ticks."""
+    if reference is not None:
+        ticks = ticks.drop("RefPrice", "OTC").join(reference.select(*keys, "RefPrice", "OTC"), keys, "left")
     running = by_entity(keys).rowsBetween(Window.unboundedPreceding, 0)
     return ticks.withColumns({
         "FillLots_origin": F.col("FillLots"),
@@ -76,6 +81,23 @@ def gate(df: DataFrame, clauses: dict[str, Column]) -> DataFrame:
     return out.withColumn("passGate", passed)
 
 
+def entry_gate(features: list[str], start: str = "09:00:30", end: str = "12:00", k: int = 100, most: float = 1.05, elapsed: float = 0.1, rate: float = 0.25) -> dict[str, Column]:
+    """The clauses that a tick must pass before it is scored, in order; all bounds are strict. Live exposure is no column, so not among them."""
+    bid, ref = F.col("BidPrice1"), F.col("RefPrice")
+    valid = F.lit(True)
+    for c in features:
+        valid = valid & is_finite(F.col(c).cast("double"))
+    return {
+        "universe": F.col("eligible"), "no_trial": F.col("TrialMatch") == 0, "time": time_window(start, end), "top": rank_either(k), "event": F.col("candidateEvent"),
+        "price": (bid > ref) & (bid < ref * most), "pair_age": F.col("SpreadPairElapsed") > elapsed, "filled": F.col("OTC") | (F.col("MD_L1Rate_30") > rate), "features": valid, "not_stopped": ~F.col("stoppedOutToday"),
+    }
+
+
+def adjusted(df: DataFrame, edge="midEdge_300sBP", otc="OTC", lots="investment_netLots", least: float = 1000.0) -> DataFrame:
+    """The edge with its sign turned, OTC as a number, and isInvestBuy: large net buying of an OTC entity."""
+    return df.withColumns({edge: -F.col(edge), "isInvestBuy": (F.coalesce(F.col(lots) > least, F.lit(False)) & F.col(otc).cast("boolean")).cast("int"), otc: F.col(otc).cast("int")})
+
+
 def eligible_universe(pre: DataFrame, targets: DataFrame, today: DataFrame, suspended: DataFrame, key="QuoteCode") -> DataFrame:
     """(pre or target) entities that are eligible today, without the suspended; nothing without today's list."""
     wanted = pre.select(key).union(targets.select(key)).distinct()
@@ -87,9 +109,9 @@ def suspended_rows(spread="hft_strick_makerSpreadBP", close="PreviousClosePrice"
 
 
 def whitelist(columns: list[str], wanted: list[str]) -> list[str]:
-    """wanted columns that exist; ValueError if one of them knows the future."""
-    if leaks := FUTURE_COLUMNS & set(wanted):
-        raise ValueError(f"columns that know the future: {sorted(leaks)}")
+    """wanted columns that exist; ValueError if the name of one says that it knows the future (FUTURE_NAMES; scores of models, *_pred, don't)."""
+    if leaks := sorted(c for c in wanted if FUTURE_NAMES.match(c) and not c.endswith("pred")):
+        raise ValueError(f"columns that know the future: {leaks}")
     return [c for c in wanted if c in columns]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import is_finite, tick_size
+from tickweave.operators.asof import lookup
 
 
 def raw_short(df: DataFrame, stop: float = 1.08, ticks: int = 2, out="raw_bp") -> DataFrame:
@@ -36,10 +37,14 @@ def hedged(df: DataFrame, raw="raw_bp", beta="beta", market="txf_to_1330_bp", vo
 
 
 def net(df: DataFrame, label: str, date="Date", entity="QuoteCode", penalty: tuple[str, float] | None = None) -> DataFrame:
-    """label less the mean of its (date, entity), and less the mean of its date; penalty: a flag column and its cost."""
+    """label less the mean of its (date, entity), and less the mean of its date; penalty: a flag column and its cost.
+
+    A session's mean is aggregated and joined back, since a window would send the session through one task.
+    """
     value = F.col(label) - (F.when(F.col(penalty[0]), penalty[1]).otherwise(0.0) if penalty else 0.0)
-    means = {f"{label}_net": Window.partitionBy(date, entity), f"{label}_netM": Window.partitionBy(date)}
-    return df.withColumns({k: value - F.avg(value).over(w) for k, w in means.items()})
+    means = df.groupBy(date).agg(F.avg(value).alias("_m"))
+    own = lookup(df.withColumn(f"{label}_net", value - F.avg(value).over(Window.partitionBy(date, entity))), means, [date])
+    return own.withColumn(f"{label}_netM", value - F.col("_m")).select(*[c for c in df.columns if c not in (f"{label}_net", f"{label}_netM")], f"{label}_net", f"{label}_netM")
 
 
 def conditional_baseline(df: DataFrame, z="z", date="Date", cell="cell", sessions: int = 20, strength: float = 2000.0) -> DataFrame:
@@ -63,5 +68,12 @@ def edge(df: DataFrame, fee: float = 19.3, hedge_cost: float = 0.0, idio="idio_b
     return df.withColumn("edge_bp", F.col(idio) - fee - hedge_cost)
 
 
+def is_alpha(df: DataFrame, fee: float = 19.3, hedge_cost: float = 0.0, idio="idio_bp", date="Date", least_t: float = 2.0) -> DataFrame:
+    """Mean hedged edge after costs, t of its daily means, and whether it is alpha: positive with a t that is high enough."""
+    daily = edge(df, fee, hedge_cost, idio).groupBy(date).agg(F.avg("edge_bp").alias("d"))
+    out = daily.agg(F.count("d").alias("days"), F.avg("d").alias("mean_edge"), (F.try_divide(F.avg("d"), F.stddev_samp("d")) * F.sqrt(F.count("d").cast("double"))).alias("t"))
+    return out.withColumn("alpha", F.coalesce((F.col("mean_edge") > 0) & (F.col("t") >= least_t), F.lit(False)))
+
+
 def to_bp(df: DataFrame, score: str, vol="vol_bp") -> DataFrame:
     return df.withColumn(f"{score}_bp", F.col(score) * F.col(vol))

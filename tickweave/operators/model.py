@@ -34,28 +34,22 @@ def moments(df: DataFrame, features: list[str], label: str, date="Date", regime:
     return own.groupBy(date, *([regime] if regime else [])).agg(F.array(*cells).alias("cells"))
 
 
-def _rolled(m: DataFrame, windows: list[int], date: str, regime: str | None) -> DataFrame:
-    """Moments of the n sessions before each session, for each n; sessions of all the frame count."""
-    calendar = session_index(m, date)
-    own = m.join(calendar, date)
-    parts = []
-    for n in windows:
-        ahead = own.withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + n)))
-        width = len(m.select("cells").first()["cells"]) if m.head(1) else 1
-        sums = ahead.groupBy("session", *([regime] if regime else [])).agg(F.array(*[F.sum(F.col("cells")[i]) for i in range(width)]).alias("cells"))
-        parts.append(sums.withColumn("n_training_days", F.lit(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(calendar, "session").drop("session")
+def _rolled(m: DataFrame, calendar: DataFrame, windows: list[int], width: int, date: str, regime: str | None) -> DataFrame:
+    """Moments (width cells) of the n sessions before each session of the calendar, for each n. A session without
+    labels has no moments, but counts as a session and gets those of the sessions before it."""
+    own = m.join(calendar, date).withColumn("_back", F.explode(F.sequence(F.lit(1), F.lit(max(windows))))).withColumn("session", F.col("session") + F.col("_back"))
+    within = lambda n, i: F.sum(F.when(F.col("_back") <= n, F.col("cells")[i]))
+    sums = own.groupBy("session", *([regime] if regime else [])).agg(*[F.array(*[within(n, i) for i in range(width)]).alias(f"_w{n}") for n in windows])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n_training_days"), F.col(f"_w{n}").alias("cells")) for n in windows]))
+    return sums.join(calendar, "session").select(date, *([regime] if regime else []), each.alias("x")).select(date, *([regime] if regime else []), "x.*").filter(F.col("cells")[0].isNotNull())
 
 
 def rolling_ridge(df: DataFrame, features: list[str], label: str, windows: list[int], alphas: list[float], date="Date", regime: str | None = None, screen: float = 0.0) -> DataFrame:
     """Long table of models: date, (regime), n_training_days, alpha, feature, coef, std_coef, selected; the
     intercept is feature "". Features are standardised by the window's moments, the intercept is free; those
     whose correlation with the label is under `screen` are left out (selected false, coef 0)."""
-    rolled = _rolled(moments(df, features, label, date, regime), windows, date, regime)
     k = len(features) + 2
+    rolled = _rolled(moments(df, features, label, date, regime), session_index(df, date), windows, k * (k + 1) // 2, date, regime)
 
     def solve(batches):
         import numpy as np
@@ -121,8 +115,8 @@ def dual_vote(score_a: Column, score_m: Column, limits: dict[str, tuple[float, f
 
 def pls_weights(df: DataFrame, features: list[str], label: str, sessions: int, components: int = 2, date="Date") -> DataFrame:
     """Weights of up to `components` PLS components per session, from the moments of the sessions before."""
-    rolled = _rolled(moments(df, features, label, date), [sessions], date, None)
     k = len(features) + 2
+    rolled = _rolled(moments(df, features, label, date), session_index(df, date), [sessions], k * (k + 1) // 2, date, None)
 
     def solve(batches):
         import numpy as np
@@ -149,3 +143,25 @@ def pls_weights(df: DataFrame, features: list[str], label: str, sessions: int, c
             yield pd.DataFrame(rows, columns=[date, "component", "feature", "weight"])
 
     return rolled.mapInPandas(solve, f"{date} {dict(rolled.dtypes)[date]}, component int, feature string, weight double")
+
+
+def grid_metrics(df: DataFrame, models: DataFrame, features: list[str], label: str, date="Date") -> DataFrame:
+    """Per (n_training_days, alpha) of models: sessions and rows scored, and correlation and mean squared error of score and label."""
+    keys = [date, "n_training_days", "alpha"]
+    scored = df.join(coefficient_maps(models, keys), date).withColumn("_score", linear_score(F.col("coefficients"), F.col("intercept"), features))
+    own = scored.filter(F.col("_score").isNotNull() & is_finite(F.col(label).cast("double")))
+    return own.groupBy("n_training_days", "alpha").agg(F.countDistinct(date).alias("sessions"), F.count(F.lit(1)).alias("rows"), F.corr("_score", label).alias("corr"), F.avg(F.pow(F.col("_score") - F.col(label), 2)).alias("mse"))
+
+
+def label_sweep(df: DataFrame, features: list[str], labels: list[str], windows: list[int], alphas: list[float], date="Date", screen: float = 0.0) -> DataFrame:
+    """rolling_ridge of several labels on the rows that have all of them: the long table with a column label."""
+    whole = df
+    for c in labels:
+        whole = whole.filter(is_finite(F.col(c).cast("double")))
+    calendar = df.select(date).distinct()
+    whole = calendar.join(whole, date, "left")  # sessions without such rows still count
+    out = None
+    for c in labels:
+        own = rolling_ridge(whole, features, c, windows, alphas, date, screen=screen).withColumn("label", F.lit(c))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -160,13 +160,25 @@ def value_share(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("value")).withColumns({"n_share": F.try_divide(F.col("n"), F.sum("n").over(whole)), "value_share": F.try_divide(F.col("value"), F.sum("value").over(whole))})
 
 
+def range_bucket(df: DataFrame, value: str, n: int = 64) -> Column:
+    """Number of the range of about equal size that a row's value falls in, of at most n; equal values share one."""
+    edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(1_000))).first()[0] or []
+    return sum((F.coalesce(F.col(value) > e, F.lit(False)).cast("int") for e in sorted(set(edges))), F.lit(0))
+
+
 def average_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank", pct: bool = False) -> DataFrame:
-    """Ranks from 1, ties at their mean; pct divides by the number of values."""
+    """Ranks from 1, ties at their mean, null for null; pct divides by the number of values.
+
+    Values are counted first; prefix sums over the distinct ones run in ranges, so no task sees all rows or values.
+    """
     by = by or []
-    within = Window.partitionBy(*by).orderBy(value)
-    ties = F.rank().over(within) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
-    rank = F.when(F.col(value).isNotNull(), ties - F.sum(F.col(value).isNull().cast("int")).over(Window.partitionBy(*by)))
-    return df.withColumn(out, rank / F.count(value).over(Window.partitionBy(*by)) if pct else rank)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_r", range_bucket(df, value))
+    ranges = counts.groupBy(*by, "_r").agg(F.sum("_n").alias("_m"))
+    before = ranges.select(*by, "_r", F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(*by)).alias("_all"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.join(before, [*by, "_r"]).withColumn("_rank", F.col("_before") + upto + (F.col("_n") + 1) / 2)
+    rank = F.col("_rank") / F.col("_all") if pct else F.col("_rank")
+    return df.join(ranked.select(*by, value, rank.alias(out)), [*by, value], "left").select(*df.columns, out)
 
 
 def rank_stability(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -175,13 +187,94 @@ def rank_stability(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFram
     return average_rank(average_rank(both, "a", out="ra"), "b", out="rb").agg(F.corr("ra", "rb").alias("rank_corr"), F.count(F.lit(1)).alias("configs"))
 
 
-def select_best(df: DataFrame, metric: str, keep: Column, k: int = 1) -> DataFrame:
-    return df.filter(keep).orderBy(F.desc(metric)).limit(k)
+def select_best(df: DataFrame, metric: str, keep: Column, k: int = 1, ties: list[str] | None = None) -> DataFrame:
+    """The k rows of greatest metric among those to keep, equal ones in the order of ties."""
+    return df.filter(keep).orderBy(F.desc(metric), *(ties or [])).limit(k)
 
 
 def ecdf(df: DataFrame, value: str, key: str) -> DataFrame:
-    w = Window.orderBy(value, key)
-    return df.filter(F.col(value).isNotNull()).withColumn("ecdf", (F.row_number().over(w) - 1) / F.count(F.lit(1)).over(Window.partitionBy()))
+    """Share of rows before each one in the order of value and key. Ranges of values, and of keys within a value, are numbered one by one and offset by those before."""
+    own = df.filter(F.col(value).isNotNull())
+    own = own.withColumns({"_r": range_bucket(own, value), "_k": range_bucket(own, key)})
+    groups = own.groupBy("_r", value, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = groups.groupBy("_r").agg(F.sum("_n").alias("_m"))
+    before = ranges.select("_r", F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy(value, "_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = groups.join(F.broadcast(before), "_r").select(F.col(value).alias("_v"), F.col("_k").alias("_g"), (F.col("_b") + upto).alias("_first"), "_all")
+    at = F.row_number().over(Window.partitionBy(value, "_k").orderBy(key)) - 1
+    numbered = own.withColumn("_i", at)
+    return numbered.join(offset, (F.col(value) == F.col("_v")) & (F.col("_k") == F.col("_g"))).withColumn("ecdf", (F.col("_first") + F.col("_i")) / F.col("_all")).select(*df.columns, "ecdf")
+
+
+def quantile_markers(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """share, mark: interpolated quantiles of a value."""
+    q = F.percentile(value, F.array(*map(F.lit, shares)))
+    return df.agg(q.alias("q")).select(F.inline(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("q").alias("mark"))))
+
+
+def period_sums(monthly: DataFrame, periods: dict[str, tuple[str, str]], values: list[str], month="month") -> DataFrame:
+    """Sums of a monthly table's values over named ranges of months, both ends in; a month may be in several."""
+    each = F.explode(F.array_compact(F.array(*[F.when(F.col(month).between(a, b), F.lit(k)) for k, (a, b) in periods.items()])))
+    return monthly.select(each.alias("period"), *values).groupBy("period").agg(F.count(F.lit(1)).alias("months"), *[F.sum(c).alias(c) for c in values])
+
+
+def edge_by_bin(df: DataFrame, by: str, raw: str, idio: str, date="Date", fee: float = FEE) -> DataFrame:
+    """Per bin: rows, mean raw and hedged basis points, and mean and t of the daily mean hedged edge after the fee."""
+    daily = df.groupBy(by, date).agg(F.count(F.lit(1)).alias("n"), F.sum(raw).alias("r"), F.sum(idio).alias("i"))
+    edge = F.col("i") / F.col("n") - fee
+    return daily.groupBy(by).agg(F.sum("n").alias("n"), (F.sum("r") / F.sum("n")).alias("raw"), (F.sum("i") / F.sum("n")).alias("hedged"), F.avg(edge).alias("daily_edge"), (F.try_divide(F.avg(edge), F.stddev_samp(edge)) * F.sqrt(F.count(F.lit(1)).cast("double"))).alias("t"))
+
+
+def deepest_days(curve: DataFrame, k: int = 5, date="Date") -> DataFrame:
+    """The k sessions of deepest drawdown, equal ones by date."""
+    return curve.orderBy("drawdown", date).limit(k)
+
+
+def screening_summary(log: DataFrame, feature="feature", selected="selected", date="Date") -> DataFrame:
+    """sessions, features, and in how many sessions some feature was left out."""
+    days = log.filter(F.col(feature) != "").groupBy(date).agg(F.sum(F.col(selected).cast("long")).alias("kept"), F.count(F.lit(1)).alias("all"))
+    return days.agg(F.count(F.lit(1)).alias("sessions"), F.max("all").alias("features"), F.sum((F.col("kept") < F.col("all")).cast("long")).alias("screened"))
+
+
+def acceptance(metrics: DataFrame) -> DataFrame:
+    """verdict by the pass lines of a condition: selection rate 0.5 to 2 %, effect 0.08 or more, daily t 3 or more, 80 % of
+    months positive, hedge effect under 5 bp, distance at most 0.2, and the same sign in both regimes."""
+    share = F.try_divide(F.col("positive_months"), F.col("months"))
+    return verdict(metrics, {
+        "selection": F.col("rate_median").between(0.005, 0.02), "effect": F.col("mean") >= 0.08, "t": F.col("t") >= 3, "months": share >= 0.8,
+        "hedge": F.abs("delta_hedge") < 5, "evenness": F.col("tv") <= 0.2, "regimes": F.col("mean_normal") * F.col("mean_abnormal") > 0,
+    })
+
+
+def similarity(a: DataFrame, b: DataFrame, pool: DataFrame, z: str, keys=("Date", "QuoteCode"), unikey=("Date", "QuoteCode", "ChannelSeq"), least: float = 0.05, alike: float = 0.7, date="Date") -> DataFrame:
+    """New condition a against reference b: overlap of entity-days both ways, effect of a's events that aren't b's over the pool,
+    correlation of the two daily means, and what to do: develop, refine, drop or duplicate."""
+    mean = lambda df, name: df.groupBy(date).agg(F.avg(z).alias(name))
+    daily = mean(a, "a").join(mean(b, "b"), date).agg(F.corr("a", "b").alias("corr"))
+    own = mean(a.join(b.select(*unikey), list(unikey), "left_anti"), "own").join(mean(pool, "pool"), date).agg(F.avg(F.col("own") - F.col("pool")).alias("disjoint_effect"))
+    out = overlap(a, b, list(keys))
+    for part in (own, daily):  # single rows
+        out = out.withColumn("_k", F.lit(1)).join(part.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    cuts, near = F.coalesce(F.col("disjoint_effect") >= least, F.lit(False)), F.coalesce(F.col("corr") >= alike, F.lit(False))
+    return out.withColumn("decision", F.when(cuts & ~near, "develop").when(cuts, "refine").when(~near, "drop").otherwise("duplicate"))
+
+
+def grid_report(curve: DataFrame, value="pnl") -> DataFrame:
+    """total, mdd, sessions to a new high (longest stretch under water), basis points of capital, and drawdown to mean result."""
+    out = curve.agg(F.sum(value).alias("total"), F.min("drawdown").alias("mdd"), F.max("under_water").alias("time_to_high"), (F.try_divide(F.sum(value), F.sum("capital")) * 10_000).alias("mean_bp"), F.avg(value).alias("_m"))
+    return out.withColumn("mdd_to_mean", F.try_divide(F.abs("mdd"), F.col("_m"))).drop("_m")
+
+
+def describe(df: DataFrame, values: list[str]) -> DataFrame:
+    """Per value: count, mean, standard deviation, least, quartiles and greatest."""
+    parts = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("least"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("greatest")) for c in values]
+    return df.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+
+
+def composition_change(before: DataFrame, after: DataFrame, by: str, value: str) -> DataFrame:
+    """Value shares per bin before and after position limits."""
+    parts = [value_share(df, by, value).select(by, F.col("value_share").alias(f"share_{k}"), F.col("n").alias(f"n_{k}")) for k, df in (("before", before), ("after", after))]
+    return parts[0].join(parts[1], by, "full").fillna(0)
 
 
 def return_stats(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.functions.columns import micros, ratio
+from tickweave.functions.columns import clock, micros, micros_of_day, ratio, signed_log, tick_size
 from tickweave.operators.filters import KEYS, by_entity
 
 UPTO = (Window.unboundedPreceding, 0)
@@ -101,11 +101,19 @@ def running_amount(t: DataFrame, keys=KEYS, order="ChannelSeq") -> DataFrame:
     return t.withColumn("Amount", F.sum(F.when(F.col("TrialMatch") == 0, F.col("FillPrice") * F.col("FillLots")).otherwise(0)).over(by_entity(keys, order).rowsBetween(*UPTO)))
 
 
-def tick_bars(t: DataFrame, minutes: int = 5, keys=KEYS, order="ChannelSeq", time="TransTime", amount="Amount") -> DataFrame:
-    """Per slot with ticks the last running amount in it; slots are named by their end."""
-    width = minutes * 60_000_000
-    slot = F.timestamp_micros((F.ceil(micros(time) / width) * width).cast("long")).cast("timestamp_ntz")
-    return t.withColumn("TimeSlot", slot).groupBy(*keys, "TimeSlot").agg(F.max_by(amount, F.struct(time, order)).alias(amount))
+def tick_bars(t: DataFrame, minutes: int = 5, start: str = "09:00", end: str = "13:20", keys=KEYS, order="ChannelSeq", time="TransTime", amount="Amount") -> DataFrame:
+    """At every slot of the session from start to end, for each entity, the last running amount at or before it
+    (TimeSlot is the slot's time). An entity has no row before its first tick; ticks after the last slot don't count."""
+    width, first = minutes * 60_000_000, clock(start)
+    last = (clock(end) - first) // width
+    k = F.greatest(F.ceil((micros_of_day(time) - first) / width), F.lit(0)).cast("long")
+    own = t.withColumns({"_slot": k, "_day": F.date_trunc("day", F.col(time))}).filter(F.col("_slot") <= last)
+    seen = own.groupBy(*keys, "_slot").agg(F.max_by(amount, F.struct(time, order)).alias(amount), F.max("_day").alias("_day"))
+    # A value holds from its slot to the one before the entity's next: no grid is joined.
+    upto = F.coalesce(F.lead("_slot").over(Window.partitionBy(*keys).orderBy("_slot")) - 1, F.lit(last).cast("long"))
+    held = seen.withColumn("_upto", upto).withColumn("_slot", F.explode(F.sequence("_slot", "_upto")))
+    slot = F.timestamp_micros(micros("_day") + first + F.col("_slot") * width).cast("timestamp_ntz")
+    return held.select(*keys, slot.alias("TimeSlot"), amount)
 
 
 def amount_rank(bars: DataFrame, eligible: str | None = None, by=("Date", "TimeSlot"), amount="Amount", name="QuoteCode", out="AmountRank_canDayTrade") -> DataFrame:
@@ -169,6 +177,24 @@ def deep(value="FillLots_atLow", bid="avg_bidLots1", ask="avg_askLots1", least:
     return F.coalesce(ratio(F.col(value), F.col(bid) + F.col(ask)) < least, F.lit(False))
 
 
+def overshoot_tags(t: DataFrame, source="src", cooled="cooled") -> DataFrame:
+    """A flag per group of events: baseline rows, and overshoot events of any direction, of buys and of sells, and those of either side that have cooled down."""
+    os, buy, sell = F.col(source) == "os", F.col("InOut") == 1, F.col("InOut") == -1
+    tags = {"baseline": F.col(source) == "bl", "OS_any": os, "OS_buy": os & buy, "OS_sell": os & sell, "OS_buy_cd60": os & buy & F.col(cooled), "OS_sell_cd60": os & sell & F.col(cooled)}
+    return t.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tags.items()})
+
+
+def relative_features(t: DataFrame) -> DataFrame:
+    """Sizes relative to the entity's usual ones: B1/B2/A1/A2_Last by the mean depth, Total_Last by the day before's lots,
+    TickBP (a tick in basis points of the bid), MD_ElaspeTime_30_re; and the depth shares B1_B12, A1_A12, B45_AB45."""
+    last = lambda c, by: ratio(F.col(c), F.col(by))
+    return depth_ratios(t).withColumns({
+        **{f"{s}{k}_Last": last(f"{side}Lots{k}", f"avg_{side.lower()}Lots1") for s, side in (("B", "Bid"), ("A", "Ask")) for k in (1, 2)},
+        "Total_Last": last("TotalFillLots", "last_fillLots"), "TickBP": ratio(tick_size(F.col("BidPrice1")), F.col("BidPrice1")) * 10_000,
+        "MD_ElaspeTime_30_re": signed_log(F.col("MD_ElaspeTime_30")),
+    })
+
+
 def cool_down(t: DataFrame, seconds: int = 60, keys=KEYS, time="TransTime", order="ChannelSeq") -> DataFrame:
     """cooled: more than so many whole seconds since the entity's event before (its first counts)."""
     gap = F.floor(micros(time) / 1_000_000) - F.floor(micros(F.lag(time).over(by_entity(keys, order))) / 1_000_000)
@@ -187,6 +213,15 @@ def market_state(opens: DataFrame, limit: float = 0.0025, date="Date") -> DataFr
     return opens.groupBy(date).agg(F.avg(move).alias("topOpen")).withColumn("state", F.when(F.col("topOpen").isNull(), "undecided").when(F.col("topOpen") < limit, "abnormal").otherwise("normal"))
 
 
+def benchmark_days(market: DataFrame, benchmark: str, k: int = 100, date="Date", entity="QuoteCode", rank="day_amount_rank") -> DataFrame:
+    """Per session the benchmark entity's opening move and return, and over entities ranked better than k the mean
+    opening move, its mean sign and the mean return (all against opening_ref_price)."""
+    ref = F.col("opening_ref_price")
+    own = market.withColumns({"_o": F.try_divide(F.col("open_price") - ref, ref), "_r": F.try_divide(F.col("close_price") - ref, ref)})
+    bench, top = F.col(entity) == benchmark, F.col(rank) < k
+    return own.groupBy(date).agg(F.max(F.when(bench, F.col("_o"))).alias("benchOpen"), F.max(F.when(bench, F.col("_r"))).alias("benchReturn"), F.avg(F.when(top, F.col("_o"))).alias("topOpen"), F.avg(F.when(top, F.signum("_o"))).alias("topDrop"), F.avg(F.when(top, F.col("_r"))).alias("topReturn"))
+
+
 def market_state_lagged(daily: DataFrame, low: float = 0.002, floor: float = -0.035, days: int = 10, date="Date") -> DataFrame:
     """abnormal: topOpen under low, or its least over the days before under floor."""
     before = F.min("topOpen").over(Window.orderBy(date).rowsBetween(-days, -1))

@@ -1,8 +1,4 @@
-"""Queries of the operators over the driver's tables, each with the SQL that gives the same rows.
-
-Roles: an event is a tick (user_id the entity, event_id the sequence, the day of ts the session, value the
-price, props.k the lots, purchase +1 and error -1 the direction); lineitem months are sessions of suppliers.
-"""
+"""Queries of the operators over the driver's tables, each with the SQL that gives the same rows (roles: see base)."""
 
 from __future__ import annotations
 
@@ -11,50 +7,9 @@ from pyspark.sql import functions as F
 
 from tickweave.functions import columns as C
 from tickweave.operators import asof, beta, books, buckets, filters, labels, model, stats, ticks
+from tickweave.plans.base import M_SQL, QUERIES, SQL, T_SQL, USER, months, query, tick_frame
 from tickweave.sources import tables
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-USER = ["QuoteCode"]
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def tick_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("long")
-    bid = F.round("value", 2)
-    return e.select(
-        F.date_format("ts", "yyyyMMdd").alias("Date"), F.col("user_id").alias("QuoteCode"), F.col("event_id").alias("ChannelSeq"), F.col("ts").alias("TransTime"), "event_type",
-        F.col("value").alias("FillPrice"), k.alias("FillLots"), F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0).alias("InOut"),
-        F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("TrialMatch"), bid.alias("BidPrice1"), (bid + (k % 7 + 1) * 0.01).alias("AskPrice1"), F.lit(20.0).alias("RefPrice"))
-
-
-T_SQL = """t AS (SELECT strftime(ts, '%Y%m%d') AS "Date", user_id AS "QuoteCode", event_id AS "ChannelSeq", ts AS "TransTime", event_type,
- value AS "FillPrice", CAST(json_extract_string(props, '$.k') AS BIGINT) AS "FillLots",
- CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS "InOut", CASE event_type WHEN 'signup' THEN 1 ELSE 0 END AS "TrialMatch",
- round(value, 2) AS "BidPrice1", round(value, 2) + (CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 + 1) * 0.01 AS "AskPrice1", 20.0 AS "RefPrice" FROM events)"""
-
-
-def months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier-months: mean price move as return, market mean as factor."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    own = li.groupBy(F.date_format("l_shipdate", "yyyyMM").alias("Date"), F.col("l_suppkey").alias("QuoteCode")).agg((F.sum("l_discount") / F.count(F.lit(1)) - 0.05).alias("ret"))
-    return own.join(own.groupBy("Date").agg(F.avg("ret").alias("factor")), "Date")
-
-
-M_SQL = """own AS (SELECT strftime(l_shipdate, '%Y%m') AS "Date", l_suppkey AS "QuoteCode", sum(l_discount) / count(*) - 0.05 AS ret FROM lineitem GROUP BY 1, 2),
-m AS (SELECT own.*, avg(ret) OVER (PARTITION BY "Date") AS factor FROM own)"""
-
-
 @query(f"""WITH {T_SQL} SELECT "ChannelSeq", round(min(CASE WHEN "TrialMatch" = 0 AND "FillPrice" <> 0 THEN "FillPrice" END) OVER w, 6) AS record_low,
  round(max(CASE WHEN "TrialMatch" = 0 AND "FillPrice" <> 0 THEN "FillPrice" END) OVER w, 6) AS record_high FROM t
  WINDOW w AS (PARTITION BY "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
@@ -126,12 +81,12 @@ def c_asof_clock(spark, sf_dir):
     return asof.asof_clock(t, "Date", "TransTime", "mid", "13:30", 3600, "ChannelSeq")
 
 
-@query(f"""WITH {T_SQL}, a AS (SELECT "Date", sum("FillPrice") AS v FROM t WHERE event_type = 'click' GROUP BY 1), b AS (SELECT "Date", sum("FillPrice") AS v FROM t WHERE event_type = 'error' AND "QuoteCode" < 5 GROUP BY 1)
+@query(f"""WITH {T_SQL}, a AS (SELECT "Date", sum("FillPrice") AS v FROM t WHERE event_type = 'click' GROUP BY 1), b AS (SELECT "Date", sum("FillPrice") AS v FROM t WHERE event_type = 'error' GROUP BY 1)
  SELECT coalesce(a."Date", b."Date") AS "Date", round(coalesce(a.v, 0) + coalesce(b.v, 0), 4) AS v FROM a FULL JOIN b ON a."Date" = b."Date" """)
 def c_add_aligned(spark, sf_dir):
     t = tick_frame(spark, sf_dir)
     sums = lambda c: t.filter(c).groupBy("Date").agg(F.sum("FillPrice").alias("v"))
-    return asof.add_aligned(sums("event_type = 'click'"), sums("event_type = 'error' and QuoteCode < 5"), "Date", "v").withColumn("v", F.round("v", 4))
+    return asof.add_aligned(sums("event_type = 'click'"), sums("event_type = 'error'"), "Date", "v").withColumn("v", F.round("v", 4))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, p, CAST(CASE WHEN p < 10 THEN round(p / 0.01) WHEN p < 50 THEN 1000 + round((p - 10) / 0.05) WHEN p < 100 THEN 1800 + round((p - 50) / 0.1) WHEN p < 500 THEN 2300 + round((p - 100) / 0.5)
@@ -315,8 +270,8 @@ def h_tree_leaves(spark, sf_dir):
 
 @query(f"""WITH {T_SQL}, w AS (SELECT *, sum("BidPrice1" / 10) OVER (PARTITION BY "Date" ORDER BY "TransTime", "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pos FROM t) SELECT "ChannelSeq", round(pos, 4) AS pos FROM w WHERE round(pos, 6) <= 100""")
 def i_session_cap(spark, sf_dir):
-    own = books.cap_session(tick_frame(spark, sf_dir), 1e12)
-    return own.filter(F.round("BookPosition", 6) <= 100).select("ChannelSeq", F.round("BookPosition", 4).alias("pos"))
+    own = books.cap_session(tick_frame(spark, sf_dir), 100.0)
+    return own.select("ChannelSeq", F.round("BookPosition", 4).alias("pos"))
 
 
 @query(f"""WITH {T_SQL}, d AS (SELECT "Date", "QuoteCode", avg("FillPrice") AS m FROM t GROUP BY 1, 2), a AS (SELECT "Date", avg(m) AS mean FROM d GROUP BY 1)
@@ -410,8 +365,11 @@ def flagship(spark, sf_dir):
     """Events, point-in-time side data, net label, prior-session threshold, caps, daily result."""
     views = tick_frame(spark, sf_dir).filter("event_type = 'view'").select("QuoteCode", "TransTime", F.col("ChannelSeq").alias("seq"), F.col("FillPrice").alias("seen"))
     own = asof.asof_backward(_candidates(spark, sf_dir), views, ["QuoteCode"], "TransTime", ["seen"], seq="seq").filter("seen is not null")
-    own = own.withColumn("label", F.col("FillPrice") - F.avg("FillPrice").over(Window.partitionBy("Date")))
+    own = labels.net(own, "FillPrice").withColumn("label", F.col("FillPrice_netM"))
     limits = buckets.prior_quantiles(own, "seen", [0.3], 3)
     trades = books.cap_after(buckets.with_thresholds(own, limits).filter(F.col("seen") > F.col("q0")))
     curve = stats.equity(stats.daily_pnl(trades, "label", F.col("BidPrice1")))
     return curve.select("Date", "trades", F.round("pnl", 6).alias("pnl"), F.round("drawdown", 6).alias("drawdown"))
+
+
+from tickweave.plans import more_models, more_reports, more_tables, more_ticks  # noqa: E402, F401  each adds its queries

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickweave.operators.asof import lookup
+
 PARAMS = T.StructType([
     T.StructField("suspended_list", T.ArrayType(T.StringType())), T.StructField("target_list", T.ArrayType(T.StringType())),
     T.StructField("metadata", T.StructType([T.StructField("trained_until", T.StringType()), T.StructField("alpha", T.DoubleType()), T.StructField("otc_turnover_threshold", T.DoubleType())])),
@@ -14,9 +17,9 @@ PARAMS = T.StructType([
 
 
 def scan_sessions(spark: SparkSession, path: str, date="Date") -> DataFrame:
-    """Files named by session, merged by column name, the session from the file name."""
+    """Files or folders named by session (yyyymmdd first, or after "name="), merged by column name, the session from that name."""
     df = spark.read.option("mergeSchema", "true").parquet(path)
-    return df.withColumn(date, F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{8})", 1))
+    return df.withColumn(date, F.regexp_extract(F.col("_metadata.file_path"), r".*[/=](\d{8})(?=[^/]*(?:/[^/]*)?$)", 1))
 
 
 def require_columns(df: DataFrame, names: list[str]) -> bool:
@@ -37,6 +40,16 @@ def append(df: DataFrame, path: str, date="Date") -> None:
     df.write.mode("append").option("compression", "zstd").partitionBy(date).parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, or an empty one of this schema where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def merge_write(spark: SparkSession, df: DataFrame, path: str, existing: list[str], force: bool = False, date="Date") -> None:
     """Writes sessions that aren't there and refreshes the last that is; force rewrites all."""
     done = sorted(existing)[:-1]
@@ -57,6 +70,13 @@ def every_kth_session(df: DataFrame, step: int, date="Date") -> DataFrame:
     return df.join(days.filter(F.col("_k") % step == 0).select(date), date, "left_semi")
 
 
+def read_sessions(df: DataFrame, wanted: list[str], date="Date") -> tuple[DataFrame, list[str]]:
+    """Rows of the wanted sessions, and those of them that the table lacks."""
+    own = df.filter(F.col(date).isin(*wanted)) if wanted else df
+    there = {r[0] for r in own.select(date).distinct().collect()} if wanted else set()
+    return own, sorted(set(wanted) - there)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts by column name, missing columns null."""
     out = parts[0]
@@ -68,8 +88,8 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def prefer_source(parts: dict[str, DataFrame], date="Date", mid="mid", last="last_price") -> DataFrame:
     """One source a session, the first of parts that has it; without a mid price the last price stands in."""
     tagged = [df.withColumns({"source": F.lit(name), "_p": F.lit(i)}) for i, (name, df) in enumerate(parts.items())]
-    both = union_all(tagged)
-    own = both.withColumn("_best", F.min("_p").over(Window.partitionBy(date))).filter("_p = _best").drop("_p", "_best")
+    best = union_all([t.select(date, "_p") for t in tagged]).groupBy(date).agg(F.min("_p").alias("_p"))
+    own = lookup(union_all(tagged), best.withColumn("_best", F.lit(True)), [date, "_p"]).filter("_best").drop("_p", "_best")
     return own.withColumn(mid, F.coalesce(mid, last)) if last in own.columns else own
 
 
@@ -85,14 +105,42 @@ def read_portfolio_csv(spark: SparkSession, path: str, date="date", pct: list[st
     return df.withColumns({date: F.to_date(F.col(date).cast("string"), "yyyyMMdd"), **{c: F.col(c) / 100 for c in pct or []}})
 
 
-def read_params(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PARAMS).option("multiLine", True).json(path)
+def read_params(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Model parameters of files of one object each; lines: of one object a line."""
+    return spark.read.schema(PARAMS).option("multiLine", not lines).json(path)
 
 
 def params_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[c for c in PARAMS.names if c in df.columns])).alias("value"))
 
 
+def write_params(df: DataFrame, path: str) -> None:
+    """Model parameters as JSON, one line a row; ValueError if a row lacks one of the model blocks, its intercept or its threshold."""
+    blocks = [f.name for f in PARAMS.fields if f.name.endswith(("model", "model_M"))]
+    if missing := [c for c in blocks if c not in df.columns]:
+        raise ValueError(f"model blocks missing: {missing}")
+    lacks = F.lit(False)
+    for c in blocks:
+        lacks = lacks | F.col(f"{c}.coefficients").isNull() | F.col(f"{c}.intercept").isNull() | F.col(f"{c}.threshold").isNull()
+    if not df.filter(lacks).isEmpty():
+        raise ValueError("a model block lacks its coefficients, intercept or threshold")
+    params_json(df).write.mode("overwrite").text(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def cache_predictions(df: DataFrame, keys: list[str], scores: list[str], path: str, date="Date") -> None:
+    """Scores with their keys by session; sessions of df replace theirs, others stay."""
+    df.select(*dict.fromkeys([date, *keys, *scores])).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+
+
+def write_panel(ic: DataFrame, path: str, pairs: list[str], date="Date") -> None:
+    """Correlations per session as a wide CSV: a column for each pair."""
+    write_csv(ic.groupBy(date).pivot("pair", pairs).agg(F.first("ic")), path)
+
+
 def downcast(df: DataFrame) -> DataFrame:
     narrow = {"double": "float", "bigint": "int"}
     return df.select(*[F.col(c).cast(narrow[k]).alias(c) if k in narrow else F.col(c) for c, k in df.dtypes])

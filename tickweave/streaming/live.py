@@ -1,15 +1,27 @@
-"""Structured Streaming forms of the tick operators."""
+"""Structured Streaming forms of the tick operators.
+
+Every tick of an entity and session passes its state once, in batches of arrays: running values are cumulative
+operations over the state's values and the batch's, never a loop over rows.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickweave.functions.columns import clock, micros, micros_of_day
+
 KEYS = ["Date", "QuoteCode"]
-STATE = "last_seq long, low double, low_lots double, bid double, spread double, stopped boolean"
-TICK = "Date string, QuoteCode string, ChannelSeq long, TransTime timestamp, FillPrice double, FillLots double, InOut int, BidPrice1 double, AskPrice1 double, RefPrice double"
-OUT = "Date string, QuoteCode string, ChannelSeq long, TransTime timestamp, RecordLow double, FillLots_atLow double, BidPreMove double, SpreadMove double, candidate boolean, stoppedOutToday boolean, reject string"
+#: Ticks that the rates look back over, this one included.
+RING = 30
+STATE = ("last_seq long, last_us long, open double, recent double, low double, high double, lots_low double, lots_high double, bid double, ask double, trial int, "
+         "pair_bid double, pair_ask double, pair_us long, stopped boolean, ring_us array<long>, ring_fill array<double>")
+OUT = ("Date string, QuoteCode string, ChannelSeq long, TransTime timestamp, BidPrice1 double, AskPrice1 double, Open double, RecentFillPrice double, RecordLow double, RecordHigh double, FillLots_atLow double, "
+       "FillLots_atHigh double, BidPreMove double, SpreadMove double, SpreadPairBid double, SpreadPairAsk double, SpreadPairElapsed double, MD_ElaspeTime_30 double, MD_L1Rate_30 double, "
+       "candidateEvent boolean, stoppedOutToday boolean, reject string")
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
 def dedup(ticks: DataFrame, late: str = "10 minutes", time="TransTime") -> DataFrame:
@@ -17,65 +29,171 @@ def dedup(ticks: DataFrame, late: str = "10 minutes", time="TransTime") -> DataF
     return ticks.withWatermark(time, late).dropDuplicatesWithinWatermark([*KEYS, "ChannelSeq"])
 
 
-def tick_state(ticks: DataFrame, stop: float = 1.08) -> DataFrame:
-    """Running low, signed volume at it, moves and candidate flag per tick; ticks out of order come out with a
-    reject reason and leave the state alone. A session is part of the key, so a new day starts afresh; its
-    state ends when the watermark is a day past the last tick."""
+def _held(values: np.ndarray, before) -> np.ndarray:
+    """Each value, the last known one where it is NaN, `before` ahead of the first."""
+    at = np.maximum.accumulate(np.where(np.isnan(values), -1, np.arange(len(values))))
+    return np.where(at >= 0, values[at], np.nan if before is None else before)
+
+
+def _since(changed: np.ndarray, signed: np.ndarray, before: float) -> np.ndarray:
+    """Running sum of signed, begun anew at each change (that row included); before: the sum that goes on until the first."""
+    sums = np.cumsum(signed)
+    start = np.maximum.accumulate(np.where(changed, np.arange(len(signed)), -1))
+    return np.where(start >= 0, sums - (sums - signed)[start], sums + before)
+
+
+def advance(t: pd.DataFrame, s: dict | None, stop: float = 1.08, widen: float = 0.01) -> tuple[pd.DataFrame, dict]:
+    """The ticks t of one entity and session, in order of sequence, after the state s: output columns and the state after them.
+
+    Ticks whose sequence has come before ("repeat", "backward") or whose time lies before an earlier sequence's
+    ("backward") come out with that reason and leave the state alone. A missing lot counts as none.
+    """
+    s = s or dict(last_seq=-1, last_us=-(1 << 62), open=None, recent=None, low=None, high=None, lots_low=0.0, lots_high=0.0, bid=None, ask=None, trial=0, pair_bid=None, pair_ask=None, pair_us=None, stopped=False, ring_us=[], ring_fill=[])
+    t = t.sort_values(["ChannelSeq", "us"], kind="stable").reset_index(drop=True)
+    seq, us = t["ChannelSeq"].to_numpy(), t["us"].to_numpy()
+    again = np.append(False, seq[1:] == seq[:-1]) | (seq == s["last_seq"])
+    high_us = np.maximum.accumulate(np.append(s["last_us"], us))[:-1]
+    reject = np.where(again, "repeat", np.where((seq < s["last_seq"]) | (us < high_us), "backward", None))
+    ok = reject == None  # noqa: E711
+    g, n = t[ok], int(ok.sum())
+    out = pd.DataFrame({c: pd.Series([None] * len(t), dtype=object) for c in NAMES[6:]})
+    out["reject"] = reject
+    if n:
+        num = lambda c: g[c].to_numpy(dtype=float, na_value=np.nan)
+        price, lots, way, bid, ask, ref = map(num, ("FillPrice", "FillLots", "InOut", "BidPrice1", "AskPrice1", "RefPrice"))
+        trial, now = g["TrialMatch"].fillna(0).to_numpy(dtype=int), us[ok]
+        valid = np.where((trial == 0) & (price != 0), price, np.nan)
+        first = _held(valid[::-1], None)[::-1] if s["open"] is None else None  # the next valid price at or after each tick
+        seen = np.cumsum(~np.isnan(valid)) > 0
+        opened = np.full(n, s["open"], float) if first is None else np.where(seen, first[0], np.nan)
+        low = np.fmin.accumulate(np.append(np.nan if s["low"] is None else s["low"], valid))
+        high = np.fmax.accumulate(np.append(np.nan if s["high"] is None else s["high"], valid))
+        moved = lambda x: ~((x[1:] == x[:-1]) | (np.isnan(x[1:]) & np.isnan(x[:-1])))
+        signed = np.nan_to_num(lots * way)
+        at_low, at_high = _since(moved(low), signed, s["lots_low"]), _since(moved(high), signed, s["lots_high"])
+        recent = _held(np.where(price > 0, price, np.nan), s["recent"])
+        bids, asks = np.append(np.nan if s["bid"] is None else s["bid"], bid), np.append(np.nan if s["ask"] is None else s["ask"], ask)
+        move, wider = np.diff(bids), np.diff(asks - bids)
+        latch = (wider > widen) & (np.append(s["trial"], trial[:-1]) == 0)
+        pair_bid, pair_ask = _held(np.where(latch, bid, np.nan), s["pair_bid"]), _held(np.where(latch, ask, np.nan), s["pair_ask"])
+        base = int(now[0])  # times as distances from the first, which a float holds exactly
+        pair_us = _held(np.where(latch, (now - base).astype(float), np.nan), None if s["pair_us"] is None else s["pair_us"] - base)
+        times = np.append(np.array(s["ring_us"], np.int64), now)
+        fill = np.append(np.array(s["ring_fill"], float), np.where(np.isnan(lots), np.nan, lots > 0))
+        here = np.arange(len(times) - n, len(times))
+        back = np.maximum(here - RING + 1, 0)
+        known, hits = np.append(0, np.cumsum(~np.isnan(fill))), np.append(0, np.cumsum(np.nan_to_num(fill)))
+        with np.errstate(invalid="ignore"):
+            rate = (hits[here + 1] - hits[back]) / (known[here + 1] - known[back])
+            stopped = np.logical_or.accumulate((trial == 0) & (price > ref * stop)) | bool(s["stopped"])
+            event = (np.abs(wider) > 0.001) & (np.abs(move) > 0.001) & (at_low < 0)
+        found = {"BidPrice1": bid, "AskPrice1": ask, "Open": opened, "RecentFillPrice": np.where(np.isnan(recent), ref, recent), "RecordLow": low[1:], "RecordHigh": high[1:], "FillLots_atLow": at_low, "FillLots_atHigh": at_high, "BidPreMove": move, "SpreadMove": wider,
+                 "SpreadPairBid": pair_bid, "SpreadPairAsk": pair_ask, "SpreadPairElapsed": (now - base - pair_us) / 1e6, "MD_ElaspeTime_30": (times[here] - times[back]) / 1e6, "MD_L1Rate_30": rate, "candidateEvent": event, "stoppedOutToday": stopped}
+        for c, v in found.items():
+            if c in out:
+                out.loc[ok, c] = v
+        last = lambda x: None if np.isnan(x[-1]) else float(x[-1])
+        s = dict(last_seq=int(seq[ok][-1]), last_us=int(max(high_us[-1], us[-1])), open=last(opened), recent=last(recent), low=last(low), high=last(high), lots_low=float(at_low[-1]), lots_high=float(at_high[-1]), bid=last(bids), ask=last(asks), trial=int(trial[-1]), pair_bid=last(pair_bid), pair_ask=last(pair_ask),
+                 pair_us=None if np.isnan(pair_us[-1]) else int(pair_us[-1]) + base, stopped=bool(stopped[-1]), ring_us=times[-RING + 1 :].tolist(), ring_fill=fill[-RING + 1 :].tolist())
+    head = t[["ChannelSeq", "TransTime", "BidPrice1", "AskPrice1"]]
+    return pd.concat([head, out.drop(columns=["BidPrice1", "AskPrice1"], errors="ignore")], axis=1), s
+
+
+def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late: str = "10 minutes") -> DataFrame:
+    """Price path, signed volume at the records, moves, the latched spread pair, rates over the last ticks, candidate and stop
+    flags per tick, as the batch operators give them. A session is part of the key, so a new day starts afresh; its state
+    ends a day of the watermark after the last tick."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    names = [c.split()[0] for c in STATE.split(", ")]
+
     def step(key, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        seq, low, lots, bid, spread, stopped = state.get if state.exists else (-1, None, 0.0, None, None, False)
+        held = dict(zip(names, state.get, strict=True)) if state.exists else None
         frames = list(batches)
         if frames:
-            rows = []
-            for r in pd.concat(frames).sort_values("ChannelSeq", kind="stable").itertuples(index=False):
-                head = (*key, r.ChannelSeq, r.TransTime)
-                if r.ChannelSeq <= seq:
-                    rows.append((*head, None, None, None, None, False, stopped, "backward"))
-                    continue
-                seq = r.ChannelSeq
-                signed = (r.FillLots or 0.0) * (r.InOut or 0)
-                if r.FillPrice and r.FillPrice > 0 and (low is None or r.FillPrice < low):
-                    low, lots = r.FillPrice, 0.0
-                lots += signed
-                stopped = stopped or bool(r.FillPrice and r.RefPrice and r.FillPrice > r.RefPrice * stop)
-                width = r.AskPrice1 - r.BidPrice1
-                move, widen = (None, None) if bid is None else (r.BidPrice1 - bid, width - spread)
-                event = move is not None and abs(move) > 0.001 and abs(widen) > 0.001 and lots < 0
-                rows.append((*head, low, lots, move, widen, event, stopped, None))
-                bid, spread = r.BidPrice1, width
-            state.update((seq, low, lots, bid, spread, stopped))
+            out, held = advance(pd.concat(frames), held, stop, widen)
+            state.update(tuple(held[c] for c in names))
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+            out.insert(0, "Date", key[0])
+            out.insert(1, "QuoteCode", key[1])
+            yield out[NAMES]
 
-    return ticks.groupBy(*KEYS).applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    wanted = ["ChannelSeq", "TransTime", "FillPrice", "FillLots", "InOut", "TrialMatch", "BidPrice1", "AskPrice1", "RefPrice"]
+    own = ticks.withWatermark("TransTime", late).select(*[F.col(c).cast("string").alias(c) for c in KEYS], *wanted, F.unix_micros(F.col("TransTime").cast("timestamp")).alias("us"))
+    return own.groupBy(*KEYS).applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def turnover_5min(ticks: DataFrame, late: str = "10 minutes", time="TransTime") -> DataFrame:
-    return ticks.withWatermark(time, late).groupBy("Date", "QuoteCode", F.window(time, "5 minutes").alias("slot")).agg(F.sum(F.col("FillPrice") * F.col("FillLots")).alias("Amount"))
+    """Turnover of each entity and finished 5-minute slot, trial matches left out."""
+    amount = F.when(F.col("TrialMatch") == 0, F.col("FillPrice") * F.col("FillLots")).otherwise(0.0)
+    return ticks.withWatermark(time, late).groupBy("Date", "QuoteCode", F.window(time, "5 minutes").alias("slot")).agg(F.sum(amount).alias("Amount"))
 
 
-def rank_sink(path: str):
-    """foreachBatch writer: each finished slot's ordinal ranks, one folder a batch, so a repeated batch replaces itself."""
+def day_ranks(slots: DataFrame, ends: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
+    """Ranks of the day's turnover up to each slot end (Date, TimeSlot) in `ends`, over all entities that traded in the session until then.
+
+    slots: Date, QuoteCode, TimeSlot (a slot's end), Amount of that slot alone.
+    """
     from tickweave.operators.ticks import amount_rank
 
+    w = Window.partitionBy(*KEYS).orderBy("TimeSlot")
+    day = slots.withColumn("Amount", F.sum("Amount").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead("TimeSlot").over(w))
+    upto = F.broadcast(ends.groupBy("Date").agg(F.array_sort(F.collect_set("TimeSlot")).alias("_ends")))  # a session has 288 slots at most
+    own = day.join(upto, "Date").withColumn("_at", F.explode(F.filter("_ends", lambda e: (e >= F.col("TimeSlot")) & (F.col("_next").isNull() | (e < F.col("_next"))))))
+    own = own.select(*KEYS, F.col("_at").alias("TimeSlot"), "Amount")
+    own = own.withColumn("_ok", F.lit(True)) if eligible is None else own.join(eligible.select(*KEYS).withColumn("_ok", F.lit(True)), KEYS, "left").fillna(False, ["_ok"])
+    return amount_rank(own, "_ok").drop("_ok")
+
+
+def rank_sink(path: str, eligible: DataFrame | None = None):
+    """foreachBatch writer of turnover_5min: keeps each batch's slots, and writes the ordinal ranks of the day's turnover to date at the
+    slots that this batch finished. One folder a batch, so a repeated batch replaces itself."""
+
     def write(batch: DataFrame, k: int) -> None:
-        amount_rank(batch.withColumn("TimeSlot", F.col("slot.end")).drop("slot")).write.mode("overwrite").parquet(f"{path}/batch={k}")
+        spark = batch.sparkSession
+        flat = batch.select("Date", "QuoteCode", F.col("slot.end").alias("TimeSlot"), "Amount")
+        flat.write.mode("overwrite").parquet(f"{path}/slots/batch={k}")
+        now = spark.read.schema(flat.schema).parquet(f"{path}/slots/batch={k}")
+        if now.isEmpty():
+            return
+        whole = spark.read.schema(flat.schema).parquet(f"{path}/slots").filter(F.col("batch") <= k) if k else now
+        dates = [r[0] for r in now.select("Date").distinct().collect()]  # sessions of one batch
+        ends = now.select("Date", "TimeSlot").distinct()
+        day_ranks(whole.filter(F.col("Date").isin(*dates)).select(*flat.columns), ends, eligible).write.mode("overwrite").parquet(f"{path}/ranks/batch={k}")
 
     return write
 
 
-def opening_state(ticks: DataFrame, prior: DataFrame, seconds: int = 15, limit: float = 0.0025, time="TransTime", late: str = "1 minute") -> DataFrame:
-    """One market state per session, from the first seconds of the entities that ranked the day before."""
-    own = ticks.join(prior, ["Date", "QuoteCode"]).filter((F.col("FillPrice") > 0) & (F.hour(time) == 9) & (F.minute(time) == 0) & (F.second(time) < seconds))
-    move = (F.col("FillPrice") - F.col("RefPrice")) / F.col("RefPrice")
-    return own.withWatermark(time, late).groupBy("Date", F.window(time, "1 minute").alias("w")).agg(F.avg(move).alias("topOpen")).withColumn("state", F.when(F.col("topOpen") < limit, "abnormal").otherwise("normal"))
+def opening_state(ticks: DataFrame, prior: DataFrame, start: str = "09:00", seconds: int = 15, limit: float = 0.0025, k: int = 100, time="TransTime", late: str = "1 minute") -> DataFrame:
+    """One market state a session, from the opens of the entities that may be traded and ranked up to k the day before.
+
+    An entity's open is its first valid fill within the first seconds; entities weigh alike. Without any the state is
+    undecided (as is that of a session without ticks then, which has no row). prior: Date, QuoteCode, day_amount_rank, eligible.
+    """
+    top = prior.filter((F.col("day_amount_rank") <= k) & F.col("eligible")).select(*KEYS).distinct().withColumn("_top", F.lit(True))
+    first = clock(start)
+    early = ticks.withWatermark(time, late).filter((micros_of_day(time) >= first) & (micros_of_day(time) < first + seconds * 1_000_000))
+    own = early.join(F.broadcast(top) if top.limit(100_001).count() <= 100_000 else top, KEYS, "left")
+    valid = F.coalesce(F.col("_top"), F.lit(False)) & (F.col("TrialMatch") == 0) & (F.col("FillPrice") > 0)
+    move = F.when(valid, F.try_divide(F.col("FillPrice") - F.col("RefPrice"), F.col("RefPrice")))
+    span = "1 day"
+    opens = own.groupBy(*KEYS, F.window(time, span).alias("w")).agg(F.min_by(move, F.when(valid, F.struct(micros(time), F.col("ChannelSeq")))).alias("_move"))
+    whole = opens.groupBy("Date", F.window(F.window_time("w"), span).alias("w")).agg(F.avg("_move").alias("topOpen"), F.count("_move").alias("entities"))
+    return whole.select("Date", "topOpen", "entities", F.when(F.col("topOpen").isNull(), "undecided").when(F.col("topOpen") < limit, "abnormal").otherwise("normal").alias("state"))
 
 
 def gate_score(states: DataFrame, ranks: DataFrame, gates, score, limit: float) -> DataFrame:
     """Stream of candidates joined to static ranks, with its gate and score decision."""
-    own = states.filter("candidate and not stoppedOutToday").join(F.broadcast(ranks) if ranks.limit(100_001).count() <= 100_000 else ranks, ["Date", "QuoteCode"])
-    return own.withColumns({"passGate": F.coalesce(gates, F.lit(False)), "score": score}).withColumn("enter", F.col("passGate") & (F.col("score") > limit))
+    own = states.filter("candidateEvent and not stoppedOutToday").join(F.broadcast(ranks) if ranks.limit(100_001).count() <= 100_000 else ranks, KEYS)
+    return own.withColumns({"passGate": F.coalesce(gates, F.lit(False)), "score": score}).withColumn("enter", F.col("passGate") & F.coalesce(F.col("score") > limit, F.lit(False)))
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, each=None) -> DataFrame | None:
+    """Runs a stream over what its source holds now, into Parquet at path (read back) or through each(batch, number)."""
+    spark: SparkSession = stream.sparkSession
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start().awaitTermination()
+    return None if each else spark.read.schema(stream.schema).parquet(path)
