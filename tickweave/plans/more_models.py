@@ -80,19 +80,19 @@ def _labelled(spark, sf_dir):
     return labels.lower_stop(labels.raw_long(labels.raw_short(own, out="short"), out="long"), out="lower")
 
 
-@query(f"""WITH {LABEL_SQL} SELECT "ChannelSeq", round(short, 4) AS short, round(long, 4) AS long, round(lower, 4) AS lower FROM lb""")
+@query(f"""WITH {LABEL_SQL} SELECT "ChannelSeq", round(short, 6) AS short, round(long, 6) AS long, round(lower, 6) AS lower FROM lb""")
 def f_raw_labels(spark, sf_dir):
-    return rounded(_labelled(spark, sf_dir).select("ChannelSeq", "short", "long", "lower"), 4, "short", "long", "lower")
+    return rounded(_labelled(spark, sf_dir).select("ChannelSeq", "short", "long", "lower"), 6, "short", "long", "lower")
 
 
-@query(f"""WITH {LABEL_SQL} SELECT "ChannelSeq", round(beta * market, 4) AS hedge, round(short + beta * market, 4) AS idio, round((short + beta * market) / (vol * 10000), 4) AS z, round(beta * market / (vol * 10000), 4) AS hedge_z,
- round((short + beta * market) / (vol * 10000) * (vol * 10000), 3) AS back, round(short + beta * market - 19.3 - 2, 4) AS edge, round(long - beta * market, 4) AS long_idio FROM lb""")
+@query(f"""WITH {LABEL_SQL} SELECT "ChannelSeq", round(beta * market, 6) AS hedge, round(short + beta * market, 6) AS idio, round((short + beta * market) / (vol * 10000), 6) AS z, round(beta * market / (vol * 10000), 6) AS hedge_z,
+ round((short + beta * market) / (vol * 10000) * (vol * 10000), 6) AS back, round(short + beta * market - 19.3 - 2, 6) AS edge, round(long - beta * market, 6) AS long_idio FROM lb""")
 def f_hedged_labels(spark, sf_dir):
     own = labels.hedged(_labelled(spark, sf_dir), "short")
     long = labels.hedged(own, "long", short=False).select("ChannelSeq", F.col("idio_bp").alias("long_idio"))
     own = labels.edge(labels.to_bp(own, "z"), hedge_cost=2.0)
-    own = own.select("ChannelSeq", F.col("hedge_bp").alias("hedge"), F.col("idio_bp").alias("idio"), "z", "hedge_z", F.round("z_bp", 3).alias("back"), F.col("edge_bp").alias("edge")).join(long, "ChannelSeq")
-    return rounded(own, 4, "hedge", "idio", "z", "hedge_z", "edge", "long_idio")
+    own = own.select("ChannelSeq", F.col("hedge_bp").alias("hedge"), F.col("idio_bp").alias("idio"), "z", "hedge_z", F.round("z_bp", 6).alias("back"), F.col("edge_bp").alias("edge")).join(long, "ChannelSeq")
+    return rounded(own, 6, "hedge", "idio", "z", "hedge_z", "edge", "long_idio")
 
 
 @query(f"""WITH {LABEL_SQL}, v AS (SELECT *, "FillPrice" - CASE WHEN "FillLots" > 80 THEN 20.0 ELSE 0.0 END AS y FROM lb) SELECT "ChannelSeq", round(y - avg(y) OVER (PARTITION BY "Date", "QuoteCode"), 6) AS net, round(y - avg(y) OVER (PARTITION BY "Date"), 6) AS net_m FROM v""")

@@ -67,12 +67,12 @@ def a_flag_sessions(spark, sf_dir):
     return tables.flag_sessions(t, t.filter("FillPrice > 150")).select("ChannelSeq", "isAbnormalDate")
 
 
-@query("""SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, round(round(sum(o_totalprice) / 1000, 2) / 100, 6) AS ret FROM orders WHERE strftime(o_orderdate, '%Y%m%d') >= '19940101' GROUP BY 1""")
+@query("""SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, round(round(sum(o_totalprice) / 1000, 5) / 100, 7) AS ret FROM orders WHERE strftime(o_orderdate, '%Y%m%d') >= '19940101' GROUP BY 1""")
 def a_csv_round_trip(spark, sf_dir):
     path = scratch(spark, "csv")
-    daily = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice") / 1000, 2).alias("ret"))
+    daily = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice") / 1000, 5).alias("ret"))
     tables.write_csv(daily, path)
-    return tables.read_portfolio_csv(spark, path, pct=["ret"], start=19940101).select("date", F.col("n").cast("long").alias("n"), F.round("ret", 6).alias("ret"))
+    return tables.read_portfolio_csv(spark, path, pct=["ret"], start=19940101).select("date", F.col("n").cast("long").alias("n"), F.round("ret", 7).alias("ret"))
 
 
 @query(f"""WITH {T_SQL}, a AS (SELECT "Date", "QuoteCode", round(avg("FillPrice"), 4) AS score FROM t GROUP BY 1, 2), {MID_SQL} SELECT "Date", "QuoteCode", CASE WHEN "Date" >= (SELECT m FROM mid) THEN -score ELSE score END AS score FROM a""")

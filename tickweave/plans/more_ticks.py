@@ -55,14 +55,15 @@ PAIR_SQL = f"""{T_SQL}, s0 AS (SELECT *, "AskPrice1" - "BidPrice1" AS sp FROM t)
  s6 AS (SELECT *, CASE WHEN pb IS NOT NULL AND up < -0.01 THEN CASE WHEN "AskPrice1" < ask0 AND "BidPrice1" > bid0 THEN 0 WHEN "AskPrice1" < ask0 THEN -1 WHEN "BidPrice1" > bid0 THEN 1 ELSE 0 END END AS side FROM s5)"""
 
 
-@query(f"""WITH {PAIR_SQL} SELECT "ChannelSeq", round(pb, 4) AS pair_bid, round(pa, 4) AS pair_ask, round(elapsed, 4) AS elapsed, CAST(pair_id AS BIGINT) AS pair_id, CAST(pair_seq AS BIGINT) AS pair_seq, CAST(total AS BIGINT) AS total,
- CAST(sum(CASE WHEN up > 0 THEN 1 ELSE 0 END) OVER g AS BIGINT) AS widened, round(first_value(CASE WHEN side IS NOT NULL THEN elapsed END IGNORE NULLS) OVER g, 4) AS narrow_time, CAST(first_value(side IGNORE NULLS) OVER g AS INTEGER) AS narrow_side
+@query(f"""WITH {PAIR_SQL} SELECT "ChannelSeq", round(pb, 4) AS pair_bid, round(pa, 4) AS pair_ask, CAST(round(elapsed * 1000000) AS BIGINT) AS elapsed, CAST(pair_id AS BIGINT) AS pair_id, CAST(pair_seq AS BIGINT) AS pair_seq, CAST(total AS BIGINT) AS total,
+ CAST(sum(CASE WHEN up > 0 THEN 1 ELSE 0 END) OVER g AS BIGINT) AS widened, CAST(round(1000000 * first_value(CASE WHEN side IS NOT NULL THEN elapsed END IGNORE NULLS) OVER g) AS BIGINT) AS narrow_time, CAST(first_value(side IGNORE NULLS) OVER g AS INTEGER) AS narrow_side
  FROM s6 WINDOW g AS (PARTITION BY "QuoteCode", total ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def d_spread_pairs(spark, sf_dir):
     own = ticks.spread_pairs(ticks.differences(tick_frame(spark, sf_dir), USER), USER)
     own = own.select("ChannelSeq", F.col("SpreadPairBid").alias("pair_bid"), F.col("SpreadPairAsk").alias("pair_ask"), F.col("SpreadPairElapsed").alias("elapsed"), F.col("SpreadPairID").cast("long").alias("pair_id"), F.col("SpreadPairSeq").cast("long").alias("pair_seq"),
                      F.col("SpreadPairTotalCount").cast("long").alias("total"), F.col("SpreadCountAtSameCount").cast("long").alias("widened"), F.col("SpreadNarrowOrderTime").alias("narrow_time"), F.col("SpreadNarrowSide").alias("narrow_side"))
-    return rounded(own, 4, "pair_bid", "pair_ask", "elapsed", "narrow_time")
+    us = {c: F.round(F.col(c) * 1_000_000).cast("long") for c in ("elapsed", "narrow_time")}
+    return rounded(own, 4, "pair_bid", "pair_ask").withColumns(us)
 
 
 AMOUNT_SQL = f"""{T_SQL}, am AS (SELECT *, sum(CASE WHEN "TrialMatch" = 0 THEN "FillPrice" * "FillLots" ELSE 0 END) OVER (PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "Amount" FROM t)"""
@@ -328,11 +329,12 @@ DAY_STATE_SQL = f"""{DAY_PATH_SQL}, st AS (SELECT *, sum("FillLots" * "InOut") O
 
 
 @query(f"""WITH {DAY_STATE_SQL} SELECT "Date", CAST("QuoteCode" AS VARCHAR) AS "QuoteCode", "ChannelSeq", round("Open", 4) AS "Open", round(recent, 4) AS recent, round(low, 4) AS low, round(high, 4) AS high, CAST(at_low AS BIGINT) AS at_low, CAST(at_high AS BIGINT) AS at_high, round(move, 4) AS move, round(wider, 4) AS wider,
- round(pb, 4) AS pair_bid, round(pa, 4) AS pair_ask, round(el, 4) AS elapsed, round(took, 4) AS took, round(rate, 4) AS rate, coalesce(abs(wider) > 0.001 AND abs(move) > 0.001 AND at_low < 0, false) AS event, stopped FROM sp""")
+ round(pb, 4) AS pair_bid, round(pa, 4) AS pair_ask, CAST(round(el * 1000000) AS BIGINT) AS elapsed, CAST(round(took * 1000000) AS BIGINT) AS took, round(rate, 6) AS rate, coalesce(abs(wider) > 0.001 AND abs(move) > 0.001 AND at_low < 0, false) AS event, stopped FROM sp""")
 def l_tick_state(spark, sf_dir):
     own = live.drain(live.tick_state(_stream(spark, sf_dir)), scratch(spark, "tick-state"), scratch(spark, "tick-state-log")).filter("reject is null")
-    names = {"Open": "Open", "RecentFillPrice": "recent", "RecordLow": "low", "RecordHigh": "high", "BidPreMove": "move", "SpreadMove": "wider", "SpreadPairBid": "pair_bid", "SpreadPairAsk": "pair_ask", "SpreadPairElapsed": "elapsed", "MD_ElaspeTime_30": "took", "MD_L1Rate_30": "rate"}
-    return own.select("Date", "QuoteCode", "ChannelSeq", *[F.round(a, 4).alias(b) for a, b in names.items()], F.col("FillLots_atLow").cast("long").alias("at_low"), F.col("FillLots_atHigh").cast("long").alias("at_high"), F.col("candidateEvent").alias("event"), F.col("stoppedOutToday").alias("stopped"))
+    names = {"Open": "Open", "RecentFillPrice": "recent", "RecordLow": "low", "RecordHigh": "high", "BidPreMove": "move", "SpreadMove": "wider", "SpreadPairBid": "pair_bid", "SpreadPairAsk": "pair_ask"}
+    us = {"SpreadPairElapsed": "elapsed", "MD_ElaspeTime_30": "took"}
+    return own.select("Date", "QuoteCode", "ChannelSeq", *[F.round(a, 4).alias(b) for a, b in names.items()], *[F.round(F.col(a) * 1_000_000).cast("long").alias(b) for a, b in us.items()], F.round("MD_L1Rate_30", 6).alias("rate"), F.col("FillLots_atLow").cast("long").alias("at_low"), F.col("FillLots_atHigh").cast("long").alias("at_high"), F.col("candidateEvent").alias("event"), F.col("stoppedOutToday").alias("stopped"))
 
 
 @query(f"""WITH {T_SQL} SELECT "Date", count(*) AS n, CAST(sum("ChannelSeq") AS BIGINT) AS total FROM t GROUP BY 1""")

@@ -56,8 +56,7 @@ def advance(t: pd.DataFrame, s: dict | None, stop: float = 1.08, widen: float =
     reject = np.where(again, "repeat", np.where((seq < s["last_seq"]) | (us < high_us), "backward", None))
     ok = reject == None  # noqa: E711
     g, n = t[ok], int(ok.sum())
-    out = pd.DataFrame({c: pd.Series([None] * len(t), dtype=object) for c in NAMES[6:]})
-    out["reject"] = reject
+    out = {c: np.full(len(t), None, object) for c in NAMES[6:-1]}
     if n:
         num = lambda c: g[c].to_numpy(dtype=float, na_value=np.nan)
         price, lots, way, bid, ask, ref = map(num, ("FillPrice", "FillLots", "InOut", "BidPrice1", "AskPrice1", "RefPrice"))
@@ -87,16 +86,15 @@ def advance(t: pd.DataFrame, s: dict | None, stop: float = 1.08, widen: float =
             rate = (hits[here + 1] - hits[back]) / (known[here + 1] - known[back])
             stopped = np.logical_or.accumulate((trial == 0) & (price > ref * stop)) | bool(s["stopped"])
             event = (np.abs(wider) > 0.001) & (np.abs(move) > 0.001) & (at_low < 0)
-        found = {"BidPrice1": bid, "AskPrice1": ask, "Open": opened, "RecentFillPrice": np.where(np.isnan(recent), ref, recent), "RecordLow": low[1:], "RecordHigh": high[1:], "FillLots_atLow": at_low, "FillLots_atHigh": at_high, "BidPreMove": move, "SpreadMove": wider,
+        found = {"Open": opened, "RecentFillPrice": np.where(np.isnan(recent), ref, recent), "RecordLow": low[1:], "RecordHigh": high[1:], "FillLots_atLow": at_low, "FillLots_atHigh": at_high, "BidPreMove": move, "SpreadMove": wider,
                  "SpreadPairBid": pair_bid, "SpreadPairAsk": pair_ask, "SpreadPairElapsed": (now - base - pair_us) / 1e6, "MD_ElaspeTime_30": (times[here] - times[back]) / 1e6, "MD_L1Rate_30": rate, "candidateEvent": event, "stoppedOutToday": stopped}
         for c, v in found.items():
-            if c in out:
-                out.loc[ok, c] = v
+            out[c][ok] = v
         last = lambda x: None if np.isnan(x[-1]) else float(x[-1])
         s = dict(last_seq=int(seq[ok][-1]), last_us=int(max(high_us[-1], us[-1])), open=last(opened), recent=last(recent), low=last(low), high=last(high), lots_low=float(at_low[-1]), lots_high=float(at_high[-1]), bid=last(bids), ask=last(asks), trial=int(trial[-1]), pair_bid=last(pair_bid), pair_ask=last(pair_ask),
                  pair_us=None if np.isnan(pair_us[-1]) else int(pair_us[-1]) + base, stopped=bool(stopped[-1]), ring_us=times[-RING + 1 :].tolist(), ring_fill=fill[-RING + 1 :].tolist())
-    head = t[["ChannelSeq", "TransTime", "BidPrice1", "AskPrice1"]]
-    return pd.concat([head, out.drop(columns=["BidPrice1", "AskPrice1"], errors="ignore")], axis=1), s
+    head = {c: t[c] for c in NAMES[2:6]}
+    return pd.DataFrame(head | out | {"reject": reject}), s
 
 
 def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late: str = "10 minutes") -> DataFrame:
