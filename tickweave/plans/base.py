@@ -68,7 +68,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder (spark.checkpoint.dir); without one in a temporary folder, where the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
