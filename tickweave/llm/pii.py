@@ -4,7 +4,8 @@ Base entities (email, ip, card, phone) are found by pattern. The corpus then tel
 entity: over its distinct texts, ``share`` is the part of a word's texts that hold the entity, and ``g`` the
 log-likelihood ratio of word and entity, which entities of any frequency can reach. Words over both disclosure
 thresholds, in enough texts with the entity to be evidence, become ``term`` spans wherever they stand in the
-corpus; `sanitise` generalises entities to their kind and removes the terms.
+corpus; `sanitise` generalises entities to their kind and removes the terms. Work grows with a text's length and
+number of spans (times the length of a run of the two-level sums), never with their square.
 
 Defined results: a null text counts as empty; spans are code points, end exclusive, sorted by start, then
 kind; repeated rows give equal rows; an empty table gives no rows; further columns are ignored.
@@ -21,7 +22,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WORD = r"[\p{L}\p{N}]+"
 #: A G of 24 has a chance of one in a million without association; as many pairs are tested.
 MIN_COUNT, MIN_SHARE, MIN_G = 3, 0.5, 24.0
-SPAN = "struct<start:int,kind:int,end:int,value:string>"
+SPAN = "struct<start:int,kind:int,end:int,value:string,byte_end:int>"
+#: Length of the runs of the two-level sums.
+BLOCK = 128
 
 #: Possessive quantifiers and look-behinds give the leftmost matches of the plain patterns without their
 #: backtracking. The email pattern also takes runs that lead to no address, so they are scanned once.
@@ -35,20 +38,35 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def scan(values: Column, kind: str, step) -> Column:
+    """Running values of an array, each with those before it, in two levels: appending to one array copies it every time."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def run(first: Column, own: Column) -> Column:
+        add = lambda acc, x: once(step(acc["at"], x), lambda now: F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out")))
+        return F.aggregate(own, F.struct(first.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    def parts(own: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int")), lambda b: F.slice(own, b * BLOCK + 1, BLOCK))
+        return once(blocks, lambda bs: once(run(F.lit(0).cast(kind), F.transform(bs, lambda x: F.aggregate(x, F.lit(0).cast(kind), step))), lambda ends:
+            F.flatten(F.transform(bs, lambda x, b: run(F.when(b == 0, F.lit(0).cast(kind)).otherwise(F.get(ends, b - 1)), x)))))
+
+    return F.when(F.size(values) == 0, empty).otherwise(once(values, parts))
+
+
 def matches(text: Column, pattern: str, kind: int, ok) -> Column:
-    """Spans of the matches that pass ok; lengths of the pieces between them give the places."""
+    """Spans of the matches that pass ok; lengths of the pieces between them give the places, in code points and in bytes."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # Pieces are paired with matches before the sums, so the text is split once.
+    paired = F.filter(F.arrays_zip(pieces.alias("piece"), found.alias("match")), lambda z: z["match"].isNotNull())
+    ends = lambda size, both: scan(F.transform(both, lambda z: size(z["piece"]) + size(z["match"])), "int", lambda a, x: a + x)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(ok(x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(both: Column) -> Column:
+        placed = F.arrays_zip(both.alias("z"), ends(F.length, both).alias("end"), ends(F.octet_length, both).alias("byte_end"))
+        return F.transform(F.filter(placed, lambda x: ok(x["z"]["match"])), lambda x: F.struct(
+            (x["end"] - F.length(x["z"]["match"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["z"]["match"].alias("value"), x["byte_end"].alias("byte_end")))
 
-    # Pieces are paired with matches before the fold, so the text is split once.
-    paired = F.transform(F.arrays_zip(pieces.alias("piece"), found.alias("match")), lambda z: F.struct(F.length(z["piece"]).alias("gap"), z["match"].alias("m")))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
-    return F.aggregate(F.filter(paired, lambda x: x["m"].isNotNull()), start, add, lambda acc: acc["spans"])
+    return once(paired, spans)
 
 
 def _digits(m: Column) -> Column:
@@ -73,16 +91,28 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, dotted, card, phone))
 
 
-def blanked(text: Column, base: Column) -> Column:
-    """The text with blanks for its base spans; places stay as they are."""
+def rebuilt(text: Column, spans: Column, put) -> Column:
+    """The text with put(span, code points of it that no span before covers) in place of what its sorted spans cover."""
+
+    def parts(raw: Column, own: Column) -> Column:
+        ends, covered = (scan(own[c], "int", lambda a, x: F.greatest(a, x)) for c in ("byte_end", "end"))
+        placed = F.arrays_zip(own.alias("s"), ends.alias("to"), covered.alias("upto"))
 
-    def put(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, blanks).alias("out"))
+        def piece(all_: Column, x: Column, i: Column) -> Column:
+            before, upto = (F.when(i == 0, F.lit(0)).otherwise(F.get(all_, i - 1)[c]) for c in ("to", "upto"))
+            start = x["s"]["byte_end"] - F.octet_length(x["s"]["value"])
+            between = F.substring(raw, before + 1, F.greatest(start - before, F.lit(0))).cast("string")
+            return F.concat(between, put(x["s"], F.greatest(x["s"]["end"] - F.greatest(x["s"]["start"], upto), F.lit(0))))
 
-    whole = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(base) == 0, text).otherwise(whole)
+        rest = lambda all_: F.substring(raw, F.get(all_, F.size(all_) - 1)["to"] + 1, F.octet_length(raw)).cast("string")
+        return once(placed, lambda all_: F.concat(F.array_join(F.transform(all_, lambda x, i: piece(all_, x, i)), ""), rest(all_)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(once(F.struct(text.cast("binary").alias("raw"), spans.alias("own")), lambda v: parts(v["raw"], v["own"])))
+
+
+def blanked(text: Column, base: Column) -> Column:
+    """The text with blanks for its base spans; places stay as they are."""
+    return rebuilt(text, base, lambda s, n: F.repeat(F.lit(" "), n))
 
 
 def _words(plain: str) -> Column:
@@ -139,18 +169,13 @@ def listed(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """docs (doc_id, text) with clean_text: entities become their kind in angle brackets, revealing terms go."""
-    found = detect(docs, **thresholds).dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "s_id")
-    own = docs.withColumn("text_key", F.xxhash64(text_of(), F.length(text_of())))
-    both = own.join(found.select("s_id", F.col("text_key").alias("s_key"), "spans"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left")
+    found = detect(docs, **thresholds).dropDuplicates(["doc_id", "text_key"])
+    found = found.select(F.col("doc_id").alias("_s_id"), F.col("text_key").alias("_s_key"), F.col("spans").alias("_s_spans"))
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.xxhash64(text_of(), F.length(text_of())) == F.col("_s_key")), "left")
     names = F.array(*map(F.lit, KINDS))
-
-    def put(acc: Column, s: Column) -> Column:
-        between = F.substring(text_of(), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when((s["kind"] == 4) | (s["end"] <= acc["at"]), F.lit("")).otherwise(F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, mark).alias("out"))
-
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda acc: F.concat(acc["out"], F.substring(text_of(), acc["at"] + 1, F.length(text_of()))))
-    return both.withColumn("clean_text", whole).select(*[docs[c] for c in docs.columns if c != "clean_text"], "clean_text")
+    # A span that lies within those before it leaves nothing, not even its kind.
+    whole = rebuilt(text_of(), F.coalesce("_s_spans", _none()), lambda s, n: F.when((s["kind"] == 4) | (n == 0), F.lit("")).otherwise(F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">"))))
+    return both.select(*[c for c in docs.columns if c != "clean_text"], whole.alias("clean_text"))
 
 
 def digests(found: DataFrame) -> DataFrame:
