@@ -6,9 +6,12 @@ rows: a stem's weight is its log-odds between toxic and other documents; an exce
 matched word with a neighbour, or the word itself) that only other documents hold. Sums of weights per
 hundred words, and whether there is any match, go through a logistic curve fitted on the same labelled rows.
 
-Defined results: a null or empty text has no hits and scores as such; repeated rows score alike; documents
-without a label are scored too; repeated labels of a document count once, at the largest; an empty table
-gives no rows; further columns are never read. Without any toxic label every score is 0.
+Stems are the first SHORTEST to LONGEST letters of words. What is learnt is bounded by MAX_LABELLED labelled rows
+and by nothing else; every text is scored in whole.
+
+Defined results: a null or empty text has no hits and scores as such; very long texts are read in whole; repeated
+rows score alike; documents without a label are scored too; repeated labels of a document count once, at the
+largest; an empty table gives no rows; further columns are never read. Without any toxic label every score is 0.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from tickweave.llm.base import text_of
 #: Documented bound of the labelled rows that the lexicon and the curve are fitted on.
 MAX_LABELLED = 30_000
 SHORTEST, LONGEST = 4, 9
-MIN_TOXIC, MIN_ODDS, MAX_STEMS = 5, 2.5, 2_000
+MIN_TOXIC, MIN_ODDS = 5, 2.5
 EXCEPTION_MIN = 3
 #: Letters of other scripts, and digits and signs, that look like Latin letters.
 LOOKS = {
@@ -75,12 +78,12 @@ class Lexicon:
             start = end - len(stem) + 1
             if (start == 0 or not folded[start - 1].isalnum()) and len(stem) > len(best.get(start, "")):
                 best[start] = stem
-        out = []
-        for start, stem in best.items():
-            word = WORD.match(folded, start)[0]
-            before, after = WORD.findall(folded[max(0, start - 40) : start]), WORD.findall(folded[start + len(word) : start + len(word) + 40])
-            out.append((stem, word, before[-1] if before else "", after[0] if after else ""))
-        return out
+        if not best:
+            return []
+        words = [(m.start(), m[0]) for m in WORD.finditer(folded)]
+        at = {start: k for k, (start, _) in enumerate(words)}
+        word = lambda k: words[k][1] if 0 <= k < len(words) else ""
+        return [(stem, word(at[start]), word(at[start] - 1), word(at[start] + 1)) for start, stem in best.items()]
 
     def measure(self, automaton, text: str) -> tuple[int, float, float]:
         """Hits, damped sum of weights, sum per hundred words."""
@@ -102,9 +105,11 @@ def choose(features: list[tuple[str, int, int]], n_toxic: int, n_other: int) ->
         if a >= MIN_TOXIC and sure >= MIN_ODDS:
             scored.append((round(sure + 0.3 * math.log(a), 9), len(stem), stem, odds))
     out: dict[str, float] = {}
+    begun: set[str] = set()  # the beginnings of those chosen
     for _, _, stem, odds in sorted(scored, reverse=True):
-        if len(out) < MAX_STEMS and not any(stem[:k] in out for k in range(SHORTEST, len(stem))) and not any(s.startswith(stem) for s in out):
+        if stem not in begun and not any(stem[:k] in out for k in range(SHORTEST, len(stem))):
             out[stem] = odds
+            begun.update(stem[:k] for k in range(SHORTEST, len(stem) + 1))
     return out
 
 
@@ -137,9 +142,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> L
             yield pa.RecordBatch.from_pydict({"stem": list(counts), "a": [c[0] for c in counts.values()], "b": [c[1] for c in counts.values()]}, pa.schema([("stem", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
 
     found = own.select("text", "toxic").mapInArrow(features, "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # Only stems with clear odds leave the executors, the most telling first.
+    # Only stems of several toxic rows with clear odds leave the executors; the labelled rows bound them.
     clear = found.filter((F.col("a") >= MIN_TOXIC) & (F.col("a") * max(n_other, 1) > 7 * F.col("b") * max(n_toxic, 1)))
-    lexicon = Lexicon(choose([tuple(r) for r in clear.orderBy(F.desc("a"), "stem").limit(20 * MAX_STEMS).collect()], n_toxic, n_other))
+    lexicon = Lexicon(choose([tuple(r) for r in clear.collect()], n_toxic, n_other))
 
     def phrases(batches):
         automaton = lexicon.automaton()
@@ -152,12 +157,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> L
             yield pa.RecordBatch.from_pydict({"phrase": list(counts), "a": [c[0] for c in counts.values()], "b": [c[1] for c in counts.values()]}, pa.schema([("phrase", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
 
     spoken = own.select("text", "toxic").mapInArrow(phrases, "phrase string, a long, b long").groupBy("phrase").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    lexicon.exceptions = {r["phrase"] for r in spoken.filter((F.col("a") == 0) & (F.col("b") >= EXCEPTION_MIN)).orderBy(F.desc("b"), "phrase").limit(MAX_STEMS).collect()}
+    lexicon.exceptions = {r["phrase"] for r in spoken.filter((F.col("a") == 0) & (F.col("b") >= EXCEPTION_MIN)).collect()}
 
     sums = own.select("toxic", "text").mapInArrow(_measures(lexicon, ["toxic"]), "toxic int, n_hits long, total double, density double")
-    seen = sums.groupBy("toxic", F.round("total", 2).alias("total"), F.round("density", 2).alias("density")).agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "total", "density").limit(max_rows).toPandas()
+    # At most some 20,000 different points, whatever the rows: sums over 100 lie where the curve is flat.
+    seen = sums.groupBy("toxic", (F.col("total") > 0).alias("any"), F.least(F.round("density", 2), F.lit(100.0)).alias("density")).agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "any", "density").toPandas()
     if n_toxic and len(seen):
-        x = np.column_stack([np.ones(len(seen)), seen.total > 0, seen.density])
+        x = np.column_stack([np.ones(len(seen)), seen["any"], seen.density])
         lexicon.curve = logistic(x.astype(float), (seen.toxic == 1).to_numpy(float), seen.n.to_numpy(float))
     return lexicon
 
