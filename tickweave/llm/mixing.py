@@ -6,10 +6,14 @@ targets: projected-gradient least squares, where one step is one aggregation of
 domains, and rates follow by a column expression. Only those sums pass through the driver.
 
 The classifier is naive Bayes over hashed word features (those with clear evidence only), tempered by the
-number of features found so that long texts stay soft. It may be fitted on MAX_LABELLED labelled rows, a
-documented bound; scoring covers every word of every document.
+number of features found so that long texts stay soft. Its size is set by three parameters: it may be fitted on
+MAX_LABELLED labelled rows, keeps the MAX_FEATURES features of clearest evidence, and knows MAX_DOMAINS domains at
+most (more raise a ValueError). Scoring covers every word of every document.
 
-Defined results: a null or empty text has no tokens, prior posteriors and the rate its posteriors give; a
+Tokens are counted by a column that the caller may give (ids of a tokenizer, say); by default they are words, so
+that the main path stays in SQL functions.
+
+Defined results: very long texts are read in whole; a null or empty text has no tokens, prior posteriors and the rate its posteriors give; a
 document labelled repeatedly counts once, at the least label; repeated rows are rated alike; an empty table
 gives no rows; without labels there is one domain, "all". Clashing further columns are not read.
 """
@@ -49,7 +53,7 @@ def slots(words: Column) -> Column:
     return once(words, found)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> dict:
+def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> dict:
     """labels: doc_id, domain. A model of bounded size: domains, log priors, and per domain sparse log-odds by slot."""
     known = labels.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -71,7 +75,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL
     z = (p - q) / F.sqrt(both * (1 - F.least(both, F.lit(0.999))) * (1 / (inside + 1) + 1 / (outside + 1)))
     clear = counts.join(whole, "slot").select("domain", "slot", F.log(p / q).alias("odds"), z.alias("z")).filter((F.col("z") > MIN_Z) & (F.col("odds") > MIN_ODDS))
     odds: dict[str, dict[int, float]] = {d: {} for d in domains}
-    for r in clear.orderBy(F.desc("z"), "domain", "slot").limit(MAX_FEATURES).collect():
+    for r in clear.orderBy(F.desc("z"), "domain", "slot").limit(max_features).collect():
         odds[r["domain"]][r["slot"]] = r["odds"]
     return {"domains": domains, "priors": [math.log(sizes[d] / total) for d in domains], "odds": [odds[d] for d in domains]}
 
@@ -164,8 +168,8 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 WEIGHTS = {"clean": 0.95, "toxic": 0.03, "junk": 0.02}
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, source, n_tokens, posteriors, rate and copies (whole copies to write, rate in expectation) for every row.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED, tokens: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens (words, or the column tokens of docs), posteriors, rate and copies (whole copies to write, rate in expectation) for every row.
 
     The targets share out the tokens there are by weights (WEIGHTS; equal if no domain has one).
     """
@@ -173,8 +177,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     model = fit_classifier(docs, labels, max_labelled)
     words = words_of(text_of())
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text_of()).alias("text_key"), words.alias("words"))
-    own = own.select("doc_id", "source", "text_key", F.size("words").cast("double").alias("n_tokens"), posteriors(slots(F.col("words")), model).alias("posteriors"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text_of()).alias("text_key"), words.alias("words"), (F.size(words) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))).cast("double").alias("n_tokens"))
+    own = own.select("doc_id", "source", "text_key", "n_tokens", posteriors(slots(F.col("words")), model).alias("posteriors"))
     members = staged(own, "members")
     members = members.select("*", *[F.get("posteriors", F.lit(d)).alias(f"p{d}") for d in range(len(model["domains"]))])
     total = members.agg(F.sum("n_tokens")).first()[0] or 0.0
