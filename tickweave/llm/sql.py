@@ -28,4 +28,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits
 OP7 = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
-SQL = {"op1_chat_format": OP1, "op2_quality_rules": OP2, "op7_exact_dedup": OP7}
+RULES = ("too_few_words", "repeated_windows", "symbol_share", "bang_share", "pipe_share", "duplicate_lines", "word_length", "stutter_share")
+ABLATIONS = "WITH l AS (" + OP2 + ") " + " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, '{RULES[k]}' AS rule, count(*) FILTER (WHERE fail_bits & {1 << k} <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & {most} = {1 << k}) AS n_only FROM l"
+    for policy, n, most in (("v1", 4, 15), ("v2", 8, 255)) for k in range(n))
+
+SQL = {"quality_ablations": ABLATIONS, "op1_chat_format": OP1, "op2_quality_rules": OP2, "op7_exact_dedup": OP7}
