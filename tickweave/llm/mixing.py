@@ -192,8 +192,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs with each row written as often as its copies say."""
-    other = mixed.filter("copies != 1").select(F.col("doc_id").alias("m_id"), "text_key", "copies").distinct()
-    own = docs.withColumn("own_key", F.xxhash64(text_of()))
-    both = own.join(small_side(other), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("own_key") == F.col("text_key")), "left")
-    times = F.coalesce("copies", F.lit(1)).cast("int")
-    return both.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    other = mixed.filter("copies != 1").select(F.col("doc_id").alias("_m_id"), F.col("text_key").alias("_m_key"), F.col("copies").alias("_m_copies")).distinct()
+    both = docs.join(small_side(other), F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.xxhash64(text_of()) == F.col("_m_key")), "left")
+    times = F.coalesce("_m_copies", F.lit(1)).cast("int")
+    return both.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
