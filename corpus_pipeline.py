@@ -6,6 +6,11 @@ stage encodes them. All but the last return the columns of documents.
 
 A stage that needs the labels table reads it from sf_dir. A document that mixing writes several times stays
 several rows, with the same doc_id.
+
+Defined results: null and empty texts have too few words and go with the quality rules; very long texts are read in
+whole by every stage; rows of equal text go by their place in the files where ids are equal or missing; rows without
+an id are outlived by those with one; further columns pass through all stages but the last, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
