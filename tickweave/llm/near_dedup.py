@@ -1,63 +1,152 @@
 """Near-duplicate detection by consistent weighted sampling.
 
-A document is the weighted set of its five-word shingles: a shingle's weight is 1 + ln(its count), times its
+A document is the weighted set of its five-word shingles. A shingle's TF-IDF weight is 1 + ln(its count) times its
 inverse document frequency. (Plain counts would call texts alike that share nothing but one line, repeated.)
-Improved consistent weighted sampling draws K samples of that set, so that two documents agree in a sample with probability equal to their weighted Jaccard similarity. Samples are banded; documents
-that share a band are candidates. Candidates are verified by their exact weighted Jaccard similarity, in which a
-shingle weighs 1 + ln(its count) alone: were it to weigh its document frequency too, whether two texts are
-alike would hang on the rest of the corpus, and pairs at the threshold would fall on either side of it.
-
-Equal word sequences are collapsed first. In each band's bucket every member is verified against one hub,
-one edge a member. Buckets that hold more than one connected class after that try HUBS further hubs, each the
-member most like the one before; what is of different classes even then is tried pair by pair, where an
-exact bound allows a link. So a bucket of n alike costs a multiple of n, and no link between classes is lost.
-Frequencies are counted over all documents in hashed slots of fixed number.
+Improved consistent weighted sampling draws K samples of that set, so that two documents agree in a sample with
+probability equal to their weighted Jaccard similarity. Samples are banded; documents that share a band are
+candidates, and are verified by their exact weighted Jaccard similarity. Two texts are linked where that is
+THRESHOLD or more under the TF-IDF weights, or under 1 + ln(count) alone: whether two texts are alike can then
+never be undone by how often the rest of the corpus says the same.
 
 Inverse document frequency runs from 1 (a shingle of one document) to MIN_IDF (a shingle of all): a plain
 logarithm would weigh the few words in which members of a large group differ so much more than the words
-they share that the group would fall apart.
+they share that the group would fall apart. Frequencies are counted over all documents in hashed slots of fixed
+number.
+
+Equal word sequences are collapsed first. In each band's bucket every member is verified against one hub,
+one edge a member. Buckets that hold more than one connected class after that try HUBS further hubs, each the
+member most like the one before. What is of different classes even then is searched by what sets it apart from
+the middle of the bucket (see `nearest_pairs` and `apart`), which finds every pair that is left without trying all.
+So a bucket of n alike costs a multiple of n, and no link between classes is lost.
 
 Defined results: null texts count as empty; all texts without words form one class; a text of fewer than
-five words has one shingle, its words; repeated rows share a class; an empty table gives no rows; further
-columns are ignored. The class id is the least doc_id in the class.
+five words has one shingle, its words; very long texts are read in whole; repeated rows share a class; an empty
+table gives no rows; further columns are ignored. The class id is the least doc_id in the class.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import located, once, small_side, staged, text_of, words_of
+from tickweave.llm.base import located, small_side, staged, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 5
-#: Further hubs that a bucket of several classes tries before all its remaining pairs are.
-HUBS = 3
+#: Further hubs that a bucket of several classes tries before its remaining pairs are searched; they save work there, and change no result.
+HUBS = 1
 SLOTS = 1 << 18
 MIN_IDF = 0.8
 #: Rows of the table of random draws; a shingle's draws are those of its slot there.
 DRAWS = 1 << 14
+#: Texts of which a two are alike differ by at most this share of their weights' sum.
+SLACK = (1 - THRESHOLD) / (1 + THRESHOLD)
+#: Members of a bucket from which its centre is taken, about.
+SAMPLE = 32
+#: Bytes of text hashed at once.
+SLICE = 1 << 19
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _slices(text: bytes):
+    """The text in slices of about SLICE bytes, cut at blanks."""
+    first = 0
+    while len(text) - first > SLICE and (cut := _BLANK.search(text, first + SLICE)):
+        yield text[first : cut.start()]
+        first = cut.end()
+    yield text[first:]
+
+
+def text_key(text: bytes) -> bytes:
+    """Known by 128 bits of a digest: the words of a text (bytes.split cuts at blank, tab, line feed, vertical tab, form feed and carriage return)."""
+    digest, lead = hashlib.sha256(), b""
+    for part in _slices(text):
+        if words := part.split():
+            digest.update(lead + b" ".join(words))
+            lead = b" "
+    return digest.digest()[:16]
 
 
-def shingles(words: Column) -> Column:
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """A random 64-bit number for each byte, and which bytes separate words."""
+    blank = np.zeros(256, bool)
+    blank[[0x20, *range(0x09, 0x0E)]] = True
+    return np.random.default_rng(21).integers(0, 1 << 64, 256, np.uint64), blank
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** k and base ** -k modulo 2 ** 64, for k below n."""
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and where each starts: polynomials over its bytes, as differences of prefix sums."""
+    letters, blank = _letters()
+    own = np.frombuffer(text, np.uint8)
+    gaps = np.ones(len(own) + 2, bool)
+    gaps[1:-1] = blank[own]
+    turns = np.flatnonzero(gaps[1:] != gaps[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    up, down = _powers(1 << max(12, len(own).bit_length()))
+    sums = np.zeros(len(own) + 1, np.uint64)
+    np.cumsum(letters[own] * up[: len(own)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * down[starts]
+    found ^= found >> np.uint64(29)
+    return found * np.uint64(0xBF58476D1CE4E5B9), starts
+
+
+def _windows(words: np.ndarray, wide: int) -> np.ndarray:
+    n = len(words) - wide + 1
+    out = np.full(n, wide, np.uint64)
+    for k in range(wide):
+        out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def shingles(text: bytes) -> np.ndarray:
     """64-bit hashes of the windows of WORDS words; of all words where there are fewer."""
-    def found(ws: Column) -> Column:
-        n = F.size(ws)
-        many = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WORDS)]))
-        return F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
-
-    return once(words, found)
+    words = np.concatenate([word_hashes(part)[0] for part in _slices(text)])
+    return _windows(words, min(WORDS, len(words))) if len(words) else words.view(np.int64)
+
+
+def all_shingles(texts: list[bytes]):
+    """shingles of each text in turn; short texts are hashed side by side."""
+    first = 0
+    while first < len(texts):
+        stop, size = first, 0
+        while stop < len(texts) and (stop == first or size + len(texts[stop]) < SLICE):
+            size += len(texts[stop]) + 1
+            stop += 1
+        if stop == first + 1:
+            yield shingles(texts[first])
+        else:
+            words, starts = word_hashes(b"\n".join(texts[first:stop]))
+            lengths = np.array([len(t) + 1 for t in texts[first:stop]])
+            bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)])).tolist()
+            whole = _windows(words, WORDS) if len(words) >= WORDS else words[:0].view(np.int64)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield whole[a : b - WORDS + 1] if b - a >= WORDS else _windows(words[a:b], b - a) if b > a else words[:0].view(np.int64)
+        first = stop
 
 
 @lru_cache(1)
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, log c and beta of each slot of draws and sample: Gamma(2, 1), Gamma(2, 1) and uniform, from a fixed seed."""
+def draws() -> np.ndarray:
+    """Of each slot of draws, for each sample: 1 / r, beta, r and log c + r (beta - 1), with r and c drawn from Gamma(2, 1) and beta uniform, from a fixed seed."""
     rng, shape = np.random.default_rng(20), (DRAWS, BANDS * ROWS)
-    return rng.gamma(2, 1, shape).astype(np.float32), np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape, np.float32)
+    r, log_c, beta = rng.gamma(2, 1, shape).astype(np.float32), np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape, np.float32)
+    return np.stack([1 / r, beta, r, log_c + r * (beta - 1)], 1)
 
 
 def _lists(column: pa.Array):
@@ -66,20 +155,24 @@ def _lists(column: pa.Array):
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def idf_table(hashed: DataFrame, n_docs: int) -> np.ndarray:
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").to_pylist()
+
+
+def idf_table(texts: DataFrame, n_docs: int) -> np.ndarray:
     """Weight of each slot; SLOTS values whatever the corpus."""
 
     def count(batches):
         held = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for own in _lists(batch.column("shingles")):
+            for own in all_shingles(_texts(batch)):
                 held[np.unique(own & (SLOTS - 1))] += 1
         at = np.flatnonzero(held)
         for first in range(0, len(at), 1 << 16):
             part = at[first : first + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], ["slot", "n"])
 
-    counts = hashed.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     # Slots with one document need no row: one is the least count that any looked-up slot has.
     found = counts.filter("n > 1").toArrow()
     seen = np.ones(SLOTS)
@@ -87,31 +180,32 @@ def idf_table(hashed: DataFrame, n_docs: int) -> np.ndarray:
     return (1 - (1 - MIN_IDF) * np.log(seen) / max(np.log(max(n_docs, 2)), 1e-9)).clip(MIN_IDF, 1).astype(np.float32)
 
 
-def weighted(own: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, ascending, and their weights: 1 + ln(count), times inverse document frequencies if given."""
+def weighted(own: np.ndarray, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, their weights 1 + ln(count), and these times their inverse document frequencies (1 if none are given)."""
     ids, counts = np.unique(own, return_counts=True)
-    weights = 1 + np.log(counts)
-    return ids, weights if idf is None else weights * idf[ids & (SLOTS - 1)]
+    plain = 1 + np.log(counts)
+    return ids, plain, plain if idf is None else plain * idf[ids & (SLOTS - 1)]
 
 
 def samples(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Hashes of the BANDS bands of a weighted set."""
-    r, log_c, beta = draws()
-    best, pick, steps = None, None, None
-    for first in range(0, len(ids), 512):
-        part = ids[first : first + 512]
-        slot = (part >> 20) & (DRAWS - 1)
-        rr, bb = r[slot], beta[slot]
-        t = np.floor(np.log(weights[first : first + 512]).astype(np.float32)[:, None] / rr + bb)
-        a = log_c[slot] - rr * (t - bb + 1)
+    """Hashes of the BANDS bands of a weighted set: of each sample the shingle of least log(a), and the step of its weight."""
+    table, best = draws(), None
+    k = np.arange(BANDS * ROWS)
+    for first in range(0, len(ids), 256):
+        part = ids[first : first + 256]
+        own = table[(part >> 20) & (DRAWS - 1)]
+        t = own[:, 0] * np.log(weights[first : first + 256]).astype(np.float32)[:, None]
+        t += own[:, 1]
+        np.floor(t, out=t)
+        a = own[:, 2] * t
+        np.subtract(own[:, 3], a, out=a)
         at = a.argmin(0)
-        k = np.arange(a.shape[1])
-        low, own, tt = a[at, k], part[at], t[at, k].astype(np.int64)
+        low, own_id, step = a[at, k], part[at], t[at, k].astype(np.int64)
         if best is None:
-            best, pick, steps = low, own, tt
+            best, pick, steps = low, own_id, step
         else:
             less = low < best
-            best, pick, steps = np.where(less, low, best), np.where(less, own, pick), np.where(less, tt, steps)
+            best, pick, steps = np.where(less, low, best), np.where(less, own_id, pick), np.where(less, step, steps)
     with np.errstate(over="ignore"):
         h = (pick * np.int64(-7046029254386353131)) ^ (steps * np.int64(0x2545F4914F6CDD1D))
         h ^= h >> np.int64(29)
@@ -122,33 +216,66 @@ def samples(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two weighted sets."""
+def similarity(a: tuple, b: tuple) -> float:
+    """Weighted Jaccard similarity of two weighted sets: the greater of those under their two weightings."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][i], b[1][j]).sum()
-    whole = a[1].sum() + b[1].sum() - least
-    return float(least / whole) if whole else 1.0
+    best = 0.0
+    for x, y in zip(a[1:], b[1:], strict=True):
+        least = np.minimum(x[i], y[j]).sum()
+        whole = x.sum() + y.sum() - least
+        best = max(best, float(least / whole) if whole else 1.0)
+    return best
 
 
-def bands(hashed: DataFrame, idf) -> DataFrame:
+def bands(texts: DataFrame, idf) -> DataFrame:
     """key, band (its number is part of the hash)."""
 
     def run(batches):
         salt = np.arange(BANDS, dtype=np.int64) * np.int64(0x9E3779B97F4A7C1)
         for batch in batches:
-            keys, found = batch.column("key"), [samples(*weighted(own, idf.value)) + salt for own in _lists(batch.column("shingles"))]
+            keys, found, texts = [], [], _texts(batch)
+            for text, own in zip(texts, all_shingles(texts), strict=True):
+                if len(own):
+                    ids, _, weights = weighted(own, idf.value)
+                    keys.append(text_key(text))
+                    found.append(samples(ids, weights) + salt)
             if found:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(keys)), BANDS))), pa.array(np.concatenate(found))], ["key", "band"])
+                keys = pa.array(keys, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found))], ["key", "band"])
 
-    return hashed.filter(F.size("shingles") > 0).select("key", "shingles").mapInArrow(run, "key binary, band long")
+    return texts.mapInArrow(run, "key binary, band long")
 
 
-def verified(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their similarity.
+def sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, shingles of the texts with these keys."""
+
+    def name(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(text_key, _texts(batch)), pa.binary()), batch.column("text")], ["key", "text"])
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                found = list(all_shingles(_texts(part)))
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))], ["key", "shingles"])
+
+    named = texts.mapInArrow(name, "key binary, text binary")
+    return named.join(small_side(keys), "key", "left_semi").mapInArrow(run, "key binary, shingles array<bigint>")
+
+
+def _both(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The pairs with the shingles of a (sa) and b (sb).
 
     The side with few distinct ids (b, a bucket's hub) may be asked for very often, so pairs are first
     joined to a's shingles, and then to b's, whose hot ids adaptive execution splits.
     """
+    return pairs.join(hashed.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(hashed.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+
+
+def verified(pairs: DataFrame, hashed: DataFrame, idf) -> DataFrame:
+    """The pairs (a, b) with their similarity."""
 
     def run(batches):
         for batch in batches:
@@ -156,24 +283,118 @@ def verified(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
             sims = []
             for b, x, y in zip(batch.column("b").to_pylist(), _lists(batch.column("sa")), _lists(batch.column("sb")), strict=True):
                 if b != last:
-                    last, held = b, weighted(y)
-                sims.append(similarity(weighted(x), held))
+                    last, held = b, weighted(y, idf.value)
+                sims.append(similarity(weighted(x, idf.value), held))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
-    texts = hashed.select("key", "shingles")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, similarity double")
-
+    return _both(pairs, hashed).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, similarity double")
+
+
+def centres(members: DataFrame, hashed: DataFrame) -> DataFrame:
+    """For each hub (b) of members (a, b) a set in the middle of them: ids, weights of the shingles that most of about SAMPLE
+    members have. It is a pivot: what is found around it is exact wherever it lies."""
+    counts = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    sample = members.join(counts, "b").filter(F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    texts = sample.select("b", "a").join(hashed.select(F.col("key").alias("a"), "shingles"), "a").select("b", "shingles")
+
+    def middle(group: pa.Table) -> pa.Table:
+        sets_ = [weighted(x) for x in _lists(group.column("shingles").combine_chunks())]
+        ids, at = np.unique(np.concatenate([x[0] for x in sets_]), return_inverse=True)
+        weights, n = np.bincount(at, np.concatenate([x[1] for x in sets_]), len(ids)), np.bincount(at, minlength=len(ids))
+        most = 2 * n > len(sets_)
+        return pa.table({"b": group.column("b").slice(0, 1), "ids": pa.array([ids[most]], pa.list_(pa.int64())), "weights": pa.array([(weights / np.maximum(n, 1))[most]], pa.list_(pa.float64()))})
+
+    return texts.groupBy("b").applyInArrow(middle, "b binary, ids array<bigint>, weights array<double>")
+
+
+def differences(own: tuple, centre: tuple) -> tuple[np.ndarray, list]:
+    """What sets a weighted set apart from a centre: elements in a fixed order (those the centre lacks first, then by hash),
+    and for each weighting the weights of the difference from each element on, and the distance less SLACK of the set's size.
+    Left out are elements from which on the difference is too small for any set alike to this one."""
+    ids = np.union1d(own[0], centre[0])
+    in_own, in_centre = np.searchsorted(ids, own[0]), np.searchsorted(ids, centre[0])
+    novel = np.ones(len(ids), bool)
+    novel[in_centre] = False
+    order = np.lexsort((ids, ~novel))
+    found, keep = [], np.zeros(len(ids), bool)
+    for x, y in zip(own[1:], centre[1:], strict=True):
+        gap = np.zeros(len(ids))
+        gap[in_own] += x
+        gap[in_centre] -= y
+        gap = np.abs(gap)[order]
+        rest, size = gap[::-1].cumsum()[::-1], x.sum()
+        # One alike has at most size / THRESHOLD, and lies from the centre no nearer than this one less SLACK of both sizes.
+        keep |= (gap > 1e-9) & (rest >= gap.sum() - SLACK * size * (1 + 1 / THRESHOLD) - 1e-6)
+        found.append((rest, gap.sum() - SLACK * size))
+    return ids[order][keep], [(rest[keep], excess) for rest, excess in found]
+
+
+def around(members: DataFrame, hashed: DataFrame, idf) -> DataFrame:
+    """The members (a, b: a hub of its bucket, label) by what sets them apart from their hub's centre: key, hub, label, excess
+    (e_p, e_q, by weighting), and a row for each element (with what is left of the difference from it on) and one without."""
+    names = ["rest_p", "rest_q", "e_p", "e_q"]
 
-def shareable(sets: DataFrame) -> DataFrame:
-    """key, size (a set's weight) and share, the weight of the shingles that another of these sets has too.
-
-    Two sets can't overlap by more than the lesser share, and their similarity is overlap / (sizes - overlap):
-    an exact bound, which spares texts whose changes are their own the comparison with a whole group.
+    def run(batches):
+        for batch in (whole.slice(first, 64) for whole in batches for first in range(0, whole.num_rows, 64)):
+            picks, elements, numbers = [], [], [[] for _ in names]
+            last, held = None, None
+            for k, (b, own, ids, weights) in enumerate(zip(batch.column("b").to_pylist(), *map(_lists, (batch.column("sa"), batch.column("ids"), batch.column("weights"))), strict=True)):
+                if b != last:
+                    last, held = b, (ids, weights, weights * idf.value[ids & (SLOTS - 1)])
+                found, (p, q) = differences(weighted(own, idf.value), held)
+                n = len(found) + 1
+                picks.append(np.full(n, k))
+                elements.append(np.append(found, 0))
+                for into, value in zip(numbers, (np.append(p[0], -1), np.append(q[0], -1), np.full(n, p[1]), np.full(n, q[1])), strict=True):
+                    into.append(value)
+            if elements:
+                at, numbers = pa.array(np.concatenate(picks)), [np.concatenate(x) for x in numbers]
+                element = pa.array(np.concatenate(elements), mask=numbers[0] < 0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("a", "b", "label")), element, *(pa.array(x.astype(np.float32)) for x in numbers)], ["key", "hub", "label", "element", *names])
+
+    both = members.join(hashed.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(centres(members, hashed), "b")
+    schema = "key binary, hub binary, label binary, element long, " + ", ".join(f"{n} float" for n in names)
+    return staged(both.select("a", "b", "label", "sa", "ids", "weights").mapInArrow(run, schema), "differences")
+
+
+def nearest(rows: DataFrame) -> DataFrame:
+    """hub, and for each weighting its member nearest to the centre (n_p, n_q), its class (l_p, l_q) and its excess (m_p, m_q)."""
+    least = lambda w: F.min(F.struct(f"e_{w}", "key", "label"))
+    found = rows.filter("element is null").groupBy("hub").agg(least("p").alias("p"), least("q").alias("q"))
+    return found.select("hub", *[F.col(f"{w}.{c}").alias(f"{n}_{w}") for w in "pq" for c, n in (("key", "n"), ("label", "l"), (f"e_{w}", "m"))])
+
+
+def nearest_pairs(rows: DataFrame) -> DataFrame:
+    """Each member with its hub's nearest ones of other classes. If the excesses of two sum to 0 or less, both are alike to the nearest:
+    a distance is at most the sum of those from the centre, and two are alike where it is at most SLACK of their sizes."""
+    own = rows.filter("element is null").join(nearest(rows), "hub")
+    each = F.explode(F.array(*[F.struct(F.col(f"n_{w}").alias("b"), F.col(f"l_{w}").alias("lb")) for w in "pq"])).alias("x")
+    return own.select(F.col("key").alias("a"), "label", each).filter("label != x.lb").select("a", F.col("x.b").alias("b")).distinct()
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one hub and different classes that may be alike though their excesses sum to more than 0.
+
+    All that are alike are among them: their distance falls short of the sum of those from the centre by what they share of
+    their differences from it, so they share at least half the sum of their excesses. Elements of the differences are joined
+    in a fixed order: from the first common one on, what is left of both must reach that. What all members of a group share is
+    in no difference, so a group's size doesn't enter.
     """
-    held = sets.select("key", F.explode("shingles").alias("shingle")).groupBy("key", "shingle").agg((1 + F.log(F.count(F.lit(1)))).alias("weight"))
-    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).withColumn("common", (F.col("n") > 1).cast("double"))
-    return held.join(common, "shingle").groupBy("key").agg(F.sum("weight").alias("size"), F.sum(F.col("weight") * F.col("common")).alias("share"))
+    least = nearest(rows).select("hub", "m_p", "m_q")
+    enough = F.lit(False)
+    for w in "pq":
+        enough = enough | (F.col(f"rest_{w}") >= (F.col(f"e_{w}") + F.col(f"m_{w}")) / 2 - 1e-3)
+    rows = rows.filter("element is not null").join(least, "hub").filter(enough)
+    # Of the members that share an element those of its most frequent class need not meet each other.
+    kinds = rows.groupBy("hub", "element", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("hub", "element")
+    kinds = kinds.agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hub", "element", "top")
+    left = rows.join(kinds, ["hub", "element"]).filter("label != top").drop("top").alias("x")
+    right = rows.alias("m")
+    reaches = F.lit(False)
+    for w in "pq":
+        reaches = reaches | (F.least(f"x.rest_{w}", f"m.rest_{w}") >= (F.col(f"x.e_{w}") + F.col(f"m.e_{w}")) / 2 - 1e-3)
+    met = left.join(right, (F.col("x.hub") == F.col("m.hub")) & (F.col("x.element") == F.col("m.element")) & (F.col("x.label") != F.col("m.label")) & reaches)
+    return met.select(F.greatest("x.key", "m.key").alias("a"), F.least("x.key", "m.key").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,32 +425,37 @@ def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for every row of docs (which may name its place): row_key, at_file, at_row, label (the class), n_links, copies."""
     spark = docs.sparkSession
     docs = docs if "at_file" in docs.columns else located(docs)
-    own = docs.select(F.col(key).cast("long").alias("row_key"), words_of(text_of()).alias("words"), "at_file", "at_row")
-    # A set of words is known by 128 bits of its digest.
-    name = F.unhex(F.substring(F.sha2(F.array_join("words", " ").cast("binary"), 256), 1, 32))
-    rows = staged(own.select("row_key", "at_file", "at_row", name.alias("key")), "rows")
-    members = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("at_file", "at_row")).alias("first")), "members")
+    own = docs.select(F.col(key).cast("long").alias("row_key"), "at_file", "at_row", text_of().cast("binary").alias("text"))
+
+    def name(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "at_file", "at_row")), pa.array(map(text_key, _texts(batch)), pa.binary())], ["row_key", "at_file", "at_row", "key"])
+
+    rows = staged(own.mapInArrow(name, "row_key long, at_file string, at_row long, key binary"), "rows")
+    texts_of = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("at_file", "at_row")).alias("first")), "members")
     # Shingles are never stored for all texts: each pass makes them again, without the texts that are copies.
-    copies = rows.join(members.filter("copies > 1"), "key").filter(F.struct("at_file", "at_row") != F.col("first")).select("at_file", "at_row")
-    hashed = own.join(small_side(copies), ["at_file", "at_row"], "left_anti").select(name.alias("key"), shingles(F.col("words")).alias("shingles"))
-    idf = spark.sparkContext.broadcast(idf_table(hashed, members.count()))
+    copies = rows.join(texts_of.filter("copies > 1"), "key").filter(F.struct("at_file", "at_row") != F.col("first")).select("at_file", "at_row")
+    texts = own.join(small_side(copies), ["at_file", "at_row"], "left_anti").select("text")
+    idf = spark.sparkContext.broadcast(idf_table(texts, texts_of.count()))
 
-    banded = staged(bands(hashed, idf), "bands")
+    banded = staged(bands(texts, idf), "bands")
     # The first hub of a bucket is drawn by a hash, so the bands of a large group have many different hubs.
     heads = banded.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
     shared = staged(banded.join(heads, "band").withColumn("past", F.array("hub")), "buckets")
     # Only texts that share a band with another are read for verification, once.
-    hashed = staged(hashed.join(small_side(shared.select("key").distinct()), "key", "left_semi"), "sets")
+    hashed = staged(sets(texts, shared.select("key").distinct()), "sets")
 
-    tried = staged(verified(shared.filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), hashed), "verified")
+    tried = staged(verified(shared.filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), hashed, idf), "verified")
     linked = lambda pairs: pairs.filter(F.col("similarity") >= THRESHOLD - 1e-12).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = linked(tried)
     labels = components(edges)
-    for turn in range(HUBS + 1):
-        # Buckets of several classes still hold pairs that nobody tried.
-        named = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-        shared = staged(named.join(mixed, "band", "left_semi"), "several")
+    relabelled = lambda df: df.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    for turn in range(HUBS + 2):
+        if turn <= HUBS:
+            # Buckets of several classes still hold pairs that nobody tried.
+            named = relabelled(shared)
+            mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+            shared = staged(named.join(mixed, "band", "left_semi"), "several")
         if turn < HUBS:
             # The next hub is the member most like the last one: it lies nearer to the middle of a group. Similarities
             # are those of all turns; a bucket without any takes another member, and none leaves before its pairs are tried.
@@ -242,27 +468,29 @@ def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             shared = staged(shared, "buckets")
             pairs = shared.filter("key != hub and label != hub_label").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
             shared = shared.drop("hub_label", "label")
+        elif turn == HUBS:
+            # What is left is searched around the middle of its buckets, named by the member that stands in most of them, so that they share it.
+            wide = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_buckets"))
+            hubs = shared.join(wide, "key").groupBy("band").agg(F.max_by("key", F.struct("n_buckets", "key")).alias("hub"))
+            members = staged(shared.drop("hub").join(hubs, "band").select(F.col("key").alias("a"), F.col("hub").alias("b"), "label").distinct(), "left")
+            if members.isEmpty():
+                break
+            rows_around = around(members, hashed, idf)
+            pairs = nearest_pairs(rows_around)
         else:
-            # What is left: pairs of members of different classes, each once, that could reach the threshold.
-            own = shared.join(shareable(hashed.join(shared.select("key").distinct(), "key", "left_semi")), "key")
-            left = own.select("band", F.col("key").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("share").alias("sa"))
-            right = own.select("band", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("share").alias("sb"))
-            possible = F.least("sa", "sb") >= (F.col("na") + F.col("nb")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9
-            met = (left["band"] == right["band"]) & (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & possible
-            pairs = left.join(right, met).select("a", "b").distinct()
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        latest = staged(verified(pairs, hashed), "verified")
+            pairs = apart(relabelled(rows_around.drop("label")))
+        known = tried.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
+        pairs = pairs.join(known, (F.greatest("a", "b") == F.col("high")) & (F.least("a", "b") == F.col("low")), "left_anti")
+        latest = staged(verified(pairs, hashed, idf), "verified")
         if latest.isEmpty():
-            if turn < HUBS:
-                continue
-            break
+            continue
         tried, more = tried.unionByName(latest), linked(latest)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    sets = members.join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    return staged(rows.join(sets, "key").select("row_key", "at_file", "at_row", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"), "classes")
+    known = texts_of.join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return staged(rows.join(known, "key").select("row_key", "at_file", "at_row", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"), "classes")
 
 
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
