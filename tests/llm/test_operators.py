@@ -135,8 +135,94 @@ def test_sampling_agrees_with_weighted_jaccard():
     a = rng.integers(-(2**62), 2**62, 300)
     b = np.concatenate([a[:250], rng.integers(-(2**62), 2**62, 50)])
     assert near_dedup.similarity(near_dedup.weighted(a), near_dedup.weighted(b)) == pytest.approx(250 / 350)
-    hits = near_dedup.samples(*near_dedup.weighted(a)) == near_dedup.samples(*near_dedup.weighted(a.copy()))
-    assert hits.all()
+    sampled = lambda x: near_dedup.samples(*near_dedup.weighted(x)[:2])
+    assert (sampled(a) == sampled(a.copy())).all()
+
+
+def test_words_and_keys_of_long_texts_in_slices(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab é\t\n\x0b\x1c") for _ in range(rng.randint(0, 300))).encode() for _ in range(200)]
+    whole = [(near_dedup.text_key(t), near_dedup.shingles(t).tolist()) for t in texts]
+    monkeypatch.setattr(near_dedup, "SLICE", 7)
+    assert [x.tolist() for x in near_dedup.all_shingles(texts)] == [x for _, x in whole]
+    assert [(near_dedup.text_key(t), near_dedup.shingles(t).tolist()) for t in texts] == whole
+    for t, (key, found) in zip(texts, whole, strict=True):
+        words = [w for w in brute.re.split(rb"[\x20\x09-\x0D]+", t) if w]
+        assert len(found) == (max(1, len(words) - 4) if words else 0)
+        assert key == hashlib.sha256(b" ".join(words)).digest()[:16]
+
+
+def test_apart_finds_every_pair_of_different_classes(spark):
+    """Members of one bucket around a hub, some alike to it, against all pairs by brute force."""
+    rng = np.random.default_rng(3)
+    idf = spark.sparkContext.broadcast(np.linspace(0.8, 1, near_dedup.SLOTS).astype(np.float32))
+    base = rng.integers(-(2**62), 2**62, 120)
+    own = [base]
+    for family in range(12):  # families around the hub, at distances from near to far, whose members share what sets them apart
+        lead = base.copy()
+        at = rng.choice(120, 4 + 2 * family, replace=False)
+        lead[at] = rng.integers(-(2**62), 2**62, len(at))
+        for _ in range(12):
+            x = lead.copy()
+            spots = rng.choice(120, rng.integers(0, 9), replace=False)
+            x[spots] = rng.integers(-(2**62), 2**62, len(spots))
+            own.append(np.concatenate([np.delete(x, rng.choice(120, rng.integers(0, 6), replace=False)), x[: rng.integers(0, 4)]]))
+    keys = [i.to_bytes(2, "big") for i in range(len(own))]
+    held = [near_dedup.weighted(x, idf.value) for x in own]
+    alike = {(i, j) for i in range(len(own)) for j in range(i) if near_dedup.similarity(held[i], held[j]) >= 0.8}
+    label = list(range(len(own)))  # members alike to the hub are of its class; of the others two in three have a class of their own
+    for i, j in alike:
+        if j == 0:
+            label[i] = 0
+    hashed = spark.createDataFrame([(bytearray(k), x.tolist()) for k, x in zip(keys, own, strict=True)], "key binary, shingles array<long>")
+    number = lambda k: int.from_bytes(k, "big")
+    for sample in (4, 32, 1000):
+        near_dedup.SAMPLE, before = sample, near_dedup.SAMPLE
+        members = spark.createDataFrame([(bytearray(keys[i]), bytearray(keys[0]), bytearray(keys[label[i]])) for i in range(len(own))], "a binary, b binary, label binary")
+        rows = near_dedup.around(members, hashed, idf)
+        near_dedup.SAMPLE = before
+        direct = {tuple(sorted((number(r.a), number(r.b)), reverse=True)) for r in near_dedup.nearest_pairs(rows).collect()}
+        classes = {i: label[i] for i in range(len(own))}
+        for i, j in direct & alike:  # the links found so far join classes
+            low, high = sorted((classes[i], classes[j]))
+            classes = {k: low if c == high else c for k, c in classes.items()}
+        again = rows.drop("label").join(spark.createDataFrame([(bytearray(keys[i]), bytearray(keys[c])) for i, c in classes.items()], "key binary, label binary"), "key")
+        got = {(number(r.a), number(r.b)) for r in near_dedup.apart(again).collect()}
+        wanted = {(i, j) for i, j in alike if classes[i] != classes[j]}
+        assert len(wanted) > 100 and wanted <= got
+
+
+def test_apart_spares_members_that_differ_each_in_its_own_way(spark):
+    rng = np.random.default_rng(4)
+    idf = spark.sparkContext.broadcast(np.ones(near_dedup.SLOTS, np.float32))
+    base, own = rng.integers(-(2**62), 2**62, 200), []
+    for _ in range(150):
+        x = base.copy()
+        spots = rng.choice(200, rng.integers(25, 70), replace=False)
+        x[spots] = rng.integers(-(2**62), 2**62, len(spots))
+        own.append(x)
+    keys = [bytearray(i.to_bytes(2, "big")) for i in range(len(own))]
+    hashed = spark.createDataFrame([(k, x.tolist()) for k, x in zip(keys, own, strict=True)], "key binary, shingles array<long>")
+    rows = near_dedup.around(spark.createDataFrame([(k, keys[0], k) for k in keys], "a binary, b binary, label binary"), hashed, idf)
+    assert near_dedup.apart(rows).count() < 150 and near_dedup.nearest_pairs(rows).count() < 300
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Recall and precision of the links against exact similarities of all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    texts = {r.doc_id: near_dedup.shingles((r.text or "").encode()) for r in docs.collect()}
+    held = {d: near_dedup.weighted(x) for d, x in texts.items()}
+    by = {}
+    for d, (ids, _, _) in held.items():
+        for s in ids.tolist():
+            by.setdefault(s, []).append(d)
+    pairs = {(a, b) for ds in by.values() if len(ds) < 200 for a in ds for b in ds if a < b}
+    sims = {p: near_dedup.similarity(held[p[0]], held[p[1]]) for p in pairs}
+    close = [p for p, x in sims.items() if x >= 0.8]
+    assert len(close) > 50 and sum(got[a] == got[b] for a, b in close) >= 0.98 * len(close)
+    far = [p for p, x in sims.items() if x < 0.7]
+    assert sum(got[a] == got[b] for a, b in far) <= 0.01 * len(close)
 
 
 def test_mixing_meets_targets_and_matches_numpy(spark):
@@ -151,6 +237,68 @@ def test_mixing_meets_targets_and_matches_numpy(spark):
     assert np.allclose((r * n) @ p, reached["totals"])
 
 
+def test_mixing_query_against_numpy(spark):
+    """Classifier, posteriors, rates and copies, worked out once more with numpy from the words."""
+    rng = random.Random(14)
+    kinds = {"clean": "calm river stone", "junk": "CLICK buy !!!", "toxic": "vile grub hatred"}
+    rows, labels = [], []
+    for i in range(240):
+        kind = rng.choice(list(kinds))
+        words = [rng.choice(kinds[kind].split() if rng.random() < 0.3 else [f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(1, 60))]
+        rows.append((i, " ".join(words), f"s{i % 3}"))
+        if i % 2:
+            labels.append((i, kind))
+    rows += [(900, None, "s0"), (901, "", None), (3, rows[3][1], "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known = spark.createDataFrame(labels, "doc_id long, domain string")
+    weights = {"clean": 0.6, "junk": 0.1, "toxic": 0.3}
+    found = mixing.mix(docs, known, weights).collect()
+    slot = {(r.doc_id, r.text): r.s for r in docs.select("doc_id", "text", mixing.slots(mixing.words_of(mixing.text_of())).alias("s")).collect()}
+    names = sorted(kinds)
+    first = {}
+    for i, t, _ in rows:
+        first.setdefault(i, []).append(slot[i, t])
+    own = [(d, s) for i, d in labels for s in first[i]]
+    sizes = {d: sum(1 for x, _ in own if x == d) for d in names}
+    odds = {d: {} for d in names}
+    for d in names:
+        for k in {k for x, s in own if x == d for k in s}:
+            n, whole = sum(1 for x, s in own if x == d and k in s), sum(1 for _, s in own if k in s)
+            inside, outside = sizes[d], len(own) - sizes[d]
+            p, q, both = (n + 0.5) / (inside + 1), (whole - n + 0.5) / (outside + 1), (whole + 0.5) / (len(own) + 1)
+            z = (p - q) / np.sqrt(both * (1 - min(both, 0.999)) * (1 / (inside + 1) + 1 / (outside + 1)))
+            if z > mixing.MIN_Z and np.log(p / q) > mixing.MIN_ODDS:
+                odds[d][k] = np.log(p / q)
+    telling = {k for o in odds.values() for k in o}
+    assert telling
+    posterior = {}
+    for (i, t), s in slot.items():
+        hits = [k for k in s if k in telling]
+        x = np.array([np.log(sizes[d] / len(own)) + sum(odds[d].get(k, 0.0) for k in hits) / np.sqrt(max(len(hits), 1)) for d in names])
+        e = np.exp(x - x.max())
+        posterior[i, t] = e / e.sum()
+    text = {(i, t): t for i, t, _ in rows}
+    by_id = {}
+    for (i, t) in text:
+        by_id.setdefault(i, []).append(t)
+    for r in found:
+        assert r.domains == names and any(np.allclose(r.posteriors, posterior[r.doc_id, t], atol=1e-9) and r.n_tokens == len((t or "").split()) for t in by_id[r.doc_id])
+        assert r.rate >= 0 and r.copies in (int(np.floor(r.rate)), int(np.floor(r.rate)) + 1)
+    n, p, rate = np.array([r.n_tokens for r in found], float), np.array([r.posteriors for r in found]), np.array([r.rate for r in found])
+    goal = n.sum() * np.array([weights[d] for d in names])
+    assert np.abs((rate * n) @ p - goal).max() <= 2e-3 * goal.max()
+    written = mixing.apply_mix(docs, mixing.mix(docs, known, weights)).groupBy("doc_id").count().collect()
+    copies = {}
+    for r in found:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+    assert {r.doc_id: r["count"] for r in written} == {i: c for i, c in copies.items() if c}
+
+
+def test_mixing_counts_the_callers_tokens(spark):
+    docs = spark.createDataFrame([(1, "a b", 70), (2, "c", None), (3, None, 5)], "doc_id long, text string, ids int")
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"), tokens="ids").collect()} == {1: 70, 2: 0, 3: 5}
+
+
 def test_mixing_edges(spark, docs, none):
     labels = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (None, "a")], "doc_id long, domain string")
     out = mixing.mix(docs, labels, {"a": 1.0, "b": 1.0})
@@ -164,6 +312,8 @@ def test_token_counts(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = token_counts.lengths(docs, path, public_tokenizers.PATTERN)
     n = np.array([r[0] for r in own.collect()])
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert sorted(n) == sorted(len(enc.encode_ordinary(r.text or "")) for r in docs.collect())
     hist = token_counts.histogram(own)
     for r in hist.collect():
         at = n[n >= r.n_tokens]
@@ -223,6 +373,32 @@ def test_toxicity(spark, none):
     assert excused.measure(excused.automaton(), "a vilen hunt")[0] == 0 and excused.measure(excused.automaton(), "a vilen man")[0] == 1
 
 
+def test_toxicity_score_against_plain_python(spark):
+    rng = random.Random(13)
+    weights, exceptions = {"vile": 3.0, "vilen": 4.0, "grub": 2.5, "hatr": 5.0}, {"vilend", "grubby moth", "old grub"}
+    words = ["vile", "vilenX", "vilend", "GRUB", "grubby", "moth", "old", "h4tred", "xvile", "fine", "_vile", "day" * 30, "ѵ", "а"]
+    texts = [rng.choice([" ", ", ", "_"]).join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts += [None, "", "vilen" + " " * 5000 + "x", ("grubby " + "." * 90 + " moth ") * 50]
+    lexicon = toxicity.Lexicon(weights, exceptions, (-2.0, 1.0, 0.5))
+    rows = [(i // 2 * 2 if i < 20 else i, t, "clash", 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, total string, n_hits long")
+    got = sorted((r.doc_id, r.n_hits, round(r.score, 9)) for r in toxicity.score(docs, lexicon).collect())
+    want = []
+    for i, t, _, _ in rows:
+        n, density = brute.op6(t or "", weights, exceptions, toxicity.fold)
+        want.append((i, n, round(1 / (1 + np.exp(2.0 - (1.0 if density > 0 else 0.0) - 0.5 * density)), 9)))
+    assert got == sorted(want)
+
+
+def test_toxicity_is_learnt_from_labelled_rows_alone(spark):
+    rows = [(i, f"say {'vilenessq' if i % 3 == 0 else 'kindness'} w{i} " + "and so on " * 5) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    others = spark.createDataFrame([(1000 + i, "vilenessq kindness other words") for i in range(50)], "doc_id long, text string")
+    a, b = toxicity.learn(docs, known), toxicity.learn(docs.unionByName(others), known)
+    assert a == b and any("vilenessq".startswith(x) for x in a.weights)
+
+
 def test_pii(docs, none, texts):
     for r in pii.detect(docs).withColumn("base", pii.listed(pii.F.col("base"))).collect():
         assert r.base == ",".join(brute.op8(texts[r.doc_id]))
@@ -257,6 +433,43 @@ def test_pii_terms_are_marked_wherever_they_stand(spark):
     assert clean[900] == "here is  and again " and clean[100] == rows[8][1]
 
 
+def test_pii_terms_against_brute_force(spark):
+    rng = random.Random(12)
+    people = [(f"name{k}", f"mail{k}@host.example", f"+1 (319) 555-51{k:02d}") for k in range(6)]
+    rows = []
+    for i in range(260):
+        words = [rng.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(rng.randint(3, 12))]
+        if i % 4 == 0:
+            who = rng.choice(people)
+            words.insert(rng.randrange(len(words)), who[1 + i % 2] + rng.choice(["", ".", ","]))
+            words.insert(rng.randrange(len(words)), who[0] if rng.random() < 0.8 else who[0].upper() + "é")
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i * 4][1]) for i in range(8)]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    want = brute.op8_terms(rows)
+    assert sum(map(len, want.values())) > 30
+    for i, _ in rows:
+        assert [x for x in got[i].split(",") if x.startswith("term")] == want[i]
+
+
+def test_pii_of_a_text_with_many_spans(spark):
+    mails = [f"u{i}é@h{i % 7}.example" if i % 50 == 0 else f"u{i}@h{i % 7}.example" for i in range(50_000)]
+    text = "ü " + " and ".join(mails) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.detect(docs).select(pii.F.expr("transform(base, s -> struct(s.start, s.end))").alias("b")).first().b
+    assert [(s.start, s.end) for s in found] == [(m.start(), m.end()) for m in brute.re.finditer(brute.PATTERNS["email"], text)]
+    assert pii.sanitise(docs).first().clean_text == brute.re.sub(brute.PATTERNS["email"], "<email>", text)
+
+
+def test_pii_sanitise_edges(spark, none):
+    rows = [(1, None, "c"), (2, "", "c"), (3, "x 1.2.3.4-5@h.io, +1 (319) 555-5132", "c"), (3, "x 1.2.3.4-5@h.io, +1 (319) 555-5132", "c"), (None, "no one", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = pii.sanitise(docs)
+    assert out.columns == ["doc_id", "text", "spans", "clean_text"]
+    assert sorted((r.doc_id or 0, r.clean_text) for r in out.collect()) == [(0, "no one"), (1, ""), (2, ""), (3, "x <email>, <phone>"), (3, "x <email>, <phone>")]
+    assert pii.sanitise(none).count() == 0
+
+
 def test_byte_bpe(docs, none, texts):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BPE), special_tokens={})
     out = bpe.decode(bpe.encode(docs, BPE), BPE)
@@ -264,6 +477,9 @@ def test_byte_bpe(docs, none, texts):
         assert tuple(r)[1:] == brute.op10(texts[r.doc_id], enc)
     assert out.filter("size(ids) != size(offsets)").count() == 0
     assert bpe.encode(none, BPE).count() == 0
+    once = bpe.round_trip(docs, BPE)
+    assert once.columns == out.columns and sorted(map(str, once.collect())) == sorted(map(str, out.collect()))
+    assert bpe.round_trip(none, BPE).count() == 0
 
 
 def test_byte_bpe_boundaries_at_random():
@@ -275,3 +491,18 @@ def test_byte_bpe_boundaries_at_random():
     for t, n in zip(own, counts, strict=True):
         assert ids[at : at + n].tolist() == enc.encode_ordinary(t)
         at += n
+
+
+def test_byte_bpe_of_long_texts_in_pieces(monkeypatch):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BPE), special_tokens={})
+    monkeypatch.setattr(bpe, "CHARS_A_CHUNK", 40)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5_000)
+    rng, coder = random.Random(4), bpe.Encoder(BPE)
+    for _ in range(300):
+        text = "".join(rng.choice("ab'srevmtldll  \n\t\x1c\x1f\u2003　é1２,.-中\U0001f600") for _ in range(rng.randint(0, 600)))
+        ids, counts, offsets = coder.encode_long(text)
+        whole = coder.encode([text])
+        assert ids.tolist() == enc.encode_ordinary(text) and counts[0] == len(ids)
+        assert np.array_equal(offsets, whole[2])
+        assert coder.decoded(ids, np.array([0, len(ids)])).to_pylist() == [text.encode()]
+    assert len(list(bpe.pieces("a " * 100))) > 3

@@ -44,3 +44,28 @@ def test_near_stage_drops_only_documents_like_a_kept_one(spark):
     close = pairs[pairs.j >= 0.8]
     assert all(not {r.a, r.b} <= kept for r in close.itertuples())
     assert set(sets) - kept <= set(close.a) | set(close.b)
+
+
+def test_stages_on_edges(spark):
+    """Null, empty and very long texts, null and repeated ids, ties, clashing columns; and an empty table."""
+    prose = " ".join(f"word{i % 97} of{i % 13} story{i}" for i in range(60))
+    long = " ".join(f"part{i % 1009} and{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, prose), (3, prose), (4, prose + " end"), (None, "another " + prose), (5, long), (6, long + " more"), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, label string, words string, kept boolean, n_tokens long, copies long, fail_bits long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "d", "k", "l", "w", False, 1, 7, 3) for i, t in rows], kind)
+    columns, kept = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, SF), "edge-stage")
+        assert docs.columns == columns
+        kept.append(sorted((r.doc_id or 0, len(r.text or "")) for r in docs.collect()))
+        assert {(r.digest, r.key, r.label, r.words, r.kept, r.n_tokens, r.copies, r.fail_bits) for r in docs.collect()} <= {("d", "k", "l", "w", False, 1, 7, 3)}
+    quality, exact, near, _ = kept
+    assert quality == sorted([(3, len(prose))] * 2 + [(4, len(prose) + 4), (0, len(prose) + 8), (5, len(long)), (6, len(long) + 5)])
+    assert exact == sorted([(3, len(prose)), (4, len(prose) + 4), (0, len(prose) + 8), (5, len(long)), (6, len(long) + 5)])
+    assert near == [(3, len(prose)), (5, len(long))], "of each class the least id stays, rows without an id last"
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0, name
