@@ -74,9 +74,11 @@ def test_volatility_clock(spark):
     got = {r.k: (r.event_vol, r.RemainSeconds_1330) for r in beta.event_residual_vol(own, "v").collect()}
     assert all(got[k][0] == pytest.approx(v, abs=6e-4) for k, v in want.items()) and got["10:00"][1] == 12_600
     assert beta.event_residual_vol(own.drop("v"), "v").filter("event_vol is not null").count() == 0
-    grid = [r[0] for r in spark.range(501).select(C.vol_time_scale(F.col("id") / 500)).collect()]
-    assert all(a < b for a, b in zip(grid, grid[1:]))
-    assert all(v < math.sqrt(i / 500) for i, v in enumerate(grid) if 500 / 9 < i < 500)
+    # Minute by minute through the session: it only falls, and lies under the square root of time until the last twenty minutes.
+    left = spark.range(271).select((1 - F.col("id") / 270).alias("x"))
+    minutes = left.select("x", C.vol_time_scale(F.col("x")).alias("v")).orderBy("x").collect()
+    assert all(a.v < b.v for a, b in zip(minutes, minutes[1:]))
+    assert all((r.v < math.sqrt(r.x)) == (r.x > 23 / 270) for r in minutes if 0 < r.x < 1)
 
 
 def test_tick_grid_is_invertible(spark):
