@@ -5,16 +5,20 @@ ids and the crc32 of their bytes, checked when it is read. Three models predict
 
 * order 2, the id last seen after the same two ids, and how often that guess held;
 * order 1, likewise after the one id before;
-* order 0, adaptive frequencies of the id's digits (base 16, most significant first, each digit in the
+* order 0, adaptive frequencies of the id's digits (base 41, most significant first, each digit in the
   context of those before it, in classes of fixed number).
 
-The guesses' confidences are mixed into one interval: the range is shared between "order 2 was right", "order
-1 was right" and "neither", in proportion to their adaptive weights; in the last case order 0 codes the digits.
-A carry-less range coder turns the intervals into bytes. Many blocks are coded side by side, one lane of a
-numpy array each; lanes never share a model, so any block decodes alone.
+The guesses' confidences, and whether they agree, choose an adaptive split of the range into "order 2 was right",
+"order 1 was right" and "neither"; in the last case order 0 codes the digits. A range coder turns the intervals
+into bytes, 16 bits at a time; carries are added to what has been written when a block ends. Many blocks are coded
+side by side, one lane of a numpy array each; lanes never share a model, so any block decodes alone.
 
 The container is Parquet, written and read by Spark: one row a block (file_no, block_no, n_ids, payload), and an
 index of documents (doc_id, file_no, place, n_tokens). Files are in ascending doc_id order.
+
+Defined results: a null text counts as empty and gives the end id alone; very long texts are handled in whole and
+may span blocks; documents of equal id go by text; repeated rows are written each; an empty table gives files
+without blocks; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,133 +37,144 @@ from tickweave.llm.base import small_side, text_of
 
 BLOCK = 8192
 END_ID = 1
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 #: Slots of the guess tables of a block, powers of two.
 SLOTS2, SLOTS1 = 1 << 12, 1 << 12
-TOTAL = 1 << 14
-BOTTOM = np.uint64(1 << 16)
-MASK32 = np.uint64(0xFFFFFFFF)
-#: Blocks coded side by side; about 80 KB of models each.
+BITS = 14
+TOTAL = 1 << BITS
+#: Digits of an id, and the classes of their contexts: none before, one before, two before (hashed).
+BASE, CLASSES = 41, (1, 41, 256)
+#: Least part of the range that a digit, and that a guess keeps.
+LEAST_DIGIT, LEAST_GUESS = 16, 32
+#: Blocks coded side by side, whatever a task holds; about 60 KB of models, 32 KB of ids and 24 KB of code each.
 LANES = 1024
+FULL, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
+LOW_BITS, PIECE = np.uint64((1 << 32) - 1), np.uint64(16)
+
+#: Digits of every id below 65,536, the most significant first.
+DIGITS = np.stack([np.arange(1 << 16) // BASE**2, np.arange(1 << 16) // BASE % BASE, np.arange(1 << 16) % BASE]).astype(np.int64)
+#: Cumulative frequencies towards which a seen digit moves: all of the range but the least part for each digit.
+GOALS = np.array([[k * LEAST_DIGIT + (TOTAL - BASE * LEAST_DIGIT if k > d else 0) for k in range(BASE + 1)] for d in range(BASE)], np.int16)
+#: Parts of the two guesses towards which an outcome (order 2, order 1, neither) moves them, if they differ and if they agree.
+MOST = TOTAL - TOTAL // 64 - LEAST_GUESS
+GOALS2 = np.array([[MOST, MOST], [LEAST_GUESS, LEAST_GUESS], [LEAST_GUESS, LEAST_GUESS]], np.int64).ravel()
+GOALS1 = np.array([[LEAST_GUESS, 0], [MOST, 0], [LEAST_GUESS, 0]], np.int64).ravel()
 
 
 class Models:
     """The models of `lanes` blocks at once."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.at2, self.at1 = self.lane * SLOTS2, self.lane * SLOTS1
-        self.guess2, self.sure2 = np.full(lanes * SLOTS2, -1, np.int32), np.zeros(lanes * SLOTS2, np.uint8)
-        self.guess1, self.sure1 = np.full(lanes * SLOTS1, -1, np.int32), np.zeros(lanes * SLOTS1, np.uint8)
-        # Weight of being right by confidence (0 to 3), per lane.
-        self.hold2, self.hold1 = np.full((lanes, 4), TOTAL // 4, np.int32), np.full((lanes, 4), TOTAL // 8, np.int32)
-        # Order 0: cumulative frequencies of 16 digits in 1 + 16 + 256 + 256 contexts.
-        self.cum = np.tile((np.arange(17, dtype=np.int32) * (TOTAL // 16)), (lanes * 529, 1))
-        self.base = self.lane * 529
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def split(self):
-        """Slots of the guesses and the bounds between right at order 2, right at order 1 and neither."""
-        self.s2 = self.at2 + ((self.a * 40503 + self.b * 30011) & (SLOTS2 - 1))
-        self.s1 = self.at1 + ((self.b * 40503 >> 3) & (SLOTS1 - 1))
-        self.g2, self.g1 = self.guess2[self.s2], self.guess1[self.s1]
-        self.c2, self.c1 = self.sure2[self.s2], self.sure1[self.s1]
-        self.n2 = np.where(self.g2 >= 0, self.hold2[self.lane, self.c2], 0)
-        self.n1 = np.where((self.g1 >= 0) & (self.g1 != self.g2), self.hold1[self.lane, self.c1], 0)
-        # At least 1/64 of the range is left to ids that neither model expects.
-        self.n1 = np.minimum(self.n1, TOTAL - TOTAL // 64 - self.n2)
+        lane = np.arange(lanes)
+        self.at2, self.at1, self.at32 = lane * SLOTS2, lane * SLOTS1, lane * 32
+        # A guess and how sure it is (0 to 3), as guess * 4 + sureness.
+        self.guess2, self.guess1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)
+        # Parts of the range by both sureness and agreement; a second guess that agrees has none.
+        self.part2 = np.full(lanes * 32, TOTAL // 4, np.int64)
+        self.part1 = np.tile(np.array([TOTAL // 8, 0], np.int64), lanes * 16)
+        start = np.linspace(0, TOTAL, BASE + 1).astype(np.int16)
+        self.cum = np.tile(start, (lanes * sum(CLASSES), 1))
+        self.base = lane * sum(CLASSES)
+        self.older, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds between right at order 2, right at order 1 and neither."""
+        self.s2 = ((self.older + self.last * 30011) & (SLOTS2 - 1)) + self.at2
+        self.s1 = ((self.last * 40503 >> 3) & (SLOTS1 - 1)) + self.at1
+        self.e2, self.e1 = self.guess2[self.s2], self.guess1[self.s1]
+        self.g2, self.g1 = self.e2 >> 2, self.e1 >> 2
+        self.same = self.g2 == self.g1
+        self.k = self.at32 + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + self.same
+        self.n2, self.n1 = self.part2[self.k], self.part1[self.k]
         return self.n2, self.n2 + self.n1
 
-    def learn(self, x: np.ndarray) -> None:
-        """Adapts both guesses, their confidences and weights to the ids x."""
-        for guess, sure, slot, g, c, hold, shown in ((self.guess2, self.sure2, self.s2, self.g2, self.c2, self.hold2, self.g2 >= 0), (self.guess1, self.sure1, self.s1, self.g1, self.c1, self.hold1, (self.g1 >= 0) & (self.g1 != self.g2))):
-            right = g == x
-            w = hold[self.lane, c]
-            hold[self.lane, c] = np.where(shown, w + (np.where(right, TOTAL - TOTAL // 32 - TOTAL // 64, TOTAL // 32) - w) // 16, w)
-            sure[slot] = np.where(right, np.minimum(c + 1, 3), np.where(c > 0, c >> 1, 0))
-            guess[slot] = np.where(right | (c > 1), g, x)
-        self.a, self.b = self.b, x.astype(np.int64)
-
-    def context(self, lanes: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
-        own = self.base[lanes]
+    def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
+        """Adapts guesses and parts to the ids x."""
+        goal = outcome * 2 + self.same
+        self.part2[self.k] = self.n2 + ((GOALS2[goal] - self.n2) >> 4)
+        self.part1[self.k] = self.n1 + ((GOALS1[goal] - self.n1) >> 4)
+        fresh = x << 2
+        for guess, slot, entry, g in ((self.guess2, self.s2, self.e2, self.g2), (self.guess1, self.s1, self.e1, self.g1)):
+            sure = entry & 3
+            guess[slot] = np.where(g == x, entry + (sure < 3), np.where(sure > 1, entry - sure + 1, fresh))
+        self.older, self.last = self.last * 40503, x
+
+    def context(self, base: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
         if not digits:
-            return own
+            return base
         if len(digits) == 1:
-            return own + 1 + digits[0]
-        if len(digits) == 2:
-            return own + 17 + digits[0] * 16 + digits[1]
-        return own + 273 + ((digits[0] * 7 + digits[1] * 16 + digits[2]) & 255)
-
-    def adapt(self, context: np.ndarray, digit: np.ndarray) -> None:
-        rows = self.cum[context]
-        goal = TARGETS[digit]
-        self.cum[context] = rows + ((goal - rows) >> 4)
+            return base + (digits[0] + CLASSES[0])
+        return base + (((digits[0] * BASE + digits[1]) * 37 & (CLASSES[2] - 1)) + (CLASSES[0] + CLASSES[1]))
 
-
-# Cumulative frequencies towards which a seen digit moves: all of the range but one part for each digit.
-TARGETS = np.array([[k * 32 + (TOTAL - 16 * 32 if k > d else 0) for k in range(17)] for d in range(16)], np.int32)
+    def adapt(self, context: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
+        rows += (GOALS[digit] - rows) >> 4
+        self.cum[context] = rows
 
 
 class Writer:
-    """A range encoder of many lanes; 16 bits leave a lane at a time."""
+    """A range encoder of many lanes. The range is of 32 to 48 bits; a symbol takes at most BITS, so one piece of 16 leaves at a time."""
 
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, MASK32, np.uint64)
-        self.out, self.n = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        part = self.range[lanes] >> np.uint64(14)
-        low = self.low[lanes] + part * start.astype(np.uint64)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, FULL, np.uint64)
+        self.out, self.n = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
+
+    def reserve(self, more: int) -> None:
+        """Room for so many further pieces in each lane."""
+        if self.n.max() + more > self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros((len(self.out), self.out.shape[1] // 2 + more), np.uint32)], 1)
+
+    def put(self, lanes: np.ndarray, low: np.ndarray, rng: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """low and range of these lanes after a symbol each; a piece holds a carry as its 17th bit."""
+        part = rng >> np.uint64(BITS)
+        low += part * start.astype(np.uint64)
         rng = part * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, rng
-        self.shift(lanes, low, rng)
-
-    def shift(self, lanes: np.ndarray, low: np.ndarray, rng: np.ndarray) -> None:
-        while True:
-            same = (low ^ (low + rng)) < BOTTOM
-            small = ~same & (rng < BOTTOM)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            rng = np.where(small, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), rng)
-            at = lanes[go]
-            self.out[at, self.n[at]] = (low[go] >> np.uint64(16)).astype(np.uint16)
+        go = np.flatnonzero(rng < LOW)
+        if len(go):
+            at, own = lanes[go], low[go]
+            self.out[at, self.n[at]] = own >> np.uint64(32)
             self.n[at] += 1
-            low, rng, lanes = (low[go] << np.uint64(16)) & MASK32, (rng[go] << np.uint64(16)) & MASK32, at
-            self.low[at], self.range[at] = low, rng
+            low[go] = (own & LOW_BITS) << PIECE
+            rng[go] <<= PIECE
+        return low, rng
+
+    def finish(self) -> np.ndarray:
+        """The pieces, with carries added to those before."""
+        lanes = np.arange(len(self.out))
+        self.reserve(4)
+        for _ in range(3):  # what is left in the registers
+            self.out[lanes, self.n] = self.low >> np.uint64(32)
+            self.n += 1
+            self.low = (self.low & LOW_BITS) << PIECE
+        carry = np.zeros(len(self.out), np.uint32)
+        for k in range(self.out.shape[1] - 1, -1, -1):
+            whole = self.out[:, k] + carry
+            carry = whole >> np.uint32(16)
+            self.out[:, k] = whole & np.uint32(0xFFFF)
+        return self.out
 
 
 class Reader:
-    """The decoder of what Writer wrote."""
+    """The decoder of what Writer wrote. Its code is relative to the low end of the range."""
 
     def __init__(self, bodies: list[np.ndarray]):
-        lanes = len(bodies)
-        self.data = np.zeros((lanes, max(map(len, bodies)) + 4), np.uint16)
+        self.data = np.zeros((len(bodies), max(map(len, bodies)) + 4), np.uint16)
         for row, body in zip(self.data, bodies, strict=True):
             row[: len(body)] = body
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, MASK32, np.uint64)
-        first = self.data[:, :2].astype(np.uint64)
-        self.code, self.n = (first[:, 0] << np.uint64(16)) | first[:, 1], np.full(lanes, 2)
-
-    def peek(self, lanes: np.ndarray) -> np.ndarray:
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> np.uint64(14)), np.uint64(TOTAL - 1)).astype(np.int32)
-
-    def drop(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        part = self.range[lanes] >> np.uint64(14)
-        low, rng = self.low[lanes] + part * start.astype(np.uint64), part * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, rng
-        while True:
-            same = (low ^ (low + rng)) < BOTTOM
-            small = ~same & (rng < BOTTOM)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            rng = np.where(small, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), rng)
-            lanes = lanes[go]
-            self.code[lanes] = ((self.code[lanes] << np.uint64(16)) & MASK32) | self.data[lanes, self.n[lanes]]
-            self.n[lanes] += 1
-            low, rng = (low[go] << np.uint64(16)) & MASK32, (rng[go] << np.uint64(16)) & MASK32
-            self.low[lanes], self.range[lanes] = low, rng
+        self.last, self.n = self.data.shape[1] - 1, np.full(len(bodies), 3)
+        first = self.data[:, :3].astype(np.uint64)
+        self.code, self.range = (first[:, 0] << np.uint64(32)) | (first[:, 1] << PIECE) | first[:, 2], np.full(len(bodies), FULL, np.uint64)
+
+    def drop(self, lanes: np.ndarray, code: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """code and range of these lanes after a symbol each."""
+        code -= part * start.astype(np.uint64)
+        rng = part * size.astype(np.uint64)
+        go = np.flatnonzero(rng < LOW)
+        if len(go):
+            at = lanes[go]
+            code[go] = (code[go] << PIECE) | self.data[at, self.n[at]]
+            self.n[at] = np.minimum(self.n[at] + 1, self.last)  # a lane that is through reads on without effect
+            rng[go] <<= PIECE
+        return code, rng
 
 
 def pack(blocks: list[np.ndarray]) -> list[bytes]:
@@ -171,30 +186,29 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
         ids = np.full((longest, len(part)), END_ID, np.int32)
         for lane, block in enumerate(part):
             ids[: len(block), lane] = block
-        model, to = Models(len(part)), Writer(len(part), 4 * longest + 16)
+        model, to = Models(len(part)), Writer(len(part), longest + 64)
         everyone = np.arange(len(part))
-        for x in ids:
+        for x in map(np.int64, ids):
+            to.reserve(8)
             upto2, upto1 = model.split()
             hit2 = x == model.g2
-            hit1 = ~hit2 & (x == model.g1)
-            start = np.where(hit2, 0, np.where(hit1, upto2, upto1))
-            to.put(everyone, start, np.where(hit2, upto2, np.where(hit1, upto1 - upto2, TOTAL - upto1)))
-            rest = np.flatnonzero(~(hit2 | hit1))
+            outcome = np.where(hit2, 0, np.where(x == model.g1, 1, 2))
+            start = np.where(hit2, 0, np.where(outcome == 1, upto2, upto1))
+            to.low, to.range = to.put(everyone, to.low, to.range, start, np.where(hit2, upto2, np.where(outcome == 1, model.n1, TOTAL - upto1)))
+            rest = np.flatnonzero(outcome == 2)
             if len(rest):
-                digits: list[np.ndarray] = []
-                for shift in (12, 8, 4, 0):
-                    digit = (x[rest] >> shift) & 15
-                    context = model.context(rest, digits)
-                    low = model.cum[context, digit]
-                    to.put(rest, low, model.cum[context, digit + 1] - low)
-                    model.adapt(context, digit)
+                low, rng, base, at, digits = to.low[rest], to.range[rest], model.base[rest], np.arange(len(rest)), []
+                for digit in DIGITS[:, x[rest]]:
+                    context = model.context(base, digits)
+                    rows = model.cum[context]
+                    under = rows[at, digit]
+                    low, rng = to.put(rest, low, rng, under, rows[at, digit + 1] - under)
+                    model.adapt(context, rows, digit)
                     digits.append(digit)
-            model.learn(x)
-        for _ in range(2):  # what is left in the registers
-            to.out[everyone, to.n] = (to.low >> np.uint64(16)).astype(np.uint16)
-            to.n += 1
-            to.low = (to.low << np.uint64(16)) & MASK32
-        out += [struct.pack("<4sII", MAGIC, len(b), zlib.crc32(b.astype("<u4").tobytes())) + row[:n].astype("<u2").tobytes() for b, row, n in zip(part, to.out, to.n, strict=True)]
+                to.low[rest], to.range[rest] = low, rng
+            model.learn(x, outcome)
+        pieces = to.finish()
+        out += [struct.pack("<4sII", MAGIC, len(b), zlib.crc32(b.astype("<u4").tobytes())) + row[:n].astype("<u2").tobytes() for b, row, n in zip(part, pieces, to.n, strict=True)]
     return out
 
 
@@ -209,30 +223,32 @@ def unpack(frames: list[bytes]) -> list[np.ndarray]:
         longest = max(h[1] for h in heads)
         model, come = Models(len(part)), Reader([np.frombuffer(f[12 : 12 + (len(f) - 12) // 2 * 2], "<u2") for f in part])
         ids = np.zeros((longest, len(part)), np.int32)
-        everyone = np.arange(len(part))
-        come.data = np.pad(come.data, ((0, 0), (0, 4 * longest + 16)))
-        for x in ids:
+        everyone, most = np.arange(len(part)), np.uint64(TOTAL - 1)
+        for row in ids:
             upto2, upto1 = model.split()
-            at = come.peek(everyone)
-            hit2, miss = at < upto2, at >= upto1
+            share = come.range >> np.uint64(BITS)
+            at = np.minimum(come.code // share, most).astype(np.int64)
+            outcome = (at >= upto2).astype(np.int64) + (at >= upto1)
+            hit2, miss = outcome == 0, outcome == 2
             start = np.where(hit2, 0, np.where(miss, upto1, upto2))
-            come.drop(everyone, start, np.where(hit2, upto2, np.where(miss, TOTAL - upto1, upto1 - upto2)))
-            x[:] = np.where(hit2, model.g2, model.g1)
+            come.code, come.range = come.drop(everyone, come.code, share, start, np.where(hit2, upto2, np.where(miss, TOTAL - upto1, model.n1)))
+            x = np.where(hit2, model.g2, model.g1).astype(np.int64)
             rest = np.flatnonzero(miss)
             if len(rest):
-                digits: list[np.ndarray] = []
-                value = np.zeros(len(rest), np.int32)
-                for _ in range(4):
-                    context = model.context(rest, digits)
+                code, rng, base, own, digits = come.code[rest], come.range[rest], model.base[rest], np.arange(len(rest)), []
+                for _ in range(3):
+                    context = model.context(base, digits)
                     rows = model.cum[context]
-                    digit = (rows[:, 1:] <= come.peek(rest)[:, None]).sum(1)
-                    low = rows[np.arange(len(rest)), digit]
-                    come.drop(rest, low, rows[np.arange(len(rest)), digit + 1] - low)
-                    model.adapt(context, digit)
+                    share = rng >> np.uint64(BITS)
+                    digit = (rows > np.minimum(code // share, most).astype(np.int16)[:, None]).argmax(1) - 1
+                    under = rows[own, digit]
+                    code, rng = come.drop(rest, code, share, under, rows[own, digit + 1] - under)
+                    model.adapt(context, rows, digit)
                     digits.append(digit)
-                    value = value * 16 + digit
-                x[rest] = value
-            model.learn(x)
+                come.code[rest], come.range[rest] = code, rng
+                x[rest] = (digits[0] * BASE + digits[1]) * BASE + digits[2]
+            row[:] = x
+            model.learn(x, outcome)
         for lane, (_, n, crc) in enumerate(heads):
             own = ids[:n, lane].astype("<u4")
             if zlib.crc32(own.tobytes()) != crc:
@@ -241,9 +257,10 @@ def unpack(frames: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-CACHE = 400_000
-CHARS_A_CHUNK = 2_000_000
-CHARS_A_FILE = 24_000_000
+#: Pieces of text whose ids a Python worker keeps, and characters encoded at once.
+CACHE = 1 << 17
+CHARS_A_CHUNK = 1 << 19
+CHARS_A_FILE = 15_000_000
 FILE = "file_no int, block_no int, n_ids int, payload binary, doc_ids array<bigint>, doc_tokens array<int>"
 
 
@@ -287,7 +304,7 @@ def write(docs: DataFrame, path: str, tokeniser: str, end_id: int = END_ID) -> N
         def flush(last: bool):
             nonlocal held, block_no, ids, names, counts, begun
             whole = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            take = len(whole) if last else len(whole) // BLOCK * BLOCK
+            take = len(whole) if last else LANES * BLOCK  # all lanes full: a turn costs as much with one
             blocks = [whole[a : a + BLOCK] for a in range(0, take, BLOCK)]
             if blocks:
                 begins = np.array(begun, np.int64)
@@ -317,7 +334,7 @@ def write(docs: DataFrame, path: str, tokeniser: str, end_id: int = END_ID) -> N
                     ids.append(own_ids)
                     held += len(own_ids)
                 first = stop
-                if held >= LANES * BLOCK:
+                while held >= LANES * BLOCK:
                     yield from flush(False)
         yield from flush(True)
 
