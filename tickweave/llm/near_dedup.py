@@ -246,12 +246,8 @@ def bands(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInArrow(run, "key binary, band long")
 
 
-def sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, shingles of the texts with these keys."""
-
-    def name(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(map(text_key, _texts(batch)), pa.binary()), batch.column("text")], ["key", "text"])
+def sets(texts: DataFrame) -> DataFrame:
+    """key, shingles of texts (key, text)."""
 
     def run(batches):
         for batch in batches:
@@ -261,8 +257,7 @@ def sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))], ["key", "shingles"])
 
-    named = texts.mapInArrow(name, "key binary, text binary")
-    return named.join(small_side(keys), "key", "left_semi").mapInArrow(run, "key binary, shingles array<bigint>")
+    return texts.select("key", "text").mapInArrow(run, "key binary, shingles array<bigint>")
 
 
 def _both(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -443,7 +438,8 @@ def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     heads = banded.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
     shared = staged(banded.join(heads, "band").withColumn("past", F.array("hub")), "buckets")
     # Only texts that share a band with another are read for verification, once.
-    hashed = staged(sets(texts, shared.select("key").distinct()), "sets")
+    wanted = texts_of.join(shared.select("key").distinct(), "key", "left_semi").select("first.at_file", "first.at_row", "key")
+    hashed = staged(sets(own.join(small_side(wanted), ["at_file", "at_row"])), "sets")
 
     tried = staged(verified(shared.filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), hashed, idf), "verified")
     linked = lambda pairs: pairs.filter(F.col("similarity") >= THRESHOLD - 1e-12).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import is_finite, tick_size
-from tickweave.operators.asof import lookup
 
 
 def raw_short(df: DataFrame, stop: float = 1.08, ticks: int = 2, out="raw_bp") -> DataFrame:
@@ -39,11 +38,12 @@ def hedged(df: DataFrame, raw="raw_bp", beta="beta", market="txf_to_1330_bp", vo
 def net(df: DataFrame, label: str, date="Date", entity="QuoteCode", penalty: tuple[str, float] | None = None) -> DataFrame:
     """label less the mean of its (date, entity), and less the mean of its date; penalty: a flag column and its cost.
 
-    A session's mean is aggregated and joined back, since a window would send the session through one task.
+    A session's mean is aggregated and joined back (one row a session is broadcast), since a window would send the session
+    through one task.
     """
     value = F.col(label) - (F.when(F.col(penalty[0]), penalty[1]).otherwise(0.0) if penalty else 0.0)
-    means = df.groupBy(date).agg(F.avg(value).alias("_m"))
-    own = lookup(df.withColumn(f"{label}_net", value - F.avg(value).over(Window.partitionBy(date, entity))), means, [date])
+    means = F.broadcast(df.groupBy(F.col(date).alias("_d")).agg(F.avg(value).alias("_m")))
+    own = df.withColumn(f"{label}_net", value - F.avg(value).over(Window.partitionBy(date, entity))).join(means, F.col(date).eqNullSafe(F.col("_d")), "left")
     return own.withColumn(f"{label}_netM", value - F.col("_m")).select(*[c for c in df.columns if c not in (f"{label}_net", f"{label}_netM")], f"{label}_net", f"{label}_netM")
 
 

@@ -47,6 +47,10 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier-months: mean price move as return, market mean as factor."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     own = li.groupBy(F.date_format("l_shipdate", "yyyyMM").alias("Date"), F.col("l_suppkey").alias("QuoteCode")).agg((F.sum("l_discount") / F.count(F.lit(1)) - 0.05).alias("ret"))
+    # The table of supplier-months is written once: rows, the market's means and calendars all read it.
+    path = scratch(spark, "months")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     return own.join(own.groupBy("Date").agg(F.avg("ret").alias("factor")), "Date")
 
 

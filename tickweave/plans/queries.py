@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions import columns as C
 from tickweave.operators import asof, beta, books, buckets, filters, labels, model, stats, ticks
-from tickweave.plans.base import M_SQL, QUERIES, SQL, T_SQL, USER, months, query, tick_frame
+from tickweave.plans.base import M_SQL, QUERIES, SQL, T_SQL, USER, months, query, scratch, tick_frame
 from tickweave.sources import tables
 
 @query(f"""WITH {T_SQL} SELECT "ChannelSeq", round(min(CASE WHEN "TrialMatch" = 0 AND "FillPrice" <> 0 THEN "FillPrice" END) OVER w, 6) AS record_low,
@@ -365,8 +365,12 @@ def flagship(spark, sf_dir):
     """Events, point-in-time side data, net label, prior-session threshold, caps, daily result."""
     views = tick_frame(spark, sf_dir).filter("event_type = 'view'").select("QuoteCode", "TransTime", F.col("ChannelSeq").alias("seq"), F.col("FillPrice").alias("seen"))
     own = asof.asof_backward(_candidates(spark, sf_dir), views, ["QuoteCode"], "TransTime", ["seen"], seq="seq").filter("seen is not null")
-    own = labels.net(own, "FillPrice").withColumn("label", F.col("FillPrice_netM"))
+    # The event table is written once; means, limits and trades all read it.
+    path = scratch(spark, "events")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     limits = buckets.prior_quantiles(own, "seen", [0.3], 3)
+    own = labels.net(own, "FillPrice").withColumn("label", F.col("FillPrice_netM"))
     trades = books.cap_after(buckets.with_thresholds(own, limits).filter(F.col("seen") > F.col("q0")))
     curve = stats.equity(stats.daily_pnl(trades, "label", F.col("BidPrice1")))
     return curve.select("Date", "trades", F.round("pnl", 6).alias("pnl"), F.round("drawdown", 6).alias("drawdown"))
