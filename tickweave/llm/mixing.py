@@ -177,8 +177,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     model = fit_classifier(docs, labels, max_labelled)
     words = words_of(text_of())
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text_of()).alias("text_key"), words.alias("words"), (F.size(words) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))).cast("double").alias("n_tokens"))
-    own = own.select("doc_id", "source", "text_key", "n_tokens", posteriors(slots(F.col("words")), model).alias("posteriors"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64(text_of()).alias("text_key"), words.alias("words"), (F.lit(None) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))).cast("double").alias("given"))
+    n_tokens = (F.size("words").cast("double") if tokens is None else F.col("given")).alias("n_tokens")
+    own = own.select("doc_id", "source", "text_key", n_tokens, posteriors(slots(F.col("words")), model).alias("posteriors"))
     members = staged(own, "members")
     members = members.select("*", *[F.get("posteriors", F.lit(d)).alias(f"p{d}") for d in range(len(model["domains"]))])
     total = members.agg(F.sum("n_tokens")).first()[0] or 0.0
