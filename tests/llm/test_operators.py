@@ -181,13 +181,13 @@ def test_apart_finds_every_pair_of_different_classes(spark):
         members = spark.createDataFrame([(bytearray(keys[i]), bytearray(keys[0]), bytearray(keys[label[i]])) for i in range(len(own))], "a binary, b binary, label binary")
         rows = near_dedup.around(members, hashed, idf)
         near_dedup.SAMPLE = before
-        direct = {tuple(sorted((number(r.a), number(r.b)), reverse=True)) for r in near_dedup.nearest_pairs(rows).collect()}
+        direct = {tuple(sorted((number(r.a), number(r.b)), reverse=True)) for r in near_dedup.nearest_pairs(rows, near_dedup.nearest(rows)).collect()}
         classes = {i: label[i] for i in range(len(own))}
         for i, j in direct & alike:  # the links found so far join classes
             low, high = sorted((classes[i], classes[j]))
             classes = {k: low if c == high else c for k, c in classes.items()}
         again = rows.drop("label").join(spark.createDataFrame([(bytearray(keys[i]), bytearray(keys[c])) for i, c in classes.items()], "key binary, label binary"), "key")
-        got = {(number(r.a), number(r.b)) for r in near_dedup.apart(again).collect()}
+        got = {(number(r.a), number(r.b)) for r in near_dedup.apart(again, near_dedup.nearest(rows)).collect()}
         wanted = {(i, j) for i, j in alike if classes[i] != classes[j]}
         assert len(wanted) > 100 and wanted <= got
 
@@ -204,7 +204,7 @@ def test_apart_spares_members_that_differ_each_in_its_own_way(spark):
     keys = [bytearray(i.to_bytes(2, "big")) for i in range(len(own))]
     hashed = spark.createDataFrame([(k, x.tolist()) for k, x in zip(keys, own, strict=True)], "key binary, shingles array<long>")
     rows = near_dedup.around(spark.createDataFrame([(k, keys[0], k) for k in keys], "a binary, b binary, label binary"), hashed, idf)
-    assert near_dedup.apart(rows).count() < 150 and near_dedup.nearest_pairs(rows).count() < 300
+    assert near_dedup.apart(rows, near_dedup.nearest(rows)).count() < 150 and near_dedup.nearest_pairs(rows, near_dedup.nearest(rows)).count() < 300
 
 
 def test_near_dedup_against_all_pairs(spark):

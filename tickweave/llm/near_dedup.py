@@ -359,15 +359,15 @@ def nearest(rows: DataFrame) -> DataFrame:
     return found.select("hub", *[F.col(f"{w}.{c}").alias(f"{n}_{w}") for w in "pq" for c, n in (("key", "n"), ("label", "l"), (f"e_{w}", "m"))])
 
 
-def nearest_pairs(rows: DataFrame) -> DataFrame:
-    """Each member with its hub's nearest ones of other classes. If the excesses of two sum to 0 or less, both are alike to the nearest:
+def nearest_pairs(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Of rows (see `around`) and their nearest ones (see `nearest`): each member with its hub's nearest ones of other classes. If the excesses of two sum to 0 or less, both are alike to the nearest:
     a distance is at most the sum of those from the centre, and two are alike where it is at most SLACK of their sizes."""
-    own = rows.filter("element is null").join(nearest(rows), "hub")
+    own = rows.filter("element is null").join(small_side(least), "hub")
     each = F.explode(F.array(*[F.struct(F.col(f"n_{w}").alias("b"), F.col(f"l_{w}").alias("lb")) for w in "pq"])).alias("x")
     return own.select(F.col("key").alias("a"), "label", each).filter("label != x.lb").select("a", F.col("x.b").alias("b")).distinct()
 
 
-def apart(rows: DataFrame) -> DataFrame:
+def apart(rows: DataFrame, least: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one hub and different classes that may be alike though their excesses sum to more than 0.
 
     All that are alike are among them: their distance falls short of the sum of those from the centre by what they share of
@@ -375,11 +375,10 @@ def apart(rows: DataFrame) -> DataFrame:
     in a fixed order: from the first common one on, what is left of both must reach that. What all members of a group share is
     in no difference, so a group's size doesn't enter.
     """
-    least = nearest(rows).select("hub", "m_p", "m_q")
     enough = F.lit(False)
     for w in "pq":
         enough = enough | (F.col(f"rest_{w}") >= (F.col(f"e_{w}") + F.col(f"m_{w}")) / 2 - 1e-3)
-    rows = rows.filter("element is not null").join(least, "hub").filter(enough)
+    rows = rows.filter("element is not null").join(small_side(least.select("hub", "m_p", "m_q")), "hub").filter(enough)
     # Of the members that share an element those of its most frequent class need not meet each other.
     kinds = rows.groupBy("hub", "element", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("hub", "element")
     kinds = kinds.agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hub", "element", "top")
@@ -472,9 +471,10 @@ def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             if members.isEmpty():
                 break
             rows_around = around(members, hashed, idf)
-            pairs = nearest_pairs(rows_around)
+            least = staged(nearest(rows_around), "nearest")
+            pairs = nearest_pairs(rows_around, least)
         else:
-            pairs = apart(relabelled(rows_around.drop("label")))
+            pairs = apart(relabelled(rows_around.drop("label")), least)
         known = tried.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
         pairs = pairs.join(known, (F.greatest("a", "b") == F.col("high")) & (F.least("a", "b") == F.col("low")), "left_anti")
         latest = staged(verified(pairs, hashed, idf), "verified")
