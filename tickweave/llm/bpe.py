@@ -40,7 +40,7 @@ IN_L, IN_N, IN_O, IN_S, AFTER_BLANK, NEED1, NEED2, CLOSED = range(8)
 CHARS_A_CHUNK = 1 << 18
 BLOCK = 256
 #: Bytes of merged pre-tokens that a Python worker keeps; a full cache begins anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 #: Bytes of a pre-token that is merged on its own.
 LONG = 64
 #: No rank.
@@ -139,7 +139,7 @@ class Pairs:
                 if a is not None and b is not None:
                     found[a << 32 | b] = k
         keys, values = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
-        self.bits = max(4, (4 * len(found)).bit_length())
+        self.bits = max(4, (2 * len(found)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         at, self.probes = self._slot(keys), 0
         while len(keys):  # of keys that want one free slot the last gets it, the others try the next

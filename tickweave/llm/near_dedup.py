@@ -50,7 +50,7 @@ SLACK = (1 - THRESHOLD) / (1 + THRESHOLD)
 #: Members of a bucket from which its centre is taken, about.
 SAMPLE = 32
 #: Bytes of text hashed at once.
-SLICE = 1 << 19
+SLICE = 1 << 16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -159,12 +159,19 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").to_pylist()
 
 
+def _parts(batches, rows: int = 256):
+    """Slices of the batches: a worker holds the texts of a few rows at a time as Python objects."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def idf_table(texts: DataFrame, n_docs: int) -> np.ndarray:
     """Weight of each slot; SLOTS values whatever the corpus."""
 
     def count(batches):
         held = np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             for own in all_shingles(_texts(batch)):
                 held[np.unique(own & (SLOTS - 1))] += 1
         at = np.flatnonzero(held)
@@ -232,7 +239,7 @@ def bands(texts: DataFrame, idf) -> DataFrame:
 
     def run(batches):
         salt = np.arange(BANDS, dtype=np.int64) * np.int64(0x9E3779B97F4A7C1)
-        for batch in batches:
+        for batch in _parts(batches):
             keys, found, texts = [], [], _texts(batch)
             for text, own in zip(texts, all_shingles(texts), strict=True):
                 if len(own):
@@ -250,12 +257,10 @@ def sets(texts: DataFrame) -> DataFrame:
     """key, shingles of texts (key, text)."""
 
     def run(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                found = list(all_shingles(_texts(part)))
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))], ["key", "shingles"])
+        for part in _parts(batches):
+            found = list(all_shingles(_texts(part)))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))], ["key", "shingles"])
 
     return texts.select("key", "text").mapInArrow(run, "key binary, shingles array<bigint>")
 
@@ -330,7 +335,7 @@ def around(members: DataFrame, hashed: DataFrame, idf) -> DataFrame:
     names = ["rest_p", "rest_q", "e_p", "e_q"]
 
     def run(batches):
-        for batch in (whole.slice(first, 64) for whole in batches for first in range(0, whole.num_rows, 64)):
+        for batch in _parts(batches, 64):
             picks, elements, numbers = [], [], [[] for _ in names]
             last, held = None, None
             for k, (b, own, ids, weights) in enumerate(zip(batch.column("b").to_pylist(), *map(_lists, (batch.column("sa"), batch.column("ids"), batch.column("weights"))), strict=True)):
@@ -422,7 +427,7 @@ def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     own = docs.select(F.col(key).cast("long").alias("row_key"), "at_file", "at_row", text_of().cast("binary").alias("text"))
 
     def name(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "at_file", "at_row")), pa.array(map(text_key, _texts(batch)), pa.binary())], ["row_key", "at_file", "at_row", "key"])
 
     rows = staged(own.mapInArrow(name, "row_key long, at_file string, at_row long, key binary"), "rows")
