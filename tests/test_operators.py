@@ -217,11 +217,10 @@ def test_stream_state_equals_batch(spark, tape, tmp_path):
     from tickweave.streaming import live
 
     path = str(tmp_path / "ticks")
-    cols = ["Date", "QuoteCode", "ChannelSeq", F.col("TransTime").cast("timestamp").alias("TransTime"), "FillPrice", "FillLots", "InOut", "BidPrice1", "AskPrice1", "RefPrice"]
-    tape.filter("TrialMatch = 0").select(*cols).coalesce(1).write.parquet(path)
-    stream = live.tick_state(live.dedup(spark.readStream.schema(live.TICK).parquet(path)))
-    query = stream.writeStream.format("memory").queryName("live_ticks").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {r.ChannelSeq: (r.RecordLow, r.FillLots_atLow) for r in spark.table("live_ticks").collect()}
-    want = {r.ChannelSeq: (r.RecordLow, r.FillLots_atLow) for r in ticks.lots_at_record(ticks.price_path(tape)).filter("TrialMatch = 0").collect()}
+    own = tape.withColumn("TransTime", F.col("TransTime").cast("timestamp"))
+    own.coalesce(1).write.parquet(path)
+    stream = live.tick_state(live.dedup(spark.readStream.schema(own.schema).parquet(path)), late=None)
+    out = live.drain(stream, str(tmp_path / "out"), str(tmp_path / "log")).filter("reject is null")
+    got = {r.ChannelSeq: (r.RecordLow, r.FillLots_atLow) for r in out.collect()}
+    want = {r.ChannelSeq: (r.RecordLow, r.FillLots_atLow) for r in ticks.lots_at_record(ticks.price_path(tape)).collect()}
     assert got == want

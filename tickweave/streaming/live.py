@@ -97,10 +97,10 @@ def advance(t: pd.DataFrame, s: dict | None, stop: float = 1.08, widen: float =
     return pd.DataFrame(head | out | {"reject": reject}), s
 
 
-def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late: str = "10 minutes") -> DataFrame:
+def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late: str | None = "10 minutes") -> DataFrame:
     """Price path, signed volume at the records, moves, the latched spread pair, rates over the last ticks, candidate and stop
     flags per tick, as the batch operators give them. A session is part of the key, so a new day starts afresh; its state
-    ends a day of the watermark after the last tick."""
+    ends a day of the watermark after the last tick. late: None where the stream has a watermark (after dedup, say)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = [c.split()[0] for c in STATE.split(", ")]
@@ -120,7 +120,8 @@ def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late:
             yield out[NAMES]
 
     wanted = ["ChannelSeq", "TransTime", "FillPrice", "FillLots", "InOut", "TrialMatch", "BidPrice1", "AskPrice1", "RefPrice"]
-    own = ticks.withWatermark("TransTime", late).select(*[F.col(c).cast("string").alias(c) for c in KEYS], *wanted, F.unix_micros(F.col("TransTime").cast("timestamp")).alias("us"))
+    ticks = ticks if late is None else ticks.withWatermark("TransTime", late)
+    own = ticks.select(*[F.col(c).cast("string").alias(c) for c in KEYS], *wanted, F.unix_micros(F.col("TransTime").cast("timestamp")).alias("us"))
     return own.groupBy(*KEYS).applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
