@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tickweave.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, pii, quality_rules, range_coder, token_counts, toxicity
+from tickweave.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, pii, quality_rules, range_coder, token_counts, toxicity, vector_codes
 from tickweave.llm.base import scratch, staged, table
 from tickweave.llm.sql import SQL
 
@@ -69,6 +69,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, path))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of two policies rejects, and rejects alone, from the stored ledger of op2."""
     found = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -33,4 +33,22 @@ ABLATIONS = "WITH l AS (" + OP2 + ") " + " UNION ALL ".join(
     f"SELECT '{policy}' AS policy, '{RULES[k]}' AS rule, count(*) FILTER (WHERE fail_bits & {1 << k} <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & {most} = {1 << k}) AS n_only FROM l"
     for policy, n, most in (("v1", 4, 15), ("v2", 8, 255)) for k in range(n))
 
-SQL = {"quality_ablations": ABLATIONS, "op1_chat_format": OP1, "op2_quality_rules": OP2, "op7_exact_dedup": OP7}
+
+
+def _op11(rounds: int = 6) -> str:
+    """All distances of every round; sums of squares of equal places."""
+    steps = ["""v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS rid FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+ FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+             "c AS MATERIALIZED (SELECT rid, (k - 1) * 8 // len(x) AS part, (k - 1) % (len(x) // 8) AS j, x[k] AS x FROM v, unnest(generate_series(1, len(x))) AS t(k))",
+             "b0 AS MATERIALIZED (SELECT part, CAST(rid AS INT) AS e, j, x FROM c WHERE rid < 16)"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, part, min(struct_pack(d := d, e := e)) AS best FROM (SELECT c.rid, c.part, b.e, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d FROM c JOIN b{r} b ON b.part = c.part AND b.j = c.j GROUP BY ALL) GROUP BY rid, part)")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT part, e, j, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM b{r} LEFT JOIN (SELECT part, a.best.e AS e, j, CAST(sum(c.x) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{r} a USING (rid, part) GROUP BY ALL) USING (part, e, j))""")
+    steps.append(f"f AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)")
+    return "WITH " + ", ".join(steps) + f""" SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, j)) FROM b{rounds}) AS codebooks_sha256 FROM f JOIN v USING (rid)"""
+
+
+OP11 = _op11()
+
+SQL = {"op11_vector_codes": OP11, "quality_ablations": ABLATIONS, "op1_chat_format": OP1, "op2_quality_rules": OP2, "op7_exact_dedup": OP7}
