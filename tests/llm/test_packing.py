@@ -15,8 +15,11 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
 
 
+TOKENIZER = Tokenizer.from_file(WORDS)
+
+
 def ids_of(texts, end=packing.END_ID):
-    found = Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    found = TOKENIZER.encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [np.array([*e.ids, end], "<u4") for e in found]
 
 

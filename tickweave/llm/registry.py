@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tickweave.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, packing, pii, quality_rules, range_coder, token_counts, toxicity, vector_codes
+from tickweave.llm import bpe, chat_format, divergence, exact_dedup, mixing, near_dedup, packing, pii, quality_rules, range_coder, token_counts, toxicity, vector_codes
 from tickweave.llm.base import scratch, staged, table
 from tickweave.llm.sql import SQL
 
@@ -73,6 +73,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import scratch, small_side, staged
+from tickweave.llm.base import scratch, staged
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Relative slack of a bound that is computed from an exact distance; more than single floats round off.
@@ -39,8 +39,8 @@ SLACK = 1e-6
 OUTSIDE = 1 / 64
 #: Vectors that a task handles at once.
 ROWS = 4096
-#: Labels, the most frequent ones, that are broadcast with their errors where there are too many to broadcast all.
-HEAVY = 50_000
+#: Labels that are broadcast with their errors; the most frequent ones, where there are more.
+FEW_LABELS, HEAVY = 200_000, 50_000
 STATE = "vec_id bigint, label {label}, parts binary, bounds binary, changes array<bigint>"
 
 
@@ -304,7 +304,7 @@ def compress(vectors: DataFrame, vector: str = "embedding", rounds: int = ROUNDS
 def with_label_error(coded: DataFrame) -> DataFrame:
     """coded (a stored table) with label_error: the errors summed over equal labels, nulls together."""
     totals = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("_n"))
-    small = totals.limit(200_001).count() <= 200_000
+    small = totals.limit(FEW_LABELS + 1).count() <= FEW_LABELS
     most = totals if small else staged(totals.orderBy(F.desc("_n"), "_label").limit(HEAVY), "labels")
     out = coded.join(F.broadcast(most.drop("_n")), F.col("label").eqNullSafe(F.col("_label")), "left")
     if small:
