@@ -53,33 +53,140 @@ def fixed_condition(limits: dict[str, float]) -> Column:
     return out
 
 
+def _passed(score: str, limits: str) -> Column:
+    """How many of the ascending limits (an array column) the score exceeds. Limits ascend with their quantiles, so it exceeds those of the lower ones."""
+    return F.coalesce(F.size(F.filter(limits, lambda x: F.col(score) > x)), F.lit(0))
+
+
 def threshold_sweep(df: DataFrame, score: str, outcome: str, shares: list[float], n: int = 3, date="Date", bucket: str | None = None, floor: float | None = None) -> DataFrame:
-    """Per quantile: trades, mean and sum of outcome over rows whose score is above the prior sessions' quantile."""
-    own = with_thresholds(df, prior_quantiles(df, score, shares, n, date, bucket), date, bucket)
+    """Per quantile: trades, mean and sum of outcome over rows whose score is above the prior sessions' quantile.
+
+    A row counts once, with the highest limit that it exceeds; the small table of those counts gives the sums of each quantile.
+    """
+    shares = sorted(shares)
+    limits = prior_quantiles(df, score, shares, n, date, bucket)
+    limits = limits.select(date, *([bucket] if bucket else []), F.array(*[f"q{i}" for i in range(len(shares))]).alias("_limits"))
+    own = with_thresholds(df, limits, date, bucket)
     own = own if floor is None else own.filter(F.col(score) > floor)
-    each = F.explode(F.array(*[F.struct(F.lit(q).alias("share"), F.col(f"q{i}").alias("limit")) for i, q in enumerate(shares)]))
-    hit = own.select(score, outcome, each.alias("c")).filter(F.col(score) > F.col("c.limit"))
-    return hit.groupBy(F.col("c.share").alias("share")).agg(F.count(F.lit(1)).alias("trades"), F.avg(outcome).alias("mean"), F.sum(outcome).alias("total"))
+    level = own.select(_passed(score, "_limits").alias("_level"), F.col(outcome).alias("_y")).filter("_level > 0")
+    sums = level.groupBy("_level").agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("known"), F.sum("_y").alias("s"))
+    each = sums.select("*", F.explode(F.slice(F.array(*map(F.lit, shares)), F.lit(1), F.col("_level"))).alias("share"))
+    return each.groupBy("share").agg(F.sum("n").alias("trades"), F.try_divide(F.sum("s"), F.sum("known")).alias("mean"), F.sum("s").alias("total"))
+
+
+def _levels(df: DataFrame, sources: dict[str, tuple[str, str]], shares: dict[str, list[float]], n: int, date: str, bucket: str | None) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """df with, for each source and (not) bucketed, how many limits of either side a row exceeds (columns _a0, _b0, _a1, ...), and what those are of."""
+    out, kinds = df, [(name, bucketed) for name in sources for bucketed in ([False, True] if bucket else [False])]
+    tables: dict[bool, DataFrame] = {}
+    for k, (name, bucketed) in enumerate(kinds):
+        key = [date, *([bucket] if bucketed else [])]
+        for side, score in zip("ab", sources[name], strict=True):
+            found = prior_quantiles(df, score, shares[side], n, date, bucket if bucketed else None)
+            found = found.select(*key, F.array(*[f"q{i}" for i in range(len(shares[side]))]).alias(f"_l{side}{k}"))
+            tables[bucketed] = found if bucketed not in tables else tables[bucketed].join(found, key, "full")
+    for bucketed, found in tables.items():  # a row a session (and bucket)
+        key = [date, *([bucket] if bucketed else [])]
+        out = out.join(F.broadcast(found) if found.limit(100_001).count() <= 100_000 else found, key, "left")
+    names = {f"_{side}{k}": _passed(sources[name][i], f"_l{side}{k}") for k, (name, _) in enumerate(kinds) for i, side in enumerate("ab")}
+    return out.withColumns(names).drop(*[f"_l{side}{k}" for k in range(len(kinds)) for side in "ab"]), kinds
 
 
 def sweep_grid(df: DataFrame, sources: dict[str, tuple[str, str]], outcome: str, shares_a: list[float], shares_b: list[float], floors: dict[str, Column], period: Column, n: int = 3, date="Date", bucket: str | None = None) -> DataFrame:
     """Every combination of source (name: two scores), bucketed or not, two quantiles and floor, per period: trades, mean and
-    sum of outcome over rows whose scores are both above their prior sessions' quantiles."""
-    out = None
-    for name, (a, b) in sources.items():
-        for bucketed in [False, True] if bucket else [False]:
-            key = [date, *([bucket] if bucketed else [])]
-            limits = [prior_quantiles(df, c, shares, n, date, bucket if bucketed else None).withColumnsRenamed({f"q{i}": f"_{side}{i}" for i in range(len(shares))}) for side, c, shares in (("a", a, shares_a), ("b", b, shares_b))]
-            own = df.join(limits[0], key, "left").join(limits[1], key, "left").withColumn("period", period).filter("period is not null")
-            listed = lambda side, shares: [F.struct(F.lit(q).alias("q"), F.col(f"_{side}{i}").alias("limit")) for i, q in enumerate(shares)]
-            passed = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in floors.items()]))
-            over = lambda side, c, shares: F.filter(F.array(*listed(side, shares)), lambda x: F.col(c) > x["limit"])
-            hit = own.select("period", outcome, F.explode(over("a", a, shares_a)).alias("_x"), over("b", b, shares_b).alias("_y"), passed.alias("_f"))
-            hit = hit.withColumn("_y", F.explode("_y")).withColumn("floor", F.explode("_f"))
-            sums = hit.groupBy("period", F.col("_x.q").alias("q_a"), F.col("_y.q").alias("q_b"), "floor").agg(F.count(F.lit(1)).alias("trades"), F.avg(outcome).alias("mean"), F.sum(outcome).alias("total"))
-            sums = sums.select(F.lit(name).alias("source"), F.lit(bucketed).alias("bucketed"), "*")
-            out = sums if out is None else out.unionByName(sums)
-    return out
+    sum of outcome over rows whose scores are both above their prior sessions' quantiles.
+
+    A row counts once a source, in the cell of the highest limits that it exceeds; combinations are sums over that small table.
+    """
+    shares = {"a": sorted(shares_a), "b": sorted(shares_b)}
+    own, kinds = _levels(df, sources, shares, n, date, bucket)
+    own = own.withColumn("period", period).filter("period is not null")
+    passed = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in floors.items()]))
+    each = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_a{k}").alias("a"), F.col(f"_b{k}").alias("b")) for k in range(len(kinds))]), lambda x: (x["a"] > 0) & (x["b"] > 0))
+    cells = own.select("period", F.col(outcome).alias("_y"), passed.alias("_f"), F.explode(each).alias("x"))
+    cells = cells.groupBy("period", "_f", "x").agg(F.count(F.lit(1)).alias("n"), F.count("_y").alias("known"), F.sum("_y").alias("s"))
+    upto = lambda side: F.slice(F.array(*map(F.lit, shares[side])), F.lit(1), F.col(f"x.{side}"))
+    whole = cells.select("period", "n", "known", "s", F.col("x.k").alias("k"), upto("a").alias("qa"), upto("b").alias("qb"), F.explode("_f").alias("floor"))
+    whole = whole.withColumn("q_a", F.explode("qa")).withColumn("q_b", F.explode("qb"))
+    sums = whole.groupBy("period", "k", "q_a", "q_b", "floor").agg(F.sum("n").alias("trades"), F.try_divide(F.sum("s"), F.sum("known")).alias("mean"), F.sum("s").alias("total"))
+    named = lambda values: F.get(F.array(*map(F.lit, values)), F.col("k"))
+    return sums.select(named([x[0] for x in kinds]).alias("source"), named([x[1] for x in kinds]).alias("bucketed"), "period", "q_a", "q_b", "floor", "trades", "mean", "total")
+
+
+def evaluate_grid(df: DataFrame, sources: dict[str, tuple[str, str]], outcome: str, shares_a: list[float], shares_b: list[float], floors: dict[str, Column], period: Column, rules: Column | None = None, lots: Column | None = None,
+                  limit: float = 200.0, fee: float = 19.3, least: int = 300, n: int = 3, date="Date", bucket: str | None = None, keys=("Date", "QuoteCode"), order=("TransTime", "ChannelSeq"), price="BidPrice1", year: int = 240) -> DataFrame:
+    """The combinations of sweep_grid, each traded under position limits of its own: source, bucketed, q_a, q_b, floor, period, signals, trades, days, trades_day, capw_bp, pnl, win_day, sharpe.
+
+    A combination's signals of an entity and session count up lots and position in the order of time; a signal is traded if the
+    lots up to it are under `lots` (a column, if given), the position under `limit` and it meets `rules`; dropped ones have used their
+    quota. Combinations with fewer than `least` signals in a period are left out there. A null outcome earns nothing.
+
+    Events are dealt once, by `keys`, and sorted; a task then keeps the running lots and positions of all combinations as
+    arrays and each row's combinations as a mask, so no row is copied for a combination.
+    """
+    shares = {"a": sorted(shares_a), "b": sorted(shares_b)}
+    own, kinds = _levels(df, sources, shares, n, date, bucket)
+    names = list(floors)
+    combos = [(k, i, j, f) for k in range(len(kinds)) for i in range(len(shares["a"])) for j in range(len(shares["b"])) for f in range(len(names))]
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    levels = [f"_{side}{k}" for k in range(len(kinds)) for side in "ab"]
+    some = F.lit(False)
+    for k in range(len(kinds)):
+        some = some | ((F.col(f"_a{k}") > 0) & (F.col(f"_b{k}") > 0))
+    earned = F.coalesce(F.col(price) * (F.col(outcome) - fee) / 1e5, F.lit(0.0))
+    keyed = [F.col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(keys)]
+    own = own.withColumn("_period", period).filter(F.col("_period").isNotNull() & some & F.col(price).isNotNull())
+    own = own.select(*keyed, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(date).cast("string").alias("_date"), "_period", (F.col(price) / 10).alias("_size"), earned.cast("double").alias("_earned"), yes(F.lit(True) if rules is None else rules).alias("_ok"),
+                     F.coalesce((F.lit(float("inf")) if lots is None else lots).cast("double"), F.lit(0.0)).alias("_lots"), F.array(*[yes(v) for v in floors.values()]).alias("_floors"), F.array(*levels).alias("_levels"))
+    keyed = [f"_k{i}" for i in range(len(keys))]
+    own = own.repartition(*keyed).sortWithinPartitions(*keyed, *[f"_o{i}" for i in range(len(order))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kind, at_a, at_b, at_f = np.array(combos).T
+        c, width = len(combos), 2 * len(kinds)
+        before, count, held, sums = None, np.zeros(c), np.zeros(c), {}
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
+                m = batch.num_rows
+                key = list(zip(*(batch.column(k).to_pylist() for k in keyed), strict=True))
+                fresh = np.array([k != b for k, b in zip(key, [before, *key[:-1]], strict=True)])
+                before = key[-1]
+                level = batch.column("_levels").flatten().to_numpy().reshape(m, width)
+                floor = batch.column("_floors").flatten().to_numpy(zero_copy_only=False).reshape(m, len(names))
+                mask = (level[:, 2 * kind] > at_a) & (level[:, 2 * kind + 1] > at_b) & floor[:, at_f]
+                size, gain = batch.column("_size").to_numpy(), batch.column("_earned").to_numpy()
+                # Running sums since the row where the entity or session changed, or on from the batch before.
+                start = np.maximum.accumulate(np.where(fresh, np.arange(m), -1))
+                both = []
+                for values, carry in ((mask.astype(float), count), (mask * size[:, None], held)):
+                    total = np.cumsum(values, 0)
+                    base = np.where((start >= 0)[:, None], (total - values)[np.maximum(start, 0)], -carry)
+                    both.append(total - base)
+                count, held = both[0][-1], both[1][-1]
+                ok = mask & (both[0] < batch.column("_lots").to_numpy()[:, None]) & (both[1] < limit) & batch.column("_ok").to_numpy(zero_copy_only=False)[:, None]
+                days = list(zip(batch.column("_date").to_pylist(), batch.column("_period").to_pylist(), strict=True))
+                where = {d: i for i, d in enumerate(dict.fromkeys(days))}
+                place = np.array([where[d] for d in days])
+                for d, i in where.items():
+                    mine = place == i
+                    got = ok[mine]
+                    now = np.stack([mask[mine].sum(0), got.sum(0), gain[mine] @ got, size[mine] @ got])
+                    sums[d] = sums[d] + now if d in sums else now
+        for (day, per), x in sums.items():
+            some = np.flatnonzero(x[0])
+            yield pa.RecordBatch.from_arrays([pa.array([day] * len(some), pa.string()), pa.array([per] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(x[0][some].astype(np.int64)), pa.array(x[1][some].astype(np.int64)), pa.array(x[2][some]), pa.array(x[3][some])], ["day", "period", "combo", "signals", "trades", "pnl", "cap"])
+
+    days = own.mapInArrow(run, "day string, period string, combo int, signals bigint, trades bigint, pnl double, cap double").groupBy("period", "combo", "day").agg(*[F.sum(x).alias(x) for x in ("signals", "trades", "pnl", "cap")])
+    traded = lambda x: F.when(F.col("trades") > 0, x)
+    found = days.groupBy("period", "combo").agg(F.sum("signals").alias("signals"), F.sum("trades").alias("trades"), F.count(traded(F.lit(1))).alias("days"), F.sum("pnl").alias("pnl"), F.sum("cap").alias("_cap"), F.avg(traded((F.col("pnl") > 0).cast("double"))).alias("win_day"),
+                                                 F.avg(traded(F.col("pnl"))).alias("_m"), F.stddev_samp(traded(F.col("pnl"))).alias("_s"))
+    found = found.filter((F.col("signals") >= least) & (F.col("days") > 0))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("combo"))
+    return found.select(pick([kinds[k][0] for k, *_ in combos]).alias("source"), pick([kinds[k][1] for k, *_ in combos]).alias("bucketed"), pick([shares["a"][i] for _, i, _, _ in combos]).alias("q_a"), pick([shares["b"][j] for _, _, j, _ in combos]).alias("q_b"), pick([names[f] for *_, f in combos]).alias("floor"),
+                        "period", "signals", "trades", "days", (F.col("trades") / F.col("days")).alias("trades_day"), F.try_divide("pnl", "_cap").alias("_r"), "pnl", "win_day", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.sqrt(F.lit(float(year)))).alias("sharpe")).withColumn("capw_bp", F.col("_r") * 1e4).drop("_r")
 
 
 def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: int = 20, min_leaf: float = 0.05, least_rows: int = 200, bins: int = 32, date="Date") -> DataFrame:

@@ -230,23 +230,51 @@ def h_sweep_with_floor(spark, sf_dir):
     return rounded(buckets.threshold_sweep(tick_frame(spark, sf_dir), "FillPrice", "FillLots", [0.5], floor=19.3), 6, "mean")
 
 
-def _grid_sql() -> str:
+def _limits_sql(key: str, value: str, shares: list[float]) -> str:
+    """Prior sessions' quantiles by session (and key), a row a quantile."""
+    return f"""(SELECT s.k + i.i AS k{key}, u.q AS share, quantile_cont(s.{value}, {shares})[u.p] AS q FROM s CROSS JOIN (SELECT unnest(range(1, 4)) AS i) i CROSS JOIN (SELECT unnest({shares}) AS q, unnest({list(range(1, len(shares) + 1))}) AS p) u GROUP BY s.k + i.i{key}, u.q, u.p)"""
+
+
+def _signals_sql(shares_a: list[float], shares_b: list[float]) -> str:
+    """A row for each event and combination that it is a signal of."""
     parts = []
     for name, a, b in (("plain", '"FillPrice"', '"FillLots"'), ("turned", '"FillLots"', '"FillPrice"')):
         for bucketed in (False, True):
             key = ", event_type" if bucketed else ""
             on = " AND {0}.event_type = s.event_type" if bucketed else ""
-            prior = lambda v, shares, key=key: f"""(SELECT s.k + i.i AS k{key}, u.q AS share, quantile_cont(s.{v}, {"[" + ", ".join(map(str, shares)) + "]"})[u.p] AS q FROM s CROSS JOIN (SELECT unnest(range(1, 4)) AS i) i CROSS JOIN (SELECT unnest({shares}) AS q, unnest([1, 2]) AS p) u GROUP BY s.k + i.i{key}, u.q, u.p)"""
-            parts.append(f"""SELECT '{name}' AS source, {str(bucketed).lower()} AS bucketed, per.period, CAST(a.share AS DOUBLE) AS q_a, CAST(b.share AS DOUBLE) AS q_b, fl.floor, count(*) AS trades, avg("FillPrice") AS mean, sum("FillPrice") AS total FROM s JOIN {prior(a, [0.3, 0.6])} a ON a.k = s.k{on.format("a")} JOIN {prior(b, [0.2, 0.5])} b ON b.k = s.k{on.format("b")}
- JOIN (SELECT * FROM (VALUES ('tune', '20240101', '20240115'), ('holdout', '20240116', '20240131')) v(period, lo, hi)) per ON s."Date" BETWEEN per.lo AND per.hi JOIN (SELECT unnest(['none', 'fee']) AS floor) fl ON fl.floor = 'none' OR s."FillPrice" > 19.3 WHERE s.{a} > a.q AND s.{b} > b.q GROUP BY 1, 2, 3, 4, 5, 6""")
-    return f"WITH {SES_SQL}, g AS (" + " UNION ALL ".join(parts) + ") SELECT * REPLACE (round(mean, 5) AS mean, round(total, 3) AS total) FROM g"
+            parts.append(f"""SELECT s.*, '{name}' AS source, {str(bucketed).lower()} AS bucketed, per.period, CAST(a.share AS DOUBLE) AS q_a, CAST(b.share AS DOUBLE) AS q_b, fl.floor FROM s JOIN {_limits_sql(key, a, shares_a)} a ON a.k = s.k{on.format("a")} JOIN {_limits_sql(key, b, shares_b)} b ON b.k = s.k{on.format("b")}
+ JOIN (SELECT * FROM (VALUES ('tune', '20240101', '20240115'), ('holdout', '20240116', '20240131')) v(period, lo, hi)) per ON s."Date" BETWEEN per.lo AND per.hi JOIN (SELECT unnest(['none', 'fee']) AS floor) fl ON fl.floor = 'none' OR s."FillPrice" > 19.3 WHERE s.{a} > a.q AND s.{b} > b.q""")
+    return f"{SES_SQL}, sig AS (" + " UNION ALL ".join(parts) + ")"
+
+
+SCORES = {"plain": ("FillPrice", "FillLots"), "turned": ("FillLots", "FillPrice")}
+
+
+def _period():
+    return F.when(F.col("Date") <= "20240115", "tune").otherwise("holdout")
+
+
+def _floors():
+    return {"none": F.lit(True), "fee": F.col("FillPrice") > 19.3}
 
 
-@query(_grid_sql())
+@query(f"""WITH {_signals_sql([0.3, 0.6], [0.2, 0.5])} SELECT source, bucketed, period, q_a, q_b, floor, count(*) AS trades, CAST(round(sum("FillPrice") * 100) AS BIGINT) AS total FROM sig GROUP BY ALL""")
 def h_sweep_grid(spark, sf_dir):
-    period = F.when(F.col("Date") <= "20240115", "tune").otherwise("holdout")
-    own = buckets.sweep_grid(tick_frame(spark, sf_dir), {"plain": ("FillPrice", "FillLots"), "turned": ("FillLots", "FillPrice")}, "FillPrice", [0.3, 0.6], [0.2, 0.5], {"none": F.lit(True), "fee": F.col("FillPrice") > 19.3}, period, bucket="event_type")
-    return rounded(rounded(own, 5, "mean"), 3, "total")
+    """Totals in hundredths; prices have two digits, so the sum is one of whole numbers."""
+    own = buckets.sweep_grid(tick_frame(spark, sf_dir), SCORES, "FillPrice", [0.3, 0.6], [0.2, 0.5], _floors(), _period(), bucket="event_type")
+    return own.drop("mean").withColumn("total", F.round(F.col("total") * 100).cast("long"))
+
+
+@query(f"""WITH {_signals_sql([0.2, 0.4, 0.6, 0.8], [0.2, 0.5])}, run AS (SELECT *, count(*) OVER w AS lots, sum("BidPrice1" / 10) OVER w AS pos FROM sig WINDOW w AS (PARTITION BY source, bucketed, period, q_a, q_b, floor, "QuoteCode" ORDER BY "TransTime", "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ kept AS (SELECT *, lots < 20 + "FillLots" % 9 AND pos < 33.33335 AND "BidPrice1" <= 90 AS ok FROM run),
+ days AS (SELECT source, bucketed, period, q_a, q_b, floor, "Date", count(*) AS signals, count(*) FILTER (ok) AS trades, coalesce(sum("BidPrice1" * ("FillLots" - 19.3) / 1e5) FILTER (ok), 0) AS pnl, coalesce(sum("BidPrice1" / 10) FILTER (ok), 0) AS cap FROM kept GROUP BY ALL)
+ SELECT source, bucketed, period, q_a, q_b, floor, CAST(sum(signals) AS BIGINT) AS signals, CAST(sum(trades) AS BIGINT) AS trades, count(*) FILTER (trades > 0) AS days, round(sum(trades) / count(*) FILTER (trades > 0), 4) AS trades_day, round(sum(pnl) / sum(cap) * 10000, 4) AS capw_bp, round(sum(pnl), 5) AS pnl, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) FILTER (trades > 0), 4) AS win_day, round(avg(pnl) FILTER (trades > 0) / stddev_samp(pnl) FILTER (trades > 0) * sqrt(240), 4) AS sharpe
+ FROM days GROUP BY source, bucketed, period, q_a, q_b, floor HAVING sum(signals) >= 30 AND sum(trades) > 0""")
+def h_grid_evaluation(spark, sf_dir):
+    """64 combinations, each with its own running lots and positions, from one shuffle of the events."""
+    own = tick_frame(spark, sf_dir).withColumn("_q", F.concat_ws("|", "QuoteCode", _period()))
+    found = buckets.evaluate_grid(own, SCORES, "FillLots", [0.2, 0.4, 0.6, 0.8], [0.2, 0.5], _floors(), _period(), rules=F.col("BidPrice1") <= 90, lots=20 + F.col("FillLots") % 9, limit=33.33335, least=30, bucket="event_type", keys=("_q",))
+    return rounded(rounded(found, 4, "trades_day", "capw_bp", "win_day", "sharpe"), 5, "pnl")
 
 
 @query("""WITH q AS (SELECT o_orderpriority AS k, quantile_cont(o_totalprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM orders GROUP BY 1)
