@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import DAY_SECONDS, clock, micros_of_day, vol_time_scale
+from tickweave.operators.quantiles import quantiles
 from tickweave.operators.ticks import session_index
 
 
@@ -46,8 +47,9 @@ def event_residual_vol(df: DataFrame, vol: str = "txf_residual_vol_0900_1330_60d
 def vol_curve(moves: DataFrame, date="Date", slot="slot", value="to_close", by: list[str] | None = None) -> DataFrame:
     """Typical size of the move to the close by slot, cross-sectional medians taken out, as a share of the first slot's."""
     by = by or []
-    mid = moves.groupBy(*by, date, slot).agg(F.percentile(value, 0.5).alias("_m"))
-    size = moves.join(mid, [*by, date, slot]).groupBy(*by, slot).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("size"))
+    mid = quantiles(moves, [value], [0.5], [*by, date, slot]).select(*by, date, slot, F.col(value)[0].alias("_m"))
+    off = moves.join(mid, [*by, date, slot]).select(*by, slot, F.abs(F.col(value) - F.col("_m")).alias("size"))
+    size = quantiles(off, ["size"], [0.5], [*by, slot]).withColumn("size", F.col("size")[0])
     first = F.first("size").over(Window.partitionBy(*by).orderBy(slot))
     return size.withColumn("share", F.try_divide(F.col("size"), first))
 
@@ -62,6 +64,7 @@ def validate_source(returns: DataFrame, by="source", y="market", x="factor") ->
 
 
 def quote_age(events: DataFrame, age="quote_age_us", by: str | None = None) -> DataFrame:
-    found = F.percentile(age, F.array(F.lit(0.5), F.lit(0.95)))
-    out = events.groupBy(*([by] if by else [])).agg(F.avg(F.col(age).isNotNull().cast("double")).alias("resolved"), found.alias("_p"))
-    return out.withColumns({"p50": F.col("_p")[0], "p95": F.col("_p")[1]}).drop("_p")
+    by = [by] if by else []
+    share = events.groupBy(*by).agg(F.avg(F.col(age).isNotNull().cast("double")).alias("resolved"))
+    found = quantiles(events, [age], [0.5, 0.95], by).select(*by, F.col(age)[0].alias("p50"), F.col(age)[1].alias("p95"))
+    return share.join(found, by) if by else share.crossJoin(found)  # one row each

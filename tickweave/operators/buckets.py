@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators.quantiles import quantiles
 from tickweave.operators.ticks import session_index
 
 
 def qcut(df: DataFrame, value: str, k: int, by: list[str] | None = None, out: str = "bin") -> DataFrame:
     """Equal-frequency bins by interpolated quantile edges, equal edges merged, the lowest edge in; null for null values. All rows stay."""
     by = by or []
-    edges = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / k) for i in range(k + 1)]))).alias("_edges"))
+    edges = quantiles(df, [value], [i / k for i in range(k + 1)], by).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.array_distinct(value).alias("_edges"))
     if by:
         same = F.lit(True)
         for c in by:
@@ -26,14 +27,11 @@ def qcut(df: DataFrame, value: str, k: int, by: list[str] | None = None, out: st
 def prior_quantiles(df: DataFrame, value: str, shares: list[float], n: int = 3, date="Date", bucket: str | None = None, valid_only: bool = False) -> DataFrame:
     """Per session (and bucket) the interpolated quantiles q0, q1, ... of value over the n sessions before it.
 
-    Equal values of a session and bucket are counted first; counts are sent to the sessions that may look back at them.
     valid_only: sessions without any value don't count as sessions.
     """
     calendar = session_index(df.filter(F.col(value).isNotNull()) if valid_only else df, date)
-    own = df.filter(F.col(value).isNotNull()).select(date, value, *([bucket] if bucket else [])).join(calendar, date)
-    counted = own.groupBy("session", value, *([bucket] if bucket else [])).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = counted.withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + n)))
-    found = ahead.groupBy("session", *([bucket] if bucket else [])).agg(F.percentile(value, F.array(*map(F.lit, shares)), F.col("_n")).alias("_q"))
+    own = df.filter(F.col(value).isNotNull()).select(date, value, *([bucket] if bucket else [])).join(calendar, date).drop(date)
+    found = quantiles(own, [value], shares, [bucket] if bucket else [], ahead=("session", n)).withColumnRenamed(value, "_q")
     return found.join(calendar, "session").select(date, *([bucket] if bucket else []), *[F.col("_q")[i].alias(f"q{i}") for i in range(len(shares))])
 
 

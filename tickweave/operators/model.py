@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import is_finite
+from tickweave.operators.quantiles import quantiles
 from tickweave.operators.ticks import session_index
 
 
 def impute_prior_median(df: DataFrame, features: list[str], date="Date") -> DataFrame:
     """Nulls become the session before's median, else the median over all."""
-    medians = df.groupBy(date).agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in features])
+    medians = quantiles(df, features, [0.5], [date]).select(date, *[F.col(c)[0].alias(f"_m_{c}") for c in features])
     w = Window.orderBy(date)
     prior = medians.select(date, *[F.lag(f"_m_{c}").over(w).alias(f"_p_{c}") for c in features])
-    whole = df.agg(*[F.percentile(c, 0.5).alias(f"_g_{c}") for c in features]).first()
+    whole = quantiles(df, features, [0.5]).select(*[F.col(c)[0].alias(f"_g_{c}") for c in features]).first()
     out = df.join(prior, date, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_p_{c}"), F.lit(whole[f"_g_{c}"])) for c in features}).drop(*[f"_p_{c}" for c in features])
 

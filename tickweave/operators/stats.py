@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.columns import is_finite
 from tickweave.operators.buckets import qcut
+from tickweave.operators.quantiles import quantiles
 
 FEE = 19.3
 YEAR = 240
@@ -208,8 +209,7 @@ def ecdf(df: DataFrame, value: str, key: str) -> DataFrame:
 
 def quantile_markers(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """share, mark: interpolated quantiles of a value."""
-    q = F.percentile(value, F.array(*map(F.lit, shares)))
-    return df.agg(q.alias("q")).select(F.inline(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("q").alias("mark"))))
+    return quantiles(df, [value], shares).select(F.inline(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col(value).alias("mark"))))
 
 
 def period_sums(monthly: DataFrame, periods: dict[str, tuple[str, str]], values: list[str], month="month") -> DataFrame:
@@ -267,8 +267,10 @@ def grid_report(curve: DataFrame, value="pnl") -> DataFrame:
 
 def describe(df: DataFrame, values: list[str]) -> DataFrame:
     """Per value: count, mean, standard deviation, least, quartiles and greatest."""
-    parts = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("least"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("greatest")) for c in values]
-    return df.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+    parts = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("greatest")) for c in values]
+    middle = quantiles(df, values, [0.25, 0.5, 0.75]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("_q")) for c in values])))
+    own = df.agg(F.array(*parts).alias("x")).select(F.inline("x")).join(F.broadcast(middle), "name")  # a row a value
+    return own.select("name", "n", "mean", "std", "least", *[F.col("_q")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "greatest")
 
 
 def composition_change(before: DataFrame, after: DataFrame, by: str, value: str) -> DataFrame:
@@ -284,7 +286,7 @@ def return_stats(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def worst_overlap(df: DataFrame, a: str, b: str, share: float = 0.2) -> DataFrame:
     """Share of a's worst sessions that are among b's."""
-    cuts = df.agg(F.percentile(a, share).alias("ca"), F.percentile(b, share).alias("cb")).withColumn("_k", F.lit(1))
+    cuts = quantiles(df, [a, b], [share]).select(F.col(a)[0].alias("ca"), F.col(b)[0].alias("cb"), F.lit(1).alias("_k"))
     both = df.withColumn("_k", F.lit(1)).join(cuts, "_k")
     low = lambda c, cut: F.col(c) <= F.col(cut)
     return both.agg(F.sum(low(a, "ca").cast("long")).alias("n_a"), F.sum((low(a, "ca") & low(b, "cb")).cast("long")).alias("common")).withColumn("overlap", F.try_divide("common", "n_a"))
@@ -311,8 +313,9 @@ def mean_of_means(df: DataFrame, value: str, n: int = 30, date="Date", entity="Q
 
 
 def level_drift(df: DataFrame, score: str, label: str, month: Column) -> DataFrame:
-    q = F.percentile(score, F.array(F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(month.alias("month")).agg(q.alias("q"), F.avg(label).alias("label_mean")).select("month", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), "label_mean")
+    own = df.select(month.alias("month"), score, F.col(label).alias("_label"))
+    q = quantiles(own, [score], [0.5, 0.9], ["month"]).select("month", F.col(score)[0].alias("p50"), F.col(score)[1].alias("p90"))
+    return q.join(own.groupBy("month").agg(F.avg("_label").alias("label_mean")), "month")
 
 
 def first_signals(df: DataFrame, keys=("Date", "QuoteCode"), order=("TransTime", "ChannelSeq")) -> DataFrame:

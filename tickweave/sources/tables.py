@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.operators.asof import lookup
+from tickweave.operators.quantiles import quantiles
 
 PARAMS = T.StructType([
     T.StructField("suspended_list", T.ArrayType(T.StringType())), T.StructField("target_list", T.ArrayType(T.StringType())),
@@ -152,7 +153,7 @@ def descale(df: DataFrame, names: list[str], by: float) -> DataFrame:
 
 def price_scale(df: DataFrame, name: str, over: float = 100_000, factor: float = 100.0) -> float:
     """factor if the median price is that high, else 1."""
-    mid = df.agg(F.percentile(name, 0.5)).first()[0]
+    mid = quantiles(df, [name], [0.5]).select(F.col(name)[0]).first()[0]
     return factor if mid is not None and mid > over else 1.0
 
 
