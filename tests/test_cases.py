@@ -1,6 +1,7 @@
 """Exact cases of the operators that look back, carry on or run as streams."""
 
 import datetime
+import random
 
 import numpy as np
 import pandas as pd
@@ -138,6 +139,47 @@ def test_tick_state_of_many_batches_equals_the_batch_operators(spark, tmp_path):
             assert a == (b if a is None or b is None or isinstance(b, bool) else pytest.approx(b, abs=1e-9)), (c, r.QuoteCode, r.ChannelSeq, a, b)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tick_state_of_entities_that_pause(spark, tmp_path, seed):
+    """Random splits of random ticks: entities stay away for several batches, the first among them, and sessions end in between."""
+    rng = random.Random(seed)
+    rows = []
+    for day in ("20240105", "20240106"):
+        shift = datetime.timedelta(days=int(day[-1]) - 5)
+        for i in range(70):
+            if rng.random() < 0.9:
+                q, price = rng.choice("AAABCD"), rng.randint(90, 110) / 10
+                rows.append((day, q, i, at(9, 0, 0) + shift + datetime.timedelta(seconds=20 * i), price, float(rng.randint(0, 4)), rng.choice([-1, 0, 1]), int(rng.random() < 0.2), price - 0.05 * rng.randint(0, 3), price + 0.05, 10.0))
+    t = spark.createDataFrame(rows, TICK).withColumn("us", F.unix_micros("TransTime"))
+    own = ticks.recent_ticks(ticks.spread_pairs(ticks.differences(ticks.lots_at_record(ticks.price_path(t)))), 30)
+    own = ticks.stop_hits(own.withColumn("candidateEvent", F.coalesce(ticks.candidate_event(), F.lit(False))))
+    names = ["Open", "RecentFillPrice", "RecordLow", "RecordHigh", "BidPreMove", "SpreadMove", "SpreadPairBid", "SpreadPairAsk", "SpreadPairElapsed", "MD_ElaspeTime_30", "MD_L1Rate_30", "candidateEvent", "stoppedOutToday"]
+    want = {(r.Date, r.QuoteCode, r.ChannelSeq): [r[c] for c in names] for r in own.collect()}
+    cuts = [0, *sorted(rng.sample(range(1, len(rows)), 6)), len(rows)]
+    parts = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+    parts[1] = [r for r in parts[1] if r[1] != "A"] or parts[1][:1]  # the state of the first batch has no tick in the second
+    kept = {(r[0], r[1], r[2]) for p in parts for r in p}
+    sink = str(tmp_path / "sink")
+    live.drain(live.tick_state(batches_of(spark, tmp_path, parts)), sink, str(tmp_path / "log"), live.tick_sink(sink))
+    assert live.sunk(spark, sink, "rejects").count() == 0
+    got = {(r.Date, r.QuoteCode, r.ChannelSeq): [r[c] for c in names] for r in live.sunk(spark, sink, "ticks").collect()}
+    assert set(got) == kept
+    whole = set(want) == kept
+    for k, values in got.items():
+        if whole or k[1] != "A":
+            for c, a, b in zip(names, values, want[k]):
+                b = bool(b) if c == "stoppedOutToday" else b
+                assert a == (b if a is None or b is None or isinstance(b, bool) else pytest.approx(b, abs=1e-9)), (c, k, a, b)
+
+
+def test_tick_state_is_kept_while_an_entity_pauses(spark, tmp_path):
+    row = lambda q, i, minute, price: ("20240105", q, i, at(9, minute), price, 1.0, 1, 0, price - 0.1, price, 10.0)
+    parts = [[row("A", 1, 0, 5.0), row("B", 1, 0, 7.0)], [row("B", 2, 1, 7.5)], [row("B", 3, 2, 7.0)], [row("A", 2, 3, 9.0), row("B", 4, 3, 8.0)]]
+    found = {(r.QuoteCode, r.ChannelSeq): r for r in live.drain(live.tick_state(batches_of(spark, tmp_path, parts)), str(tmp_path / "out"), str(tmp_path / "log")).collect()}
+    assert (found["A", 2].Open, found["A", 2].RecordLow, found["A", 2].BidPreMove) == (5.0, 5.0, pytest.approx(4.0))
+    assert len(found) == 6
+
+
 def test_null_lots_leave_the_running_volume_alone():
     row = lambda i, lots: ("A", i, pd.Timestamp(at(9, 0, i)), 10.0, lots, -1, 0, 9.9, 10.0, 10.0, i * 10**6)
     t = pd.DataFrame([row(0, 5.0), row(1, None), row(2, 5.0), row(3, 5.0)], columns=["QuoteCode", "ChannelSeq", "TransTime", "FillPrice", "FillLots", "InOut", "TrialMatch", "BidPrice1", "AskPrice1", "RefPrice", "us"])

@@ -312,12 +312,19 @@ def c_lookup(spark, sf_dir):
 # ---- streams: the files that lie there, drained, against the batch operators' SQL
 
 
-def _stream(spark, sf_dir):
-    """The events as a stream of files."""
-    path = scratch(spark, "ticks")
-    t = tick_frame(spark, sf_dir).withColumns({"TransTime": F.col("TransTime").cast("timestamp"), "QuoteCode": F.col("QuoteCode").cast("string")})
-    t.write.parquet(path)
-    return spark.readStream.schema(t.schema).parquet(path)
+def _frame(spark, sf_dir):
+    return tick_frame(spark, sf_dir).withColumns({"TransTime": F.col("TransTime").cast("timestamp"), "QuoteCode": F.col("QuoteCode").cast("string")})
+
+
+def _stream(spark, sf_dir, batches: int = 6):
+    """The events as a stream of files: as many micro-batches, each of a stretch of time; sessions and entities span them."""
+    path, t = scratch(spark, "ticks"), _frame(spark, sf_dir)
+    first, last = t.agg(F.min(F.unix_micros("TransTime")), F.max(F.unix_micros("TransTime"))).first()
+    step = ((last or 0) - (first or 0)) // batches + 1
+    for k in range(batches):  # one after the other: files are read in the order they were written
+        own = t if first is None else t.filter(F.floor((F.unix_micros("TransTime") - first) / step) == k)
+        own.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 DAY = """(PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
@@ -337,6 +344,25 @@ def l_tick_state(spark, sf_dir):
     return own.select("Date", "QuoteCode", "ChannelSeq", *[F.round(a, 4).alias(b) for a, b in names.items()], *[F.round(F.col(a) * 1_000_000).cast("long").alias(b) for a, b in us.items()], F.round("MD_L1Rate_30", 6).alias("rate"), F.col("FillLots_atLow").cast("long").alias("at_low"), F.col("FillLots_atHigh").cast("long").alias("at_high"), F.col("candidateEvent").alias("event"), F.col("stoppedOutToday").alias("stopped"))
 
 
+@query(f"""WITH {T_SQL}, r AS (SELECT "Date", 'repeat' AS reject, "ChannelSeq" AS seq, unnest(range("ChannelSeq" % 3)) FROM t UNION ALL SELECT "Date", 'backward', min("ChannelSeq") - 1, 0 FROM t GROUP BY "Date", "QuoteCode")
+ SELECT "Date", reject, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM r GROUP BY 1, 2 UNION ALL SELECT "Date", 'none', count(*), CAST(sum("ChannelSeq") AS BIGINT) FROM t GROUP BY 1""")
+def l_tick_rejects(spark, sf_dir):
+    """Some ticks come up to three times, and in the micro-batch after its session each entity has one of an earlier sequence: they go to the side table."""
+    path, sink, t = scratch(spark, "ticks"), scratch(spark, "tick-sink"), _frame(spark, sf_dir)
+    twice = t.withColumn("_n", F.explode(F.sequence(F.lit(1), 1 + F.col("ChannelSeq") % 3))).drop("_n")
+    last = t.groupBy("Date", "QuoteCode").agg(F.min("ChannelSeq").alias("_seq"), F.max("TransTime").alias("_time"), F.first("RefPrice").alias("RefPrice"))
+    back = last.select("Date", "QuoteCode", "RefPrice", (F.col("_seq") - 1).alias("ChannelSeq"), F.col("_time").alias("TransTime"))
+    days = [r[0] for r in t.select("Date").distinct().orderBy("Date").collect()]
+    parts = [days[k * len(days) // 5 : (k + 1) * len(days) // 5] for k in range(5)]
+    for now, before in zip([*parts, []], [[], *parts], strict=True):
+        own = twice.filter(F.col("Date").isin(now)).unionByName(back.filter(F.col("Date").isin(before)), allowMissingColumns=True)
+        own.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live.drain(live.tick_state(stream, late="60 days", keep=90 * 86_400_000), sink, scratch(spark, "rejects-log"), live.tick_sink(sink))
+    both = live.sunk(spark, sink, "rejects").unionByName(live.sunk(spark, sink, "ticks"))
+    return both.groupBy("Date", F.coalesce("reject", F.lit("none")).alias("reject")).agg(F.count(F.lit(1)).alias("n"), F.sum("ChannelSeq").alias("total"))
+
+
 @query(f"""WITH {T_SQL} SELECT "Date", count(*) AS n, CAST(sum("ChannelSeq") AS BIGINT) AS total FROM t GROUP BY 1""")
 def l_dedup(spark, sf_dir):
     t = _stream(spark, sf_dir)

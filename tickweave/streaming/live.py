@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tickweave.functions.columns import clock, micros, micros_of_day
 
@@ -97,32 +98,70 @@ def advance(t: pd.DataFrame, s: dict | None, stop: float = 1.08, widen: float =
     return pd.DataFrame(head | out | {"reject": reject}), s
 
 
-def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late: str | None = "10 minutes") -> DataFrame:
-    """Price path, signed volume at the records, moves, the latched spread pair, rates over the last ticks, candidate and stop
-    flags per tick, as the batch operators give them. A session is part of the key, so a new day starts afresh; its state
-    ends a day of the watermark after the last tick. late: None where the stream has a watermark (after dedup, say)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class TickState(StatefulProcessor):
+    """advance() with the state of an entity and session kept between batches. The state goes `keep` milliseconds of the watermark after the
+    latest tick's own time, by a timer that moves with that time; the watermark of the moment (0 in the first batch) plays no part."""
 
-    names = [c.split()[0] for c in STATE.split(", ")]
+    NAMES = [c.split()[0] for c in STATE.split(", ")]
+
+    def __init__(self, stop: float, widen: float, keep: int = 86_400_000):
+        self.stop, self.widen, self.keep = stop, widen, keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("tick", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = list(rows)
+        held = dict(zip(self.NAMES, self.held.get(), strict=True)) if self.held.exists() else None
+        due = None if held is None else held["last_us"] // 1000 + self.keep
+        out, held = advance(pd.concat(frames), held, self.stop, self.widen)
+        self.held.update(tuple(held[c] for c in self.NAMES))
+        then = max(held["last_us"] // 1000, 0) + self.keep
+        if then != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(then)
+        out.insert(0, "Date", key[0])
+        out.insert(1, "QuoteCode", key[1])
+        yield out[NAMES]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+#: What the state store of tick_state needs; set it before the stream starts.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = dict(zip(names, state.get, strict=True)) if state.exists else None
-        frames = list(batches)
-        if frames:
-            out, held = advance(pd.concat(frames), held, stop, widen)
-            state.update(tuple(held[c] for c in names))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
-            out.insert(0, "Date", key[0])
-            out.insert(1, "QuoteCode", key[1])
-            yield out[NAMES]
 
+def tick_state(ticks: DataFrame, stop: float = 1.08, widen: float = 0.01, late: str | None = "10 minutes", keep: int = 86_400_000) -> DataFrame:
+    """Price path, signed volume at the records, moves, the latched spread pair, rates over the last ticks, candidate and stop
+    flags per tick, as the batch operators give them. A session is part of the key, so a new day starts afresh; its state
+    ends a day (keep, in milliseconds) of the watermark after the last tick. late: None where the stream has a watermark (after dedup, say).
+    Ticks that repeat a sequence or go back come out too, with a reason in `reject`: tick_sink puts them aside."""
     wanted = ["ChannelSeq", "TransTime", "FillPrice", "FillLots", "InOut", "TrialMatch", "BidPrice1", "AskPrice1", "RefPrice"]
     ticks = ticks if late is None else ticks.withWatermark("TransTime", late)
     own = ticks.select(*[F.col(c).cast("string").alias(c) for c in KEYS], *wanted, F.unix_micros(F.col("TransTime").cast("timestamp")).alias("us"))
-    return own.groupBy(*KEYS).applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return own.groupBy(*KEYS).transformWithStateInPandas(TickState(stop, widen, keep), OUT, "Append", "EventTime")
+
+
+def tick_sink(path: str):
+    """foreachBatch writer of tick_state: good ticks and rejected ones in folders of their own under path, one below for each batch, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, k: int) -> None:
+        kind = F.when(F.col("reject").isNull(), "ticks").otherwise("rejects")
+        batch.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={k}")
+
+    return write
+
+
+def sunk(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """What tick_sink has put aside as "ticks" or "rejects"."""
+    return spark.read.schema(f"{OUT}, kind string, batch int").parquet(path).filter(F.col("kind") == kind).drop("kind", "batch")
 
 
 def turnover_5min(ticks: DataFrame, late: str = "10 minutes", time="TransTime") -> DataFrame:
@@ -193,6 +232,13 @@ def gate_score(states: DataFrame, ranks: DataFrame, gates, score, limit: float)
 def drain(stream: DataFrame, path: str, checkpoint: str, each=None) -> DataFrame | None:
     """Runs a stream over what its source holds now, into Parquet at path (read back) or through each(batch, number)."""
     spark: SparkSession = stream.sparkSession
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    try:
+        for k, v in ROCKS.items():
+            spark.conf.set(k, v)
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return None if each else spark.read.schema(stream.schema).parquet(path)
