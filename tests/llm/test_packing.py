@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tickweave.llm import packing, registry
+from tickweave.llm.range_coder import tokenise
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,11 @@ def test_checksum_of_what_follows_a_head():
         head, rest = rng.integers(0, 1 << 32, n, np.uint64).astype("<u4").tobytes(), rng.integers(0, 1 << 32, m, np.uint64).astype("<u4").tobytes()
         found = packing.crc_of_rest(np.array([zlib.crc32(head + rest)]), np.array([zlib.crc32(head)]), np.array([m]))
         assert found.tolist() == [zlib.crc32(rest)]
+
+
+def test_words_are_encoded_as_the_library_does():
+    rng = random.Random(1)
+    pool = [chr(c) for c in range(0x20, 0x250)] + ["'s", "'LL", "don't", " ", "\n", "\t", "İ", "Σ", "ς", "日", "é", "́", "<|endoftext|>", "<|StartOfText|>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    found = [np.frombuffer(b, "<u4").tolist() for b in tokenise(texts, WORDS)]
+    assert found == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]

@@ -24,12 +24,15 @@ without blocks; further columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,19 +260,64 @@ def unpack(frames: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-#: Pieces of text whose ids a Python worker keeps, and characters encoded at once.
-CACHE = 1 << 17
+#: Pieces of text whose ids a Python worker keeps (twice as many at most), and characters encoded at once.
+CACHE = 1 << 18
 CHARS_A_CHUNK = 1 << 19
 CHARS_A_FILE = 15_000_000
 FILE = "file_no int, block_no int, n_ids int, payload binary, doc_ids array<bigint>, doc_tokens array<int>"
 
+#: Latin pieces without white space or combining marks: normalisation leaves them alone, and their lower case is told letter by letter.
+PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+#: Fixed value: how the vocabulary splits such a piece.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The characters that stand for bytes in the vocabulary; bytes that aren't printable have those from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_CHARACTER = {b: b for b in SHOWN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
+
+
+class Recent(dict):
+    """Values found by `find`, of the last CACHE keys or more: when it is full, the entries so far become the older half."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        self[key] = found = self.find(key) if found is None else found
+        return found
+
 
 @lru_cache(2)
-def _tokenizer(path: str):
+def _pieces(path: str) -> Recent:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model  # one call for each word; the whole tokenizer costs several times as much
+
+    def word(text: str) -> bytes:
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(AS_CHARACTER)
+        return array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+
+    words = Recent(word)
+    special = re.compile("|".join(re.escape(t.content.lower()) for t in tokenizer.get_added_tokens_decoder().values()) or "$^").search
+
+    def piece(text: str) -> bytes:
+        if PLAIN.fullmatch(text):
+            lower = text.lower()
+            if text.isalpha():
+                return words[lower]
+            if text[:-1].isalpha() and not text[-1].isalnum():
+                return words[lower[:-1]] + words[lower[-1]]
+            if not special(lower):
+                return b"".join([words[w] for w in SPLIT.findall(lower)])
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    return Recent(piece)
 
 
 def tokenise(texts: list[str], path: str) -> list[bytes]:
@@ -278,14 +326,8 @@ def tokenise(texts: list[str], path: str) -> list[bytes]:
     The vocabulary's rules never join across blanks or line feeds, so the library encodes the pieces between
     them, each distinct piece once while the bounded cache holds it.
     """
-    tokenizer, cache = _tokenizer(path)
-    pieces = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(cache) > CACHE:
-        cache.clear()
-    new = list({p for own in pieces for p in own if p not in cache})
-    for p, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        cache[p] = np.array(found.ids, "<u4").tobytes()
-    return [b"".join([cache[p] for p in own]) for own in pieces]
+    find = _pieces(path).__getitem__
+    return [b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def write(docs: DataFrame, path: str, tokeniser: str, end_id: int = END_ID) -> None:
