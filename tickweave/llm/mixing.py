@@ -1,14 +1,14 @@
 """Mixing documents to target weights by soft domain membership.
 
 A classifier fitted on a labelled table gives every document posteriors over domains. Document rates, none
-negative, are then fitted so that expected tokens per domain, sum(rate * tokens * posterior), meet the
-targets: projected-gradient least squares, where one step is one aggregation of as many sums as there are
-domains, and rates follow by a column expression. Only those sums pass through the driver.
+negative, are then fitted so that expected tokens per domain, sum(rate * tokens * posterior), come as near to the
+targets as they can (least squares), by projected gradients: one evaluation is one aggregation of sums over domains, and
+rates follow by a column expression. Only those sums pass through the driver. Where targets are out of reach the
+residual says so; mix() returns it with every row.
 
-The classifier is naive Bayes over hashed word features (those with clear evidence only), tempered by the
-number of features found so that long texts stay soft. Its size is set by three parameters: it may be fitted on
-MAX_LABELLED labelled rows, keeps the MAX_FEATURES features of clearest evidence, and knows MAX_DOMAINS domains at
-most (more raise a ValueError). Scoring covers every word of every document.
+The classifier is naive Bayes over hashed word features (all those with clear evidence, SLOTS at most), tempered by the
+number of features found so that long texts stay soft. It may be fitted on MAX_LABELLED labelled rows, which is a parameter.
+Scoring covers every word of every document.
 
 Tokens are counted by a column that the caller may give (ids of a tokenizer, say); by default they are words, so
 that the main path stays in SQL functions.
@@ -29,12 +29,10 @@ from pyspark.sql import functions as F
 from tickweave.llm.base import once, small_side, staged, text_of, words_of
 
 MAX_LABELLED = 20_000
-MAX_DOMAINS = 64
 SLOTS = 1 << 15
 MIN_Z, MIN_ODDS = 5.0, 2.5
-#: Features of the model, those of clearest evidence.
-MAX_FEATURES = 1024
-STEPS, TOLERANCE = 40, 1e-3
+#: Of the totals' distance from the targets that is as good as none; of the squared distance by which a smaller pull must still improve it.
+TOLERANCE, GAIN = 1e-4, 1e-4
 
 
 def slots(words: Column) -> Column:
@@ -53,15 +51,13 @@ def slots(words: Column) -> Column:
     return once(words, found)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> dict:
+def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> dict:
     """labels: doc_id, domain. A model of bounded size: domains, log priors, and per domain sparse log-odds by slot."""
     known = labels.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     own = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
     own = staged(own.select("domain", slots(words_of(F.col("text"))).alias("slots")), "labelled")
-    sizes = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
-    if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    sizes = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}  # of at most max_rows rows
     if not sizes:
         return {"domains": ["all"], "priors": [0.0], "odds": [{}]}
     total, domains = sum(sizes.values()), list(sizes)
@@ -75,32 +71,32 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL
     z = (p - q) / F.sqrt(both * (1 - F.least(both, F.lit(0.999))) * (1 / (inside + 1) + 1 / (outside + 1)))
     clear = counts.join(whole, "slot").select("domain", "slot", F.log(p / q).alias("odds"), z.alias("z")).filter((F.col("z") > MIN_Z) & (F.col("odds") > MIN_ODDS))
     odds: dict[str, dict[int, float]] = {d: {} for d in domains}
-    for r in clear.orderBy(F.desc("z"), "domain", "slot").limit(max_features).collect():
+    for r in clear.collect():  # at most SLOTS a domain
         odds[r["domain"]][r["slot"]] = r["odds"]
     return {"domains": domains, "priors": [math.log(sizes[d] / total) for d in domains], "odds": [odds[d] for d in domains]}
 
 
+def _constant(values, kind: str) -> Column:
+    """An array of numbers as one constant, however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def posteriors(found: Column, model: dict) -> Column:
     """array<double> over the model's domains, from a text's slots."""
-
-    telling = sorted({k for odds in model["odds"] for k in odds}) or [-1]
-    bits = [0] * (SLOTS // 64)
-    for t in telling:
-        if t >= 0:
-            bits[t >> 6] |= 1 << (t & 63)
-    bits = [x - (1 << 64) if x >= 1 << 63 else x for x in bits]
-    constants = F.struct(
-        F.array(*[F.lit(x).cast("long") for x in bits]).alias("bits"), F.array(*map(F.lit, telling)).alias("telling"),
-        *[F.array(*[F.lit(float(odds.get(t, 0.0))) for t in telling]).alias(f"w{d}") for d, odds in enumerate(model["odds"])])
+    telling, k = sorted({t for odds in model["odds"] for t in odds}), len(model["domains"])
+    index = [-1] * SLOTS
+    for place, t in enumerate(telling):
+        index[t] = place
+    weights = [float(odds.get(t, 0.0)) for t in telling for odds in model["odds"]] or [0.0]
+    constants = F.struct(_constant(index, "int").alias("index"), _constant(weights, "double").alias("weights"), _constant(map(float, model["priors"]), "double").alias("priors"))
 
     def places(m: Column) -> Column:
-        """Places in `telling` of the text's slots that are there; a bitmap spares the search for all others."""
-        few = F.filter(found, lambda s: F.getbit(F.get(m["bits"], F.shiftright(s, 6)), s.bitwiseAND(F.lit(63))) == 1)
-        return F.transform(few, lambda s: F.array_position(m["telling"], s).cast("int") - 1)
+        """Places of the text's slots that tell."""
+        return F.filter(F.transform(found, lambda s: F.get(m["index"], s)), lambda p: p >= 0)
 
     def logits(hits: Column, m: Column) -> Column:
         temper = F.sqrt(F.greatest(F.size(hits), F.lit(1)).cast("double"))
-        return F.array(*[F.lit(prior) + F.aggregate(hits, F.lit(0.0), _adder(m[f"w{d}"])) / temper for d, prior in enumerate(model["priors"])])
+        return F.transform(m["priors"], lambda prior, d: prior + F.aggregate(hits, F.lit(0.0), lambda total, place: total + F.get(m["weights"], place * k + d)) / temper)
 
     def soft(x: Column) -> Column:
         return F.transform(x, lambda v: F.exp(v - F.array_max(x)))
@@ -108,54 +104,67 @@ def posteriors(found: Column, model: dict) -> Column:
     return once(constants, lambda m: once(places(m), lambda h: once(logits(h, m), lambda x: once(soft(x), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))))))
 
 
-def _adder(weights: Column):
-    return lambda total, place: total + F.get(weights, place)
-
-
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, targets: list[float], tolerance: float = TOLERANCE, gain: float = GAIN) -> tuple[Column, dict]:
     """The rate as a column over members (n_tokens, p0, p1, ...: double), and what the fit reached.
 
-    Minimises sum_d (sum_i r_i n_i p_id - T_d)^2 over r >= 0, from r = 1. A document weighs its tokens, so a
-    gradient step is r_i <- max(0, r_i - p_i . move); its metric is the curvature sum_i n_i p_i p_i^T over the
-    documents not at zero, a matrix of domains by domains that the same aggregation returns. A step that
-    doesn't bring the totals nearer is halved.
+    Minimises |totals - targets|^2 over rates >= 0, where totals are sum_i r_i n_i p_i, by projected gradients from r = 1. The steps
+    so far add up to one vector y, and the rates are the projection max(0, 1 - p_i . y): the projection comes last, so a
+    rate is told by y alone. A pull e * sum n_i (r_i - 1)^2 towards 1 makes the best y unique; it is the maximum of a concave
+    function of as many variables as there are domains, whose gradient is totals - targets - e * y, and each step goes up that
+    gradient in the metric of its curvature (sums of n_i p_i p_i^T over documents not at zero), shortened until
+    the function grows. The pull then shrinks tenfold, until the totals are within tolerance of the targets or
+    their squared distance gains less than a share of `gain`, which is where targets are out of reach.
     """
-    k = len(targets)
-    goal = np.array(targets, float)
-    p = [F.col(f"p{d}") for d in range(k)]
-    upper = [(a, b) for a in range(k) for b in range(a, k)]
-
-    def rate(moves: list[np.ndarray]) -> Column:
-        out = F.lit(1.0)
-        for move in moves:
-            out = F.greatest(F.lit(0.0), out - sum((p[d] * float(move[d]) for d in range(1, k)), p[0] * float(move[0])))
-        return out
-
-    def reached(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = members.withColumn("_r", rate(moves))
-        row = own.agg(*[F.coalesce(F.sum(F.col("_r") * F.col("n_tokens") * p[d]), F.lit(0.0)).alias(f"t{d}") for d in range(k)],
-                      *[F.coalesce(F.sum(F.when(F.col("_r") > 0, F.col("n_tokens") * p[a] * p[b])), F.lit(0.0)).alias(f"m{a}_{b}") for a, b in upper]).first()
-        curve = np.zeros((k, k))
-        for a, b in upper:
-            curve[a, b] = curve[b, a] = row[f"m{a}_{b}"]
-        return np.array([row[f"t{d}"] for d in range(k)]), curve
-
-    weigh = lambda totals: float(np.abs((totals - goal) / np.maximum(goal, 1e-9)).max())
-    moves: list[np.ndarray] = []
-    totals, curve = reached(moves)
-    jobs = 1
-    while weigh(totals) > tolerance and jobs < steps:
-        move = np.linalg.pinv(curve + np.eye(k) * 1e-9 * max(np.trace(curve), 1e-9)) @ (totals - goal)
-        for _ in range(4):
-            after, bent = reached([*moves, move])
-            jobs += 1
-            if weigh(after) < weigh(totals):
+    k, goal = len(targets), np.array(targets, float)
+    names = [f"p{d}" for d in range(k)]
+    # Rates depend on posteriors only: documents of equal ones are one row.
+    rows = staged(members.groupBy(F.array(*names).alias("p")).agg(F.sum("n_tokens").alias("n")).filter("n > 0"), "memberships")
+    n = F.col("n")
+
+    def along(p: Column, y: np.ndarray) -> Column:
+        return F.aggregate(F.zip_with(p, _constant(map(float, y), "double"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    def at(y: np.ndarray, pull: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """The function, the totals and the curvature: sums over all rows of an array of 1 + k + k * k numbers, place by place."""
+        own = rows.select("p", "n", along(F.col("p"), y).alias("x"))
+        x, still = F.col("x"), F.col("x") < 1
+        r = F.greatest(F.lit(0.0), 1 - x)
+        curves = F.flatten(F.transform("p", lambda a: F.transform("p", lambda b: F.when(still, n * a * b).otherwise(0.0))))
+        each = F.concat(F.array(n * F.when(still, x - x * x / 2).otherwise(0.5)), F.transform("p", lambda a: n * r * a), curves)
+        found = np.zeros(1 + k + k * k)
+        for s in own.select(F.posexplode(each).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+            found[s["i"]] = s["v"]
+        return found[0] - y @ goal - pull / 2 * (y @ y), found[1 : 1 + k], found[1 + k :].reshape(k, k)
+
+    y, jobs, squares, scale = np.zeros(k), 0, math.inf, max(float(goal.sum()), 1e-9)
+    pull = scale / k / 100
+    totals = np.zeros(k)
+    while True:
+        value, totals, curve = at(y, pull)
+        jobs += 1
+        while True:
+            slope = totals - goal - pull * y
+            if np.abs(slope).max() <= tolerance / 10 * scale:
                 break
-            move = move / 2
-        else:
-            break  # no step helps: the least-squares rates, where targets are out of reach
-        moves, totals, curve = [*moves, move], after, bent
-    return rate(moves), {"totals": totals.tolist(), "residual": (totals - goal).tolist(), "jobs": jobs}
+            step = np.linalg.solve(curve + pull * np.eye(k), slope)
+            length = 1.0
+            while length > 1e-6:
+                after = at(y + length * step, pull)
+                jobs += 1
+                if after[0] >= value + 0.1 * length * (slope @ step):
+                    break
+                length /= 4
+            else:
+                break  # as far as numbers of this size tell
+            y, (value, totals, curve) = y + length * step, after
+        now = float(((totals - goal) ** 2).sum())
+        near = np.abs(totals - goal).max() <= tolerance * scale
+        if near or now >= squares * (1 - gain) or pull < scale * 1e-12:
+            break
+        # Out of reach, pull * y tends to the residual: it starts there.
+        y, squares, pull = y * (10 if now > 0.5 * squares else 1), now, pull / 10
+    rate = F.greatest(F.lit(0.0), 1 - along(F.array(*names), y))
+    return rate, {"totals": totals.tolist(), "residual": (totals - goal).tolist(), "reached": bool(near), "jobs": jobs}
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -169,7 +178,8 @@ WEIGHTS = {"clean": 0.95, "toxic": 0.03, "junk": 0.02}
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED, tokens: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens (words, or the column tokens of docs), posteriors, rate and copies (whole copies to write, rate in expectation) for every row.
+    """doc_id, source, n_tokens (words, or the column tokens of docs), posteriors, rate and copies (whole copies to write, rate in expectation) for every row,
+    and residual: by domain, expected tokens less their target, alike in all rows.
 
     The targets share out the tokens there are by weights (WEIGHTS; equal if no domain has one).
     """
@@ -185,10 +195,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     total = members.agg(F.sum("n_tokens")).first()[0] or 0.0
     given = np.array([weights.get(d, 0.0) for d in model["domains"]])
     given = given / given.sum() if given.sum() > 0 else np.full(len(given), 1 / len(given))
-    rate, _ = fit_rates(members, (total * np.maximum(given, 1e-6)).tolist())
+    rate, fit = fit_rates(members, (total * np.maximum(given, 1e-6)).tolist())
     draw = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     out = members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
-    return out.select("doc_id", "source", "text_key", F.col("n_tokens").cast("long").alias("n_tokens"), "posteriors", F.array(*map(F.lit, model["domains"])).alias("domains"), "rate", "copies")
+    return out.select("doc_id", "source", "text_key", F.col("n_tokens").cast("long").alias("n_tokens"), "posteriors", F.array(*map(F.lit, model["domains"])).alias("domains"), "rate", "copies", _constant(fit["residual"], "double").alias("residual"))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
