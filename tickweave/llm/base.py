@@ -61,13 +61,26 @@ def once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with their place as columns at_file, at_row. A frame that isn't read straight from Parquet is written to the shared folder first."""
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind where docs has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with each row's place as two further columns, and their names: the file and the row in it. A frame that isn't read straight from Parquet is written to the shared folder first."""
+    file, row = fresh(docs, "at_file", "at_row")
     if "_metadata" not in docs.columns:
         try:
-            return docs.withColumns({"at_file": F.col("_metadata.file_path"), "at_row": F.col("_metadata.row_index")})
+            return docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")}), file, row
         except Exception as error:  # an analysis error: this frame has no file behind each row
             if "_metadata" not in str(error):
                 raise
     out = staged(docs, "located")
-    return out.withColumns({"at_file": out.metadataColumn("_metadata").getField("file_path"), "at_row": out.metadataColumn("_metadata").getField("row_index")})
+    hidden = out.metadataColumn("_metadata")
+    return out.withColumns({file: hidden.getField("file_path"), row: hidden.getField("row_index")}), file, row

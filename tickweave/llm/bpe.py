@@ -24,7 +24,6 @@ import base64
 import heapq
 import re
 import struct
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickweave.llm.base import fresh
+
 # Symbols of characters.
 LETTER, NUMBER, OTHER, TICK1, TICK2, BLANK_LAST, SPACE_LAST, SPACE, RESET = range(9)
 # States: what the token so far is.
@@ -72,9 +73,15 @@ def machine() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of every codepoint."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    """Class of every codepoint, by the library's own tables: a byte vocabulary whose pattern is one class gives back the characters of that class."""
+    import tiktoken
+
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+    whole, single = points.tobytes().decode("utf-32-le"), {bytes([b]): b for b in range(256)}
+    out = np.full(0x110000, OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        found = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(whole))
+        out[np.frombuffer(found.decode().encode("utf-32-le"), "<u4")] = kind
     out[WHITE] = SPACE
     return out
 
@@ -353,11 +360,12 @@ def _encoded(docs: DataFrame, path: str, text: str, back: bool) -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in own]
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([*keep, *(T.StructField(n, T.BinaryType() if n == "decoded" else ints) for n in own)])
+    [held] = fresh(docs, "_text")
 
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            for first, texts in chunks(batch.column("_text")):
+            for first, texts in chunks(batch.column(held)):
                 ids, counts, offsets = coder.encode_long(texts[0]) if len(texts) == 1 else coder.encode(texts)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 columns = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (ids, offsets)]
@@ -366,7 +374,7 @@ def _encoded(docs: DataFrame, path: str, text: str, back: bool) -> DataFrame:
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *columns], schema.names)
 
-    return docs.select(*[f.name for f in keep], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in keep], F.col(text).alias(held)).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

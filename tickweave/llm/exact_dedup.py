@@ -68,11 +68,11 @@ def run_stream(spark: SparkSession, path: str, schema, files_a_batch: int | None
     return found.groupBy("digest").agg(F.max_by(F.struct("keeper", "group_size"), "batch").alias("x")).select("digest", "x.*")
 
 
-def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_a_batch: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, at_file, at_row, digest, keep_id, group_size, kept."""
+def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_a_batch: int | None = None, place: tuple[str, str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, at_file, at_row, digest, keep_id, group_size, kept. place: the columns of located(), if docs has them."""
     spark = docs.sparkSession
-    docs = docs if "at_file" in docs.columns else located(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), "at_file", "at_row")
+    docs, *place = (docs, *place) if place else located(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col(place[0]).alias("at_file"), F.col(place[1]).alias("at_row"))
     docs = docs.withColumn("digest", digest(F.col("text")))
     path = scratch(spark, "arrivals")
     docs.select("doc_id", "at_file", "at_row", "digest").write.parquet(path)
@@ -100,6 +100,6 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_a
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that another row of equal text outlives."""
-    own = located(docs)
-    gone = decide(own).filter(~F.col("kept")).select("at_file", "at_row")
-    return own.join(small_side(gone), ["at_file", "at_row"], "left_anti").select(*docs.columns)
+    own, file, row = located(docs)
+    gone = decide(own, place=(file, row)).filter(~F.col("kept")).select(F.col("at_file").alias(file), F.col("at_row").alias(row))
+    return own.join(small_side(gone), [file, row], "left_anti").select(*docs.columns)

@@ -420,11 +420,11 @@ def components(edges: DataFrame) -> DataFrame:
         current, size = after, tuple(stats)
 
 
-def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for every row of docs (which may name its place): row_key, at_file, at_row, label (the class), n_links, copies."""
+def placed(docs: DataFrame, key: str = "doc_id", place: tuple[str, str] | None = None) -> DataFrame:
+    """One row for every row of docs (place: the columns of located(), if it has them): row_key, at_file, at_row, label (the class), n_links, copies."""
     spark = docs.sparkSession
-    docs = docs if "at_file" in docs.columns else located(docs)
-    own = docs.select(F.col(key).cast("long").alias("row_key"), "at_file", "at_row", text_of().cast("binary").alias("text"))
+    docs, *place = (docs, *place) if place else located(docs)
+    own = docs.select(F.col(key).cast("long").alias("row_key"), F.col(place[0]).alias("at_file"), F.col(place[1]).alias("at_row"), text_of().cast("binary").alias("text"))
 
     def name(batches):
         for batch in _parts(batches):
@@ -504,9 +504,9 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one of least doc_id (rows without an id last; equal ids go by place in the files)."""
-    own = located(docs)
-    found = placed(own)
+    own, file, row = located(docs)
+    found = placed(own, place=(file, row))
     mine = F.struct(F.col("row_key").isNull(), "row_key", "at_file", "at_row")
     first = found.groupBy("label").agg(F.min(mine).alias("first"))
-    gone = found.join(first, "label").filter(~mine.eqNullSafe(F.col("first"))).select("at_file", "at_row")
-    return own.join(small_side(gone), ["at_file", "at_row"], "left_anti").select(*docs.columns)
+    gone = found.join(first, "label").filter(~mine.eqNullSafe(F.col("first"))).select(F.col("at_file").alias(file), F.col("at_row").alias(row))
+    return own.join(small_side(gone), [file, row], "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import once, text_of, words_of
+from tickweave.llm.base import fresh, once, text_of, words_of
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_pipes", "n_stutters")
@@ -71,8 +71,9 @@ def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, Callable[[],
     """docs with the MEASURES and fail_bits (long), without the text's copies: one narrow pass, no shuffle."""
     own = text_of(text)
     lines = F.filter(F.split(own, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_words": words_of(own), "_lines": lines})
-    words, lines = F.col("_words"), F.col("_lines")
+    held = fresh(docs, "_words", "_lines")
+    out = docs.withColumns(dict(zip(held, (words_of(own), lines), strict=True)))
+    words, lines = map(F.col, held)
     symbols = F.regexp_count(own, F.lit(r"[#*$%&|<>]"))
     out = out.withColumns({
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -84,7 +85,7 @@ def ledger(docs: DataFrame, text: str = "text", rules: Mapping[str, Callable[[],
         "n_stutters": once(words, lambda ws: F.size(F.filter(ws, lambda w, i: F.get(ws, i - 1) == w)).cast("long")),
         "n_lines": F.size(lines).cast("long"),
         "n_words": F.size(words).cast("long"),
-    }).drop("_words", "_lines")
+    }).drop(*held)
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(rules.values()):
         bits = bits.bitwiseOR(F.when(rule(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
