@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.operators import buckets
+from tickweave.operators import buckets, grid
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,50 @@ def test_grid_with_limits_of_its_own_for_each_combination(spark, events):
 def test_grid_of_an_empty_table(spark, events):
     sdf = spark.createDataFrame(events.head(3)).limit(0)
     assert buckets.evaluate_grid(sdf, {"ab": ("a", "b")}, "y", [0.5], [0.5], {"none": F.lit(True)}, F.lit("p")).collect() == []
+
+
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_edges_of_every_model_are_exact(spark, monkeypatch, few):
+    """Scores of very unequal density, ties and invalid features; ranges are split again until few rows are left."""
+    monkeypatch.setattr(grid, "FEW", few)
+    rng = np.random.default_rng(3)
+    n = 5_000
+    df = pd.DataFrame({"Date": rng.choice(["d1", "d2", "d3"], n), "ab": rng.integers(0, 2, n), "x": np.exp(rng.normal(0, 6, n)), "z": rng.integers(0, 3, n).astype(float), "y": rng.normal(size=n)})
+    df.loc[:50, "x"] = np.nan
+    models = pd.DataFrame([(d, ab, w, al, f, float(c)) for d in ("d1", "d2") for ab in (0, 1) for w in (20, 60) for al in (0.1, 1.0) for f, c in (("x", rng.normal() * (al > 0.5)), ("z", rng.normal()), ("", rng.normal()))], columns=["Date", "ab", "n_training_days", "alpha", "feature", "coef"])
+    sdf = spark.createDataFrame(df).repartition(3)
+    scorer = grid.Scorer(spark.createDataFrame(models), ["x", "z"], "Date", "ab")
+    own = grid._prepared(sdf, ["x", "z"], "Date", "ab").withColumn("_y", F.col("y"))
+    edges = grid.exact_edges(own, scorer, 5)
+    sums = grid.bin_ends(own, scorer, edges)
+    assert set(edges) == set(range(8)) == set(sums)
+    coef = {k: g.set_index("feature")["coef"] for k, g in models.groupby(["Date", "ab", "n_training_days", "alpha"])}
+    for c, (w, al) in enumerate(scorer.combos):
+        for ab in (0, 1):
+            part = df[(df["ab"] == ab) & df["Date"].isin(["d1", "d2"]) & df["x"].notna()]
+            s = np.array([r.x * (m := coef[r.Date, ab, w, al])["x"] + r.z * m["z"] + m[""] for r in part.itertuples()])
+            want = np.quantile(s, [0, 0.2, 0.4, 0.6, 0.8, 1])
+            assert edges[ab * 4 + c] == pytest.approx(want.tolist(), rel=1e-9)
+            if al > 0.5:
+                top, bottom = s > want[-2], s <= want[1]
+                assert sums[ab * 4 + c] == pytest.approx((top.sum(), part["y"][top].sum(), bottom.sum(), part["y"][bottom].sum()))
+
+
+def test_limits_of_entity_and_session_for_every_model(spark):
+    rng = np.random.default_rng(8)
+    n = 6_000
+    df = pd.DataFrame({"Date": np.sort(rng.choice(["d1", "d2"], n)), "ab": 0, "x": rng.normal(size=n), "QuoteCode": rng.choice(["hot", "hot", "a", "b", "c"], n), "price": rng.integers(10, 300, n) / 10, "y": rng.normal(20, 40, n), "seq": np.arange(n)})
+    df["ab"] = (df["Date"] == "d2").astype(int)
+    models = pd.DataFrame([(d, ab, w, 0.1, f, c) for d, ab in (("d1", 0), ("d2", 1)) for w, k in ((20, 1.0), (60, -1.0), (90, 0.0)) for f, c in (("x", k), ("", 0.0))], columns=["Date", "ab", "n_training_days", "alpha", "feature", "coef"])
+    found = grid.param_metrics(spark.createDataFrame(df).repartition(4), spark.createDataFrame(models), ["x"], "y", "ab", least=(0.30001, 0.2), entity_limit=300.0005, session_limit=850.0005, order=("seq", "seq"), price="price", stretch_us=700)
+    got = {r["n_training_days"]: r for r in found.collect()}
+    for w, k in ((20, 1.0), (60, -1.0)):
+        m = df[(df["x"] * k > np.where(df["ab"] == 0, 0.30001, 0.2)) & (df["price"] < 1000)]
+        g = m.groupby(["Date", "QuoteCode"])["price"]
+        m = m[~((g.cumcount() + 1 > 1) & (g.cumsum() / 10 > 300.0005))]
+        m = m[(m.groupby("Date")["price"].cumsum() / 10).round(6) <= 850.0005]
+        daily = (m["price"] * (m["y"] - 19.3) / 10).groupby(m["Date"]).sum()
+        assert got[w]["trades"] == len(m) > 100 and got[w]["total"] == pytest.approx(daily.sum() / 10_000)
+        down = daily.cumsum() - daily.cumsum().cummax()
+        assert got[w]["mdd"] == pytest.approx(down.min() / 10_000) and got[w]["time_to_high"] == (down < 0).sum()
+    assert got[90]["trades"] is None and got[90]["top_mean"] is None

@@ -142,6 +142,8 @@ def evaluate_grid(df: DataFrame, sources: dict[str, tuple[str, str]], outcome: s
         import numpy as np
         import pyarrow as pa
 
+        from tickweave.functions.arrays import group_starts, running
+
         kind, at_a, at_b, at_f = np.array(combos).T
         c, width = len(combos), 2 * len(kinds)
         before, count, held, sums = None, np.zeros(c), np.zeros(c), {}
@@ -150,19 +152,13 @@ def evaluate_grid(df: DataFrame, sources: dict[str, tuple[str, str]], outcome: s
                 batch = whole.slice(first, 2048)
                 m = batch.num_rows
                 key = list(zip(*(batch.column(k).to_pylist() for k in keyed), strict=True))
-                fresh = np.array([k != b for k, b in zip(key, [before, *key[:-1]], strict=True)])
+                start = group_starts(key, before)
                 before = key[-1]
                 level = batch.column("_levels").flatten().to_numpy().reshape(m, width)
                 floor = batch.column("_floors").flatten().to_numpy(zero_copy_only=False).reshape(m, len(names))
                 mask = (level[:, 2 * kind] > at_a) & (level[:, 2 * kind + 1] > at_b) & floor[:, at_f]
                 size, gain = batch.column("_size").to_numpy(), batch.column("_earned").to_numpy()
-                # Running sums since the row where the entity or session changed, or on from the batch before.
-                start = np.maximum.accumulate(np.where(fresh, np.arange(m), -1))
-                both = []
-                for values, carry in ((mask.astype(float), count), (mask * size[:, None], held)):
-                    total = np.cumsum(values, 0)
-                    base = np.where((start >= 0)[:, None], (total - values)[np.maximum(start, 0)], -carry)
-                    both.append(total - base)
+                both = running(mask.astype(float), start, count), running(mask * size[:, None], start, held)
                 count, held = both[0][-1], both[1][-1]
                 ok = mask & (both[0] < batch.column("_lots").to_numpy()[:, None]) & (both[1] < limit) & batch.column("_ok").to_numpy(zero_copy_only=False)[:, None]
                 days = list(zip(batch.column("_date").to_pylist(), batch.column("_period").to_pylist(), strict=True))

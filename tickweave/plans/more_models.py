@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickweave.functions import columns as C
-from tickweave.operators import beta, books, buckets, labels, model
+from tickweave.operators import beta, books, buckets, grid, labels, model
 from tickweave.plans.base import M_SQL, T_SQL, USER, months, query, rounded, tick_frame
 
 # ---- beta and volatility
@@ -126,9 +126,9 @@ def _closed(by: str = "", where: str = "", alpha: str = "alpha", y: str = "y", n
 RIDGE_SQL = f"""WITH {LI_SQL}, nd AS (SELECT unnest([20, 60]) AS n), al AS (SELECT unnest([0.1, 50.0]) AS alpha), {_closed()}"""
 
 
-def _li(spark, sf_dir):
+def _li(spark, sf_dir, *more):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select(F.date_format("l_shipdate", "yyyyMM").alias("Date"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), (F.col("l_extendedprice") / 1000).alias("y"), (F.month("l_shipdate") <= 6).cast("int").alias("ab"))
+    return li.select(*more, F.date_format("l_shipdate", "yyyyMM").alias("Date"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), (F.col("l_extendedprice") / 1000).alias("y"), (F.month("l_shipdate") <= 6).cast("int").alias("ab"))
 
 
 @query(f"""{RIDGE_SQL} SELECT "Date", w AS n_training_days, CAST(alpha AS DOUBLE) AS alpha, f AS feature, round(CASE f WHEN 'a' THEN ca WHEN 'b' THEN cb ELSE my - ma * ca - mb * cb END, 5) AS coef, round(CASE f WHEN 'a' THEN ca * da WHEN 'b' THEN cb * db ELSE 0 END, 5) AS std_coef FROM so CROSS JOIN (SELECT unnest(['a', 'b', '']) AS f)""")
@@ -171,6 +171,28 @@ def g_grid_metrics(spark, sf_dir):
     return rounded(rounded(own, 6, "corr"), 3, "mse")
 
 
+PARAM_SQL = f"""WITH {LI_SQL.replace(" AS ab FROM", " AS ab, l_suppkey AS ent, l_orderkey AS o, l_linenumber AS ln FROM")}, nd AS (SELECT unnest([20, 60]) AS n), al AS (SELECT unnest([0.1, 50.0]) AS alpha), {_closed("ab")},
+ p AS (SELECT so.w, so.alpha, li."Date", li.ab, y, a AS price, ent, li.o AS o, ln, my - ma * ca - mb * cb + ca * li.a + cb * li.b AS s FROM li JOIN so ON so."Date" = li."Date" AND so.ab = li.ab),
+ e AS (SELECT w, alpha, ab, quantile_cont(s, [0.2, 0.8]) AS e FROM p GROUP BY ALL),
+ bins AS (SELECT p.w, p.alpha, avg(y) FILTER (p.ab = 0 AND s > e[2]) AS top_mean, avg(y) FILTER (p.ab = 1 AND s > e[2]) - avg(y) FILTER (p.ab = 1 AND s <= e[1]) AS spread FROM p JOIN e ON e.w = p.w AND e.alpha = p.alpha AND e.ab = p.ab GROUP BY ALL),
+ sig AS (SELECT *, count(*) OVER v AS n, sum(price / 10) OVER v AS pos FROM p WHERE s > CASE ab WHEN 0 THEN 38.00005 ELSE 40.00005 END AND price < 48 WINDOW v AS (PARTITION BY w, alpha, "Date", ent ORDER BY o, ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ book AS (SELECT *, sum(price / 10) OVER (PARTITION BY w, alpha, "Date" ORDER BY o, ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS book FROM sig WHERE n <= 1 OR pos <= 9.12345),
+ days AS (SELECT w, alpha, "Date", count(*) AS trades, sum(price * (y - 40) / 10) AS pnl, sum(price / 10) AS cap FROM book WHERE round(book, 6) <= 250.0005 GROUP BY ALL),
+ cu AS (SELECT *, sum(pnl) OVER v AS s FROM days WINDOW v AS (PARTITION BY w, alpha ORDER BY "Date")), dd AS (SELECT *, s - max(s) OVER (PARTITION BY w, alpha ORDER BY "Date") AS down FROM cu),
+ isl AS (SELECT *, sum(CASE WHEN down >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY w, alpha ORDER BY "Date") AS island FROM dd), sx AS (SELECT w, alpha, max(n) AS n FROM (SELECT w, alpha, island, count(*) FILTER (down < 0) AS n FROM isl GROUP BY ALL) GROUP BY ALL)
+ SELECT b.w AS n_training_days, CAST(b.alpha AS DOUBLE) AS alpha, round(any_value(b.top_mean), 4) AS top_mean, round(any_value(b.spread), 4) AS spread, CAST(sum(trades) AS BIGINT) AS trades, round(sum(pnl) / 10000, 5) AS total, round(min(down) / 10000, 5) AS mdd, round(sum(pnl) / sum(cap), 4) AS mean_bp, round(abs(min(down)) / avg(pnl), 4) AS mdd_to_mean, CAST(any_value(sx.n) AS BIGINT) AS time_to_high
+ FROM bins b JOIN dd ON dd.w = b.w AND dd.alpha = b.alpha JOIN sx ON sx.w = b.w AND sx.alpha = b.alpha GROUP BY 1, 2"""
+
+
+@query(PARAM_SQL)
+def g_param_metrics(spark, sf_dir):
+    """Top bin, spread and backtest of every model of the grid; rows are scored by all models at once."""
+    own = _li(spark, sf_dir, "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    models = model.rolling_ridge(own, ["a", "b"], "y", [20, 60], [0.1, 50.0], regime="ab")
+    found = grid.param_metrics(own, models, ["a", "b"], "y", "ab", least=(38.00005, 40.00005), entity_limit=9.12345, session_limit=250.0005, fee=40.0, max_price=48, entity="l_suppkey", order=("l_orderkey", "l_linenumber"), price="l_quantity", stretch_us=5_000)
+    return rounded(rounded(found, 4, "top_mean", "spread", "mean_bp", "mdd_to_mean"), 5, "total", "mdd")
+
+
 @query(f"""WITH {LI_SQL.replace("li AS (", "li0 AS (")}, li AS (SELECT "Date", a, b, u.lb, CASE u.lb WHEN 'y' THEN y ELSE 2 * y - a END AS yy FROM li0 CROSS JOIN (SELECT unnest(['y', 'v']) AS lb) u), nd AS (SELECT 20 AS n), al AS (SELECT 0.1 AS alpha), {_closed("lb", y="yy")}
  SELECT "Date", lb AS label, f AS feature, round(CASE f WHEN 'a' THEN ca ELSE cb END, 5) AS coef FROM so CROSS JOIN (SELECT unnest(['a', 'b']) AS f)""")
 def g_label_sweep(spark, sf_dir):
