@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from tickweave.functions.columns import clock, micros, micros_of_day
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: list[str], time: str, values: list[str], strict: bool = True, tolerance_us: int | None = None, seq: str | None = None, age: str | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, on: list[str], time: str, values: list[str], strict: bool = True, tolerance_us: int | None = None, seq: str | None = None, age: str | None = None, stretch_us: int | None = None) -> DataFrame:
     """left with the values of the last right row before (strict) or not after its time, within tolerance.
 
     At equal times right rows sort after left ones if strict, before them if not. Ties among right rows go by
     seq. All left rows stay; their values are null where nothing qualifies.
+
+    stretch_us: for keys that may hold very many rows. A key's time is then cut into stretches of that length, a task each; what a stretch
+    leaves behind (one row) is carried over the stretches after it.
     """
     side = 1 if strict else -1
     tie = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
@@ -20,8 +23,20 @@ def asof_backward(left: DataFrame, right: DataFrame, on: list[str], time: str, v
     packed = F.struct(F.col(time).alias("_at"), *values)
     both = left.select(*on, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_tie"), F.struct("*").alias("_row"), none.cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_hit")).unionByName(
         right.select(*on, F.col(time).alias("_t"), F.lit(side).alias("_side"), tie.alias("_tie"), packed.alias("_hit")), allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    cut = [] if stretch_us is None else ["_stretch"]
+    both = both if stretch_us is None else both.withColumn("_stretch", F.floor(micros("_t") / stretch_us))
+    w = Window.partitionBy(*on, *cut).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).filter("_side = 0")
+    if cut:
+        # Every stretch that has left rows gets what the one before it with right rows has left; a row a key and stretch.
+        names = [*on, *cut]
+        stretches = both.groupBy(*names).agg(F.max_by("_hit", F.when(F.col("_side") != 0, F.struct("_t", "_tie"))).alias("_last"))
+        earlier = Window.partitionBy(*on).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = stretches.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).filter("_carried is not null")
+        same = F.lit(True)
+        for i, c in enumerate(names):
+            same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+        out = out.join(carried, same, "left").withColumn("_hit", F.coalesce("_hit", "_carried"))
     gap = micros("_t") - micros("_hit._at")
     ok = F.lit(True) if tolerance_us is None else gap <= tolerance_us
     found = [F.when(ok, F.col(f"_hit.{v}")).alias(v) for v in values]

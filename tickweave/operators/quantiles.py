@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 RANGES, MOST = 1024, 500_000
 
 
-def _range_of(value: Column, cuts: list[float]) -> Column:
+def range_of(value: Column, cuts: list[float]) -> Column:
     """How many cuts lie below the value, by blocks of cuts."""
     if not cuts:
         return F.lit(0)
@@ -43,7 +43,7 @@ def _select(own: DataFrame, shares: list[float], ahead: tuple[str, int] | None)
     at, n = ahead or (None, 0)
     keys = ["_g", *([at] if at else [])]
     cuts = own.agg(F.percentile_approx("_v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10 * RANGES))).first()[0] or []
-    own = own.withColumn("_r", _range_of(F.col("_v"), sorted({c for c in cuts if not math.isnan(c)})))
+    own = own.withColumn("_r", range_of(F.col("_v"), sorted({c for c in cuts if not math.isnan(c)})))
     later = lambda df: df.withColumn(at, F.explode(F.sequence(F.col(at) + 1, F.col(at) + n))) if at else df
     counts = later(own.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     if at:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import is_finite
+from tickweave.operators import quantiles as quantile_module
 from tickweave.operators.buckets import qcut
 from tickweave.operators.quantiles import quantiles
 
@@ -84,12 +85,36 @@ def leak_regression(daily: DataFrame, y: str, x: str, by: str, n: str = "n", lea
     return own.groupBy(by).agg(F.count(F.lit(1)).alias("days"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("corr")).withColumn("k", 1 - F.col("slope"))
 
 
+def ordinal_rank(df: DataFrame, value: str, tie: str, by: list[str], out: str, most: int | None = None) -> DataFrame:
+    """Ranks from 1 within by, in the order of a number and of a number that breaks ties.
+
+    Rows fall into ranges of the value, cut at a sketch of all values, and those of one value into ranges of the tie; rows are numbered
+    within those and offset by the counts before. The number of ranges grows with the table, so a task has about a million
+    rows at most, however they are spread over groups and values. Tables of at most `most` rows are numbered by one window.
+    """
+    most = quantile_module.MOST if most is None else most
+    n = df.count()
+    if n <= most:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)))
+    k = max(64, n // 1_000_000)
+    shares = F.array(*[F.lit(i / k) for i in range(1, k)])
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, F.lit(10 * k)) for c in (value, tie)]).first()
+    places = {name: quantile_module.range_of(F.col(c).cast("double"), sorted(set(found or []))) for name, c, found in zip(("_r", "_k"), (value, tie), cuts, strict=True)}
+    own = df.withColumns(places)
+    groups = own.groupBy(*by, "_r", value, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = groups.groupBy(*by, "_r").agg(F.sum("_n").alias("_m"))
+    before = ranges.select(*by, "_r", F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy(value, "_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = groups.join(before, [*by, "_r"]).select(*by, value, "_k", (F.col("_b") + upto).alias("_first"))
+    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy(*by, value, "_k").orderBy(tie)))
+    return numbered.join(first, [*by, value, "_k"]).withColumn(out, (F.col("_first") + F.col("_i")).cast("int")).select(*df.columns, out)
+
+
 def session_ic(df: DataFrame, pairs: list[tuple[str, str]], least: int = 200, date="Date", tie: str = "ChannelSeq") -> DataFrame:
     """Spearman correlation (ordinal ranks) per session and pair; null under `least` complete rows."""
     each = F.explode(F.array(*[F.struct(F.lit(f"{a}~{b}").alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs]))
     own = df.select(date, F.col(tie).alias("_tie"), each.alias("p")).select(date, "_tie", "p.*").filter(is_finite(F.col("a")) & is_finite(F.col("b")))
-    rank = lambda c: F.row_number().over(Window.partitionBy(date, "pair").orderBy(c, "_tie"))
-    own = own.withColumns({"ra": rank("a"), "rb": rank("b")})
+    own = ordinal_rank(ordinal_rank(own, "a", "_tie", [date, "pair"], "ra"), "b", "_tie", [date, "pair"], "rb")
     return own.groupBy(date, "pair").agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("ra").cast("double"), F.col("rb").cast("double")).alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 

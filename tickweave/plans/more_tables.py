@@ -118,12 +118,23 @@ def a_export_points(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query(f"""WITH {T_SQL}, {MID_SQL} SELECT "Date", count(*) AS n FROM t WHERE "Date" < (SELECT m FROM mid) GROUP BY 1""")
+@query(f"""WITH {T_SQL} SELECT "Date", count(*) AS n FROM t GROUP BY 1""")
 def a_scan_sessions(spark, sf_dir):
-    """Session files named by their session, and one that lacks a needed column, which is passed over."""
+    """Session files named by their session."""
     path = scratch(spark, "sessions")
-    own = _small(spark, sf_dir).filter(F.col("Date") < _mid(spark, sf_dir))
-    own.withColumn("session", F.col("Date")).write.partitionBy("session").parquet(path)
+    _small(spark, sf_dir).withColumn("session", F.col("Date")).write.partitionBy("session").parquet(path)
     found = tables.scan_sessions(spark, path)
     assert tables.require_columns(found, ["ChannelSeq"]) and not tables.require_columns(found, ["Spread"])
     return found.groupBy("Date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {T_SQL} SELECT "Date", count(*) AS n, CASE WHEN CAST("Date" AS INT) % 3 = 0 THEN 'FillLots' END AS missing, CASE WHEN CAST("Date" AS INT) % 3 <> 0 THEN CAST(sum("FillLots") AS BIGINT) END AS lots FROM t GROUP BY 1""")
+def a_incomplete_sessions(spark, sf_dir):
+    """Every third session was written without a needed column: it is passed over and reported, not filled with nulls."""
+    path, own = scratch(spark, "sessions"), tick_frame(spark, sf_dir).select("Date", "ChannelSeq", "FillLots").withColumn("session", F.col("Date"))
+    third = F.col("Date").cast("int") % 3 == 0
+    own.filter(~third).write.partitionBy("session").parquet(path)
+    own.filter(third).drop("FillLots").write.mode("append").partitionBy("session").parquet(path)
+    whole, passed = tables.scan_complete(spark, path, ["ChannelSeq", "FillLots"])
+    kept = whole.groupBy("Date").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("missing"), F.sum("FillLots").alias("lots"))
+    return kept.unionByName(passed.select(F.col("session").alias("Date"), F.col("rows").alias("n"), F.array_join("missing", ",").alias("missing"), F.lit(None).cast("bigint").alias("lots")))

@@ -64,6 +64,14 @@ def c_asof_strict(spark, sf_dir):
     return asof.asof_backward(left, right.withColumnRenamed("ChannelSeq", "seq"), ["QuoteCode"], "TransTime", ["seen"], seq="seq").select("ChannelSeq", "seen")
 
 
+@query(f"""WITH {T_SQL} SELECT a."ChannelSeq", b."FillPrice" AS seen FROM (SELECT * FROM t WHERE event_type = 'click') a ASOF LEFT JOIN (SELECT * FROM t WHERE event_type = 'signup') b ON a."TransTime" > b."TransTime" """)
+def c_asof_one_key(spark, sf_dir):
+    """All events under one key: its time is cut into stretches of six hours, over which the last right row is carried."""
+    t = tick_frame(spark, sf_dir).withColumn("all", F.lit(1))
+    right = t.filter("event_type = 'signup'").select("all", "TransTime", F.col("ChannelSeq").alias("seq"), F.col("FillPrice").alias("seen"))
+    return asof.asof_backward(t.filter("event_type = 'click'").select("all", "TransTime", "ChannelSeq"), right, ["all"], "TransTime", ["seen"], seq="seq", stretch_us=6 * 3_600_000_000).select("ChannelSeq", "seen")
+
+
 @query(f"""WITH {T_SQL}, j AS (SELECT a."ChannelSeq", b."FillPrice" AS mid, epoch_us(a."TransTime") - epoch_us(b."TransTime") AS age FROM (SELECT * FROM t WHERE event_type = 'purchase') a
  ASOF LEFT JOIN (SELECT * FROM t WHERE event_type = 'signup') b ON a."Date" = b."Date" AND a."TransTime" >= b."TransTime")
  SELECT "ChannelSeq", CASE WHEN age <= 1800000000 THEN mid END AS mid, CASE WHEN age <= 1800000000 THEN age END AS age_us FROM j""")

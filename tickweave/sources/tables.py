@@ -17,10 +17,54 @@ PARAMS = T.StructType([
 ])
 
 
-def scan_sessions(spark: SparkSession, path: str, date="Date") -> DataFrame:
+def scan_sessions(spark: SparkSession, path: str | list[str], date="Date") -> DataFrame:
     """Files or folders named by session (yyyymmdd first, or after "name="), merged by column name, the session from that name."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return df.withColumn(date, F.regexp_extract(F.col("_metadata.file_path"), r".*[/=](\d{8})(?=[^/]*(?:/[^/]*)?$)", 1))
+    df = spark.read.option("mergeSchema", "true").parquet(*([path] if isinstance(path, str) else path))
+    return df.withColumn(date, F.regexp_extract(F.col("_metadata.file_path"), SESSION, 1))
+
+
+SESSION = r".*[/=](\d{8})(?=[^/]*(?:/[^/]*)?$)"
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """file, session, names (its columns) and rows of every Parquet file under path, from the files' footers; tasks read those, not the driver."""
+    files = spark.read.parquet(path).inputFiles()
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for file in batch.column("file").to_pylist():
+                store, at = fs.FileSystem.from_uri(file)
+                with store.open_input_file(at) as held:
+                    meta = pq.ParquetFile(held)
+                    found.append((file, meta.schema_arrow.names, meta.metadata.num_rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.list_(pa.string()), pa.int64()), strict=True)], ["file", "names", "rows"])
+
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 200)))
+    found = listed.mapInArrow(run, "file string, names array<string>, rows bigint")
+    return found.select("file", F.regexp_extract("file", SESSION, 1).alias("session"), "names", "rows")
+
+
+def scan_complete(spark: SparkSession, path: str, need: list[str], date="Date") -> tuple[DataFrame, DataFrame]:
+    """scan_sessions() without the sessions of which a file lacks a needed column, and a report of those: session, missing, files, rows.
+
+    A merged schema would give nulls for such a column; the footers tell. Names by which a table is partitioned are in no file.
+    """
+    known = footers(spark, path)
+    lack = known.withColumn("missing", F.array_except(F.array(*map(F.lit, need)), "names"))
+    by_session = lack.groupBy("session").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"), F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.collect_list("file").alias("_files"))
+    rows = by_session.collect()  # a row a session
+    good = [f for r in rows if not r["missing"] for f in r["_files"]]
+    report = spark.createDataFrame([(r["session"], r["missing"], r["files"], r["rows"]) for r in rows if r["missing"]], "session string, missing array<string>, files bigint, rows bigint")
+    whole = scan_sessions(spark, path, date)
+    if not good:
+        return whole.limit(0), report
+    return scan_sessions(spark, good, date), report
 
 
 def require_columns(df: DataFrame, names: list[str]) -> bool:
