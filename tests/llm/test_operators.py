@@ -56,6 +56,24 @@ def test_chat_fold_of_deltas_edits_and_regenerations(spark):
     assert sorted((r.slot, r.role, r.text) for r in out.collect()) == [(0, "user", "Hi"), (1, "assistant", "good!"), (2, "user", "new")]
 
 
+def test_chat_log_needs_folding(spark):
+    rows = [(1, 0, "user", "question one?"), (1, 1, "assistant", "an answer, long enough"), (1, 2, "user", "and?"), (1, 3, "assistant", ""), (2, 0, "assistant", "last turn"), (3, 0, "user", "x")]
+    log = chat_format.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in log.collect()} == {"delta", "edit", "regenerate"} and log.filter("text like 'draft%' or text = 'go on'").count() == 9
+    folded = sorted((r["conv_id"], r["slot"], r["role"], r["text"]) for r in chat_format.fold(log.repartition(5)).collect())
+    assert folded == [(c, t + 1, role, text) for c, t, role, text in rows]
+    naive = log.filter("kind != 'regenerate'").groupBy("conv_id").count().count()
+    assert naive == 3 and len(folded) < log.select("conv_id", "slot").distinct().count() + 1
+
+
+def test_arrivals_meet_the_state_of_earlier_batches(spark, docs):
+    """One file a micro-batch: copies lie in different files, so hits are on what earlier batches left."""
+    whole = docs.repartition(1)
+    many = {tuple(r)[0]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decide(docs, files_a_batch=1).collect()}
+    one = {tuple(r)[0]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decide(whole).collect()}
+    assert many == one and max(x[1] for x in many.values()) > 2
+
+
 def test_quality_ledger(docs, none, texts):
     found = quality_rules.apply_policy(quality_rules.ledger(docs))
     for r in found.collect():

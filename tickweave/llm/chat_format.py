@@ -31,11 +31,29 @@ def unescape(text: Column, role: bool = False) -> Column:
     return F.replace(F.replace(out, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
 
 
+#: Sequence numbers of a slot's events, and the code points of a draft.
+STEPS, DRAFT = 8, 64
+
+
 def log_of(turns: DataFrame) -> DataFrame:
-    """An event log from rows (conv_id, turn, role, text): one delta per row, slots by turn, then role and text."""
+    """An event log whose fold gives rows (conv_id, turn, role, text) back, as a chat front end would have written it; slots by turn, then role and text.
+
+    A text is streamed in three deltas. Before that an assistant's slot holds a draft and the next slot the start of an answer to it, until the
+    slot is regenerated; any other slot holds a draft that an edit replaces by the first third.
+    """
     slot = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("slot", slot).select("conv_id", F.col("slot").cast("long").alias("seq"), F.col("slot").cast("long").alias("slot"), "role", F.lit("delta").alias("kind"), "text")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("slot", slot.cast("long"))
+    n = F.length("text")
+    third = lambda k: F.floor(n * k / 3).cast("int")
+    parts = [F.substring(F.col("text"), third(k) + 1, third(k + 1) - third(k)) for k in range(3)]
+    draft = F.concat(F.lit("draft: "), F.substring("text", 1, DRAFT))
+
+    def event(step: int, kind: str, text, later: int = 0):
+        return F.struct((F.col("slot") * STEPS + step).alias("seq"), (F.col("slot") + later).alias("slot"), (F.lit("user") if later else F.col("role")).alias("role"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    redone = F.array(event(0, "delta", draft), event(1, "delta", F.lit("go on"), 1), event(2, "regenerate", F.lit("")), *(event(3 + k, "delta", p) for k, p in enumerate(parts)))
+    edited = F.array(event(0, "delta", draft), event(1, "edit", parts[0]), event(2, "delta", parts[1]), event(3, "delta", parts[2]))
+    return rows.select("conv_id", F.inline(F.when(F.col("role") == "assistant", redone).otherwise(edited)))
 
 
 def fold(events: DataFrame) -> DataFrame:

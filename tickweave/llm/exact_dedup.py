@@ -28,6 +28,8 @@ ROCKS = {
 }
 #: Copies of one text that a single task compares with it.
 COPIES_A_TASK = 2_000
+#: Micro-batches that arrivals come in where the caller doesn't say how many files make one.
+BATCHES = 4
 
 
 def sha256(text: Column) -> Column:
@@ -77,7 +79,7 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_a
     path = scratch(spark, "arrivals")
     docs.select("doc_id", "at_file", "at_row", "digest").write.parquet(path)
     arrivals = spark.read.schema("doc_id bigint, at_file string, at_row bigint, digest string").parquet(path)
-    state = run_stream(spark, path, arrivals.schema, files_a_batch)
+    state = run_stream(spark, path, arrivals.schema, files_a_batch or max(1, -(-len(arrivals.inputFiles()) // BATCHES)))
 
     repeated = state.filter("group_size > 1").withColumn("n_salts", F.ceil(F.col("group_size") / COPIES_A_TASK).cast("int"))
     hits = staged(docs.join(small_side(repeated.select("digest", "keeper", "n_salts")), "digest"), "hits")
