@@ -198,6 +198,34 @@ def test_ranks_of_the_day_to_date_over_batches(spark, tmp_path):
     assert got == {("A", "09:05"): (100.0, 1), ("B", "09:05"): (60.0, 2), ("A", "09:10"): (100.0, 2), ("B", "09:10"): (130.0, 1), ("A", "09:35"): (101.0, 2), ("B", "09:35"): (130.0, 1)}
 
 
+def test_ranks_read_what_was_carried_over_and_no_more(spark, tmp_path):
+    """Every batch brings a slot of each entity; ranks equal those of all slots, a new writer (a restart) goes on, and a batch's plan reads its own slots and one carry."""
+    rng = random.Random(9)
+    slots = [(q, k, rng.randint(1, 50)) for k in range(8) for q in "ABCD" if rng.random() < 0.8]
+    path, frames = str(tmp_path / "sink"), []
+    kind = "Date string, QuoteCode string, slot struct<start: timestamp, end: timestamp>, Amount double"
+    write = live.rank_sink(path)
+    for k in range(8):
+        rows = [("20240105", q, (at(9, 5 * s), at(9, 5 * s + 5)), float(a)) for q, s, a in slots if s == k]
+        if k == 5:
+            write = live.rank_sink(path)
+        write(spark.createDataFrame(rows, kind), k)
+        if k == 6:
+            write(spark.createDataFrame(rows, kind), k)
+        frames.append(len(list((tmp_path / "sink" / "carry" / f"batch={k}").rglob("*.parquet"))))
+    want = {}
+    for k in range(8):
+        day = {}
+        for q, s, a in slots:
+            if s <= k:
+                day[q] = day.get(q, 0) + a
+        if any(s == k for _, s, _ in slots):
+            for rank, q in enumerate(sorted(day, key=lambda q: (-day[q], q)), 1):
+                want[q, k] = (day[q], rank)
+    got = {(r["QuoteCode"], r["TimeSlot"].minute // 5 - 1 + 12 * (r["TimeSlot"].hour - 9)): (r["Amount"], r["AmountRank_canDayTrade"]) for r in spark.read.parquet(f"{path}/ranks").collect()}
+    assert got == want and max(frames) <= 4
+
+
 def test_opening_state_weighs_entities_alike(spark, tmp_path):
     row = lambda day, q, i, when, price, trial=0: (day, q, i, when, price, 1.0, 1, trial, 1.0, 1.1, 100.0)
     next_day = lambda d, *a: at(*a) + datetime.timedelta(days=d)

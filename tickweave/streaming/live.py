@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -187,20 +188,44 @@ def day_ranks(slots: DataFrame, ends: DataFrame, eligible: DataFrame | None = No
 
 
 def rank_sink(path: str, eligible: DataFrame | None = None):
-    """foreachBatch writer of turnover_5min: keeps each batch's slots, and writes the ordinal ranks of the day's turnover to date at the
-    slots that this batch finished. One folder a batch, so a repeated batch replaces itself."""
+    """foreachBatch writer of turnover_5min: the ordinal ranks of the day's turnover to date at the slots that a batch has finished.
+
+    A batch reads the sums that the last batch of its sessions has carried over (a row an entity and session), not the slots of all
+    batches before: what it reads doesn't grow with their number. Slots come in the order of their ends, as the watermark
+    passes them. One folder a batch, so a repeated batch replaces itself.
+    """
+    carried = "Date string, QuoteCode string, TimeSlot timestamp, Amount double"
+    last: dict[str, int] = {}
+
+    def before(spark: SparkSession, date: str, k: int) -> int | None:
+        """The last batch before k that carried sums of a session over; looked up in the folders only after a restart."""
+        if date not in last or last[date] >= k:
+            try:
+                found = spark.read.schema(f"{carried}, batch int").parquet(f"{path}/carry").filter((F.col("Date") == date) & (F.col("batch") < k)).agg(F.max("batch")).first()[0]
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                found = None
+            return found
+        return last[date]
 
     def write(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
         flat = batch.select("Date", "QuoteCode", F.col("slot.end").alias("TimeSlot"), "Amount")
         flat.write.mode("overwrite").parquet(f"{path}/slots/batch={k}")
         now = spark.read.schema(flat.schema).parquet(f"{path}/slots/batch={k}")
-        if now.isEmpty():
-            return
-        whole = spark.read.schema(flat.schema).parquet(f"{path}/slots").filter(F.col("batch") <= k) if k else now
         dates = [r[0] for r in now.select("Date").distinct().collect()]  # sessions of one batch
-        ends = now.select("Date", "TimeSlot").distinct()
-        day_ranks(whole.filter(F.col("Date").isin(*dates)).select(*flat.columns), ends, eligible).write.mode("overwrite").parquet(f"{path}/ranks/batch={k}")
+        if not dates:
+            return
+        whole = now
+        for date in dates:
+            if (at := before(spark, date, k)) is not None:
+                held = spark.read.schema(carried.split(", ", 1)[1]).parquet(f"{path}/carry/batch={at}/Date={date}").withColumn("Date", F.lit(date))
+                whole = whole.unionByName(held)
+        day_ranks(whole, now.select("Date", "TimeSlot").distinct(), eligible).write.mode("overwrite").parquet(f"{path}/ranks/batch={k}")
+        sums = whole.groupBy(*KEYS).agg(F.max("TimeSlot").alias("TimeSlot"), F.sum("Amount").alias("Amount"))
+        sums.write.mode("overwrite").partitionBy("Date").parquet(f"{path}/carry/batch={k}")
+        last.update(dict.fromkeys(dates, k))
 
     return write
 
