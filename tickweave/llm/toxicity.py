@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.base import text_of
+from tickweave.llm.base import staged, text_of
 
 #: Documented bound of the labelled rows that the lexicon and the curve are fitted on.
 MAX_LABELLED = 30_000
@@ -129,7 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> L
     """A lexicon from docs (doc_id, text) and labels (doc_id, toxic); only labelled rows given here are read."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    own = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    # Written once: learning reads these rows four times, and the documents are many more.
+    own = staged(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id"), "labelled")
     n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
 
