@@ -44,6 +44,14 @@ def dual_condition(score_a: str, limit_a: str, score_b: str, limit_b: str) -> Co
     return F.coalesce((F.col(score_a) > F.col(limit_a)) & (F.col(score_b) > F.col(limit_b)), F.lit(False))
 
 
+def regime_condition(regime: str, conditions: dict[int, Column]) -> Column:
+    """The condition of a row's own regime; no in any other."""
+    out = F.lit(False)
+    for name, condition in conditions.items():
+        out = F.when(F.col(regime) == name, condition).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
 def fixed_condition(limits: dict[str, float]) -> Column:
     out = F.lit(True)
     for name, least in limits.items():

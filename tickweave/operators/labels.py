@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.columns import is_finite, tick_size
+from tickweave.operators.asof import lookup
 
 
 def raw_short(df: DataFrame, stop: float = 1.08, ticks: int = 2, out="raw_bp") -> DataFrame:
@@ -64,6 +65,11 @@ def conditional_baseline(df: DataFrame, z="z", date="Date", cell="cell", session
     return full.select(date, cell, F.when(F.col("k") == sessions, (F.col("S") + F.col("_g") * strength) / (F.col("N") + strength)).alias("f"))
 
 
+def residual_ex(df: DataFrame, baseline: DataFrame, z="z", date="Date", cell="cell") -> DataFrame:
+    """z less its cell's baseline f (conditional_baseline); null where there is none yet."""
+    return lookup(df, baseline.select(date, cell, "f"), [date, cell]).withColumn("residual_ex", F.col(z) - F.col("f"))
+
+
 def edge(df: DataFrame, fee: float = 19.3, hedge_cost: float = 0.0, idio="idio_bp") -> DataFrame:
     return df.withColumn("edge_bp", F.col(idio) - fee - hedge_cost)
 

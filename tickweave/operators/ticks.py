@@ -213,6 +213,16 @@ def market_state(opens: DataFrame, limit: float = 0.0025, date="Date") -> DataFr
     return opens.groupBy(date).agg(F.avg(move).alias("topOpen")).withColumn("state", F.when(F.col("topOpen").isNull(), "undecided").when(F.col("topOpen") < limit, "abnormal").otherwise("normal"))
 
 
+def market_opens(t: DataFrame, prior: DataFrame, k: int = 100, keys=("Date", "QuoteCode"), order="ChannelSeq") -> DataFrame:
+    """One open an entity and session, its first valid fill, of those ranked up to k the session before and eligible in this one.
+
+    prior: keys, day_amount_rank (of the session before, under this session's date) and eligible; an entity without a row there has no part.
+    """
+    valid = (F.col("TrialMatch") == 0) & (F.col("FillPrice") > 0)
+    opens = t.filter(valid).groupBy(*keys).agg(F.min_by("FillPrice", order).alias("Open"), F.min_by("RefPrice", order).alias("RefPrice"))
+    return opens.join(prior.filter((F.col("day_amount_rank") <= k) & F.col("eligible")).select(*keys).distinct(), list(keys))
+
+
 def benchmark_days(market: DataFrame, benchmark: str, k: int = 100, date="Date", entity="QuoteCode", rank="day_amount_rank") -> DataFrame:
     """Per session the benchmark entity's opening move and return, and over entities ranked better than k the mean
     opening move, its mean sign and the mean return (all against opening_ref_price)."""

@@ -247,6 +247,21 @@ def h_conditions(spark, sf_dir):
     return own.select("ChannelSeq", buckets.dual_condition("FillPrice", "la", "FillLots", "lb").alias("both"), buckets.fixed_condition({"FillPrice": 10, "FillLots": 40}).alias("fixed"))
 
 
+@query(f"""WITH {SES_SQL}, w AS (SELECT *, s.k % 2 AS flag FROM s) SELECT w."ChannelSeq", coalesce(CASE flag WHEN 0 THEN w."FillPrice" > a.q AND w."FillLots" > b.q ELSE w."FillLots" > c.q AND w."FillPrice" > d.q END, false) AS enter
+ FROM w LEFT JOIN {PRIOR('"FillPrice"', 0.7)} a ON a.k = w.k LEFT JOIN {PRIOR('"FillLots"', 0.3)} b ON b.k = w.k LEFT JOIN {PRIOR('"FillLots"', 0.9)} c ON c.k = w.k LEFT JOIN {PRIOR('"FillPrice"', 0.5)} d ON d.k = w.k""")
+def h_regime_conditions(spark, sf_dir):
+    """Normal sessions pass at .7/.3 of their two scores, flagged ones at .9/.5 of theirs."""
+    t = tick_frame(spark, sf_dir)
+    calendar = buckets.session_index(t).select("Date", ((F.col("session") + 1) % 2).alias("flag"))
+    own = t
+    for name, shares, names in (("FillPrice", [0.7, 0.5], ["la", "ld"]), ("FillLots", [0.3, 0.9], ["lb", "lc"])):
+        limits = buckets.prior_quantiles(t, name, shares)
+        own = buckets.with_thresholds(own, limits.withColumnsRenamed({f"q{i}": x for i, x in enumerate(names)}))
+    own = own.join(F.broadcast(calendar), "Date")  # a row a session
+    enter = buckets.regime_condition("flag", {0: buckets.dual_condition("FillPrice", "la", "FillLots", "lb"), 1: buckets.dual_condition("FillLots", "lc", "FillPrice", "ld")})
+    return own.select("ChannelSeq", enter.alias("enter"))
+
+
 @query(f"""WITH {SES_SQL} SELECT CAST(0.5 AS DOUBLE) AS share, count(*) AS trades, round(avg("FillLots"), 6) AS mean, CAST(sum("FillLots") AS BIGINT) AS total FROM s JOIN {PRIOR('"FillPrice"', 0.5)} q ON q.k = s.k WHERE s."FillPrice" > q.q AND s."FillPrice" > 19.3""")
 def h_sweep_with_floor(spark, sf_dir):
     return rounded(buckets.threshold_sweep(tick_frame(spark, sf_dir), "FillPrice", "FillLots", [0.5], floor=19.3), 6, "mean")

@@ -151,6 +151,17 @@ def f_conditional_baseline(spark, sf_dir):
     return labels.conditional_baseline(t, sessions=5, strength=50.0).select("Date", "cell", F.round("f", 6).alias("f"))
 
 
+@query(f"""WITH {T_SQL}, d AS (SELECT "Date", event_type AS cell, sum("FillPrice") AS s, count(*) AS n FROM t GROUP BY 1, 2),
+ g AS (SELECT a."Date", b.cell, coalesce(d.s, 0) AS s, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT "Date" FROM t) a CROSS JOIN (SELECT DISTINCT event_type AS cell FROM t) b LEFT JOIN d ON d."Date" = a."Date" AND d.cell = b.cell),
+ r AS (SELECT *, sum(s) OVER w AS bs, sum(n) OVER w AS bn, count(*) OVER w AS k FROM g WINDOW w AS (PARTITION BY cell ORDER BY "Date" ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+ p AS (SELECT *, sum(bs) OVER (PARTITION BY "Date") / nullif(sum(bn) OVER (PARTITION BY "Date"), 0) AS pool FROM r)
+, f AS (SELECT "Date", cell, CASE WHEN k = 5 THEN (bs + pool * 50) / (bn + 50) END AS f FROM p) SELECT "ChannelSeq", round("FillPrice" - f, 6) AS residual FROM t LEFT JOIN f ON f."Date" = t."Date" AND f.cell = t.event_type""")
+def f_residual_ex(spark, sf_dir):
+    t = tick_frame(spark, sf_dir).withColumnsRenamed({"event_type": "cell", "FillPrice": "z"})
+    own = labels.residual_ex(t, labels.conditional_baseline(t, sessions=5, strength=50.0))
+    return own.select("ChannelSeq", F.round("residual_ex", 6).alias("residual"))
+
+
 @query(f"""WITH {T_SQL}, s AS (SELECT "Date", event_type, "FillPrice", dense_rank() OVER (ORDER BY "Date") AS k FROM t),
  a AS (SELECT s.event_type, s."FillPrice", s.k + i.i AS k FROM s CROSS JOIN (SELECT 1 AS i UNION ALL SELECT 2 UNION ALL SELECT 3) i),
  q AS (SELECT k, event_type, quantile_cont("FillPrice", 0.5) AS q0, quantile_cont("FillPrice", 0.9) AS q1 FROM a GROUP BY 1, 2)
@@ -330,6 +341,21 @@ def d_market_state(spark, sf_dir):
     return ticks.market_state(opens).select("Date", F.round("topOpen", 6).alias("top"), "state")
 
 
+@query(f"""WITH {T_SQL}, o AS (SELECT "Date", "QuoteCode", arg_min("FillPrice", "ChannelSeq") AS op FROM t WHERE "TrialMatch" = 0 AND "FillPrice" > 0 GROUP BY 1, 2), am AS (SELECT "Date", "QuoteCode", sum("FillPrice" * "FillLots") AS a FROM t WHERE "TrialMatch" = 0 GROUP BY 1, 2),
+ rk AS (SELECT *, rank() OVER (PARTITION BY "Date" ORDER BY a DESC) AS r FROM am), cal AS (SELECT "Date", lead("Date") OVER (ORDER BY "Date") AS nx FROM (SELECT DISTINCT "Date" FROM t)), pr AS (SELECT nx AS "Date", "QuoteCode" FROM rk JOIN cal ON cal."Date" = rk."Date" WHERE r <= 10 AND "QuoteCode" % 3 <> 0 AND nx IS NOT NULL)
+ SELECT o."Date", count(*) AS entities, round(avg((op - 20.0) / 20.0), 6) AS top, CASE WHEN avg((op - 20.0) / 20.0) < 0.0025 THEN 'abnormal' ELSE 'normal' END AS state FROM o JOIN pr ON pr."Date" = o."Date" AND pr."QuoteCode" = o."QuoteCode" GROUP BY 1""")
+def d_market_state_of_the_top(spark, sf_dir):
+    """The state from one open an entity, over those of the ten greatest turnovers of the session before that may be traded."""
+    t = tick_frame(spark, sf_dir)
+    amounts = t.filter("TrialMatch = 0").groupBy("Date", "QuoteCode").agg(F.sum(F.col("FillPrice") * F.col("FillLots")).alias("_a"))
+    ranked = amounts.withColumn("day_amount_rank", F.rank().over(Window.partitionBy("Date").orderBy(F.desc("_a"))))
+    prior = ticks.rekey_to_next_session(ranked, t).withColumn("eligible", F.col("QuoteCode") % 3 != 0)
+    opens = ticks.market_opens(t, prior, 10)
+    state = ticks.market_state(opens).join(opens.groupBy("Date").agg(F.count(F.lit(1)).alias("entities")), "Date")
+    return state.select("Date", "entities", F.round("topOpen", 6).alias("top"), "state")
+
+
+
 @query(f"""WITH {T_SQL}, a AS (SELECT "Date", "QuoteCode", count(*) AS n FROM t GROUP BY 1, 2), c AS (SELECT "Date", lead("Date") OVER (ORDER BY "Date") AS nxt FROM (SELECT DISTINCT "Date" FROM t) x)
  SELECT c.nxt AS "Date", a."QuoteCode", a.n FROM a JOIN c ON a."Date" = c."Date" WHERE c.nxt IS NOT NULL""")
 def d_rekey_to_next_session(spark, sf_dir):
