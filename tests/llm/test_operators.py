@@ -74,6 +74,32 @@ def test_arrivals_meet_the_state_of_earlier_batches(spark, docs):
     assert many == one and max(x[1] for x in many.values()) > 2
 
 
+def test_ids_that_cannot_be_coded_say_so():
+    with pytest.raises(ValueError, match="65,536"):
+        range_coder.pack([np.array([3, 65_536])])
+
+
+def test_token_files_of_several_files_and_full_lanes(spark, monkeypatch):
+    """Starts run on over files and over groups of files; documents span blocks."""
+    monkeypatch.setattr(range_coder, "CHARS_A_FILE", 4_000)
+    monkeypatch.setattr(range_coder, "FILES", 2)
+    rows = [(None if i == 7 else i, None if i % 11 == 0 else "word number " * (i % 40)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = exact_dedup.scratch(spark, "several-files")
+    range_coder.write(docs, path, WORDS)
+    files = spark.read.parquet(path)
+    assert files.select("file_no").distinct().count() > 4
+    found = range_coder.read(files).select("doc_id", "start", "n_tokens", "ids_bytes").collect()
+    at = 0
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    for r, (name, text) in zip(sorted(found, key=lambda r: r["start"]), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
+        want = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], r["n_tokens"], np.frombuffer(r["ids_bytes"], "<u4").tolist()) == (name, at, len(want), want)
+        at += len(want)
+
+
 def test_quality_ledger(docs, none, texts):
     found = quality_rules.apply_policy(quality_rules.ledger(docs))
     for r in found.collect():

@@ -185,6 +185,8 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
     out: list[bytes] = []
     for first in range(0, len(blocks), LANES):
         part = blocks[first : first + LANES]
+        if any(b.max(initial=0) >= DIGITS.shape[1] for b in part):
+            raise ValueError(f"ids of {DIGITS.shape[1]:,} and more can't be coded")
         longest = max(map(len, part))
         ids = np.full((longest, len(part)), END_ID, np.int32)
         for lane, block in enumerate(part):
@@ -264,6 +266,8 @@ def unpack(frames: list[bytes]) -> list[np.ndarray]:
 CACHE = 1 << 18
 CHARS_A_CHUNK = 1 << 19
 CHARS_A_FILE = 15_000_000
+#: Files of a group whose lengths one task adds up.
+FILES = 1024
 FILE = "file_no int, block_no int, n_ids int, payload binary, doc_ids array<bigint>, doc_tokens array<int>"
 
 #: Latin pieces without white space or combining marks: normalisation leaves them alone, and their lower case is told letter by letter.
@@ -403,7 +407,11 @@ def read(files: DataFrame) -> DataFrame:
 
     docs = files.groupBy("file_no").applyInArrow(decode, "doc_id long, file_no int, place long, n_tokens long, ids_bytes binary")
     totals = files.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
-    before = totals.select(F.col("file_no"), F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Ids in the files before, in two levels: within groups of FILES files, and over the groups.
+    totals = totals.withColumn("g", F.floor(F.col("file_no") / FILES))
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy("g").agg(F.sum("n").alias("n")).select("g", earlier(Window.orderBy("g"), "n").alias("b"))
+    before = totals.withColumn("w", earlier(Window.partitionBy("g").orderBy("file_no"), "n")).join(groups, "g").select("file_no", (F.col("w") + F.col("b")).alias("before"))
     return docs.join(small_side(before), "file_no").withColumn("start", F.col("before") + F.col("place")).drop("before")
 
 
