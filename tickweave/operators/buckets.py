@@ -196,7 +196,7 @@ def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: i
 
     Cuts are tried at the quantiles (bins of them) of each feature over the same prior sessions; the tree is exact on
     the grid of sums between them, which is all that a task receives: at most bins x bins cells a session. A leaf has
-    at least max(least_rows, min_leaf of the rows). Rows of a session without any prior one get null.
+    at least max(least_rows, min_leaf of the rows). Rows of a session with fewer than `sessions` before it get null.
     """
     import pandas as pd
 
@@ -211,7 +211,7 @@ def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: i
     placed = lambda rows: rows.join(edges, "session", "left").withColumns({f"_{side}": place(side, c) for side, c in zip("ab", x, strict=True)})
     own = df.join(calendar, date)
     ahead = own.filter(F.col(y).isNotNull()).select("session", *x, y).withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + sessions)))
-    ahead = placed(ahead).filter("_ea is not null").groupBy("session", "_a", "_b").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
+    ahead = placed(ahead.filter(F.col("session") >= sessions)).filter("_ea is not null").groupBy("session", "_a", "_b").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
     own = placed(own).drop("_ea", "_eb")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:

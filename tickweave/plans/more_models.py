@@ -314,6 +314,20 @@ def h_grid_evaluation(spark, sf_dir):
     return rounded(rounded(found, 4, "trades_day", "capw_bp", "win_day", "sharpe"), 5, "pnl")
 
 
+TREE_SHARES = [i / 32 for i in range(1, 32)]
+
+
+@query(f"""WITH {SES_SQL}, tg AS (SELECT DISTINCT k FROM s WHERE k > 5), pr AS (SELECT tg.k, s."FillPrice" AS a, CAST(s."FillLots" AS DOUBLE) AS b, s."InOut" AS y FROM tg JOIN s ON s.k < tg.k AND s.k >= tg.k - 5),
+ q AS (SELECT k, quantile_cont(a, {TREE_SHARES}) AS qa, quantile_cont(b, {TREE_SHARES}) AS qb, count(*) AS n, sum(y) AS s FROM pr GROUP BY k),
+ cut AS (SELECT k, ax, i, CASE ax WHEN 0 THEN qa[i] ELSE qb[i] END AS c, n, s FROM q CROSS JOIN (SELECT unnest([0, 1]) AS ax) CROSS JOIN (SELECT unnest(range(1, 32)) AS i)),
+ g AS (SELECT cut.k, ax, i, c, n, s, count(*) FILTER (CASE ax WHEN 0 THEN a ELSE b END <= c) AS ln, coalesce(sum(y) FILTER (CASE ax WHEN 0 THEN a ELSE b END <= c), 0) AS ls FROM cut JOIN pr ON pr.k = cut.k GROUP BY ALL),
+ best AS (SELECT k, arg_min(struct_pack(ax := ax, c := c), struct_pack(g := -(CAST(ls * ls AS DOUBLE) / ln + CAST((s - ls) * (s - ls) AS DOUBLE) / (n - ln)), ax := ax, i := i)) AS m FROM g WHERE ln >= greatest(20, 0.05 * n) AND n - ln >= greatest(20, 0.05 * n) GROUP BY k)
+ SELECT s."ChannelSeq", CAST(CASE WHEN s.k <= 5 THEN NULL WHEN best.k IS NULL THEN 1 WHEN CASE m.ax WHEN 0 THEN "FillPrice" ELSE "FillLots" END <= m.c THEN 2 ELSE 3 END AS INT) AS leaf FROM s LEFT JOIN best ON best.k = s.k""")
+def h_tree_stumps(spark, sf_dir):
+    """Trees of one cut, each from the five sessions before; sessions without five get none."""
+    return buckets.tree_leaves(tick_frame(spark, sf_dir), ["FillPrice", "FillLots"], "InOut", depth=1, sessions=5, least_rows=20).select("ChannelSeq", "leaf")
+
+
 @query("""WITH q AS (SELECT o_orderpriority AS k, quantile_cont(o_totalprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM orders GROUP BY 1)
  SELECT o_orderkey, CAST((CASE WHEN o_totalprice > e[2] THEN 1 ELSE 0 END) + (CASE WHEN o_totalprice > e[3] THEN 1 ELSE 0 END) + (CASE WHEN o_totalprice > e[4] THEN 1 ELSE 0 END) AS INTEGER) AS bin FROM orders JOIN q ON q.k = o_orderpriority""")
 def h_qcut_by_group(spark, sf_dir):
