@@ -77,7 +77,7 @@ def test_ranges_bound_what_a_task_sees(spark, monkeypatch):
     """All rows in one group: of the ranges that are looked at again, none has more than its share of the rows."""
     sdf = spark.range(0, 40_000, 1, 4).withColumn("x", F.hash("id") % 20_000 + F.rand(1))
     cuts = sdf.agg(F.percentile_approx("x", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(10_000))).first()[0]
-    sizes = [r["count"] for r in sdf.groupBy(quantiles._range_of(F.col("x"), cuts)).count().collect()]
+    sizes = [r["count"] for r in sdf.groupBy(quantiles.range_of(F.col("x"), cuts)).count().collect()]
     assert len(sizes) == 64 and max(sizes) < 2 * 40_000 / 64
     monkeypatch.setattr(quantiles, "RANGES", 64)
     values = np.sort([r["x"] for r in sdf.select("x").collect()])
