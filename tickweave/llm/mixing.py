@@ -92,7 +92,7 @@ def posteriors(found: Column, model: dict) -> Column:
 
     def places(m: Column) -> Column:
         """Places of the text's slots that tell."""
-        return F.filter(F.transform(found, lambda s: F.get(m["index"], s)), lambda p: p >= 0)
+        return F.transform(F.filter(found, lambda s: F.get(m["index"], s) >= 0), lambda s: F.get(m["index"], s))
 
     def logits(hits: Column, m: Column) -> Column:
         temper = F.sqrt(F.greatest(F.size(hits), F.lit(1)).cast("double"))
