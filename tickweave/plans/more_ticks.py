@@ -316,15 +316,24 @@ def _frame(spark, sf_dir):
     return tick_frame(spark, sf_dir).withColumns({"TransTime": F.col("TransTime").cast("timestamp"), "QuoteCode": F.col("QuoteCode").cast("string")})
 
 
+def _as_files(t, path: str, parts, rows: int):
+    """A stream of the frames in parts, a micro-batch each, written as one file for every half million of `rows`, so that they are written and read side by side."""
+    spark, files = t.sparkSession, max(1, rows // 500_000)
+    for k, own in enumerate(parts, 1):  # one after the other: files are read in the order they were written
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+        for _ in range(k * files - len(spark.read.schema(t.schema).parquet(path).inputFiles())):  # a micro-batch of few rows has as many files
+            t.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _stream(spark, sf_dir, batches: int = 6):
     """The events as a stream of files: as many micro-batches, each of a stretch of time; sessions and entities span them."""
     path, t = scratch(spark, "ticks"), _frame(spark, sf_dir)
-    first, last = t.agg(F.min(F.unix_micros("TransTime")), F.max(F.unix_micros("TransTime"))).first()
+    us = F.unix_micros("TransTime")
+    first, last, n = t.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()
     step = ((last or 0) - (first or 0)) // batches + 1
-    for k in range(batches):  # one after the other: files are read in the order they were written
-        own = t if first is None else t.filter(F.floor((F.unix_micros("TransTime") - first) / step) == k)
-        own.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    parts = [t if first is None else t.filter(F.floor((us - first) / step) == k) for k in range(batches)]
+    return _as_files(t, path, parts, n // batches)
 
 
 DAY = """(PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
@@ -354,10 +363,8 @@ def l_tick_rejects(spark, sf_dir):
     back = last.select("Date", "QuoteCode", "RefPrice", (F.col("_seq") - 1).alias("ChannelSeq"), F.col("_time").alias("TransTime"))
     days = [r[0] for r in t.select("Date").distinct().orderBy("Date").collect()]
     parts = [days[k * len(days) // 5 : (k + 1) * len(days) // 5] for k in range(5)]
-    for now, before in zip([*parts, []], [[], *parts], strict=True):
-        own = twice.filter(F.col("Date").isin(now)).unionByName(back.filter(F.col("Date").isin(before)), allowMissingColumns=True)
-        own.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = [twice.filter(F.col("Date").isin(now)).unionByName(back.filter(F.col("Date").isin(before)), allowMissingColumns=True) for now, before in zip([*parts, []], [[], *parts], strict=True)]
+    stream = _as_files(t, path, each, 2 * t.count() // 5)
     live.drain(live.tick_state(stream, late="60 days", keep=90 * 86_400_000), sink, scratch(spark, "rejects-log"), live.tick_sink(sink))
     both = live.sunk(spark, sink, "rejects").unionByName(live.sunk(spark, sink, "ticks"))
     return both.groupBy("Date", F.coalesce("reject", F.lit("none")).alias("reject")).agg(F.count(F.lit(1)).alias("n"), F.sum("ChannelSeq").alias("total"))
