@@ -81,8 +81,9 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leak_regression(daily: DataFrame, y: str, x: str, by: str, n: str = "n", least: int = 500) -> DataFrame:
+    """Slope, intercept, correlation and 1 - slope of y on x over the days with more than `least` rows; null where x is the same on all."""
     own = daily.filter((F.col(n) > least) & F.col(x).isNotNull() & F.col(y).isNotNull())
-    return own.groupBy(by).agg(F.count(F.lit(1)).alias("days"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("corr")).withColumn("k", 1 - F.col("slope"))
+    return own.groupBy(by).agg(F.count(F.lit(1)).alias("days"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x)).alias("corr")).withColumn("k", 1 - F.col("slope"))
 
 
 def ordinal_rank(df: DataFrame, value: str, tie: str, by: list[str], out: str, most: int | None = None) -> DataFrame:

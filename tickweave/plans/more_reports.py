@@ -56,10 +56,11 @@ def j_similarity(spark, sf_dir):
     return rounded(own, 6, "share_a", "share_b", "disjoint_effect", "corr")
 
 
-@query(f"""WITH {M_SQL}, d AS (SELECT "Date", avg(ret) AS y, max(ret) AS x, count(*) AS n, substr("Date", 1, 4) AS yr FROM m GROUP BY 1)
- SELECT yr, count(*) AS days, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(y, x), 5) AS corr, round(1 - regr_slope(y, x), 5) AS k FROM d WHERE n > 5 GROUP BY 1""")
+@query(f"""WITH {M_SQL}, d AS (SELECT "Date", round(avg(ret), 12) AS y, round(max(ret), 12) AS x, count(*) AS n, substr("Date", 1, 4) AS yr FROM m GROUP BY 1),
+ e AS (SELECT yr, count(*) AS days, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(y, x) END AS corr, var_pop(x) AS v FROM d WHERE n > 5 GROUP BY 1)
+ SELECT yr, days, CASE WHEN v > 0 THEN round(slope, 5) END AS slope, CASE WHEN v > 0 THEN round(intercept, 6) END AS intercept, round(corr, 5) AS corr, CASE WHEN v > 0 THEN round(1 - slope, 5) END AS k FROM e""")
 def j_leak_regression(spark, sf_dir):
-    daily = months(spark, sf_dir).groupBy("Date").agg(F.avg("ret").alias("y"), F.max("ret").alias("x"), F.count(F.lit(1)).alias("n")).withColumn("yr", F.substring("Date", 1, 4))
+    daily = months(spark, sf_dir).groupBy("Date").agg(F.round(F.avg("ret"), 12).alias("y"), F.round(F.max("ret"), 12).alias("x"), F.count(F.lit(1)).alias("n")).withColumn("yr", F.substring("Date", 1, 4))
     own = stats.leak_regression(daily, "y", "x", "yr", least=5)
     return rounded(rounded(own, 6, "intercept"), 5, "slope", "corr", "k")
 
