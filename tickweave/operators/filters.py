@@ -34,7 +34,7 @@ def normalize_ticks(ticks: DataFrame, keys=KEYS, reference: DataFrame | None = N
 def ordered_ticks(ticks: DataFrame, keys=KEYS, order="ChannelSeq", time="TransTime") -> DataFrame:
     """ticks with reject: null, "repeat" (a key seen before) or "backward" (time before an earlier sequence's)."""
     first = F.row_number().over(Window.partitionBy(*keys, order).orderBy(time))
-    high = F.max(time).over(by_entity(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    high = F.max(time).over(Window.partitionBy(*keys).orderBy(order, time).rowsBetween(Window.unboundedPreceding, -1))
     marked = ticks.withColumn("_n", first)
     return marked.withColumn("reject", F.when(F.col("_n") > 1, "repeat").when(F.col(time) < high, "backward")).drop("_n")
 

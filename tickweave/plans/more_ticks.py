@@ -169,13 +169,13 @@ def b_normalize_ticks(spark, sf_dir):
     return own.select("ChannelSeq", F.col("FillLots_origin").alias("origin"), F.col("FillLots").alias("lots"), F.col("RefPrice").cast("double").alias("ref"), F.col("OTC").alias("otc"), F.col("marketOpen").alias("open"))
 
 
-@query(f"""WITH {T_SQL}, u AS (SELECT "Date", "QuoteCode", "ChannelSeq", "TransTime" FROM t UNION ALL SELECT "Date", "QuoteCode", "ChannelSeq", "TransTime" + INTERVAL 1 SECOND FROM t WHERE "ChannelSeq" % 10 = 0 UNION ALL SELECT "Date", "QuoteCode", "ChannelSeq" + 1000000, "TransTime" - INTERVAL 1 SECOND FROM t WHERE "ChannelSeq" % 7 = 0),
+@query(f"""WITH {T_SQL}, u AS (SELECT "Date", "QuoteCode", "ChannelSeq", "TransTime" FROM t UNION ALL SELECT "Date", "QuoteCode", "ChannelSeq", "TransTime" + INTERVAL 1 SECOND FROM t WHERE "ChannelSeq" % 10 = 0 UNION ALL SELECT "Date", "QuoteCode", "ChannelSeq" + 1000000000000, "TransTime" - INTERVAL 1 SECOND FROM t WHERE "ChannelSeq" % 7 = 0),
  m AS (SELECT *, row_number() OVER (PARTITION BY "QuoteCode", "ChannelSeq" ORDER BY "TransTime") AS n, max("TransTime") OVER (PARTITION BY "QuoteCode" ORDER BY "ChannelSeq", "TransTime" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM u)
  SELECT "QuoteCode", "ChannelSeq", "TransTime", CASE WHEN n > 1 THEN 'repeat' WHEN "TransTime" < high THEN 'backward' END AS reject FROM m""")
 def b_ordered_ticks(spark, sf_dir):
     t = tick_frame(spark, sf_dir).select("Date", "QuoteCode", "ChannelSeq", "TransTime")
     late = t.filter("ChannelSeq % 10 = 0").withColumn("TransTime", F.expr("TransTime + interval 1 second"))
-    back = t.filter("ChannelSeq % 7 = 0").withColumns({"ChannelSeq": F.col("ChannelSeq") + 1_000_000, "TransTime": F.expr("TransTime - interval 1 second")})
+    back = t.filter("ChannelSeq % 7 = 0").withColumns({"ChannelSeq": F.col("ChannelSeq") + 1_000_000_000_000, "TransTime": F.expr("TransTime - interval 1 second")})
     return filters.ordered_ticks(t.unionByName(late).unionByName(back), USER).select("QuoteCode", "ChannelSeq", "TransTime", "reject")
 
 
