@@ -43,14 +43,14 @@ def asof_backward(left: DataFrame, right: DataFrame, on: list[str], time: str, v
     return out.select("_row.*", *found, *([F.when(ok, gap).alias(age)] if age else []))
 
 
-def asof_market(left: DataFrame, right: DataFrame, date: str, time: str, values: list[str], tolerance_us: int, bucket_us: int = 60_000_000, age: str = "quote_age_us") -> DataFrame:
+def asof_market(left: DataFrame, right: DataFrame, date: str, time: str, values: list[str], tolerance_us: int, bucket_us: int = 60_000_000, age: str = "quote_age_us", seq: str | None = None) -> DataFrame:
     """As-of join without an entity key, at or before, within tolerance; sessions are split into buckets of
-    time so that one session isn't one task. Right rows are copied to the buckets that their tolerance reaches.
+    time so that one session isn't one task. Right rows are copied to the buckets that their tolerance reaches. Of those at one time the last by seq counts.
     """
     reach = -(-tolerance_us // bucket_us)
     bucket = lambda df: df.withColumn("_b", F.floor(micros(time) / bucket_us))
-    spread = bucket(right.select(date, time, *values)).withColumn("_b", F.explode(F.sequence(F.col("_b"), F.col("_b") + reach)))
-    return asof_backward(bucket(left), spread, [date, "_b"], time, values, strict=False, tolerance_us=tolerance_us, age=age).drop("_b")
+    spread = bucket(right.select(date, time, *values, *([seq] if seq and seq not in values else []))).withColumn("_b", F.explode(F.sequence(F.col("_b"), F.col("_b") + reach)))
+    return asof_backward(bucket(left), spread, [date, "_b"], time, values, strict=False, tolerance_us=tolerance_us, seq=seq, age=age).drop("_b")
 
 
 def asof_clock(quotes: DataFrame, date: str, time: str, value: str, at: str = "13:30", max_age_s: int = 60, seq: str = "seq") -> DataFrame:

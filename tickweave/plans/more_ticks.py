@@ -247,10 +247,10 @@ KEYS_SQL = f"""{X_SQL}, ev AS (SELECT * FROM (SELECT *, "BidPrice1" - lag("BidPr
 @query(f"""WITH {KEYS_SQL}, {AMOUNT_SQL[len(T_SQL) + 2:]}, {BARS_SQL[len(AMOUNT_SQL) + 2:]},
  rk AS (SELECT *, row_number() OVER (PARTITION BY "Date", "TimeSlot" ORDER BY amount DESC, "QuoteCode") AS rank FROM bars),
  j AS (SELECT ev.*, rk.rank, rk."TimeSlot" AS slot FROM ev ASOF LEFT JOIN rk ON ev."Date" = rk."Date" AND ev."QuoteCode" = rk."QuoteCode" AND ev."TransTime" > rk."TimeSlot"),
- e AS (SELECT j.*, q."FillPrice" AS mid, epoch_us(j."TransTime") - epoch_us(q."TransTime") AS age FROM j ASOF LEFT JOIN (SELECT * FROM t WHERE event_type = 'signup') q ON j."Date" = q."Date" AND j."TransTime" >= q."TransTime"),
- cl AS (SELECT "Date", CASE WHEN 72000000000 - arg_max(epoch_us("TransTime") % 86400000000, "ChannelSeq") <= 3600000000 THEN arg_max("FillPrice", "ChannelSeq") END AS c FROM t WHERE event_type = 'signup' AND epoch_us("TransTime") % 86400000000 <= 72000000000 GROUP BY 1)
+ e AS (SELECT j.*, q."FillPrice" AS mid, epoch_us(j."TransTime") - epoch_us(q."TransTime") AS age FROM j ASOF LEFT JOIN (SELECT "Date", "TransTime", arg_max("FillPrice", "ChannelSeq") AS "FillPrice" FROM t WHERE event_type = 'signup' GROUP BY 1, 2) q ON j."Date" = q."Date" AND j."TransTime" >= q."TransTime"),
+ cl AS (SELECT "Date", CASE WHEN 72000000000 - max(epoch_us("TransTime") % 86400000000) <= 3600000000 THEN arg_max("FillPrice", struct_pack(t := "TransTime", s := "ChannelSeq")) END AS c FROM t WHERE event_type = 'signup' AND epoch_us("TransTime") % 86400000000 <= 72000000000 GROUP BY 1)
  SELECT e."Date", e."QuoteCode", e."ChannelSeq", e.at_low AS "FillLots_atLow", round(20.0 + e."QuoteCode" % 3, 2) AS "PreviousClosePrice", 'pm' AS event_type_pm, CAST(e.rank AS INTEGER) AS rank, e.slot AS "TimeSlot",
- round((cl.c / CASE WHEN e.age <= 3600000000 THEN e.mid END - 1) * 10000, 4) AS bp FROM e LEFT JOIN cl ON cl."Date" = e."Date" WHERE e."QuoteCode" % 3 <> 0""")
+ round((cl.c / CASE WHEN e.age <= 3600000000 THEN nullif(e.mid, 0) END - 1) * 10000, 4) AS bp FROM e LEFT JOIN cl ON cl."Date" = e."Date" WHERE e."QuoteCode" % 3 <> 0""")
 def c_event_table(spark, sf_dir):
     x = depth_frame(spark, sf_dir)
     features = x.select("Date", "QuoteCode", "ChannelSeq", "BidPrice1", "AskPrice1", (F.col("FillLots") * F.col("InOut")).alias("FillLots_atLow"))
@@ -263,7 +263,7 @@ def c_event_table(spark, sf_dir):
     own = events.with_features(events.at_keys(data, keys), events.at_keys(features, keys))
     own = events.with_bars(events.with_premarket(own, pre), bars)
     close = asof.asof_clock(quotes, "Date", "TransTime", "mid", "20:00", 3600, "seq")
-    own = asof.asof_market(own, quotes, "Date", "TransTime", ["mid"], 3_600_000_000, bucket_us=1_200_000_000).join(close, "Date", "left")
+    own = asof.asof_market(own, quotes, "Date", "TransTime", ["mid"], 3_600_000_000, bucket_us=1_200_000_000, seq="seq").join(close, "Date", "left")
     own = filters.eligible_next_day(own)
     bp = (F.try_divide(F.col("mid_close"), F.col("mid")) - 1) * 10_000
     return own.select("Date", "QuoteCode", "ChannelSeq", "FillLots_atLow", F.col("PreviousClosePrice").cast("double").alias("PreviousClosePrice"), "event_type_pm", F.col("AmountRank_canDayTrade").alias("rank"), "TimeSlot", F.round(bp, 4).alias("bp"))
