@@ -62,7 +62,7 @@ def asof_clock(quotes: DataFrame, date: str, time: str, value: str, at: str = "1
 
 def future_return(events: DataFrame, quotes: DataFrame, date="Date", time="TransTime", mid="mid", tolerance_us: int = 10_000_000, at="13:30", seq="seq", audit: list[str] | None = None) -> DataFrame:
     """Return from the quote at an event to the session's close quote, and in basis points. audit: further columns of the entry quote (contract, source) that come along."""
-    entry = asof_market(events, quotes, date, time, [mid, *(audit or [])], tolerance_us)
+    entry = asof_market(events, quotes, date, time, [mid, *(audit or [])], tolerance_us, seq=seq)
     close = asof_clock(quotes, date, time, mid, at, seq=seq)
     out = entry.join(close, date, "left")
     move = F.try_divide(F.col(f"{mid}_close"), F.col(mid)) - 1

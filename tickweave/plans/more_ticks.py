@@ -269,9 +269,9 @@ def c_event_table(spark, sf_dir):
     return own.select("Date", "QuoteCode", "ChannelSeq", "FillLots_atLow", F.col("PreviousClosePrice").cast("double").alias("PreviousClosePrice"), "event_type_pm", F.col("AmountRank_canDayTrade").alias("rank"), "TimeSlot", F.round(bp, 4).alias("bp"))
 
 
-@query(f"""WITH {T_SQL}, e AS (SELECT a."Date", a."ChannelSeq", b."FillPrice" AS mid, epoch_us(a."TransTime") - epoch_us(b."TransTime") AS age FROM (SELECT * FROM t WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM t WHERE event_type = 'view') b ON a."Date" = b."Date" AND a."TransTime" >= b."TransTime"),
- cl AS (SELECT "Date", CASE WHEN 79200000000 - arg_max(epoch_us("TransTime") % 86400000000, "ChannelSeq") <= 60000000 THEN arg_max("FillPrice", "ChannelSeq") END AS c FROM t WHERE event_type = 'view' AND epoch_us("TransTime") % 86400000000 <= 79200000000 GROUP BY 1)
- SELECT "ChannelSeq", CASE WHEN age <= 600000000 THEN age END AS quote_age_us, round(c / CASE WHEN age <= 600000000 THEN mid END - 1, 6) AS move, CASE WHEN age <= 600000000 THEN 'view' END AS source FROM e LEFT JOIN cl USING ("Date")""")
+@query(f"""WITH {T_SQL}, e AS (SELECT a."Date", a."ChannelSeq", b."FillPrice" AS mid, epoch_us(a."TransTime") - epoch_us(b."TransTime") AS age FROM (SELECT * FROM t WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT "Date", "TransTime", arg_max("FillPrice", "ChannelSeq") AS "FillPrice" FROM t WHERE event_type = 'view' GROUP BY 1, 2) b ON a."Date" = b."Date" AND a."TransTime" >= b."TransTime"),
+ cl AS (SELECT "Date", CASE WHEN 79200000000 - max(epoch_us("TransTime") % 86400000000) <= 60000000 THEN arg_max("FillPrice", struct_pack(t := "TransTime", s := "ChannelSeq")) END AS c FROM t WHERE event_type = 'view' AND epoch_us("TransTime") % 86400000000 <= 79200000000 GROUP BY 1)
+ SELECT "ChannelSeq", CASE WHEN age <= 600000000 THEN age END AS quote_age_us, round(c / CASE WHEN age <= 600000000 THEN nullif(mid, 0) END - 1, 6) AS move, CASE WHEN age <= 600000000 THEN 'view' END AS source FROM e LEFT JOIN cl USING ("Date")""")
 def c_future_return(spark, sf_dir):
     t = tick_frame(spark, sf_dir)
     quotes = t.filter("event_type = 'view'").select("Date", "TransTime", F.col("FillPrice").alias("mid"), F.col("ChannelSeq").alias("seq"), F.col("event_type").alias("source"))
