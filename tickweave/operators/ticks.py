@@ -155,7 +155,7 @@ def maker_spread(t: DataFrame, narrow: Column, keys=KEYS, buy: Column | None = N
 
 
 def future_prices(t: DataFrame, keys=KEYS, order="ChannelSeq", include_current: bool = True) -> DataFrame:
-    """Close, FutureHigh, FutureLow: labels only."""
+    """Close, FutureHigh, FutureLow over prices above 0: labels only."""
     whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = by_entity(keys, order).rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
     price = F.when(F.col("FillPrice") > 0, F.col("FillPrice"))

@@ -108,7 +108,7 @@ def d_maker_spread(spark, sf_dir):
 
 
 FUTURE_SQL = """last_value(CASE WHEN "FillPrice" > 0 THEN "FillPrice" END IGNORE NULLS) OVER (PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS "Close",
- max("FillPrice") OVER f AS "FutureHigh", min("FillPrice") OVER f AS "FutureLow" FROM t WINDOW f AS (PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+ max(CASE WHEN "FillPrice" > 0 THEN "FillPrice" END) OVER f AS "FutureHigh", min(CASE WHEN "FillPrice" > 0 THEN "FillPrice" END) OVER f AS "FutureLow" FROM t WINDOW f AS (PARTITION BY "Date", "QuoteCode" ORDER BY "ChannelSeq" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
 
 
 @query(f"""WITH {T_SQL} SELECT "ChannelSeq", {FUTURE_SQL}""")
