@@ -23,7 +23,7 @@ def _days(spark, sf_dir):
     return tick_frame(spark, sf_dir).groupBy("Date", "QuoteCode").agg(F.min_by("FillPrice", "ChannelSeq").alias("open_price"), F.max_by("FillPrice", "ChannelSeq").alias("close_price"), F.max("FillPrice").alias("high_price"), F.min("FillPrice").alias("low_price"))
 
 
-@query(f"""WITH {DAYS_SQL} SELECT "Date", "QuoteCode", round(c / o - 1, 6) AS ret FROM days WHERE h <> l""")
+@query(f"""WITH {DAYS_SQL} SELECT "Date", "QuoteCode", round(c / nullif(o, 0) - 1, 6) AS ret FROM days WHERE h <> l""")
 def e_entity_return(spark, sf_dir):
     return rounded(beta.entity_daily_return(_days(spark, sf_dir)).select("Date", "QuoteCode", "ret"), 6, "ret")
 
