@@ -215,15 +215,15 @@ def g_impute_prior_median(spark, sf_dir):
     return rounded(model.impute_prior_median(own, ["f"]).select("ChannelSeq", "f"), 6, "f")
 
 
-@query(f"""WITH {T_SQL}, s AS (SELECT "ChannelSeq", "InOut", CASE WHEN "FillLots" <> 7 THEN 1 + 0.5 * "FillPrice" - 0.1 * "FillLots" END AS s FROM t)
- SELECT "ChannelSeq", round(s, 6) AS score, coalesce(CASE "InOut" WHEN 1 THEN s > 5 AND 2 * s > 12 WHEN -1 THEN s > 8 AND 2 * s > 14 ELSE false END, false) AS enter FROM s""")
+@query(f"""WITH {T_SQL}, s AS (SELECT "ChannelSeq", "InOut", round(CASE WHEN "FillLots" <> 7 THEN 1 + 0.5 * "FillPrice" - 0.1 * "FillLots" END, 6) AS s FROM t)
+ SELECT "ChannelSeq", s + 0.0 AS score, coalesce(CASE "InOut" WHEN 1 THEN s > 5 AND 2 * s > 12 WHEN -1 THEN s > 8 AND 2 * s > 14 ELSE false END, false) AS enter FROM s""")
 def g_score_and_vote(spark, sf_dir):
-    """Coefficients by name; "c" has none and counts 0, a null feature gives no score and no entry."""
+    """Coefficients by name; "c" has none and counts 0, a null feature gives no score and no entry. Scores have six digits, so that a sum at a limit isn't over it by its last bit."""
     own = tick_frame(spark, sf_dir).withColumns({"a": F.col("FillPrice"), "b": F.when(F.col("FillLots") != 7, F.col("FillLots")), "c": F.lit(3.0)})
     score = model.linear_score(F.create_map(F.lit("a"), F.lit(0.5), F.lit("b"), F.lit(-0.1)), F.lit(1.0), ["a", "b", "c"])
     state = F.when(F.col("InOut") == 1, "normal").when(F.col("InOut") == -1, "abnormal").otherwise("undecided")
-    own = own.withColumn("score", score)
-    return rounded(own.select("ChannelSeq", "score", model.dual_vote(F.col("score"), 2 * F.col("score"), {"normal": (5.0, 12.0), "abnormal": (8.0, 14.0)}, state).alias("enter")), 6, "score")
+    own = own.withColumn("score", F.round(score, 6) + 0.0)
+    return own.select("ChannelSeq", "score", model.dual_vote(F.col("score"), 2 * F.col("score"), {"normal": (5.0, 12.0), "abnormal": (8.0, 14.0)}, state).alias("enter"))
 
 
 # ---- buckets
