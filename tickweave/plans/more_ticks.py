@@ -387,8 +387,7 @@ def l_day_ranks(spark, sf_dir):
     path = scratch(spark, "ranks")
     live.drain(live.turnover_5min(_stream(spark, sf_dir)), path, scratch(spark, "ranks-log"), live.rank_sink(path))
     own = spark.read.schema("Date string, QuoteCode string, TimeSlot timestamp, Amount double, AmountRank_canDayTrade int").parquet(f"{path}/ranks")
-    # Ties of rounded amounts are the SQL's; ranks of amounts as they are differ only there.
-    return own.select("Date", "QuoteCode", F.col("TimeSlot").cast("timestamp_ntz").alias("TimeSlot"), F.round("Amount", 4).alias("amount"), F.col("AmountRank_canDayTrade").alias("rank"))
+    return own.select("Date", "QuoteCode", F.col("TimeSlot").cast("timestamp_ntz").alias("TimeSlot"), F.col("Amount").alias("amount"), F.col("AmountRank_canDayTrade").alias("rank"))
 
 
 @query(f"""WITH {T_SQL}, o AS (SELECT "Date", "QuoteCode", arg_min(("FillPrice" - "RefPrice") / "RefPrice", "TransTime") AS m FROM t WHERE epoch_us("TransTime") % 86400000000 >= 32400000000 AND epoch_us("TransTime") % 86400000000 < 39600000000 AND "TrialMatch" = 0 AND "FillPrice" > 0 AND "QuoteCode" % 2 = 0 GROUP BY 1, 2),
