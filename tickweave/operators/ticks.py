@@ -207,10 +207,11 @@ def stop_hits(t: DataFrame, factor: float = 1.08, keys=KEYS, order="ChannelSeq")
     return t.withColumn("hit", hit).withColumn("stoppedOutToday", F.max(F.col("hit").cast("int")).over(by_entity(keys, order).rowsBetween(*UPTO)) == 1)
 
 
-def market_state(opens: DataFrame, limit: float = 0.0025, date="Date") -> DataFrame:
-    """topOpen, the mean opening return, and state: abnormal below the limit, undecided without entities."""
+def market_state(opens: DataFrame, limit: float = 0.0025, date="Date", digits: int | None = None) -> DataFrame:
+    """topOpen, the mean opening return (of so many digits, if given), and state: abnormal below the limit, undecided without entities."""
     move = F.try_divide(F.col("Open") - F.col("RefPrice"), F.col("RefPrice"))
-    return opens.groupBy(date).agg(F.avg(move).alias("topOpen")).withColumn("state", F.when(F.col("topOpen").isNull(), "undecided").when(F.col("topOpen") < limit, "abnormal").otherwise("normal"))
+    mean = F.avg(move) if digits is None else F.round(F.avg(move), digits)
+    return opens.groupBy(date).agg(mean.alias("topOpen")).withColumn("state", F.when(F.col("topOpen").isNull(), "undecided").when(F.col("topOpen") < limit, "abnormal").otherwise("normal"))
 
 
 def market_opens(t: DataFrame, prior: DataFrame, k: int = 100, keys=("Date", "QuoteCode"), order="ChannelSeq") -> DataFrame:
