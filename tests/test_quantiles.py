@@ -93,3 +93,12 @@ def test_bins_and_thresholds_by_ranges(spark, sdf, monkeypatch):
         prior = buckets.prior_quantiles(sdf.filter("abs(x) < 10").withColumnRenamed("session", "Date"), "x", [0.3, 0.8], bucket="g")
         ways.append((sorted(map(tuple, bins), key=str), sorted((r["Date"], str(r["g"]), round(r["q0"], 12), round(r["q1"], 12)) for r in prior.collect())))
     assert ways[0] == ways[1] and ways[0][1]
+
+
+def test_ranges_of_values_that_are_no_numbers(spark):
+    from tickweave.operators.quantiles import range_of
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.5,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    own = df.select(range_of(F.col("v"), [1.0, 2.0]).alias("r"))
+    assert [r.r for r in own.collect()] == [0, 1, 2, 2, 2, 0]
+    assert "lambda" not in own._jdf.queryExecution().toString()

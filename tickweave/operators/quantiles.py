@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,16 @@ RANGES, MOST = 1024, 500_000
 
 
 def range_of(value: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below the value, by blocks of cuts."""
+    """How many cuts (ascending) lie below the value; NaN lies above all, null below."""
     if not cuts:
         return F.lit(0)
-    listed = lambda x: F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>")  # noqa: E731  folded to one constant
-    size = math.isqrt(len(cuts)) + 1
-    block = F.size(F.filter(listed(cuts[size - 1 :: size]), lambda x: x < value))
-    return block * size + F.size(F.filter(F.slice(listed(cuts), block * size + 1, F.lit(size)), lambda x: x < value))
+    edges = np.array(cuts, float)
+
+    @F.pandas_udf("int")
+    def below(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy(float)))
+
+    return F.when(value.isNull(), 0).otherwise(below(value.cast("double")))
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
