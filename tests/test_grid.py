@@ -116,3 +116,15 @@ def test_limits_of_entity_and_session_for_every_model(spark):
         down = daily.cumsum() - daily.cumsum().cummax()
         assert got[w]["mdd"] == pytest.approx(down.min() / 10_000) and got[w]["time_to_high"] == (down < 0).sum()
     assert got[90]["trades"] is None and got[90]["top_mean"] is None
+
+
+def test_a_grid_finds_the_quantiles_of_a_score_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tickweave.operators import buckets
+
+    asked, found = [], buckets.prior_quantiles
+    monkeypatch.setattr(buckets, "prior_quantiles", lambda *a, **k: asked.append(a[1]) or found(*a, **k))
+    df = spark.range(40).select(F.concat(F.lit("d"), (F.col("id") % 4).cast("string")).alias("Date"), F.col("id").cast("double").alias("x"), (-F.col("id")).cast("double").alias("y"), F.lit("k").alias("b"))
+    buckets.sweep_grid(df, {"p": ("x", "y"), "t": ("y", "x")}, "x", [0.3], [0.6], {"all": F.lit(True)}, F.lit("one"), bucket="b")
+    assert sorted(asked) == ["x", "x", "y", "y"]

@@ -83,13 +83,17 @@ def threshold_sweep(df: DataFrame, score: str, outcome: str, shares: list[float]
 def _levels(df: DataFrame, sources: dict[str, tuple[str, str]], shares: dict[str, list[float]], n: int, date: str, bucket: str | None) -> tuple[DataFrame, list[tuple[str, bool]]]:
     """df with, for each source and (not) bucketed, how many limits of either side a row exceeds (columns _a0, _b0, _a1, ...), and what those are of."""
     out, kinds = df, [(name, bucketed) for name in sources for bucketed in ([False, True] if bucket else [False])]
+    wanted: dict[tuple, list[float]] = {}  # a score's shares of all sides and sources: its quantiles are found once
+    for name, bucketed in kinds:
+        for side, score in zip("ab", sources[name], strict=True):
+            wanted[score, bucketed] = sorted({*wanted.get((score, bucketed), []), *shares[side]})
+    found = {(score, bucketed): prior_quantiles(df, score, own, n, date, bucket if bucketed else None) for (score, bucketed), own in wanted.items()}
     tables: dict[bool, DataFrame] = {}
-    for k, (name, bucketed) in enumerate(kinds):
+    for (score, bucketed), own in wanted.items():
         key = [date, *([bucket] if bucketed else [])]
-        for side, score in zip("ab", sources[name], strict=True):
-            found = prior_quantiles(df, score, shares[side], n, date, bucket if bucketed else None)
-            found = found.select(*key, F.array(*[f"q{i}" for i in range(len(shares[side]))]).alias(f"_l{side}{k}"))
-            tables[bucketed] = found if bucketed not in tables else tables[bucketed].join(found, key, "full")
+        sides = [(k, side) for k, (name, b) in enumerate(kinds) if b == bucketed for side, c in zip("ab", sources[name], strict=True) if c == score]
+        limits = found[score, bucketed].select(*key, *[F.array(*[f"q{own.index(q)}" for q in shares[side]]).alias(f"_l{side}{k}") for k, side in sides])
+        tables[bucketed] = limits if bucketed not in tables else tables[bucketed].join(limits, key, "full")
     for bucketed, found in tables.items():  # a row a session (and bucket)
         key = [date, *([bucket] if bucketed else [])]
         out = out.join(F.broadcast(found) if found.limit(100_001).count() <= 100_000 else found, key, "left")
