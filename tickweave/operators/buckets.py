@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.functions.arrays import codes, group_starts, running
 from tickweave.operators.quantiles import quantiles
 from tickweave.operators.ticks import session_index
 
@@ -151,11 +156,6 @@ def evaluate_grid(df: DataFrame, sources: dict[str, tuple[str, str]], outcome: s
     own = own.repartition(*keyed).sortWithinPartitions(*keyed, *[f"_o{i}" for i in range(len(order))])
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        from tickweave.functions.arrays import group_starts, running
-
         kind, at_a, at_b, at_f = np.array(combos).T
         c, width = len(combos), 2 * len(kinds)
         before, count, held, sums = None, np.zeros(c), np.zeros(c), {}
@@ -201,29 +201,61 @@ def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: i
     Cuts are tried at the quantiles (bins of them) of each feature over the same prior sessions; the tree is exact on
     the grid of sums between them, which is all that a task receives: at most bins x bins cells a session. A leaf has
     at least max(least_rows, min_leaf of the rows). Rows of a session with fewer than `sessions` before it get null.
-    """
-    import pandas as pd
 
+    Edges and trees are as large as the calendar, not as the data, and are sent to every task: a batch of rows adds to the sums of the
+    sessions that follow without a copy of the rows for each, and a row finds its leaf without a join.
+    """
     shares = [i / bins for i in range(1, bins)]
-    calendar = session_index(df, date)
+    own = df.select(date, *x, y).persist(StorageLevel.DISK_ONLY)  # read by all passes that come before the leaves
+    calendar = session_index(own, date)
     edges = calendar
     for side, c in zip("ab", x, strict=True):
-        found = prior_quantiles(df, c, shares, sessions, date).select(date, F.array(*[f"q{i}" for i in range(len(shares))]).alias(f"_e{side}"))
+        found = prior_quantiles(own, c, shares, sessions, date).select(date, F.array(*[F.col(f"q{i}").cast("double") for i in range(len(shares))]).alias(f"_e{side}"))
         edges = edges.join(found, date)
-    edges = F.broadcast(edges.drop(date)) if calendar.limit(10_001).count() <= 10_000 else edges.drop(date)  # some 500 bytes a session
-    place = lambda side, c: F.size(F.filter(f"_e{side}", lambda e: e < F.col(c)))
-    placed = lambda rows: rows.join(edges, "session", "left").withColumns({f"_{side}": place(side, c) for side, c in zip("ab", x, strict=True)})
-    own = df.join(calendar, date)
-    ahead = own.filter(F.col(y).isNotNull()).select("session", *x, y).withColumn("session", F.explode(F.sequence(F.col("session") + 1, F.col("session") + sessions)))
-    ahead = placed(ahead.filter(F.col("session") >= sessions)).filter("_ea is not null").groupBy("session", "_a", "_b").agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
-    own = placed(own).drop("_ea", "_eb")
+    edges = edges.select("session", "_ea", "_eb").collect()  # some 500 bytes a session
+    known = lambda found: np.array([e for e in found if e is not None], float)
+    edges = {r["session"]: (known(r["_ea"]), known(r["_eb"])) for r in edges if r["session"] >= sessions}
+    spark, number = df.sparkSession, {r["d"]: r["session"] for r in calendar.select(F.col(date).cast("string").alias("d"), "session").collect() if r["d"] is not None}
+    sent = spark.sparkContext.broadcast((number, edges))
+
+    def cell(session: int, found: dict, a: np.ndarray, b: np.ndarray, none: np.ndarray, none_b: np.ndarray) -> np.ndarray:
+        """Place in the grid: edges under a value, none under null."""
+        ea, eb = found[session]
+        return np.where(none, 0, np.searchsorted(ea, a)) * bins + np.where(none_b, 0, np.searchsorted(eb, b))
+
+    def summed(batches):
+        number, edges = sent.value
+        found: dict = {}
+
+        def told():
+            for session, (s, n) in found.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), session, np.int32)), pa.array((some // bins).astype(np.int32)), pa.array((some % bins).astype(np.int32)), pa.array(s[some]), pa.array(n[some].astype(np.int64))], ["session", "_a", "_b", "s", "n"])
+
+        for batch in batches:
+            names, place = codes(batch.column("d"))
+            a, b, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "y"))
+            none, none_b = (batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            for i, day in enumerate(names):
+                mine = np.flatnonzero(place == i)
+                for session in range(number[day] + 1, number[day] + sessions + 1):
+                    if session in edges:
+                        at = cell(session, edges, a[mine], b[mine], none[mine], none_b[mine])
+                        s, n = found.setdefault(session, (np.zeros(bins * bins), np.zeros(bins * bins)))
+                        s += np.bincount(at, weights=y[mine], minlength=bins * bins)
+                        n += np.bincount(at, minlength=bins * bins)
+            if len(found) > 1_000:
+                yield from told()
+                found.clear()
+        yield from told()
+
+    rows = own.filter(F.col(date).isNotNull() & F.col(y).isNotNull()).select(F.col(date).cast("string").alias("d"), *[F.col(c).cast("double").alias(name) for c, name in zip((*x, y), "aby", strict=True)])
+    ahead = rows.mapInArrow(summed, "session int, _a int, _b int, s double, n bigint").groupBy("session", "_a", "_b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         s, n = np.zeros((bins, bins)), np.zeros((bins, bins))
         s[group["_a"], group["_b"]], n[group["_a"], group["_b"]] = group["s"], group["n"]
-        least, rows = max(float(least_rows), min_leaf * n.sum()), []
+        least, leaves = max(float(least_rows), min_leaf * n.sum()), np.zeros((bins, bins), np.int32)
 
         def grow(box, level, leaf):
             (a0, a1), (b0, b1) = box
@@ -237,13 +269,30 @@ def tree_leaves(df: DataFrame, x: list[str], y: str, depth: int = 3, sessions: i
                         if best is None or gain > best[0] + 1e-12:
                             best = gain, parts
             if best is None:
-                rows.extend((i, j, leaf) for i in range(a0, a1) for j in range(b0, b1))
+                leaves[a0:a1, b0:b1] = leaf
             else:
                 grow(best[1][0], level + 1, 2 * leaf)
                 grow(best[1][1], level + 1, 2 * leaf + 1)
 
         grow(((0, bins), (0, bins)), 0, 1)
-        return pd.DataFrame(rows, columns=["_a", "_b", "leaf"]).assign(session=group["session"].iloc[0])[["session", "_a", "_b", "leaf"]]
-
-    trees = ahead.groupBy("session").applyInPandas(fit, "session int, _a int, _b int, leaf int")
-    return own.join(trees, ["session", "_a", "_b"], "left").drop("session", "_a", "_b")
+        return pd.DataFrame({"session": [group["session"].iloc[0]], "leaves": [leaves.ravel()]})
+
+    trees = {r["session"]: np.array(r["leaves"], np.int32) for r in ahead.groupBy("session").applyInPandas(fit, "session int, leaves array<int>").collect()}  # bins x bins numbers a session
+    own.unpersist()
+    grown = spark.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("int")
+    def leaf(day: pd.Series, a: pd.Series, b: pd.Series, none: pd.Series, none_b: pd.Series) -> pd.Series:
+        number, edges = sent.value
+        out = pd.array(np.zeros(len(day), np.int32), dtype="Int32")
+        out[:] = pd.NA
+        place, names = pd.factorize(day)
+        a, b, none, none_b = a.to_numpy(float), b.to_numpy(float), none.to_numpy(bool), none_b.to_numpy(bool)
+        for i, d in enumerate(names):
+            if (tree := grown.value.get(number[d])) is not None:
+                mine = np.flatnonzero(place == i)
+                out[mine] = tree[cell(number[d], edges, a[mine], b[mine], none[mine], none_b[mine])]
+        return pd.Series(out)
+
+    known_day = df.filter(F.col(date).isNotNull())
+    return known_day.withColumn("leaf", leaf(F.col(date).cast("string"), *[F.col(c).cast("double") for c in x], *[F.col(c).isNull() for c in x]))

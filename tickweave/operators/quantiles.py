@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ def _select(own: DataFrame, shares: list[float], ahead: tuple[str, int] | None)
     counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(w)})
     ranks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil if up else F.floor)((F.col("_all") - 1) * F.lit(float(q))).cast("long").alias("rank")) for k, q in enumerate(shares) for up in (0, 1)])
     wanted = counts.withColumn("_want", F.filter(ranks, lambda x: (x["rank"] >= F.col("_before")) & (x["rank"] < F.col("_before") + F.col("_n")))).filter(F.size("_want") > 0)
+    wanted = wanted.persist(StorageLevel.DISK_ONLY)  # a few ranges a group, read three times; the rows are counted once
     flat = wanted.filter(F.col("_lo").eqNullSafe(F.col("_hi"))).select(*keys, "_all", F.col("_lo").alias("_v"), F.inline("_want"))
     mixed = wanted.filter(~F.col("_lo").eqNullSafe(F.col("_hi"))).select(*keys, "_r", "_before", "_all", "_want")
     if at:  # the groups whose rows those are: up to n before
@@ -92,7 +94,7 @@ def quantiles(df: DataFrame, values: list[str], shares: list[float], by: list[st
     own = df.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("one")).alias("_by"), *at, each).filter("_v is not null")
     found = _select(own.select(F.struct("_by", "_c").alias("_g"), *at, "_v"), shares, ahead)
     wide = found.groupBy(F.col("_g._by").alias("_by"), *at).agg(*[F.max(F.when(F.col("_g._c") == i, F.col("_q"))).alias(c) for i, c in enumerate(values)])
-    wide = wide.select(*[F.col(f"_by.k{i}").alias(c) for i, c in enumerate(by)], *at, *values)
+    wide = wide.select(*[F.col(f"_by.k{i}").alias(c) for i, c in enumerate(by)], *at, *values).persist(StorageLevel.DISK_ONLY)  # a row a group
     # Groups without any value keep their row.
     groups = df.select(*by, *at)
     groups = (groups.withColumn(at[0], F.explode(F.sequence(F.col(at[0]) + 1, F.col(at[0]) + ahead[1]))) if ahead else groups).distinct()
