@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,37 +87,67 @@ def leak_regression(daily: DataFrame, y: str, x: str, by: str, n: str = "n", lea
     return own.groupBy(by).agg(F.count(F.lit(1)).alias("days"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x)).alias("corr")).withColumn("k", 1 - F.col("slope"))
 
 
+#: Rows of a part that one task sorts.
+ROWS_A_PART = 500_000
+
+
+def _in_order(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The n rows of df sorted over all parts: _p, the part's number, and _i, the place in it from 0."""
+    at = df.repartitionByRange(n // ROWS_A_PART + 1, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumns({"_p": F.shiftright("_at", 33), "_i": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
+
+
+def _parts(placed: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+    """By group and part: what is to be added to _i for a rank from 1 (_add), the group's rows there (_n), and the sums."""
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"), *sums).withColumn("_add", before - F.col("_first") + 1).drop("_first")
+
+
+def _ranked(df: DataFrame, value: str, tie: str, by: list[str], out: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """df with its ranks, and the sorted rows on disk that it reads."""
+    placed = _in_order(df, [*by, value, tie], n).persist(StorageLevel.DISK_ONLY)  # places are given once; the parts' bounds are sketched anew each time
+    found = quantile_module._joined(placed, _parts(placed, by).drop("_n"), [*by, "_p"])
+    return found.withColumn(out, (F.col("_i") + F.col("_add")).cast("int")).select(*df.columns, out), placed
+
+
 def ordinal_rank(df: DataFrame, value: str, tie: str, by: list[str], out: str, most: int | None = None) -> DataFrame:
     """Ranks from 1 within by, in the order of a number and of a number that breaks ties.
 
-    Rows fall into ranges of the value, cut at a sketch of all values, and those of one value into ranges of the tie; rows are numbered
-    within those and offset by the counts before. The number of ranges grows with the table, so a task has about a million
-    rows at most, however they are spread over groups and values. Tables of at most `most` rows are numbered by one window.
+    Rows are sorted over all groups, in parts of about ROWS_A_PART rows however they are spread over groups and values; a place in
+    a part is offset by the group's rows in the parts before. The sorted rows stay on disk until the session ends. Tables of at
+    most `most` rows are numbered by one window.
     """
     most = quantile_module.MOST if most is None else most
     n = df.count()
     if n <= most:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)))
-    k = max(64, n // 1_000_000)
-    shares = F.array(*[F.lit(i / k) for i in range(1, k)])
-    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, F.lit(10 * k)) for c in (value, tie)]).first()
-    places = {name: quantile_module.range_of(F.col(c).cast("double"), sorted(set(found or []))) for name, c, found in zip(("_r", "_k"), (value, tie), cuts, strict=True)}
-    own = df.withColumns(places)
-    groups = own.groupBy(*by, "_r", value, "_k").agg(F.count(F.lit(1)).alias("_n"))
-    ranges = groups.groupBy(*by, "_r").agg(F.sum("_n").alias("_m"))
-    before = ranges.select(*by, "_r", F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    upto = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy(value, "_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = groups.join(before, [*by, "_r"]).select(*by, value, "_k", (F.col("_b") + upto).alias("_first"))
-    numbered = own.withColumn("_i", F.row_number().over(Window.partitionBy(*by, value, "_k").orderBy(tie)))
-    return numbered.join(first, [*by, value, "_k"]).withColumn(out, (F.col("_first") + F.col("_i")).cast("int")).select(*df.columns, out)
-
-
-def session_ic(df: DataFrame, pairs: list[tuple[str, str]], least: int = 200, date="Date", tie: str = "ChannelSeq") -> DataFrame:
-    """Spearman correlation (ordinal ranks) per session and pair; null under `least` complete rows."""
-    each = F.explode(F.array(*[F.struct(F.lit(f"{a}~{b}").alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs]))
+    return _ranked(df, value, tie, by, out, n)[0]
+
+
+def session_ic(df: DataFrame, pairs: list[tuple[str, str]], least: int = 200, date="Date", tie: str = "ChannelSeq", most: int | None = None) -> DataFrame:
+    """Spearman correlation (ordinal ranks) per session and pair; null under `least` complete rows.
+
+    Tables of more than `most` rows are sorted twice: by a for its ranks, then by b, whose ranks are places in parts and the parts'
+    offsets, so that sums by part are enough. The result, a row a session and pair, is then computed at once and kept on disk.
+    """
+    most = quantile_module.MOST if most is None else most
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for i, (a, b) in enumerate(pairs)]))
     own = df.select(date, F.col(tie).alias("_tie"), each.alias("p")).select(date, "_tie", "p.*").filter(is_finite(F.col("a")) & is_finite(F.col("b")))
-    own = ordinal_rank(ordinal_rank(own, "a", "_tie", [date, "pair"], "ra"), "b", "_tie", [date, "pair"], "rb")
-    return own.groupBy(date, "pair").agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("ra").cast("double"), F.col("rb").cast("double")).alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
+    by, n = [date, "pair"], own.count()
+    if n <= most:
+        window = lambda v: F.row_number().over(Window.partitionBy(*by).orderBy(v, "_tie")).cast("double")
+        found = own.withColumn("ra", window("a")).withColumn("rb", window("b")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("ic"))
+    else:
+        ranked, placed = _ranked(own, "a", "_tie", by, "ra", n)
+        ra = F.col("ra").cast("double")
+        parts = _parts(_in_order(ranked.select(*by, "_tie", "b", "ra"), [*by, "b", "_tie"], n), by, F.sum(ra).alias("_s"), F.sum(ra * F.col("_i")).alias("_si"))
+        sums = parts.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_si") + F.col("_add") * F.col("_s")).alias("_sum"))
+        rows = F.col("n").cast("double")  # ranks are 1 to n: their mean is (n + 1) / 2, their variance (n * n - 1) / 12
+        found = sums.select(*by, "n", F.try_divide(F.col("_sum") / rows - (rows + 1) * (rows + 1) / 4, (rows * rows - 1) / 12).alias("ic")).persist(StorageLevel.DISK_ONLY)
+        found.count()
+        placed.unpersist()
+    names = F.array(*[F.lit(f"{a}~{b}") for a, b in pairs])
+    return found.select(date, F.get(names, F.col("pair")).alias("pair"), "n", F.when(F.col("n") >= least, F.col("ic")).alias("ic"))
 
 
 def ic_by_period(ic: DataFrame, period: Column) -> DataFrame:
