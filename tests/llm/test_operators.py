@@ -388,6 +388,18 @@ def test_token_files(spark, docs, none, texts):
     assert range_coder.read(spark.read.schema(range_coder.FILE).parquet(path)).count() == 0
 
 
+def test_range_coder_keeps_its_rows_and_its_format():
+    """Rows of frequencies are copied to one place at every step, and frames are those of the first files (digest of what the coder wrote then)."""
+    model = range_coder.Models(3)
+    first = model.look(np.array([0, 300]))
+    assert np.shares_memory(first, model.look(np.array([1, 2, 600]))) and not np.shares_memory(first, model.cum)
+    rng = np.random.default_rng(3)
+    blocks = [(rng.zipf(1.3, rng.integers(1, 1500)) % 49152).astype(np.uint32) for _ in range(60)] + [np.tile(rng.integers(0, 65536, 37), 40).astype(np.uint32), np.zeros(0, np.uint32)]
+    frames = range_coder.pack(blocks)
+    assert hashlib.sha256(b"".join(frames)).hexdigest() == "cd2f737888e155d4302a82e62e5ccbda17f3bb793b7fb021aa3225ba77cd91dc"
+    assert all((a == b).all() for a, b in zip(range_coder.unpack(frames), blocks, strict=True))
+
+
 def test_range_coder_round_trips_and_detects_damage():
     rng = np.random.default_rng(4)
     blocks = [np.zeros(0, np.uint32), np.array([65535], np.uint32), rng.integers(0, 65536, 900).astype(np.uint32), np.tile([5, 6, 7], 300).astype(np.uint32)]

@@ -58,6 +58,8 @@ LOW_BITS, PIECE = np.uint64((1 << 32) - 1), np.uint64(16)
 DIGITS = np.stack([np.arange(1 << 16) // BASE**2, np.arange(1 << 16) // BASE % BASE, np.arange(1 << 16) % BASE]).astype(np.int64)
 #: Cumulative frequencies towards which a seen digit moves: all of the range but the least part for each digit.
 GOALS = np.array([[k * LEAST_DIGIT + (TOTAL - BASE * LEAST_DIGIT if k > d else 0) for k in range(BASE + 1)] for d in range(BASE)], np.int16)
+#: A row of cumulative frequencies as one item: numpy copies it in one go.
+CELL = np.dtype(f"V{2 * (BASE + 1)}")
 #: Parts of the two guesses towards which an outcome (order 2, order 1, neither) moves them, if they differ and if they agree.
 MOST = TOTAL - TOTAL // 64 - LEAST_GUESS
 GOALS2 = np.array([[MOST, MOST], [LEAST_GUESS, LEAST_GUESS], [LEAST_GUESS, LEAST_GUESS]], np.int64).ravel()
@@ -77,6 +79,10 @@ class Models:
         self.part1 = np.tile(np.array([TOTAL // 8, 0], np.int64), lanes * 16)
         start = np.linspace(0, TOTAL, BASE + 1).astype(np.int16)
         self.cum = np.tile(start, (lanes * sum(CLASSES), 1))
+        self.cells = self.cum.view(CELL).ravel()
+        # Rows are copied here and there, and changed here, without a new array for each step.
+        self.rows, self.goals = np.empty((lanes, BASE + 1), np.int16), np.empty((lanes, BASE + 1), np.int16)
+        self.flat, self.at_row = self.rows.ravel(), lane * (BASE + 1)
         self.base = lane * sum(CLASSES)
         self.older, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
@@ -99,7 +105,10 @@ class Models:
         fresh = x << 2
         for guess, slot, entry, g in ((self.guess2, self.s2, self.e2, self.g2), (self.guess1, self.s1, self.e1, self.g1)):
             sure = entry & 3
-            guess[slot] = np.where(g == x, entry + (sure < 3), np.where(sure > 1, entry - sure + 1, fresh))
+            new = np.where(sure > 1, entry - sure + 1, fresh)
+            hit = (g == x).nonzero()[0]
+            new[hit] = entry[hit] + (sure[hit] < 3)
+            guess[slot] = new
         self.older, self.last = self.last * 40503, x
 
     def context(self, base: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
@@ -109,9 +118,23 @@ class Models:
             return base + (digits[0] + CLASSES[0])
         return base + (((digits[0] * BASE + digits[1]) * 37 & (CLASSES[2] - 1)) + (CLASSES[0] + CLASSES[1]))
 
+    def look(self, context: np.ndarray) -> np.ndarray:
+        """The contexts' rows, valid until the next call. Contexts are in bounds; with mode clip numpy writes to out without a buffer between."""
+        return np.take(self.cum, context, axis=0, out=self.rows[: len(context)], mode="clip")
+
+    def span(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each digit in its row."""
+        at = self.at_row[: len(digit)] + digit
+        start = self.flat.take(at)
+        at += 1
+        return start, self.flat.take(at) - start
+
     def adapt(self, context: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
-        rows += (GOALS[digit] - rows) >> 4
-        self.cum[context] = rows
+        goals = np.take(GOALS, digit, axis=0, out=self.goals[: len(digit)], mode="clip")
+        goals -= rows
+        goals >>= 4
+        rows += goals
+        self.cells[context] = rows.view(CELL).ravel()
 
 
 class Writer:
@@ -131,7 +154,7 @@ class Writer:
         part = rng >> np.uint64(BITS)
         low += part * start.astype(np.uint64)
         rng = part * size.astype(np.uint64)
-        go = np.flatnonzero(rng < LOW)
+        go = (rng < LOW).nonzero()[0]
         if len(go):
             at, own = lanes[go], low[go]
             self.out[at, self.n[at]] = own >> np.uint64(32)
@@ -171,7 +194,7 @@ class Reader:
         """code and range of these lanes after a symbol each."""
         code -= part * start.astype(np.uint64)
         rng = part * size.astype(np.uint64)
-        go = np.flatnonzero(rng < LOW)
+        go = (rng < LOW).nonzero()[0]
         if len(go):
             at = lanes[go]
             code[go] = (code[go] << PIECE) | self.data[at, self.n[at]]
@@ -202,12 +225,11 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
             to.low, to.range = to.put(everyone, to.low, to.range, start, np.where(hit2, upto2, np.where(outcome == 1, model.n1, TOTAL - upto1)))
             rest = np.flatnonzero(outcome == 2)
             if len(rest):
-                low, rng, base, at, digits = to.low[rest], to.range[rest], model.base[rest], np.arange(len(rest)), []
+                low, rng, base, digits = to.low[rest], to.range[rest], model.base[rest], []
                 for digit in DIGITS[:, x[rest]]:
                     context = model.context(base, digits)
-                    rows = model.cum[context]
-                    under = rows[at, digit]
-                    low, rng = to.put(rest, low, rng, under, rows[at, digit + 1] - under)
+                    rows = model.look(context)
+                    low, rng = to.put(rest, low, rng, *model.span(digit))
                     model.adapt(context, rows, digit)
                     digits.append(digit)
                 to.low[rest], to.range[rest] = low, rng
@@ -240,14 +262,13 @@ def unpack(frames: list[bytes]) -> list[np.ndarray]:
             x = np.where(hit2, model.g2, model.g1).astype(np.int64)
             rest = np.flatnonzero(miss)
             if len(rest):
-                code, rng, base, own, digits = come.code[rest], come.range[rest], model.base[rest], np.arange(len(rest)), []
+                code, rng, base, digits = come.code[rest], come.range[rest], model.base[rest], []
                 for _ in range(3):
                     context = model.context(base, digits)
-                    rows = model.cum[context]
+                    rows = model.look(context)
                     share = rng >> np.uint64(BITS)
                     digit = (rows > np.minimum(code // share, most).astype(np.int16)[:, None]).argmax(1) - 1
-                    under = rows[own, digit]
-                    code, rng = come.drop(rest, code, share, under, rows[own, digit + 1] - under)
+                    code, rng = come.drop(rest, code, share, *model.span(digit))
                     model.adapt(context, rows, digit)
                     digits.append(digit)
                 come.code[rest], come.range[rest] = code, rng
