@@ -385,9 +385,8 @@ SLOT_SQL = f"""{T_SQL}, sl AS (SELECT "Date", "QuoteCode", time_bucket(INTERVAL
 @query(f"""WITH {SLOT_SQL} SELECT "Date", CAST("QuoteCode" AS VARCHAR) AS "QuoteCode", slot AS "TimeSlot", amount, CAST(row_number() OVER (PARTITION BY "Date", slot ORDER BY amount DESC, CAST("QuoteCode" AS VARCHAR)) AS INTEGER) AS rank FROM day""")
 def l_day_ranks(spark, sf_dir):
     path = scratch(spark, "ranks")
-    live.drain(live.turnover_5min(_stream(spark, sf_dir)), path, scratch(spark, "ranks-log"), live.rank_sink(path))
-    own = spark.read.schema("Date string, QuoteCode string, TimeSlot timestamp, Amount double, AmountRank_canDayTrade int").parquet(f"{path}/ranks")
-    return own.select("Date", "QuoteCode", F.col("TimeSlot").cast("timestamp_ntz").alias("TimeSlot"), F.col("Amount").alias("amount"), F.col("AmountRank_canDayTrade").alias("rank"))
+    live.drain(live.turnover_5min(_stream(spark, sf_dir)), path, scratch(spark, "ranks-log"), live.rank_sink(path, runs=True))
+    return live.sunk_ranks(spark, path).select("Date", "QuoteCode", F.col("TimeSlot").cast("timestamp_ntz").alias("TimeSlot"), F.col("Amount").alias("amount"), F.col("AmountRank_canDayTrade").alias("rank"))
 
 
 @query(f"""WITH {T_SQL}, o AS (SELECT "Date", "QuoteCode", arg_min(("FillPrice" - "RefPrice") / "RefPrice", "TransTime") AS m FROM t WHERE epoch_us("TransTime") % 86400000000 >= 32400000000 AND epoch_us("TransTime") % 86400000000 < 39600000000 AND "TrialMatch" = 0 AND "FillPrice" > 0 AND "QuoteCode" % 2 = 0 GROUP BY 1, 2),
